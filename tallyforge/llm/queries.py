@@ -6,13 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op7_decontamination
+from .licenses import op10_license_scans
+from .line_dedup import op9_line_dedup
+from .mixing import op6_mixing
+from .quality import op8_quality_rules
+from .secrets import op5_secret_scans
+from .sharding import op2_sharding
 from .simhash import op3_simhash
 from .token_counts import op1_token_counts
+from .warc import op4_warc
+
+QUERIES = (
+    op1_token_counts, op2_sharding, op3_simhash, op4_warc, op5_secret_scans, op6_mixing, op7_decontamination, op8_quality_rules, op9_line_dedup, op10_license_scans,
+)
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
+ f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+ list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + ((CAST(('0x' || substr(d.h, CAST(5 * (i // 4) + 1 AS INT), 5)) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), 'string_agg', '') AS payload_digest,
+ CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM d JOIN f USING (h)"""
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS w FROM documents),
+ b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS w FROM benchmark),
+ win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest([array_to_string(w[i : i + least(10, len(w)) - 1], ' ') for i in range(1, len(w) - least(10, len(w)) + 2)]) AS g FROM b WHERE len(w) > 0),
+ sizes AS (SELECT DISTINCT n FROM win),
+ pos AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, sizes WHERE len(w) >= n),
+ hit AS (SELECT p.doc_id, p.n, p.i, win.item_id FROM (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM pos) p JOIN win ON win.n = p.n AND win.g = p.g),
+ words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+ items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_simhash)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC_SQL, "op7_decontamination": DECONTAMINATION_SQL}

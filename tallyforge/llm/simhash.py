@@ -148,15 +148,32 @@ def fingerprint_components(fps: DataFrame, radius: int = 4, block_rows: int = BL
     return materialize(moved.unionByName(second.select(F.col("node").alias("fp"), "root")), "roots")
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key, fp of every row; and fp, first of every fingerprint, where first (no_id, doc_id, text_key) is its component's first document."""
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    marked = materialize(with_fingerprint(keyed, "text", width, seed, ["doc_id", "text_key"]), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    least = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "copies")
+    roots = fingerprint_components(least.select("fp"), radius)
+    rooted = least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return marked, materialize(rooted.join(groups.hint("merge"), "root").select("fp", F.col("least").alias("first")), "of_fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id for every row of `docs`: documents whose fingerprints differ in at most `radius` bits are linked."""
-    marked = materialize(with_fingerprint(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", width, seed, ["doc_id"]), "fingerprints")
-    least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "copies")
-    roots = fingerprint_components(least.select("fp"), radius)
-    rooted = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = materialize(rooted.join(groups.hint("merge"), "root").select("fp", "component_id"), "of_fp")
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    marked, of_fp = _grouped(docs, doc_id, text, width, radius, seed)
+    return marked.join(of_fp, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of `docs` that come first in their component, by doc_id, then a hash of the text; one row of those equal in both."""
+    _, of_fp = _grouped(docs, doc_id, text, width, radius, seed)
+    keep = materialize(of_fp.select("first").distinct().select(F.col("first.doc_id").alias("k_id"), F.col("first.text_key").alias("k_text")), "firsts")
+    key = F.xxhash64(F.col(f"`{text}`"))
+    kept = docs.join(keep, F.col(f"`{doc_id}`").eqNullSafe(F.col("k_id")) & (key == F.col("k_text")), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.groupBy(F.col(f"`{doc_id}`"), key).agg(F.min(whole).alias("__row")).select("__row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
