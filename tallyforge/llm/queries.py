@@ -29,8 +29,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
  d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
  f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
- list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-  CAST(1 + ((CAST(('0x' || substr(d.h, CAST(5 * (i // 4) + 1 AS INT), 5)) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), 'string_agg', '') AS payload_digest,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST(('0x' || substr(d.h, CAST(5 * (i // 4) + 1 AS INT), 5)) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1) for i in range(32)], '') AS payload_digest,
  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
 FROM d JOIN f USING (h)"""
 
