@@ -11,6 +11,8 @@ Each label has a permissiveness from 0 to 1. `or` gives the higher of its sides,
 score of a text is the lowest of its notices and expressions; a text without any
 scores 0.
 
+A notice inside a longer notice counts as part of it, unless it is a base phrase.
+
 Defined cases: a null text is empty; overlapping places count each; a broken
 expression yields its known labels and their lowest score; repeated rows are
 scanned each; an empty table gives an empty result. No shuffle.
@@ -149,15 +151,18 @@ def scan(data: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of a text."""
     words = data.translate(PLAIN).split()
     line = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    places, base_labels, labels, scores, tagged = [], set(), set(), [], False
+    found, tagged = [], False
     for end, (phrase, base, label) in automaton().iter(line):
-        if base:
-            places.append(line.count(" ", 0, end - len(phrase) - 1))
-            base_labels.add(base)
+        first = line.count(" ", 0, end - len(phrase) - 1)
         if label:
-            labels.add(label)
-            scores.append(PERMISSIVENESS[label])
+            found.append((first, first + phrase.count(" "), base, label))
         tagged |= phrase == TAG
+    places = [first for first, _, base, _ in found if base]
+    base_labels = {base for _, _, base, _ in found if base}
+    # A notice inside a longer one is part of it: "cc by" of "cc by nc" grants nothing by itself.
+    widest = [(a, b, label) for a, b, base, label in found if base or not any(x <= a and b <= y and (a, b) != (x, y) for x, y, *_ in found)]
+    labels = {label for *_, label in widest}
+    scores = [PERMISSIVENESS[label] for *_, label in widest]
     if tagged:
         for m in _EXPRESSION.finditer(data.decode("utf-8", "replace")):
             more, score = evaluate(m[1])
