@@ -148,13 +148,13 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, gram: int, doc_id: str
     n_hit = merged.groupBy("doc_key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before"))).cast("long").alias("n_hit"))
     named = spans.select("doc_key", "item_key").distinct().join(marked.select("item_key", F.col("item_id").cast("string").alias("id")), "item_key")
     n_items = named.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
-    found = materialize(n_hit.join(n_items.hint("merge"), "doc_key").select(F.col("doc_key.doc_id").alias("k_id"), F.col("doc_key.text_key").alias("k_text"), "n_hit", "n_items", F.sha2("ids", 256).alias("items_sha256")), "hits")
+    found = materialize(n_hit.join(n_items.hint("merge"), "doc_key").select(F.col("doc_key.doc_id").alias("__k_id"), F.col("doc_key.text_key").alias("__k_text"), "n_hit", "n_items", F.sha2("ids", 256).alias("items_sha256")), "hits")
 
     return read.select("doc_id", "text_key", "n_words"), found
 
 
 def _same_document():
-    return F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_text"))
+    return F.col("doc_id").eqNullSafe(F.col("__k_id")) & (F.col("text_key") == F.col("__k_text"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -168,8 +168,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs` without any hit, with their columns."""
     _, found = _hits(docs, items, window, gram, doc_id, text, item_id, item_text)
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("k_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("k_text"))
-    return docs.join(found.select("k_id", "k_text"), same, "left_anti")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__k_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__k_text"))
+    return docs.join(found.select("__k_id", "__k_text"), same, "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_texts, table
 from .words import WHITESPACE, WordHashes, gram_hashes, word_hashes
@@ -115,6 +116,12 @@ def with_quality(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     return map_texts(docs, columns, COLUMNS, text, keep)
 
 
+def passing(docs: DataFrame, text: str = "text", gram_shares: Mapping[int, float] = GRAM_SHARES, line_share: float = LINE_SHARE) -> DataFrame:
+    """The rows of `docs` that the rules keep, with their own columns, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text}`").alias("__whole"))
+    return with_quality(whole, "__whole", ["__doc"], gram_shares, line_share).where("kept").select("__doc.*")
+
+
 _MEMO: list[WordHashes] = []
 
 

@@ -78,12 +78,12 @@ def capacities(rows: int, shards: int, slack: float) -> dict[int, int]:
 
 
 def with_shard(df: DataFrame, key: str | Column, shards: int, vnodes: int = VNODES, slack: float = 0.0) -> DataFrame:
-    """Adds home_shard, shard and slot (gapless from 0 in each shard) to the rows of `df`.
+    """Adds home_shard, shard and slot (gapless from 0 in each shard) to the rows of `df`; columns of these names give way.
 
     Every column of `df` takes part in the order of rows, so bring no more than
     are needed; it is read twice. Maps are not allowed.
     """
-    spark, names = df.sparkSession, df.columns
+    spark, names = df.sparkSession, [c for c in df.columns if c not in ("home_shard", "shard", "slot")]
     quoted = [F.col(f"`{c}`") for c in names]
     rows = (
         df.withColumn("__cell", F.pmod(F.xxhash64(F.lit("key"), F.col(f"`{key}`") if isinstance(key, str) else key), F.lit(CELLS)).cast("int"))

@@ -150,6 +150,7 @@ def test_license_scans(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[5].labels == "apache-2,gpl-2,mit" and got[5].score == 1.0
     assert got[6].score == 0.4 and got[7].labels == "mit"
+    assert got[3].labels == "apache-2,cc-by-nc" and got[3].score == 0.1
 
 
 @pytest.mark.parametrize(
