@@ -63,10 +63,14 @@ def pair_affinity(pairs: DataFrame, sets: DataFrame, rules: DataFrame, related:
 
 
 def type_pairs(career_types: DataFrame) -> DataFrame:
-    """Every pair of an entry of one type and another entry of another type: tipo_a, tipo_b, a, b, ord_a, ord_b. As large as the catalogue squared, whatever the number of forms."""
-    side = lambda x: career_types.select(F.col("tipo").alias(f"tipo_{x}"), F.col("carrera").alias(x), F.col("ord").alias(f"ord_{x}"), F.lit(1).alias("__k"))
-    pairs = side("a").join(side("b").hint("broadcast"), "__k").drop("__k")
-    return pairs.where((F.col("tipo_a") != F.col("tipo_b")) & (F.col("a") != F.col("b")))
+    """Every pair of an entry of one type and another entry of another type: tipo_a, tipo_b, a, b, ord_a, ord_b.
+
+    Pairs of types come first, a few dozen; entries join them by type. The result grows with the catalogue alone, whatever the number of forms.
+    """
+    side = lambda x: career_types.select(F.col("tipo").alias(f"tipo_{x}"), F.col("carrera").alias(x), F.col("ord").alias(f"ord_{x}"))
+    kinds = career_types.select("tipo").distinct()
+    kinds = kinds.select(F.col("tipo").alias("tipo_a")).join(kinds.select(F.col("tipo").alias("tipo_b")), F.col("tipo_a") != F.col("tipo_b"))
+    return kinds.join(side("a"), "tipo_a").join(side("b"), "tipo_b").where("a <> b").select("tipo_a", "tipo_b", "a", "b", "ord_a", "ord_b")
 
 
 def best_two_pairs(scored: DataFrame) -> DataFrame:
