@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, materialize, small_batches, table
 from .words import mix
 
-RULES = 4
+RULES = 3
 MIN_LINES, MIN_WORDS = 2, 40
 TABLE_BITS = 25
 _CHUNK = "struct<hash: bigint, first: int, last: int, bytes: binary>"
@@ -47,7 +47,7 @@ def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_word
     words_to = np.r_[0, np.cumsum(words)]
     found: set[tuple[int, int]] = set()
     for rule in range(rules):
-        ends = np.flatnonzero((rolled >> np.uint64(3 * rule)) & np.uint64(1 if rule % 2 else 3) == 0) + 1
+        ends = np.flatnonzero((rolled >> np.uint64(rule)) & np.uint64(1) == 0) + 1
         cuts = [0, *ends.tolist()] if len(ends) and ends[-1] == len(lines) else [0, *ends.tolist(), len(lines)]
         found.update(zip(cuts[:-1], cuts[1:], strict=True))
     out = []
@@ -99,7 +99,7 @@ def removals(docs: DataFrame, **shape) -> DataFrame:
     first = with_chunks(keyed, [], None, "text", **shape)
     bits = repeated_bits(first.select(F.explode("found.hash").alias("hash")))
     again = with_chunks(keyed, ["doc_id", "text_key"], bits, "text", **shape)
-    places = materialize(again.where(F.size("found") > 0).select("doc_id", "text_key", F.inline("found")).distinct(), "places")
+    places = materialize(again.where(F.size("found") > 0).select("doc_id", "text_key", F.inline("found")), "places")
     place = F.struct("doc_id", "text_key", "first")
     groups = places.groupBy("hash", "bytes").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = materialize(groups, "firsts")
@@ -108,7 +108,7 @@ def removals(docs: DataFrame, **shape) -> DataFrame:
 
 
 def _cut_lines(batches):
-    """Rows whose last two columns are text and cut; returns them with the text cut and the counts added."""
+    """Rows whose last two columns are the text and its cuts; returns them with the text cut and the counts added."""
     for batch in batches:
         texts, cuts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         out, n_lines, n_removed, n_chunks = [], [], [], []
@@ -132,10 +132,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep: columns to return besides the text; default all. shape: rules, min_lines and min_words of chunks().
     """
     small_batches(docs.sparkSession)
-    cut = materialize(removals(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), **shape), "cuts").toDF("k_id", "k_text", "cut")
+    cut = materialize(removals(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), **shape), "cuts").toDF("__k_id", "__k_text", "__cut")
     names = [c for c in (docs.columns if keep is None else keep) if c not in (text, "n_lines", "n_cut_chunks", "n_cut_lines")]
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("k_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("k_text"))
-    rows = docs.join(cut, same, "left").select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("text"), "cut")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__k_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__k_text"))
+    # Most of the texts move here, whatever the size of the corpus; so the join is the same at every size.
+    rows = docs.join(cut.hint("merge"), same, "left").select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("text"), "__cut")
     schema = rows.select(*[F.col(f"`{c}`") for c in names], "text").schema.add("n_lines", "long").add("n_cut_chunks", "long").add("n_cut_lines", "long")
     out = rows.mapInArrow(_cut_lines, schema)
     return out if text == "text" else out.withColumnRenamed("text", text)
