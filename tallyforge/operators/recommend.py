@@ -20,6 +20,17 @@ AREAS = {
     "s": "Social (ayudar, enseñar, cuidar)", "e": "Emprendedor (liderar, persuadir)", "c": "Convencional (organizar, sistematizar)",
 }
 
+# The sentences of an explanation.
+SENTENCES = {
+    "areas": "Tu perfil del test destaca en %s (%.2f), seguido de %s (%.2f).",
+    "first": "De lo que escribiste, la carrera con mejor encaje es '%s' (afinidad con el test: %.2f, similitud con tu texto: %.2f).",
+    "second": "En segundo lugar aparece '%s' (afinidad: %.2f).",
+    "alert": "⚠️ ALERTA: lo que escribiste tiene afinidad baja con tu perfil del test. Puede que tu interés no coincida con tus aptitudes. Recomendamos revisar esto con un orientador.",
+    "apart": "Las carreras que mencionaste son poco coherentes entre sí (coherencia: %.2f). Aún estás explorando opciones diversas. Considera enfocarte en un área.",
+    "together": "Las carreras que mencionaste son muy coherentes entre sí (coherencia: %.2f). Tienes una dirección clara.",
+    "none": "No se encontró ninguna carrera del catálogo que coincida con lo que escribiste. Intenta con el nombre completo o sinónimos.",
+}
+
 
 def search_index(catalog: DataFrame) -> dict[str, DataFrame]:
     """alias (alias, ord: names included, the last entry wins), phrase (frase, ord), token (token, ord: 3 characters or more) of a catalogue (ord, carrera, alias, keywords)."""
@@ -155,20 +166,19 @@ def explain(profiles: DataFrame, recommended: DataFrame, coherences: DataFrame)
     """form_id, razonamiento: the two leading areas, the best and the second entry, an alert, and how coherent the entries are."""
     names = F.create_map(*[F.lit(x) for pair in AREAS.items() for x in pair])
     order = F.array_sort(F.array(*[F.struct((-F.col(x)).alias("neg"), F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(LETTERS)]))
-    two = lambda v: F.format_string("%.2f", v)
     pick = lambda i, c: F.max(F.when(F.col("lugar") == i, F.col(c)))
     r = recommended.groupBy("form_id").agg(*[pick(i, c).alias(f"{c}{i}") for i in (1, 2) for c in ("carrera", "afinidad", "match")])
     j = profiles.join(r, "form_id", "left").join(coherences, "form_id", "left").withColumn("o", order)
-    area = lambda i: F.concat(F.element_at(names, F.get("o", F.lit(i))["x"]), F.lit(" ("), two(-F.get("o", F.lit(i))["neg"]), F.lit(")"))
+    area = lambda i: [F.element_at(names, F.get("o", F.lit(i))["x"]), -F.get("o", F.lit(i))["neg"]]
+    say = lambda name, *values: F.format_string(SENTENCES[name], *values)
     parts = [
-        F.concat(F.lit("Tu perfil del test destaca en "), area(0), F.lit(", seguido de "), area(1), F.lit(".")),
-        F.concat(F.lit("De lo que escribiste, la carrera con mejor encaje es '"), F.col("carrera1"), F.lit("' (afinidad con el test: "), two(F.col("afinidad1")), F.lit(", similitud con tu texto: "), two(F.col("match1")), F.lit(").")),
-        F.concat(F.lit("En segundo lugar aparece '"), F.col("carrera2"), F.lit("' (afinidad: "), two(F.col("afinidad2")), F.lit(").")),
-        F.when(F.col("afinidad1") < TRUSTED, "ALERTA: lo que escribiste tiene afinidad baja con tu perfil del test."),
-        F.when(F.col("coherencia") < INCOHERENT, F.concat(F.lit("Las carreras que mencionaste son poco coherentes entre sí (coherencia: "), two(F.col("coherencia")), F.lit(").")))
-        .when(F.col("coherencia") > COHERENT, F.concat(F.lit("Las carreras que mencionaste son muy coherentes entre sí (coherencia: "), two(F.col("coherencia")), F.lit("). Tienes una dirección clara."))),
+        say("areas", *area(0), *area(1)),
+        say("first", F.col("carrera1"), F.col("afinidad1"), F.col("match1")),
+        F.when(F.col("carrera2").isNotNull(), say("second", F.col("carrera2"), F.col("afinidad2"))),
+        F.when(F.col("afinidad1") < TRUSTED, F.lit(SENTENCES["alert"])),
+        F.when(F.col("coherencia") < INCOHERENT, say("apart", F.col("coherencia"))).when(F.col("coherencia") > COHERENT, say("together", F.col("coherencia"))),
     ]
-    return j.select("form_id", F.when(F.col("carrera1").isNull(), "No se encontró ninguna carrera del catálogo que coincida con lo que escribiste.").otherwise(F.concat_ws(" ", *parts)).alias("razonamiento"))
+    return j.select("form_id", F.when(F.col("carrera1").isNull(), F.lit(SENTENCES["none"])).otherwise(F.concat_ws(" ", *parts)).alias("razonamiento"))
 
 
 def empty_requests(forms: DataFrame, requests: DataFrame) -> DataFrame:

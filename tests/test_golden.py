@@ -238,6 +238,18 @@ def test_cosine_is_bounded(spark):
     assert {r.afinidad for r in got if r.form_id == 0 or r.ord == 0} == {0.0}
 
 
+def test_explanations(spark):
+    profiles = spark.createDataFrame([(1, 0.9, 0.1, 0.0, 0.3, 0.3, 0.2), (2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1)], "form_id long, r double, i double, a double, s double, e double, c double")
+    chosen = spark.createDataFrame([(1, 1, "Derecho", 0.51, 1.0)], "form_id long, lugar int, carrera string, afinidad double, match double")
+    got = {r.form_id: r.razonamiento for r in recommend.explain(profiles, chosen, spark.createDataFrame([(1, 0.5)], "form_id long, coherencia double")).collect()}
+    assert got[2] == recommend.SENTENCES["none"]
+    assert got[1] == " ".join([
+        "Tu perfil del test destaca en Realista (práctico, manual, técnico) (0.90), seguido de Social (ayudar, enseñar, cuidar) (0.30).",
+        "De lo que escribiste, la carrera con mejor encaje es 'Derecho' (afinidad con el test: 0.51, similitud con tu texto: 1.00).",
+        recommend.SENTENCES["alert"], recommend.SENTENCES["apart"].replace("%.2f", "0.50"),
+    ])
+
+
 @pytest.mark.parametrize(
     ("nivel", "nivel_max", "carrera", "institucion", "ok"),
     [
