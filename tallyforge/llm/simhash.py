@@ -166,16 +166,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(of_fp, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of `docs` that come first in their component, by doc_id, then a hash of the text; one row of those equal in both."""
-    _, of_fp = _grouped(docs, doc_id, text, width, radius, seed)
-    keep = materialize(of_fp.select("first").distinct().select(F.col("first.doc_id").alias("__k_id"), F.col("first.text_key").alias("__k_text")), "firsts")
+def first_rows(docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of `docs` that firsts.first (doc_id, text_key) names; one row of those equal in both."""
+    keep = materialize(firsts.select(F.col("first.doc_id").alias("__k_id"), F.col("first.text_key").alias("__k_text")), "firsts")
     key = F.xxhash64(F.col(f"`{text}`"))
     kept = docs.join(keep, F.col(f"`{doc_id}`").eqNullSafe(F.col("__k_id")) & (key == F.col("__k_text")), "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.groupBy(F.col(f"`{doc_id}`"), key).agg(F.min(whole).alias("__row")).select("__row.*")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of `docs` that come first in their component, by doc_id, then a hash of the text; one row of those equal in both."""
+    _, of_fp = _grouped(docs, doc_id, text, width, radius, seed)
+    return first_rows(docs, of_fp.select("first").distinct(), doc_id, text)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all `documents`."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
