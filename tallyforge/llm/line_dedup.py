@@ -4,14 +4,16 @@ Method: each line is hashed; a rolling hash over two neighbouring lines decides
 whether a chunk ends there, so boundaries depend on content alone and survive
 insertions before them. Several independent boundary rules are used, because a
 passage's first and last lines share a chunk with what surrounds them under any
-one rule. Chunks of several lines, or of one long line, whose bytes occur at more
-than one place of the corpus are removed from all places but the first (by
-doc_id, then position); chunks are grouped by their bytes, so equal hashes alone
-remove nothing.
+one rule. Besides, the shortest run of 40 words from each line on, and up to each
+line, is a chunk; its boundaries depend only on the lines inside it, so a repeated
+passage of 40 words or more goes whole, whatever stands around it. Chunks of several
+lines, or of one long line, that occur at more than one place of the corpus are
+removed from all places but the first (by doc_id, then position); chunks are
+grouped by the SHA-256 of their bytes, so equal 64-bit hashes alone remove nothing.
 
 The first pass shuffles only (hash, place) rows. Repeated hashes go into a bit
-table of fixed size (4 MB), so the second pass sends on the bytes of chunks that
-repeat, and no others. Only the last join moves the texts, once.
+table of fixed size (4 MB), so the second pass sends on the digests of chunks that
+repeat, and few others. Only the last join moves the texts, once.
 
 Defined cases: a null text stays null and an empty one empty; blank lines belong
 to chunks but a chunk without a word is never removed; rows equal in doc_id and
@@ -32,11 +34,20 @@ from .words import mix
 RULES = 3
 MIN_LINES, MIN_WORDS = 2, 40
 TABLE_BITS = 25
-_CHUNK = "struct<hash: bigint, first: int, last: int, bytes: binary>"
+_CHUNK = "struct<hash: bigint, first: int, last: int, digest: binary>"
 
 
-def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[tuple[int, int, int]]]:
-    """The lines of a text, and (hash, first line, last line) of its chunks that are long enough, each once."""
+def _runs(words: np.ndarray, words_to: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the shortest runs of min_words words from each line with a word on, and up to each."""
+    at = np.flatnonzero(words > 0)
+    last = np.searchsorted(words_to, words_to[at] + min_words)
+    first = np.searchsorted(words_to, words_to[at + 1] - min_words, "right") - 1
+    from_it, to_it = last < len(words_to), first >= 0
+    return np.r_[at[from_it], first[to_it]], np.r_[last[from_it], at[to_it] + 1]
+
+
+def _spans(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of a text, and hashes, first and last lines of its chunks that are long enough, each once."""
     import xxhash
 
     lines = data.split(b"\n")
@@ -45,38 +56,45 @@ def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_word
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(1)), dtype=np.uint64)])
     words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
     words_to = np.r_[0, np.cumsum(words)]
-    found: set[tuple[int, int]] = set()
+    firsts, lasts = [], []
     for rule in range(rules):
         ends = np.flatnonzero((rolled >> np.uint64(rule)) & np.uint64(1) == 0) + 1
-        cuts = [0, *ends.tolist()] if len(ends) and ends[-1] == len(lines) else [0, *ends.tolist(), len(lines)]
-        found.update(zip(cuts[:-1], cuts[1:], strict=True))
-    out = []
-    for a, b in sorted(found):
-        n = int(words_to[b] - words_to[a])
-        if n and (b - a >= min_lines and n >= min_words // 4 or n >= min_words):
-            key = np.array([int(sums[b]) - int(sums[a]) & (1 << 64) - 1, b - a], np.uint64)
-            out.append((xxhash.xxh64_intdigest(key.tobytes() + h[a].tobytes() + h[b - 1].tobytes(), 3), a, b))
-    return lines, out
+        cuts = np.r_[0, ends] if len(ends) and ends[-1] == len(lines) else np.r_[0, ends, len(lines)]
+        firsts.append(cuts[:-1])
+        lasts.append(cuts[1:])
+    a, b = np.concatenate(firsts), np.concatenate(lasts)
+    n = words_to[b] - words_to[a]
+    long = (n > 0) & ((b - a >= min_lines) & (n >= min_words // 4) | (n >= min_words))
+    more_a, more_b = _runs(words, words_to, min_words)
+    found = np.unique(np.r_[a[long], more_a] * (len(lines) + 1) + np.r_[b[long], more_b])
+    a, b = found // (len(lines) + 1), found % (len(lines) + 1)
+    hashes = mix(mix(sums[b] - sums[a] + (b - a).astype(np.uint64)) + mix(h[a] + np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15) + h[b - 1])
+    return lines, hashes, a, b
+
+
+def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[tuple[int, int, int]]]:
+    """The lines of a text, and (hash, first line, last line) of its chunks that are long enough, each once."""
+    lines, hashes, a, b = _spans(data, rules, min_lines, min_words)
+    return lines, list(zip(hashes.tolist(), a.tolist(), b.tolist(), strict=True))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def with_hashes(docs: DataFrame, text: str, **shape) -> DataFrame:
+    """hashes, those of the chunks of each text."""
+    return map_texts(docs, lambda texts: {"hashes": [_spans(x, **shape)[1].view(np.int64) for x in texts]}, "hashes array<bigint>", text, [])
 
 
-def with_chunks(docs: DataFrame, keep: list[str], bits: np.ndarray | None, text: str, **shape) -> DataFrame:
-    """Adds found, the chunks of each text; with a bit table only those in it, and their bytes."""
+def with_chunks(docs: DataFrame, keep: list[str], bits: np.ndarray, text: str, **shape) -> DataFrame:
+    """Adds found, the chunks of each text that are in the bit table, with SHA-256 of their bytes."""
+    from hashlib import sha256
 
     def columns(texts: list[bytes]) -> dict:
         rows = []
         for data in texts:
-            lines, parts = chunks(data, **shape)
-            row = []
-            for h, a, b in parts:
-                if bits is None:
-                    row.append({"hash": _signed(h), "first": a, "last": b, "bytes": None})
-                elif bits[(slot := h >> (64 - TABLE_BITS)) >> 3] >> (slot & 7) & 1:
-                    row.append({"hash": _signed(h), "first": a, "last": b, "bytes": b"\n".join(lines[a:b])})
-            rows.append(row)
+            lines, hashes, a, b = _spans(data, **shape)
+            slots = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            at = np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
+            parts = zip(hashes[at].view(np.int64).tolist(), a[at].tolist(), b[at].tolist(), strict=True)
+            rows.append([{"hash": h, "first": x, "last": y, "digest": sha256(b"\n".join(lines[x:y])).digest()} for h, x, y in parts])
         return {"found": rows}
 
     return map_texts(docs, columns, f"found array<{_CHUNK}>", text, keep)
@@ -96,14 +114,13 @@ def repeated_bits(hashes: DataFrame) -> np.ndarray:
 def removals(docs: DataFrame, **shape) -> DataFrame:
     """doc_id, text_key, cut: the line ranges to remove from each place. docs: doc_id, text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    first = with_chunks(keyed, [], None, "text", **shape)
-    bits = repeated_bits(first.select(F.explode("found.hash").alias("hash")))
+    bits = repeated_bits(with_hashes(keyed, "text", **shape).select(F.explode("hashes").alias("hash")))
     again = with_chunks(keyed, ["doc_id", "text_key"], bits, "text", **shape)
     places = materialize(again.where(F.size("found") > 0).select("doc_id", "text_key", F.inline("found")), "places")
     place = F.struct("doc_id", "text_key", "first")
-    groups = places.groupBy("hash", "bytes").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = places.groupBy("hash", "digest").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = materialize(groups, "firsts")
-    hit = places.join(firsts.hint("merge"), ["hash", "bytes"]).where(~place.eqNullSafe(F.col("keep")))
+    hit = places.join(firsts.hint("merge"), ["hash", "digest"]).where(~place.eqNullSafe(F.col("keep")))
     return hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cut"))
 
 
