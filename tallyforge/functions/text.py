@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 # Accented letters and what they become.
 ACCENTED = "áàäâãéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇ"
@@ -19,14 +21,21 @@ def _col(c: str | Column) -> Column:
 def normalize(col: str | Column, mode: str = "map") -> Column:
     """Lower case, accents off, other characters to spaces, spaces collapsed; null is empty.
 
-    map: the fixed letters lose their accents. strip: any combining mark goes; composed letters outside the fixed map are left to it too, as Spark has no decomposition.
+    map: the fixed letters lose their accents. strip: every composed character is taken apart (NFKD) and loses its marks.
     """
-    c = F.lower(F.translate(F.coalesce(_col(col), F.lit("")), ACCENTED, PLAIN))
-    if mode == "strip":
-        c = F.regexp_replace(c, r"\p{M}", "")
+    c = F.coalesce(_col(col), F.lit(""))
+    c = F.lower(F.translate(c, ACCENTED, PLAIN) if mode == "map" else without_marks(c))
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
 
 
+@F.pandas_udf(StringType())
+def without_marks(texts: pd.Series) -> pd.Series:
+    """NFKD without combining marks, on Arrow batches; Spark has no decomposition of its own."""
+    import unicodedata
+
+    return texts.map(lambda t: t if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
 def stem(token: str | Column) -> Column:
     """A simple plural stem: up to 3 characters as they are; -es off above 4; else -s off."""
     t = _col(token)
@@ -42,20 +51,47 @@ def variants(text: str | Column) -> Column:
     return F.array_compact(F.array(F.when(t.endswith("es") & (n > 4), F.left(t, n - 2)).otherwise(none), F.when(t.endswith("s") & (n > 3), F.left(t, n - 1)).otherwise(none), F.concat(t, F.lit("s"))))
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """The most that `ratio` can reach for texts of these lengths: 2 * min / (a + b)."""
-    x, y = F.length(a), F.length(b)
-    return F.when(x + y == 0, 1.0).otherwise(2.0 * F.least(x, y) / (x + y))
-
-
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 M / T over longest matching blocks, on Arrow batches. Only for pairs that length_bound lets through."""
+    """2 M / T over longest matching blocks, on Arrow batches. Only for pairs that count_bound lets through."""
     from difflib import SequenceMatcher
 
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+# Characters counted one by one; all others count together.
+ALPHABET = string.ascii_letters + string.digits + " "
+
+
+def letter_counts(text: str | Column) -> Column:
+    """How often each character of ALPHABET occurs, and all others together."""
+    t = _col(text)
+    return F.array(*[F.length(t) - F.length(F.replace(t, F.lit(x))) for x in ALPHABET], F.length(F.translate(t, ALPHABET, "")))
+
+
+def count_bound(a: Column, b: Column) -> Column:
+    """The most that `ratio` can reach for texts with these letter_counts: matching blocks match no more characters than both have."""
+    add = lambda s, x: s + x
+    both, every = (F.aggregate(F.zip_with(a, b, f), F.lit(0), add) for f in (lambda x, y: F.least(x, y), lambda x, y: x + y))
+    return 2.0 * both / every
+
+
+def alike(texts: DataFrame, names: DataFrame, cutoff: float, names_first: bool = False) -> DataFrame:
+    """text, name, sim of the distinct texts and names (columns text and name) whose similarity reaches the cutoff; none is lost.
+
+    A name meets the texts of the lengths that can reach the cutoff with it, by an equal join on the length; pairs
+    whose characters can't reach it go next, and Python compares the rest. Empty texts are similar to nothing.
+    names_first: which of the two is the first argument of `ratio`, which decides between equal blocks.
+    """
+    farthest = (2.0 - cutoff) / cutoff
+    t = texts.where("text <> ''").select("text").distinct().select("text", letter_counts("text").alias("__t"), F.length("text").alias("__len"))
+    n = names.where("name <> ''").select("name").distinct().select("name", letter_counts("name").alias("__n"), F.length("name").alias("__own"))
+    reach = F.sequence(F.ceil(F.col("__own") / farthest - 1e-9).cast("int"), F.floor(F.col("__own") * farthest + 1e-9).cast("int"))
+    n = n.select("name", "__n", F.explode(reach).alias("__len"))
+    met = t.join(n.hint("merge"), "__len").where(count_bound(F.col("__t"), F.col("__n")) >= cutoff).select("text", "name")
+    return met.withColumn("sim", ratio("name", "text") if names_first else ratio("text", "name")).where(F.col("sim") >= cutoff)
+
+
 def edit_ratio(a: str | Column, b: str | Column) -> Column:
     """1 - edit distance / longer length, without Python."""
     x, y = _col(a), _col(b)

@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import length_bound, normalize, ratio, variants
+from ..functions.text import alike, normalize, variants
+from ..sources.storage import settle
 
 # Weights of an affinity, and its verdicts.
 WEIGHTS = {"regla": 5, "grupo": 3, "palabra": 1, "tipo": 2}
@@ -74,19 +75,20 @@ def type_pairs(career_types: DataFrame) -> DataFrame:
 
 
 def best_two_pairs(scored: DataFrame) -> DataFrame:
-    """The best pair of each (tipo_a, tipo_b), and the best that shares no entry with it, as rango 1 and 2."""
-    w = Window.partitionBy("tipo_a", "tipo_b").orderBy(F.col("puntaje").desc(), "ord_a", "ord_b")
-    r = scored.withColumn("__r", F.row_number().over(w))
-    top = Window.partitionBy("tipo_a", "tipo_b")
-    r = r.withColumn("a1", F.max(F.when(F.col("__r") == 1, F.col("a"))).over(top)).withColumn("b1", F.max(F.when(F.col("__r") == 1, F.col("b"))).over(top))
+    """The best pair of each (tipo_a, tipo_b), and the best that shares no entry with it, as rango 1 and 2. Keep `scored` written, it is read twice."""
+    types, shown = ["tipo_a", "tipo_b"], ["a", "b", "puntaje", "relacion"]
+    best = F.min_by(F.struct(*shown), F.struct((-F.col("puntaje")).alias("p"), "ord_a", "ord_b")).alias("x")
+    first = scored.groupBy(*types).agg(best)
+    taken = first.select(*types, F.col("x.a").alias("a1"), F.col("x.b").alias("b1"))
     apart = ~F.col("a").isin(F.col("a1"), F.col("b1")) & ~F.col("b").isin(F.col("a1"), F.col("b1"))
-    r = r.where((F.col("__r") == 1) | apart).withColumn("rango", F.row_number().over(w)).where("rango <= 2")
-    return r.select("tipo_a", "tipo_b", "rango", "a", "b", "puntaje", "relacion")
+    second = scored.join(taken, types).where(apart).groupBy(*types).agg(best)
+    rank = lambda df, i: df.select(*types, F.lit(i).alias("rango"), "x.*")
+    return rank(first, 1).unionByName(rank(second, 2))
 
 
 def suggest(tops: DataFrame, pairs: DataFrame) -> DataFrame:
     """form_id, carrera, tipo, es_principal, puntaje, relacion: four entries for the two leading types of each form. pairs: best_two_pairs, a few rows for each pair of types."""
-    p = F.broadcast(pairs.withColumnsRenamed({"tipo_a": "tipo1", "tipo_b": "tipo2"}))
+    p = pairs.withColumnsRenamed({"tipo_a": "tipo1", "tipo_b": "tipo2"})
     two = F.array(F.struct(F.col("a").alias("carrera"), F.col("tipo1").alias("tipo")), F.struct(F.col("b").alias("carrera"), F.col("tipo2").alias("tipo")))
     j = tops.join(p, ["tipo1", "tipo2"]).select("form_id", F.explode(two).alias("c"), (F.col("rango") == 1).alias("es_principal"), "puntaje", "relacion")
     return j.select("form_id", "c.carrera", "c.tipo", "es_principal", "puntaje", "relacion")
@@ -110,9 +112,9 @@ def resolve_names(texts: DataFrame, careers: DataFrame, aliases: DataFrame, keyw
 
     Tiers: 1 alias, 2 singular and plural of an alias, 3 name, 4 keyword (shortest name), 5 shared name tokens of 4
     characters or more (most, then shortest name), 6 similarity of 0.72 with a name or a word of 5 characters. Each
-    tier is a join on what the ones before left; only the last compares texts with every name. Ties go by name.
+    tier is a join on what the ones before left; the last compares texts with the names that can be similar. Ties go by name.
     """
-    todo = texts.select(normalize(text).alias("q")).where("q <> ''").distinct()
+    todo = settle(texts.select(normalize(text).alias("q")).where("q <> ''").distinct(), "asked")
     cat = careers.select("carrera", normalize("carrera").alias("nombre")).distinct()
     known = aliases.join(cat.select("carrera"), "carrera", "left_semi").select(normalize("alias").alias("q"), "carrera")
     by_alias = known.groupBy("q").agg(F.max("carrera").alias("carrera"))
@@ -125,22 +127,21 @@ def resolve_names(texts: DataFrame, careers: DataFrame, aliases: DataFrame, keyw
 
     t1 = tier(todo.join(by_alias, "q"), 1)
     spelled = todo.select("q", F.posexplode(variants("q")).alias("at", "v"))
-    t2 = tier(first(spelled.join(by_alias.withColumnRenamed("q", "v"), "v"), "at"), 2)
+    t2 = tier(first(spelled.join(by_alias.withColumnRenamed("q", "v").hint("merge"), "v"), "at"), 2)
     t3 = tier(first(todo.join(cat.withColumnRenamed("nombre", "q"), "q"), "carrera"), 3)
     kw = keywords.join(cat.select("carrera"), "carrera", "left_semi").select(normalize("palabra").alias("q"), "carrera").where("q <> ''").distinct()
-    t4 = tier(first(todo.join(kw, "q"), F.length("carrera"), "carrera"), 4)
+    t4 = tier(first(todo.join(kw.hint("merge"), "q"), F.length("carrera"), "carrera"), 4)
     token = lambda c: F.explode(F.filter(F.split(F.col(c), " "), lambda w: F.length(w) >= 4))
     names = cat.select("carrera", token("nombre").alias("t")).distinct()
-    shared = todo.select("q", token("q").alias("t")).join(names, "t").groupBy("q", "carrera").agg(F.count(F.lit(1)).alias("n"))
+    shared = todo.select("q", token("q").alias("t")).join(names.hint("merge"), "t").groupBy("q", "carrera").agg(F.count(F.lit(1)).alias("n"))
     t5 = tier(first(shared, F.col("n").desc(), F.length("carrera"), "carrera"), 5)
-    found = first(t1.unionByName(t2).unionByName(t3).unionByName(t4).unionByName(t5), "paso").drop("__r")
+    found = settle(first(t1.unionByName(t2).unionByName(t3).unionByName(t4).unionByName(t5), "paso").drop("__r"), "found")
     if fuzzy:
         rest = todo.join(found, "q", "left_anti").where(F.length("q") >= 4)
         forms = cat.select("carrera", "nombre").unionByName(cat.select("carrera", F.explode(F.filter(F.split("nombre", " "), lambda w: F.length(w) >= 5)).alias("nombre")))
-        # The catalogue is read once by every task; texts are only those that no other tier knows.
-        pairs = rest.crossJoin(F.broadcast(forms.distinct())).where(length_bound(F.col("q"), F.col("nombre")) >= FUZZY)
-        near = pairs.withColumn("sim", ratio("q", "nombre")).where(F.col("sim") >= FUZZY)
-        found = found.unionByName(tier(first(near, F.col("sim").desc(), "carrera"), 6))
+        near = alike(rest.withColumnRenamed("q", "text"), forms.withColumnRenamed("nombre", "name"), FUZZY)
+        named = near.withColumnsRenamed({"text": "q", "name": "nombre"}).join(forms.distinct().hint("merge"), "nombre")
+        found = found.unionByName(tier(first(named, F.col("sim").desc(), "carrera"), 6))
     return found.select(F.col("q").alias("texto_norm"), "carrera", "paso")
 
 
@@ -163,10 +164,10 @@ def analyze_written(written: DataFrame, suggested: DataFrame, resolved: DataFram
 
 def closest_name(texts: DataFrame, careers: DataFrame, cutoff: float = 0.62, text: str = "texto") -> DataFrame:
     """texto, carrera for every distinct text that isn't blank: the entry equal but for case, else the most similar one of at least `cutoff`, the later name first."""
-    todo = texts.select(F.trim(text).alias("texto")).where("texto <> ''").distinct()
+    todo = settle(texts.select(F.trim(text).alias("texto")).where("texto <> ''").distinct(), "named")
     cat = careers.select("carrera").distinct()
     same = todo.join(cat, F.lower("texto") == F.lower("carrera")).groupBy("texto").agg(F.min("carrera").alias("carrera"))
     rest = todo.join(same, "texto", "left_anti")
-    near = rest.crossJoin(F.broadcast(cat)).where(length_bound(F.col("texto"), F.col("carrera")) >= cutoff).withColumn("sim", ratio("carrera", "texto")).where(F.col("sim") >= cutoff)
+    near = alike(rest.withColumnRenamed("texto", "text"), cat.withColumnRenamed("carrera", "name"), cutoff, names_first=True).withColumnsRenamed({"text": "texto", "name": "carrera"})
     best = near.withColumn("__r", F.row_number().over(Window.partitionBy("texto").orderBy(F.col("sim").desc(), F.col("carrera").desc()))).where("__r = 1").select("texto", "carrera")
     return todo.join(same.unionByName(best), "texto", "left")

@@ -129,11 +129,13 @@ def insert_missing_cuts(cuts: DataFrame, lines: DataFrame, key: list[str] = CELL
     gaps = gaps.where("y2 IS NOT NULL").withColumn("size", F.col("y2") - F.col("pos")).withColumn("median", F.percentile("size", F.lit(0.5)).over(page))
     wide = gaps.where("n >= 3 AND size > 10").where(F.col("size") > F.col("median") * 1.6).select(*key, F.col("pos").alias("y1"), "y2", "size")
     rows = lines.groupBy(*key, "y").agg(F.count(F.lit(1)).alias("tinta"))
-    # Rows of a gap: joined on the page, so a page's rows meet its own few gaps.
-    zone = rows.join(wide.hint("merge"), key).where("y >= y1 AND y < y2").withColumn("top", F.max("tinta").over(Window.partitionBy(*key, "y1")))
+    # A gap and a row of pixels meet on the row itself, and so do a cut and the three rows around it.
+    within = wide.withColumn("y", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)))
+    zone = rows.join(within.hint("merge"), [*key, "y"]).withColumn("top", F.max("tinta").over(Window.partitionBy(*key, "y1")))
     middle = (F.col("y") - F.col("y1") >= F.floor(F.col("size") / 3)) & (F.col("y") - F.col("y1") < F.floor(2 * F.col("size") / 3))
     best = zone.where(middle).withColumn("rank", F.row_number().over(Window.partitionBy(*key, "y1").orderBy(F.col("tinta").desc(), "y"))).where("rank = 1 AND tinta > top * 0.20").select(*key, F.col("y").alias("pos"))
-    near = lines.join(best.hint("merge"), key).where(F.abs(F.col("y") - F.col("pos")) <= 1)
+    around = best.withColumn("y", F.explode(F.sequence(F.col("pos") - 1, F.col("pos") + 1)))
+    near = lines.join(around.hint("merge"), [*key, "y"])
     solid = near.groupBy(*key, "pos").agg((F.count_distinct("x") / F.first("w")).alias("cover")).where("cover >= 0.35").select(*key, "pos")
     return cuts.select(*key, "pos").unionByName(solid).distinct()
 

@@ -27,7 +27,7 @@ def state(col: str | Column = "opcion") -> Column:
 def complete_marks(marks: DataFrame, forms: DataFrame, items: DataFrame) -> DataFrame:
     """form_id, item, opcion for every form and item; a missing answer is `vacio`. The item table is as large as a form, so it is broadcast."""
     grid = forms.select("form_id").crossJoin(F.broadcast(items.select("item")))
-    return grid.join(marks.select("form_id", "item", "opcion"), ["form_id", "item"], "left").select("form_id", "item", F.coalesce("opcion", F.lit("vacio")).alias("opcion"))
+    return grid.join(marks.select("form_id", "item", "opcion").hint("merge"), ["form_id", "item"], "left").select("form_id", "item", F.coalesce("opcion", F.lit("vacio")).alias("opcion"))
 
 
 def point(col: str = "opcion") -> Column:

@@ -50,19 +50,25 @@ def type_score(df: DataFrame, types: DataFrame, related: DataFrame) -> DataFrame
     none = F.array().cast("array<string>")
     j = df.join(types, "carrera", "left").withColumn("tipos", F.coalesce("tipos", none))
     for i in (1, 2):
-        j = j.join(F.broadcast(rel.select(F.col("tipo").alias(f"tipo{i}"), F.col("rels").alias(f"__r{i}"))), f"tipo{i}", "left")  # a row for each type
+        j = j.join(rel.select(F.col("tipo").alias(f"tipo{i}"), F.col("rels").alias(f"__r{i}")), f"tipo{i}", "left")
     has = lambda i: F.array_contains("tipos", F.col(f"tipo{i}"))
     near = lambda i: 2 * F.size(F.filter(F.coalesce(f"__r{i}", none), lambda r: F.array_contains("tipos", r)))
     score = F.when(has(1), 8).otherwise(0) + F.when(has(2), 8).otherwise(0) + F.when(has(1) & has(2), 4).otherwise(0) + near(1) + near(2)
     return j.select(*df.columns, score.cast("int").alias("s_voc"))
 
 
-def career_similarity(sets: DataFrame, types: DataFrame) -> DataFrame:
-    """a, b, similitud for every ordered pair of entries, itself 0. The catalogue squared, computed once for all forms."""
+def asked_pairs(candidates: DataFrame, listed: DataFrame) -> DataFrame:
+    """a, b: every pair of a candidate and another entry that some form lists, each once. Both: form_id, carrera."""
+    met = candidates.select("form_id", F.col("carrera").alias("a")).join(listed.select("form_id", F.col("carrera").alias("b")), "form_id")
+    return met.where("a <> b").select("a", "b").distinct()
+
+
+def career_similarity(pairs: DataFrame, sets: DataFrame, types: DataFrame) -> DataFrame:
+    """a, b, similitud of the pairs (a, b) of entries; an entry and itself have 0. Only pairs that forms ask for need be given."""
     none = F.array().cast("array<string>")
     full = sets.join(types, "carrera", "left").withColumn("tipos", F.coalesce("tipos", none))
-    side = lambda x: full.select(F.col("carrera").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("grupos", "palabras", "tipos")], F.lit(1).alias("__k"))
-    p = side("a").join(side("b").hint("broadcast"), "__k")
+    side = lambda x: full.select(F.col("carrera").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("grupos", "palabras", "tipos")])
+    p = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     score = F.when(F.arrays_overlap("grupos_a", "grupos_b"), 4).otherwise(0) + 2 * F.least(F.size(F.array_intersect("palabras_a", "palabras_b")), F.lit(3)) + 3 * F.size(F.array_intersect("tipos_a", "tipos_b"))
     return p.select("a", "b", F.when(F.col("a") == F.col("b"), 0).otherwise(score).cast("double").alias("similitud"))
 
@@ -88,13 +94,35 @@ def universe(suggested: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def career_score(candidates: DataFrame, tops: DataFrame, suggested: DataFrame, proposed: DataFrame, similarity: DataFrame, types: DataFrame, related: DataFrame) -> DataFrame:
-    """Candidates of universe() with s_voc, s_prop, s_test and score."""
+    """Candidates of universe() with s_voc, s_prop, s_test and score. Both means come from one pass over the pairs of a form."""
     c = type_score(candidates.join(tops, "form_id"), types, related)
-    c = list_affinity(c, proposed, similarity, "s_prop")
-    c = list_affinity(c, suggested, similarity, "s_test")
+    sides = lambda df, proposed: df.select("form_id", F.col("carrera").alias("b"), F.lit(proposed).alias("__p")).distinct()
+    listed = sides(proposed, True).unionByName(sides(suggested, False))
+    pairs = candidates.select("form_id", F.col("carrera").alias("a")).distinct().join(listed, "form_id").where("a <> b").join(similarity, ["a", "b"])
+    mean = lambda which: F.avg(F.when(which, F.col("similitud")))
+    means = pairs.groupBy("form_id", F.col("a").alias("carrera")).agg(mean(F.col("__p")).alias("s_prop"), mean(~F.col("__p")).alias("s_test"))
+    c = c.join(means, ["form_id", "carrera"], "left").withColumns({x: F.coalesce(x, F.lit(0.0)) for x in ("s_prop", "s_test")})
     return c.withColumn("score", total(F.col("s_voc"), F.col("s_prop"), F.col("s_test"), F.col("en_alumno"), F.col("en_test")))
 
 
+def resolve_proposals(written: DataFrame, named: DataFrame, interpreted: DataFrame) -> DataFrame:
+    """form_id, ord, texto, origen, carrera, match, afinidad, score, alternativas of every text that isn't blank.
+
+    origen: nombre, if the catalogue has a similar name; interpretada, if free text led to an entry; else no_encontrada.
+    written: form_id, ord, texto; named: of closest_name; interpreted: form_id, ord and the columns of interpret.
+    """
+    w = written.select("form_id", "ord", F.trim("texto").alias("texto")).where("texto <> ''").join(named.withColumnRenamed("carrera", "__named"), "texto", "left")
+    j = w.join(interpreted, ["form_id", "ord"], "left")
+    origin = F.when(F.col("__named").isNotNull(), "nombre").when(F.col("carrera").isNotNull(), "interpretada").otherwise("no_encontrada")
+    free = lambda c: F.when(F.col("__named").isNull(), F.col(c)).alias(c)
+    return j.select("form_id", "ord", "texto", origin.alias("origen"), F.coalesce("__named", "carrera").alias("carrera"), *[free(c) for c in ("match", "afinidad", "score", "alternativas")])
+
+
+def proposed_entries(resolved: DataFrame) -> DataFrame:
+    """form_id, carrera, ord: the entries that a form's texts lead to, each at its first place."""
+    return resolved.where("carrera IS NOT NULL").groupBy("form_id", "carrera").agg(F.min("ord").alias("ord"))
+
+
 def evaluate(scored: DataFrame, levels: DataFrame, prefs: DataFrame, institutions: DataFrame, k: int = 2) -> DataFrame:
     """Scored candidates with estado: final (with rank), reserva or descartada (with the reason). Ties keep the candidates' order."""
     j = affordable(scored.join(levels, "carrera", "left").join(prefs, "form_id"), institutions)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import length_bound, normalize, ratio, stem
+from ..functions.text import alike, normalize, stem
+from ..sources.storage import is_small, settle
 
 # Thresholds of the search and weights of the blend.
 OVERLAP, FUZZY_ALIAS, FUZZY_KEYWORD, FUZZY_FACTOR, CANDIDATES = 0.34, 0.85, 0.78, 0.9, 8
@@ -43,7 +44,7 @@ def search_index(catalog: DataFrame) -> dict[str, DataFrame]:
 def expand_tokens(tokens: DataFrame, expansions: DataFrame, key: str = "q") -> DataFrame:
     """key, token: each token, its stem, and the expansions (token, expansion) of the token, the stem and the stem with s, each once."""
     forms = tokens.select(key, F.explode(F.array_distinct(F.array(F.col("token"), stem("token"), F.concat(stem("token"), F.lit("s"))))).alias("form"))
-    more = forms.join(F.broadcast(expansions.select(F.col("token").alias("form"), "expansion")), "form").select(key, F.col("expansion").alias("token"))
+    more = forms.join(expansions.select(F.col("token").alias("form"), "expansion").hint("merge"), "form").select(key, F.col("expansion").alias("token"))
     own = tokens.select(key, F.explode(F.array(F.col("token"), stem("token"))).alias("token"))
     return own.unionByName(more).distinct()
 
@@ -55,34 +56,44 @@ def search(texts: DataFrame, index: dict[str, DataFrame], expansions: DataFrame,
     number of original tokens, if the best reaches 0.34. 3, with a catalogue: similarity to the best 8 of tier 2, or to
     all entries if it has none. Ties go by the entry's number.
     """
-    todo = texts.select(normalize(text).alias("q")).where("q <> ''").distinct()
+    todo = settle(texts.select(normalize(text).alias("q")).where("q <> ''").distinct(), "asked")
     exact = todo.join(index["alias"].withColumnRenamed("alias", "q"), "q").select("q", "ord", F.lit(1.0).alias("score"), F.lit(1).alias("nivel"))
     rest = todo.join(exact.select("q"), "q", "left_anti")
     words = rest.select("q", F.explode(F.split("q", " ")).alias("token")).where(F.length("token") >= 3)
     counts = words.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
-    hits = expand_tokens(words, expansions).join(index["token"], "token").select("q", "ord", F.lit(1.0).alias("p"))
-    bonus = words.select("q").distinct().join(index["phrase"].withColumnRenamed("frase", "q"), "q").select("q", "ord", F.lit(2.0).alias("p"))
-    scored = hits.unionByName(bonus).groupBy("q", "ord").agg(F.sum("p").alias("p")).join(counts, "q").select("q", "ord", (F.col("p") / F.col("n")).alias("score"))
-    scored = scored.withColumn("best", F.max("score").over(Window.partitionBy("q")))
+    hits = expand_tokens(words, expansions).join(index["token"].hint("merge"), "token").select("q", "ord", F.lit(1.0).alias("p"))
+    bonus = words.select("q").distinct().join(index["phrase"].withColumnRenamed("frase", "q").hint("merge"), "q").select("q", "ord", F.lit(2.0).alias("p"))
+    scored = hits.unionByName(bonus).groupBy("q", "ord").agg(F.sum("p").alias("p")).join(counts.hint("merge"), "q").select("q", "ord", (F.col("p") / F.col("n")).alias("score"))
+    scored = settle(scored.withColumn("best", F.max("score").over(Window.partitionBy("q"))), "token_scores")
     by_token = scored.where(F.col("best") >= OVERLAP).select("q", "ord", "score", F.lit(2).alias("nivel"))
     out = exact.unionByName(by_token)
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "ord")
     if catalog is not None:
         weak = scored.where(F.col("best") < OVERLAP).withColumn("at", F.row_number().over(order)).where(F.col("at") <= CANDIDATES).select("q", "ord")
-        none = rest.join(scored.select("q"), "q", "left_anti")
-        everything = none.crossJoin(F.broadcast(catalog.select("ord")))
-        out = out.unionByName(search_fuzzy(weak.unionByName(everything), catalog).withColumn("nivel", F.lit(3)))
+        none = rest.join(scored.select("q"), "q", "left_anti").select("q", F.lit(None).cast("int").alias("ord"))
+        out = out.unionByName(search_fuzzy(weak.unionByName(none), catalog).withColumn("nivel", F.lit(3)))
     return out.withColumn("lugar", F.row_number().over(order)).where(F.col("lugar") <= k)
 
 
 def search_fuzzy(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """q, ord, score of candidates (q, ord) whose best similarity to name, aliases or keywords reaches 0.78, times 0.9.
+    """q, ord, score of candidates (q, ord; a null ord stands for every entry) whose best similarity to name, aliases or keywords reaches 0.78, times 0.9.
 
-    Pairs whose lengths alone rule that out never reach Python.
+    Aliases count in their order, up to the first one of 0.85 or more that is nearer than the name. Texts are compared
+    once with each distinct phrase of the catalogue that can be similar; phrases below 0.78 decide nothing.
     """
-    c = catalog.select("ord", F.explode(F.array_distinct(F.concat(F.array("carrera"), "alias", "keywords"))).alias("x")).select("ord", normalize("x").alias("x")).distinct()
-    pairs = candidates.join(F.broadcast(c), "ord").where(length_bound(F.col("q"), F.col("x")) >= FUZZY_KEYWORD)
-    return pairs.withColumn("sim", ratio("q", "x")).groupBy("q", "ord").agg(F.max("sim").alias("sim")).where(F.col("sim") >= FUZZY_KEYWORD).select("q", "ord", (F.col("sim") * FUZZY_FACTOR).alias("score"))
+    said = lambda kind, words: catalog.select("ord", F.lit(kind).alias("kind"), F.posexplode(words).alias("pos", "x"))
+    phrases = said("name", F.array("carrera")).unionByName(said("alias", F.col("alias"))).unionByName(said("keyword", F.col("keywords")))
+    phrases = settle(phrases.select("ord", "kind", "pos", normalize("x").alias("name")), "phrases")
+    candidates = settle(candidates, "candidates")
+    near = alike(candidates.select(F.col("q").alias("text")), phrases, FUZZY_KEYWORD).join(phrases.hint("merge"), "name").select(F.col("text").alias("q"), "ord", "kind", "pos", "sim")
+    wanted = F.col("c.q").eqNullSafe(F.col("n.q")) & (F.col("c.ord").isNull() | (F.col("c.ord") == F.col("n.ord")))
+    pairs = near.alias("n").join(candidates.alias("c").hint("merge"), wanted, "left_semi")
+    of = Window.partitionBy("q", "ord")
+    pairs = pairs.withColumn("named", F.coalesce(F.max(F.when(F.col("kind") == "name", F.col("sim"))).over(of), F.lit(0.0)))
+    stops = (F.col("kind") == "alias") & (F.col("sim") >= FUZZY_ALIAS) & (F.col("sim") > F.col("named"))
+    pairs = pairs.withColumn("stop", F.min(F.when(stops, F.col("pos"))).over(of))
+    read = (F.col("kind") != "alias") | F.col("stop").isNull() | (F.col("pos") <= F.col("stop"))
+    return pairs.where(read).groupBy("q", "ord").agg((F.max("sim") * FUZZY_FACTOR).alias("score"))
 
 
 def _dot(a: list[Column], b: list[Column]) -> Column:
@@ -100,11 +111,16 @@ def with_unit(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}{x}": u for x, u in zip(LETTERS, unit(), strict=True)})
 
 
-def cosine_affinity(profiles: DataFrame, catalog: DataFrame, key: str = "form_id") -> DataFrame:
-    """key, ord, afinidad of every profile to every entry. The catalogue is a fixed table and is broadcast; six products a pair, no arrays."""
-    c = F.broadcast(with_unit(catalog, "c_").select("ord", *[f"c_{x}" for x in LETTERS]))
-    p = with_unit(profiles, "p_").select(key, *[f"p_{x}" for x in LETTERS]).crossJoin(c)
-    return p.select(key, "ord", _dot([F.col(f"p_{x}") for x in LETTERS], [F.col(f"c_{x}") for x in LETTERS]).alias("afinidad"))
+def cosine_affinity(profiles: DataFrame, catalog: DataFrame, key: str = "form_id", block: int = 10_000) -> DataFrame:
+    """key, ord, afinidad of every profile to every entry: six products a pair, no arrays. A catalogue of at most `block` entries is broadcast; a larger one is met block by block."""
+    c = with_unit(catalog, "c_").select("ord", *[f"c_{x}" for x in LETTERS])
+    p = with_unit(profiles, "p_").select(key, *[f"p_{x}" for x in LETTERS])
+    if is_small(catalog, block):
+        met = p.crossJoin(F.broadcast(c))
+    else:
+        blocks = -(-catalog.count() // block)
+        met = p.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(c.withColumn("__b", F.pmod("ord", F.lit(blocks)).cast("int")).hint("shuffle_hash"), "__b")
+    return met.select(key, "ord", _dot([F.col(f"p_{x}") for x in LETTERS], [F.col(f"c_{x}") for x in LETTERS]).alias("afinidad"))
 
 
 def context_score(level: Column, institution: Column, levels: Column, institutions: Column) -> Column:
@@ -124,7 +140,7 @@ def recommend(requests: DataFrame, profiles: DataFrame, matches: DataFrame, cata
     asked = requests.withColumn("q", normalize("texto")).join(matches.where(F.col("score") >= LEAST_MATCH).select("q", "ord", F.col("score").alias("match")), "q")
     c = with_unit(catalog, "c_").select("ord", "carrera", F.col("nivel").alias("niveles"), F.col("institucion").alias("instituciones"), *[f"c_{x}" for x in LETTERS])
     p = with_unit(profiles, "p_").select("form_id", *[f"p_{x}" for x in LETTERS])
-    j = asked.join(F.broadcast(c), "ord").join(p, "form_id")
+    j = asked.join(c, "ord").join(p, "form_id")
     affinity = _dot([F.col(f"p_{x}") for x in LETTERS], [F.col(f"c_{x}") for x in LETTERS])
     context = context_score(F.col("nivel"), F.col("institucion"), F.col("niveles"), F.col("instituciones"))
     s = j.withColumn("afinidad", affinity).withColumn("contexto", context).withColumn("score", W_TEST * F.col("afinidad") + W_TEXT * F.col("match") + W_CONTEXT * F.col("contexto"))
@@ -139,7 +155,7 @@ def coherence(chosen: DataFrame, catalog: DataFrame) -> DataFrame:
     By sums: the squared length of the sum of n unit vectors is n plus twice the sum over pairs, so no pairs are built.
     """
     c = with_unit(catalog, "c_").select("ord", *[f"c_{x}" for x in LETTERS])
-    j = chosen.select("form_id", "ord").join(F.broadcast(c), "ord")
+    j = chosen.select("form_id", "ord").join(c, "ord")
     own = _dot([F.col(f"c_{x}") for x in LETTERS], [F.col(f"c_{x}") for x in LETTERS])
     g = j.groupBy("form_id").agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("own"), *[F.sum(f"c_{x}").alias(x) for x in LETTERS])
     square = _dot([F.col(x) for x in LETTERS], [F.col(x) for x in LETTERS])
@@ -157,7 +173,7 @@ def unmatched(requests: DataFrame, matches: DataFrame, affinities: DataFrame, ca
     lost = asked.join(matches.where(F.col("score") >= LEAST_MATCH).select("q").distinct(), "q", "left_anti").select("form_id", "texto")
     need = affinities.join(lost.select("form_id").distinct(), "form_id", "left_semi")
     order = Window.partitionBy("form_id").orderBy(F.col("afinidad").desc(), "ord")
-    top = need.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).join(F.broadcast(catalog.select("ord", "carrera")), "ord")
+    top = need.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).join(catalog.select("ord", "carrera"), "ord")
     alternatives = top.groupBy("form_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "carrera"))), lambda x: x["carrera"]).alias("alternativas"))
     return lost.join(alternatives, "form_id", "left")
 
@@ -169,14 +185,16 @@ def explain(profiles: DataFrame, recommended: DataFrame, coherences: DataFrame)
     pick = lambda i, c: F.max(F.when(F.col("lugar") == i, F.col(c)))
     r = recommended.groupBy("form_id").agg(*[pick(i, c).alias(f"{c}{i}") for i in (1, 2) for c in ("carrera", "afinidad", "match")])
     j = profiles.join(r, "form_id", "left").join(coherences, "form_id", "left").withColumn("o", order)
-    area = lambda i: [F.element_at(names, F.get("o", F.lit(i))["x"]), -F.get("o", F.lit(i))["neg"]]
-    say = lambda name, *values: F.format_string(SENTENCES[name], *values)
+    # format_number rounds the binary value half to even; format_string would round its shortest decimal half up.
+    number = lambda c: F.format_number(c, 2)
+    area = lambda i: [F.element_at(names, F.get("o", F.lit(i))["x"]), number(-F.get("o", F.lit(i))["neg"])]
+    say = lambda name, *values: F.format_string(SENTENCES[name].replace("%.2f", "%s"), *values)
     parts = [
         say("areas", *area(0), *area(1)),
-        say("first", F.col("carrera1"), F.col("afinidad1"), F.col("match1")),
-        F.when(F.col("carrera2").isNotNull(), say("second", F.col("carrera2"), F.col("afinidad2"))),
+        say("first", F.col("carrera1"), number(F.col("afinidad1")), number(F.col("match1"))),
+        F.when(F.col("carrera2").isNotNull(), say("second", F.col("carrera2"), number(F.col("afinidad2")))),
         F.when(F.col("afinidad1") < TRUSTED, F.lit(SENTENCES["alert"])),
-        F.when(F.col("coherencia") < INCOHERENT, say("apart", F.col("coherencia"))).when(F.col("coherencia") > COHERENT, say("together", F.col("coherencia"))),
+        F.when(F.col("coherencia") < INCOHERENT, say("apart", number(F.col("coherencia")))).when(F.col("coherencia") > COHERENT, say("together", number(F.col("coherencia")))),
     ]
     return j.select("form_id", F.when(F.col("carrera1").isNull(), F.lit(SENTENCES["none"])).otherwise(F.concat_ws(" ", *parts)).alias("razonamiento"))
 
@@ -197,6 +215,8 @@ def dedupe_requests(requests: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
 def interpret(recommended: DataFrame, canonical: DataFrame) -> DataFrame:
     """Per form the best recommended entry with a match of 0.30 in the main catalogue, and the rest as alternativas. canonical: texto (the entry's name), carrera."""
     names = canonical.where("carrera IS NOT NULL").select(F.col("texto").alias("nombre"), F.col("carrera").alias("oficial"))
-    j = recommended.withColumnRenamed("carrera", "nombre").where(F.col("match") >= LEAST_MATCH).join(names, "nombre")
-    g = j.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("lugar", "oficial", "match"))).alias("v"))
-    return g.select("form_id", F.get("v", F.lit(0))["oficial"].alias("carrera"), F.get("v", F.lit(0))["match"].alias("match"), F.transform(F.slice("v", 2, 1000), lambda x: x["oficial"]).alias("alternativas"))
+    j = recommended.withColumnRenamed("carrera", "nombre").where(F.col("match") >= LEAST_MATCH).join(names.hint("merge"), "nombre")
+    g = j.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("lugar", "oficial", "match", "afinidad", "score"))).alias("v"))
+    first = F.get("v", F.lit(0))
+    rest = F.transform(F.slice("v", F.lit(2), F.size("v")), lambda x: x["oficial"])
+    return g.select("form_id", first["oficial"].alias("carrera"), *[first[c].alias(c) for c in ("match", "afinidad", "score")], rest.alias("alternativas"))

@@ -52,7 +52,7 @@ def with_level(df: DataFrame, cuts: tuple[float, float] = CUTS) -> DataFrame:
 def level_by_range(df: DataFrame, ranges: DataFrame, value: str = "pd", default: str = "F") -> DataFrame:
     """Adds `nivel` by inclusive ranges (sexo, tipo, nivel, desde, hasta, ord) of the group and type; the first that fits, none gives bajo."""
     known = ranges.select(F.col("sexo").alias("__g"), "tipo", F.struct("ord", "nivel", "desde", "hasta").alias("r")).groupBy("__g", "tipo").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    joined = df.withColumn("__g", F.when(F.upper("sexo").isin("F", "M"), F.upper("sexo")).otherwise(F.lit(default))).join(known, ["__g", "tipo"], "left")
+    joined = df.withColumn("__g", F.when(F.upper("sexo").isin("F", "M"), F.upper("sexo")).otherwise(F.lit(default))).join(known.hint("merge"), ["__g", "tipo"], "left")
     fits = F.filter("rs", lambda r: (F.col(value) >= r["desde"]) & (F.col(value) <= r["hasta"]))
     return joined.withColumn("nivel", F.coalesce(F.get(fits, F.lit(0))["nivel"], F.lit("bajo"))).drop("__g", "rs")
 
@@ -75,19 +75,24 @@ def type_key(df: DataFrame, col: str = "tipo", alias: Mapping[str, str] = KEY_AL
     return df.withColumn("clave", F.coalesce(F.element_at(known, key), key))
 
 
-def potential(levels: DataFrame, mode: str, enterprise: str, leader: str) -> DataFrame:
-    """form_id, potencial, texto. enterprise: by the level of that type alone; both: alto needs the leader's level as well."""
+def potential_of(mode: str, enterprise: str, leader: str) -> Column:
+    """The potential of a form as an aggregate over its types. enterprise: by the level of that type alone; both: alto needs the leader's level as well."""
     of = lambda t: F.coalesce(F.max(F.when(F.col("tipo") == t, F.col("nivel"))), F.lit("bajo"))
-    p = levels.groupBy("form_id").agg(of(enterprise).alias("e"), of(leader).alias("l"))
-    high = F.col("e") == "alto" if mode == "enterprise" else (F.col("e") == "alto") & (F.col("l") == "alto")
-    middle = F.col("e") == "medio" if mode == "enterprise" else F.col("e").isin("medio", "alto")
-    p = p.select("form_id", F.when(high, "ALTO").when(middle, "MEDIO").otherwise("BAJO").alias("potencial"))
+    e, l = of(enterprise), of(leader)  # noqa: E741
+    high = e == "alto" if mode == "enterprise" else (e == "alto") & (l == "alto")
+    middle = e == "medio" if mode == "enterprise" else e.isin("medio", "alto")
+    return F.when(high, "ALTO").when(middle, "MEDIO").otherwise("BAJO")
+
+
+def potential(levels: DataFrame, mode: str, enterprise: str, leader: str) -> DataFrame:
+    """form_id, potencial, texto, by potential_of."""
+    p = levels.groupBy("form_id").agg(potential_of(mode, enterprise, leader).alias("potencial"))
     return p.withColumn("texto", F.element_at(F.create_map(*[F.lit(x) for pair in POTENTIAL_TEXT.items() for x in pair]), F.col("potencial")))
 
 
 def criteria_rollup(normed: DataFrame, criteria: DataFrame) -> DataFrame:
     """Per form and criterion: pd_total, baremo_max (missing norms as 0), tipos in manual order, and predominante, the first with the highest norm. criteria: criterio, crit_ord, tipo."""
-    j = normed.join(F.broadcast(criteria), "tipo")
+    j = normed.join(criteria, "tipo")
     c = j.groupBy("form_id", "criterio", "crit_ord").agg(
         F.sum("pd").alias("pd_total"), F.max(F.coalesce("baremo", F.lit(0))).alias("baremo_max"), F.transform(F.array_sort(F.collect_list(F.struct("tipo_ord", "tipo"))), lambda s: s["tipo"]).alias("tipos")
     )
@@ -148,14 +153,21 @@ def manual_order(df: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def quick_report(scores: DataFrame, area_careers: DataFrame, enterprise: str, leader: str) -> DataFrame:
-    """Per form: area_1, area_2 by raw score, the first four of their careers, each once, and the potential. scores: form_id, tipo, tipo_ord, pd, nivel; area_careers: tipo, ord, carrera."""
+    """Per form: area_1, area_2 by raw score, the first four of their careers, each once, and the potential. scores: form_id, tipo, tipo_ord, pd, nivel; area_careers: tipo, ord, carrera.
+
+    One aggregate over the scores; then each area brings the first four careers of its own, which are all that can be among the form's first four.
+    """
     at = F.row_number().over(_form().orderBy(F.col("pd").desc(), "tipo_ord"))
-    top = scores.withColumn("at", at).where("at <= 2")
-    listed = top.join(F.broadcast(area_careers), "tipo").groupBy("form_id", "carrera").agg(F.min(F.struct("at", "ord")).alias("o"))
-    careers = listed.groupBy("form_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o", "carrera"))), lambda x: x["carrera"]), 1, 4).alias("carreras_top"))
-    areas = top.groupBy("form_id").agg(*[F.max(F.when(F.col("at") == i, F.col("tipo"))).alias(f"area_{i}") for i in (1, 2)])
+    areas = [F.max(F.when(F.col("at") == i, F.col("tipo"))).alias(f"area_{i}") for i in (1, 2)]
+    forms = scores.withColumn("at", at).groupBy("form_id").agg(*areas, potential_of("both", enterprise, leader).alias("potencial"))
+    once = area_careers.groupBy("tipo", "carrera").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("tipo").orderBy("ord", "carrera"))
+    four = once.withColumn("at", place).where("at <= 4").groupBy("tipo").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "carrera"))), lambda x: x["carrera"]).alias("cs"))
     none = F.array().cast("array<string>")
-    return areas.join(careers, "form_id", "left").join(potential(scores, "both", enterprise, leader).select("form_id", "potencial"), "form_id").withColumn("carreras_top", F.coalesce("carreras_top", none))
+    for i in (1, 2):
+        forms = forms.join(four.select(F.col("tipo").alias(f"area_{i}"), F.col("cs").alias(f"__c{i}")), f"area_{i}", "left")
+    careers = F.slice(F.array_distinct(F.concat(F.coalesce("__c1", none), F.coalesce("__c2", none))), 1, 4)
+    return forms.select("form_id", "area_1", "area_2", careers.alias("carreras_top"), "potencial")
 
 
 def level_grid(leveled: DataFrame, types: Sequence[str], levels: Sequence[str] = ("bajo", "medio", "alto")) -> DataFrame:
@@ -189,5 +201,4 @@ def score_forms(marks: DataFrame, forms: DataFrame, item_map: DataFrame, norms:
     normed = norm_scores(raw_scores(marks, item_map, forms).join(forms.select("form_id", "sexo"), "form_id"), norms)
     ranked = with_level(rank_types(normed))
     pick = lambda i, c: F.max(F.when(F.col("posicion") == i, F.col(c)))
-    tops = ranked.groupBy("form_id").agg(*[pick(i, c).alias(f"{c}{i}") for i in (1, 2) for c in ("tipo", "pd", "baremo", "nivel")])
-    return tops.join(potential(ranked, "enterprise", enterprise, leader).select("form_id", "potencial"), "form_id")
+    return ranked.groupBy("form_id").agg(*[pick(i, c).alias(f"{c}{i}") for i in (1, 2) for c in ("tipo", "pd", "baremo", "nivel")], potential_of("enterprise", enterprise, leader).alias("potencial"))

@@ -1,7 +1,8 @@
 """Input views over the driver's tables: forms, answers, signals and catalogues, in SQL that Spark and DuckDB both read.
 
 Every view is derived from the given tables by integer arithmetic and total
-orders, so it grows with them and is the same on both engines.
+orders from whole tables and whole texts, so it grows with them and is the same on
+both engines.
 """
 
 from __future__ import annotations
@@ -41,11 +42,12 @@ VIEWS: dict[str, str] = {
     "expansions": "SELECT split_part(carrera, ' ', 1) AS token, concat('k', CAST(carrera_id % 5 AS STRING)) AS expansion FROM careers",
     "institutions": "SELECT carrera, 'publica' AS institucion FROM careers WHERE carrera_id % 3 <> 0 UNION ALL SELECT carrera, 'privada' FROM careers WHERE carrera_id % 4 < 2",
     "level_lists": "SELECT carrera, CASE WHEN carrera_id % 9 = 0 THEN 'cetpro' ELSE 'tecnico' END AS nivel FROM careers WHERE carrera_id % 9 IN (0, 1, 2)",
-    "signals": """SELECT form_id, bloque, CAST(num AS INT) AS num, dens_no, dens_si, dens_no * 0.9D AS centro_no, dens_si * 1.1D AS centro_si, sr AS stroke_no, 1.0D - sr / 2 AS stroke_si, dt AS dt_no, 0.5D - dt / 2 AS dt_si, sym_no, sym_si FROM (
-        SELECT l_suppkey AS form_id, l_returnflag AS bloque, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS num,
+    # A supplier's lines with one return flag fill the blocks of its forms, 47 each.
+    "signals": """SELECT l_suppkey + 10000000 * CAST(floor((rn - 1) / 47) AS BIGINT) AS form_id, bloque, CAST(1 + (rn - 1) % 47 AS INT) AS num, dens_no, dens_si, dens_no * 0.9D AS centro_no, dens_si * 1.1D AS centro_si, sr AS stroke_no, 1.0D - sr / 2 AS stroke_si, dt AS dt_no, 0.5D - dt / 2 AS dt_si, sym_no, sym_si FROM (
+        SELECT l_suppkey, l_returnflag AS bloque, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn,
         CAST(l_discount AS DOUBLE) * CASE l_suppkey % 4 WHEN 0 THEN 0.1D WHEN 1 THEN 0.4D WHEN 2 THEN 1.0D ELSE 2.5D END AS dens_no,
         CAST(l_tax AS DOUBLE) * CASE l_suppkey % 4 WHEN 0 THEN 0.1D WHEN 1 THEN 0.4D WHEN 2 THEN 1.0D ELSE 2.5D END AS dens_si,
-        l_quantity / 50.0D AS sr, (l_partkey % 10) / 10.0D AS dt, (l_partkey % 5) / 4.0D AS sym_no, (l_orderkey % 5) / 4.0D AS sym_si FROM lineitem) t WHERE num <= 47""",
+        l_quantity / 50.0D AS sr, (l_partkey % 10) / 10.0D AS dt, (l_partkey % 5) / 4.0D AS sym_no, (l_orderkey % 5) / 4.0D AS sym_si FROM lineitem) t""",
     "run_log": "SELECT event_type AS stage, user_id AS worker, value AS seconds, ts FROM events",
     # Raw scores as E1 gives them, for the operators behind it.
     "scores": """SELECT f.form_id, f.sexo, t.tipo, t.tipo_ord, CAST(coalesce(s.pd, 0) AS BIGINT) AS pd FROM forms f CROSS JOIN types t LEFT JOIN
@@ -53,26 +55,37 @@ VIEWS: dict[str, str] = {
     "normed": "SELECT s.form_id, s.sexo, s.tipo, s.tipo_ord, s.pd, n.baremo FROM scores s LEFT JOIN norms n ON n.sexo = s.sexo AND n.tipo = s.tipo AND n.pd = s.pd",
     "ranked": "SELECT *, CAST(row_number() OVER (PARTITION BY form_id ORDER BY coalesce(baremo, -1) DESC, pd DESC, tipo_ord) AS INT) AS posicion FROM normed",
     "tops": "SELECT form_id, max(CASE WHEN posicion = 1 THEN tipo END) AS tipo1, max(CASE WHEN posicion = 2 THEN tipo END) AS tipo2 FROM ranked GROUP BY form_id",
-    # Ink of the first 384 characters of a document, as a 16 x 24 cell.
-    "pixels": """SELECT doc_id AS cell_id, CAST(floor((p.pos - 1) / 24) AS INT) AS y, CAST((p.pos - 1) % 24 AS INT) AS x, CAST(CASE WHEN ascii(substring(text, CAST(p.pos AS INT), 1)) % 5 = 0 THEN 1 ELSE 0 END AS INT) AS ink,
-        CAST(ascii(substring(text, CAST(p.pos AS INT), 1)) % 256 AS INT) AS gray
-        FROM documents CROSS JOIN (SELECT 1 + a.n_nationkey + 25 * b.n_nationkey AS pos FROM nation a CROSS JOIN nation b WHERE 1 + a.n_nationkey + 25 * b.n_nationkey <= 384) p WHERE length(text) >= 384""",
+    # Every character of a document is a pixel; each 384 of them are a cell, 16 high and 24 wide, the last one as far as they reach.
+    "pixels": """SELECT doc_id * 100000 + CAST(floor(p.pos / 384) AS BIGINT) AS cell_id, CAST(floor((p.pos % 384) / 24) AS INT) AS y, CAST(p.pos % 24 AS INT) AS x, CAST(CASE WHEN ascii(p.ch) % 5 = 0 THEN 1 ELSE 0 END AS INT) AS ink, CAST(ascii(p.ch) % 256 AS INT) AS gray
+        FROM documents LATERAL VIEW posexplode(split(text, '')) p AS pos, ch WHERE length(text) > 0""",
     "files": """SELECT page_id, CASE page_id % 10 WHEN 0 THEN concat('bad', CAST(page_id AS STRING)) WHEN 1 THEN concat('ana-maria_soto_', CAST(11 + page_id % 9 AS STRING), '_f') WHEN 2 THEN concat('jose perez ', CAST(11 + page_id % 9 AS STRING), ' M')
         ELSE concat('luz-', CAST(page_id AS STRING), '-rios-', CAST(11 + page_id % 9 AS STRING), '-F') END AS nombre, CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.JPG' WHEN 2 THEN '.xyz' ELSE '' END AS ext,
         CASE page_id % 5 WHEN 0 THEN concat('%PDF-1.7', html) WHEN 1 THEN concat('BM', html) WHEN 2 THEN concat('RIFF0000WEBP', html) WHEN 3 THEN concat('II*', chr(0), html) ELSE html END AS content,
         CASE WHEN page_id % 2 = 0 THEN 'F' ELSE 'M' END AS sexo FROM pages""",
-    "tokens": """SELECT doc_id AS image_id, CAST(p.pos AS INT) AS pos, split_part(text, ' ', CAST(p.pos AS INT)) AS text, CASE WHEN (doc_id + p.pos) % 13 = 0 THEN 'x' WHEN (doc_id + p.pos) % 11 = 0 THEN '-1' ELSE CAST((doc_id * 7 + p.pos * 31) % 100 AS STRING) END AS conf,
-        CAST(p.pos * 17 AS INT) AS "left", CAST(doc_id % 50 * 11 AS INT) AS top, CAST(10 + p.pos AS INT) AS width, CAST(12 AS INT) AS height FROM documents CROSS JOIN (SELECT 1 + n_nationkey AS pos FROM nation) p""",
+    "tokens": """SELECT doc_id AS image_id, p.pos + 1 AS pos, p.word AS text, CASE WHEN (doc_id + p.pos + 1) % 13 = 0 THEN 'x' WHEN (doc_id + p.pos + 1) % 11 = 0 THEN '-1' ELSE CAST((doc_id * 7 + (p.pos + 1) * 31) % 100 AS STRING) END AS conf,
+        (p.pos + 1) * 17 AS "left", CAST(doc_id % 50 * 11 AS INT) AS top, 11 + p.pos AS width, CAST(12 AS INT) AS height FROM documents LATERAL VIEW posexplode(split(text, ' ')) p AS pos, word""",
     "proposals": "SELECT f.form_id, CAST(o.n_nationkey + 1 AS INT) AS ord, t.texto FROM forms f CROSS JOIN (SELECT n_nationkey FROM nation WHERE n_nationkey < 3) o CROSS JOIN (SELECT count(*) AS n FROM customer) k JOIN texts t ON t.form_id = 1 + (f.form_id + CASE o.n_nationkey WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 31 END) % k.n",
     "prefs": "SELECT form_id, CASE form_id % 4 WHEN 0 THEN 'sin_especificar' WHEN 1 THEN 'universitario' WHEN 2 THEN 'tecnico' ELSE 'cetpro' END AS nivel_max, CASE form_id % 3 WHEN 0 THEN 'indiferente' WHEN 1 THEN 'publica' ELSE 'privada' END AS institucion FROM forms",
     "person_profiles": """SELECT form_id, 0.05D + (form_id * 7 % 23) / 24.0D AS r, 0.05D + (form_id * 11 % 23) / 24.0D AS i, 0.05D + (form_id * 13 % 23) / 24.0D AS a,
         0.05D + (form_id * 17 % 23) / 24.0D AS s, 0.05D + (form_id * 5 % 23) / 24.0D AS e, 0.05D + (form_id * 3 % 23) / 24.0D AS c FROM forms""",
     # Lines of a page: positions of lines of text, as cuts along an axis.
-    "cuts": "SELECT l_suppkey AS page_id, CAST(sum(1 + l_partkey % 40) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS pos FROM lineitem",
-    "boxes": "SELECT l_suppkey AS page_id, l_orderkey * 10 + l_linenumber AS box_id, CAST(l_partkey % 900 AS INT) AS x, CAST(l_partkey % 7 AS INT) AS y, CAST(60 + l_orderkey % 700 AS INT) AS w, CAST(200 + l_quantity * 16 AS INT) AS h FROM lineitem",
+    # A supplier's lines are dealt to pages of 55 to 74 lines.
+    "cuts": """SELECT page_id, CAST(sum(step) OVER (PARTITION BY page_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS pos FROM (SELECT l_suppkey + 10000000 * CAST(floor((rn - 1) / (55 + l_suppkey % 20)) AS BIGINT) AS page_id, rn, step
+        FROM (SELECT l_suppkey, 1 + l_partkey % 40 AS step, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn FROM lineitem) a) b""",
+    # On every fourth page all boxes are low.
+    "boxes": "SELECT l_suppkey AS page_id, l_orderkey * 10 + l_linenumber AS box_id, CAST(l_partkey % 900 AS INT) AS x, CAST(l_partkey % 7 AS INT) AS y, CAST(60 + l_orderkey % 700 AS INT) AS w, CAST(CASE WHEN l_suppkey % 4 = 1 THEN 20 + l_quantity ELSE 200 + l_quantity * 16 END AS INT) AS h FROM lineitem",
     "segments": "SELECT l_suppkey AS page_id, CAST(0 AS DOUBLE) AS x1, CAST(0 AS DOUBLE) AS y1, CAST(l_quantity - 25 AS DOUBLE) AS x2, CAST(l_partkey % 9 - 4 AS DOUBLE) AS y2 FROM lineitem",
 }
 
+# Exploding has no common spelling.
+DUCK_VIEWS = {
+    "pixels": """SELECT doc_id * 100000 + pos // 384 AS cell_id, CAST(pos % 384 // 24 AS INT) AS y, CAST(pos % 24 AS INT) AS x, CAST(CASE WHEN ascii(ch) % 5 = 0 THEN 1 ELSE 0 END AS INT) AS ink, CAST(ascii(ch) % 256 AS INT) AS gray
+        FROM (SELECT doc_id, unnest(c) AS ch, unnest(range(len(c))) AS pos FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 0) a) b""",
+    "tokens": """SELECT doc_id AS image_id, CAST(pos AS INT) AS pos, word AS text, CASE WHEN (doc_id + pos) % 13 = 0 THEN 'x' WHEN (doc_id + pos) % 11 = 0 THEN '-1' ELSE CAST((doc_id * 7 + pos * 31) % 100 AS STRING) END AS conf,
+        CAST(pos * 17 AS INT) AS "left", CAST(doc_id % 50 * 11 AS INT) AS top, CAST(10 + pos AS INT) AS width, CAST(12 AS INT) AS height
+        FROM (SELECT doc_id, unnest(c) AS word, unnest(range(1, len(c) + 1)) AS pos FROM (SELECT doc_id, string_split(text, ' ') AS c FROM documents) a) b""",
+}
+
 _WORD = re.compile(r"[A-Za-z_]+")
 
 
@@ -82,12 +95,12 @@ def _needs(sql: str) -> list[str]:
 
 
 @lru_cache(maxsize=None)
-def with_views(sql: str) -> tuple[str, ...]:
-    """The views that `sql` needs, each after those that it needs itself."""
+def with_views(sql: str, files: frozenset[str] = frozenset()) -> tuple[str, ...]:
+    """The views that `sql` needs, each after those that it needs itself. Views in `files` need nothing."""
     out: list[str] = []
 
     def add(name: str, above: tuple[str, ...]) -> None:
-        for other in _needs(VIEWS[name]):
+        for other in () if name in files else _needs(VIEWS[name]):
             if other != name and other not in above and other not in out:
                 add(other, (*above, name))
         if name not in out:
@@ -101,21 +114,21 @@ def with_views(sql: str) -> tuple[str, ...]:
 def duck(sql: str) -> str:
     """`sql` for DuckDB, with the views that it names as common table expressions."""
     text = lambda s: re.sub(r"\b(\d+\.\d+)D\b", r"CAST(\1 AS DOUBLE)", s)
-    heads = [f"{v} AS ({text(VIEWS[v])})" for v in with_views(sql)]
+    heads = [f"{v} AS ({text(DUCK_VIEWS.get(v, VIEWS[v]))})" for v in with_views(sql)]
     body = text(sql).strip()
     if body[:5].upper() == "WITH ":
         heads.append(body[5:])
-        return "WITH " + ", ".join(heads)
+        return "WITH RECURSIVE " + ", ".join(heads)
     return (f"WITH {', '.join(heads)} " if heads else "") + body
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table, as a DataFrame over the files of a data folder."""
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
-    names = [*with_views(f"SELECT * FROM {name}")]
-    words = {w for v in names for w in _WORD.findall(VIEWS[v])} | set(_WORD.findall(sql))
+def view(spark: SparkSession, sf_dir: str, name: str, files: dict[str, str] | None = None) -> DataFrame:
+    """A view, or a table, as a DataFrame over the files of a data folder. files: views that are written already, and where."""
+    files = files or {}
+    if name in TABLES or name in files:
+        return spark.read.parquet(files.get(name, f"{sf_dir}/{name}.parquet"))
+    names = with_views(f"SELECT * FROM {name}", frozenset(files))
+    words = {w for v in names if v not in files for w in _WORD.findall(VIEWS[v])}
     heads = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if t in words]
-    heads += [f"{v} AS ({VIEWS[v].replace('"left"', '`left`')})" for v in names]
+    heads += [f"{v} AS (SELECT * FROM parquet.`{files[v]}`)" if v in files else f"{v} AS ({VIEWS[v].replace('"left"', '`left`')})" for v in names]
     return spark.sql(f"WITH {', '.join(heads)} SELECT * FROM {name}")

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from ..operators.recommend import AREAS, SENTENCES
 from .fixtures import duck
 
 SQL: dict[str, str] = {}
 
+
+def _ratio(name: str, pairs: str) -> str:
+    """A table `name` (a, b, sim): 2 M / T over longest matching blocks of the pairs (a, b) of texts.
+
+    Of each pair the longest common block is taken, the first in a, then in b; then the parts before and behind it
+    go on as pairs of their own. Lengths of all blocks are summed.
+    """
+    return f"""{name}_p AS ({pairs}), {name}_b(a, b, x, y, k) AS (SELECT a, b, a, b, 0 FROM {name}_p
+ UNION ALL SELECT a, b, p.x, p.y, p.k FROM (SELECT a, b, unnest([{{'x': x[1 : i], 'y': y[1 : strpos(y, x[i + 1 : i + l]) - 1], 'k': l}}, {{'x': x[i + l + 1 :], 'y': y[strpos(y, x[i + 1 : i + l]) + l :], 'k': 0}}]) AS p
+  FROM (SELECT a, b, x, y, (m + 999) // 1000 AS l, (m + 999) // 1000 * 1000 - m AS i FROM
+   (SELECT a, b, x, y, list_max(flatten([[CASE WHEN contains(y, x[i + 1 : i + l]) THEN l * 1000 - i ELSE 0 END for l in range(1, len(x) - i + 1)] for i in range(0, len(x))])) AS m FROM {name}_b WHERE x <> '' AND y <> '') WHERE m > 0))),
+ {name} AS (SELECT a, b, 2.0D * sum(k) / (length(a) + length(b)) AS sim FROM {name}_b GROUP BY a, b)"""
+
+
+_REACH = "2.0D * least(length({0}), length({1})) / (length({0}) + length({1})) >= {2}"
+
 SQL["a2_sniff_type"] = r"""
 SELECT page_id, CASE WHEN ext = '.pdf' THEN 'pdf' WHEN lower(ext) = '.jpg' THEN 'imagen' WHEN starts_with(content, '%PDF') THEN 'pdf'
  WHEN starts_with(content, 'BM') OR starts_with(content, concat('II*', chr(0))) OR (starts_with(content, 'RIFF') AND substring(content, 9, 4) = 'WEBP') THEN 'imagen' ELSE 'desconocido' END AS tipo FROM files"""
@@ -52,10 +69,12 @@ _BEST = f"""{_PAIRS}, rk AS (SELECT *, row_number() OVER (PARTITION BY tipo_a, t
  best AS (SELECT tipo_a, tipo_b, 1 AS rango, a, b, puntaje, relacion FROM b1 UNION ALL SELECT tipo_a, tipo_b, 2, a, b, puntaje, relacion FROM b2)"""
 _SUG = f"""{_BEST}, sug AS (SELECT t.form_id, best.a AS carrera, t.tipo1 AS tipo, rango = 1 AS es_principal, puntaje, relacion FROM tops t JOIN best ON best.tipo_a = t.tipo1 AND best.tipo_b = t.tipo2
  UNION ALL SELECT t.form_id, best.b, t.tipo2, rango = 1, puntaje, relacion FROM tops t JOIN best ON best.tipo_a = t.tipo1 AND best.tipo_b = t.tipo2)"""
-SQL["a11_write_evaluation"] = f"""WITH {_SUG} SELECT 'formulario' AS tabla, count(*) AS n FROM forms UNION ALL SELECT 'marca', count(*) FROM marks_state UNION ALL SELECT 'resultado', count(*) FROM ranked UNION ALL SELECT 'carrera_sugerida', count(*) FROM sug"""
+SQL["a11_write_evaluation"] = f"""WITH {_SUG} SELECT 'formulario' AS tabla, form_id, nombre || '|' || sexo AS fila FROM forms UNION ALL SELECT 'marca', form_id, concat_ws('|', item, opcion, CASE WHEN opcion IN ('si', 'ambos') THEN 1 ELSE 0 END) FROM marks_state
+ UNION ALL SELECT 'resultado', form_id, concat_ws('|', tipo, pd, coalesce(CAST(baremo AS VARCHAR), '-'), posicion) FROM ranked UNION ALL SELECT 'carrera_sugerida', form_id, concat_ws('|', carrera, tipo, es_principal) FROM sug"""
 SQL["a12_check_evaluation"] = """WITH bm AS (SELECT form_id, CASE WHEN num % 40 <> 0 THEN item END AS item FROM marks_state UNION ALL SELECT form_id - CASE WHEN form_id % 2 = 0 THEN 0 ELSE 1000000 END, item FROM marks_state WHERE num = 3 AND form_id % 5 = 0),
  rs AS (SELECT form_id, tipo FROM ranked UNION ALL SELECT form_id, tipo FROM ranked WHERE posicion = 1 AND form_id % 4 = 0)
 SELECT 'sexo' AS problema, count(*) AS n FROM forms WHERE form_id % 9 = 0
+UNION ALL SELECT 'nombre largo', count(*) FROM forms WHERE length(nombre) > 200
 UNION ALL SELECT 'item nulo', count(*) FROM bm WHERE item IS NULL
 UNION ALL SELECT 'marca repetida', count(*) FROM (SELECT 1 FROM bm WHERE item IS NOT NULL GROUP BY form_id, item HAVING count(*) > 1)
 UNION ALL SELECT 'resultado repetido', count(*) FROM (SELECT 1 FROM rs GROUP BY form_id, tipo HAVING count(*) > 1)
@@ -71,7 +90,10 @@ SQL["a14_consolidated"] = (
     + ", ".join(f"""(SELECT max(p.texto) FROM proposals p WHERE p.form_id = f.form_id AND p.ord = {i}) AS "Carrera {i}" """ for i in (1, 2, 3))
     + " FROM forms f LEFT JOIN normed n ON n.form_id = f.form_id GROUP BY f.form_id, f.nombre"
 )
-SQL["a16_delete_forms"] = "SELECT 'formulario' AS tabla, count(*) AS n FROM forms WHERE form_id % 7 <> 0 UNION ALL SELECT 'marca', count(*) FROM marks_state WHERE form_id % 7 <> 0 UNION ALL SELECT 'resultado', count(*) FROM normed WHERE form_id % 7 <> 0"
+SQL["a16_delete_forms"] = """SELECT 'formulario' AS tabla, form_id, nombre || '|' || sexo AS fila FROM forms WHERE form_id % 7 <> 0 UNION ALL SELECT 'marca', form_id, item || '|' || opcion FROM marks_state WHERE form_id % 7 <> 0
+ UNION ALL SELECT 'resultado', form_id, concat_ws('|', tipo, pd, coalesce(CAST(baremo AS VARCHAR), '-')) FROM normed WHERE form_id % 7 <> 0"""
+# The export is text: numbers as they are written, empty texts as missing.
+SQL["a15_export"] = f"SELECT * FROM (SELECT nullif(CAST(COLUMNS(*) AS VARCHAR), '') FROM ({SQL['a14_consolidated']}))"
 
 SQL["b1_item_dim"] = "SELECT bloque, num, bloque || num AS item FROM item_dim"
 SQL["b2_complete_marks"] = "SELECT f.form_id, d.bloque || d.num AS item, coalesce(m.opcion, 'vacio') AS opcion FROM forms f CROSS JOIN item_dim d LEFT JOIN marks_state m ON m.form_id = f.form_id AND m.item = d.bloque || d.num"
@@ -99,15 +121,21 @@ SELECT c.form_id, item FROM c JOIN f USING (form_id) WHERE CASE WHEN any_r THEN
 SQL["b14_form_summary"] = "SELECT form_id, CAST(sum(CASE WHEN opcion IN ('si', 'ambos') THEN 1 ELSE 0 END) AS BIGINT) AS n_si, round_even(100.0D * sum(CASE WHEN opcion IN ('si', 'ambos') THEN 1 ELSE 0 END) / count(*), 1) AS pct_si FROM marks_state GROUP BY form_id"
 SQL["b14_score_view"] = "SELECT form_id, tipo, pd, baremo, CAST(row_number() OVER (PARTITION BY form_id ORDER BY baremo DESC NULLS LAST, tipo_ord) AS INT) AS lugar FROM normed"
 
-# Cells are 16 high and 24 wide: a margin of 1 and 2 leaves 14 x 20.
-SQL["c1_ink_features"] = """WITH i AS (SELECT cell_id, y - 1 AS y, x - 2 AS x, CAST(ink AS DOUBLE) AS ink FROM pixels WHERE y BETWEEN 1 AND 14 AND x BETWEEN 2 AND 21)
-SELECT cell_id, round(avg(ink), 9) AS dens_total, round(avg(ink) FILTER (y >= 2 AND y < 11 AND x >= 4 AND x < 16), 9) AS dens_centro, round(avg(ink) FILTER (x < 4), 9) AS dens_izq, round(avg(ink) FILTER (x >= 16), 9) AS dens_der, avg(ink) >= 0.020D AS marcada FROM i GROUP BY cell_id"""
-SQL["c2_half_density"] = "SELECT cell_id, round(avg(ink) FILTER (x < 12), 9) AS dens_izq, round(avg(ink) FILTER (x >= 12), 9) AS dens_der FROM (SELECT cell_id, x, CAST(ink AS DOUBLE) AS ink FROM pixels WHERE y BETWEEN 1 AND 14 AND x BETWEEN 2 AND 21) GROUP BY cell_id"
-SQL["c3_quadrant_symmetry"] = """WITH p AS (SELECT cell_id, y >= 8 AS b, x >= 12 AS r, CASE WHEN y < 8 AND cell_id % 2 = 0 THEN 0 ELSE ink END AS ink FROM pixels)
-SELECT cell_id, sum(CASE WHEN d >= 0.01 THEN 0.25D ELSE 0.0D END) AS simetria FROM (SELECT cell_id, b, r, avg(ink) AS d FROM p GROUP BY ALL) GROUP BY cell_id"""
-SQL["c4_gray_variance"] = "SELECT cell_id, round(least(1.0D, var_pop(CAST(gray AS DOUBLE)) / 2000.0D), 9) AS varianza FROM pixels WHERE y BETWEEN 2 AND 13 AND x BETWEEN 3 AND 20 GROUP BY cell_id"
-SQL["c5_border_dark_share"] = """WITH p AS (SELECT cell_id, gray, CAST(y < 2 AS INT) + CAST(y >= 14 AS INT) + CAST(x < 2 AS INT) + CAST(x >= 22 AS INT) AS k FROM pixels)
-SELECT cell_id, round(sum(CASE WHEN gray < 128 THEN k ELSE 0 END) / CAST(sum(k) AS DOUBLE), 9) AS oscuro, sum(CASE WHEN gray < 128 THEN k ELSE 0 END) / CAST(sum(k) AS DOUBLE) > 0.02D AS foto FROM p GROUP BY cell_id"""
+_SIZED = "z AS (SELECT *, max(y) OVER (PARTITION BY cell_id) + 1 AS h, max(x) OVER (PARTITION BY cell_id) + 1 AS w FROM pixels)"
+_INSIDE = _SIZED + """, zp AS (SELECT *, greatest(1, CAST(floor(h * {0}) AS INT)) AS py, greatest(1, CAST(floor(w * {0}) AS INT)) AS pw FROM z),
+ i AS (SELECT cell_id, h >= {1} AND w >= {2} AND y >= py AND y < h - py AND x >= pw AND x < w - pw AS ins, y - py AS iy, x - pw AS ix, h - 2 * py AS ih, w - 2 * pw AS iw, CAST(ink AS DOUBLE) AS ink, CAST(gray AS DOUBLE) AS gray FROM zp)"""
+_AVG = "coalesce(avg(ink) FILTER ({0}), 0.0D)"
+SQL["c1_ink_features"] = f"""WITH {_INSIDE.format('0.10D', 8, 12)} SELECT cell_id, round({_AVG.format('ins')}, 9) AS dens_total,
+ round({_AVG.format('ins AND iy >= floor(ih * 0.20D) AND iy < floor(ih * 0.80D) AND ix >= floor(iw * 0.20D) AND ix < floor(iw * 0.80D)')}, 9) AS dens_centro,
+ round({_AVG.format('ins AND ix < greatest(1, floor(iw / 5.0D))')}, 9) AS dens_izq, round({_AVG.format('ins AND ix >= least(iw - 1, floor(4 * iw / 5.0D))')}, 9) AS dens_der, {_AVG.format('ins')} >= 0.020D AS marcada FROM i GROUP BY cell_id"""
+SQL["c2_half_density"] = f"WITH {_INSIDE.format('0.10D', 8, 12)} SELECT cell_id, round({_AVG.format('ins AND ix < floor(iw / 2.0D)')}, 9) AS dens_izq, round({_AVG.format('ins AND ix >= floor(iw / 2.0D)')}, 9) AS dens_der FROM i GROUP BY cell_id"
+SQL["c3_quadrant_symmetry"] = f"""WITH {_SIZED}, p AS (SELECT cell_id, h >= 4 AND w >= 4 AS big, y >= floor(h / 2.0D) AS b, x >= floor(w / 2.0D) AS r, CASE WHEN y < 8 AND cell_id % 2 = 0 THEN 0 ELSE ink END AS ink FROM z)
+SELECT cell_id, sum(CASE WHEN big AND d >= 0.01 THEN 0.25D ELSE 0.0D END) AS simetria FROM (SELECT cell_id, big, b, r, avg(ink) AS d FROM p GROUP BY ALL) GROUP BY cell_id"""
+SQL["c4_gray_variance"] = f"WITH {_INSIDE.format('0.15D', 5, 5)} SELECT cell_id, round(least(1.0D, coalesce(var_pop(gray) FILTER (ins), 0.0D) / 2000.0D), 7) AS varianza FROM i GROUP BY cell_id"
+SQL["c5_border_dark_share"] = f"""WITH {_SIZED}, zb AS (SELECT *, greatest(2, floor(h * 0.03D)) AS bh, greatest(2, floor(w * 0.03D)) AS bw FROM z),
+ p AS (SELECT cell_id, gray, CASE WHEN h >= 10 AND w >= 10 THEN CAST(y < bh AS INT) + CAST(y >= h - bh AS INT) + CAST(x < bw AS INT) + CAST(x >= w - bw AS INT) ELSE 0 END AS k FROM zb),
+ q AS (SELECT cell_id, coalesce(sum(CASE WHEN gray < 128 THEN k ELSE 0 END) / nullif(CAST(sum(k) AS DOUBLE), 0), 0.0D) AS d FROM p GROUP BY cell_id)
+SELECT cell_id, round(d, 9) AS oscuro, d > 0.02D AS foto FROM q"""
 SQL["c6_quality_gate"] = """WITH s AS (SELECT form_id, bloque, num, dens_no AS a, dens_si * 4 AS b, stroke_no * 400 AS n FROM signals),
  t AS (SELECT *, CASE WHEN a < 0.005D THEN 'densidad baja' WHEN a > 0.70D THEN 'densidad alta' WHEN n < 100 THEN 'borrosa' END AS pa, b < 0.005D OR b > 0.70D OR n < 100 AS pb FROM s)
 SELECT form_id, bloque, num, CASE WHEN pa IS NULL THEN 'otsu' WHEN NOT pb THEN 'adaptativo' END AS metodo, coalesce(pa, 'OK') AS motivo FROM t"""
@@ -119,10 +147,10 @@ _ROWS = """d1 AS (SELECT page_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION
 _IV = f"""{_ROWS}, iv0 AS (SELECT page_id, pos AS y1, lead(pos) OVER (PARTITION BY page_id ORDER BY pos) AS y2 FROM cl),
  iv AS (SELECT page_id, y1, y2, row_number() OVER (PARTITION BY page_id ORDER BY y1) AS fila FROM iv0 WHERE y2 > y1)"""
 SQL["c9_cluster_coords"] = f"WITH {_ROWS} SELECT page_id, pos FROM cl"
-SQL["c10_cuts_to_intervals"] = """WITH c AS (SELECT DISTINCT page_id, pos FROM cuts WHERE pos % 3 > 0), l AS (SELECT page_id, pos AS y1, lead(pos) OVER (PARTITION BY page_id ORDER BY pos) AS y2 FROM c)
+SQL["c10_cuts_to_intervals"] = """WITH c AS (SELECT DISTINCT page_id, pos FROM cuts), l AS (SELECT page_id, pos AS y1, lead(pos) OVER (PARTITION BY page_id ORDER BY pos) AS y2 FROM c)
 SELECT page_id, y1, y2, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y1) AS INT) AS fila FROM l WHERE y2 > y1"""
-_LP = "lp AS (SELECT DISTINCT cell_id % 50 AS page_id, CAST(floor(cell_id / 50.0) * 16 + y AS INT) AS y, x FROM pixels WHERE ink = 1)"
-SQL["c11_insert_missing_cuts"] = f"""WITH {_LP}, ct AS (SELECT n_nationkey AS page_id, unnest([0, 8, 16, 24, 48, 56, 90, 98]) AS pos FROM nation),
+_PP = "pp AS (SELECT cell_id // 50 AS page_id, CAST(cell_id % 50 * 16 + y AS INT) AS y, x, ink FROM pixels)"
+SQL["c11_insert_missing_cuts"] = f"""WITH {_PP}, lp AS (SELECT DISTINCT page_id, y, x FROM pp WHERE ink = 1), ct AS (SELECT page_id, CAST(98 * part + unnest([0, 8, 16, 24, 48, 56, 90]) AS INT) AS pos FROM (SELECT DISTINCT page_id, y // 98 AS part FROM pp)),
  gp AS (SELECT page_id, pos AS y1, lead(pos) OVER (PARTITION BY page_id ORDER BY pos) AS y2 FROM ct),
  wd AS (SELECT * FROM (SELECT *, y2 - y1 AS size, median(y2 - y1) OVER (PARTITION BY page_id) AS med FROM gp WHERE y2 IS NOT NULL) WHERE size > 10 AND size > med * 1.6D),
  rw AS (SELECT page_id, y, count(*) AS t FROM lp GROUP BY ALL),
@@ -130,7 +158,7 @@ SQL["c11_insert_missing_cuts"] = f"""WITH {_LP}, ct AS (SELECT n_nationkey AS pa
  md AS (SELECT *, row_number() OVER (PARTITION BY page_id, y1 ORDER BY t DESC, y) AS k FROM zn WHERE y - y1 >= size // 3 AND y - y1 < 2 * size // 3),
  ok AS (SELECT md.page_id, md.y AS pos FROM md JOIN lp ON lp.page_id = md.page_id AND abs(lp.y - md.y) <= 1 WHERE k = 1 AND t > top * 0.20D GROUP BY md.page_id, md.y HAVING count(DISTINCT x) / 24.0D >= 0.35D)
 SELECT page_id, pos FROM ct UNION SELECT page_id, pos FROM ok"""
-SQL["c12_fit_rows"] = f"""WITH {_IV}, r AS (SELECT page_id, y1, y2, y2 - y1 AS alto FROM iv WHERE page_id % 3 > 0 OR fila <= 44),
+SQL["c12_fit_rows"] = f"""WITH {_IV}, r AS (SELECT page_id, y1, y2, y2 - y1 AS alto FROM iv),
  m AS (SELECT *, count(*) OVER w AS n, median(alto) OVER w AS med, row_number() OVER (PARTITION BY page_id ORDER BY y1) AS ix FROM r WINDOW w AS (PARTITION BY page_id)),
  c AS (SELECT *, alto >= 0.5 * med AND alto <= 1.8 * med AS f1, alto >= 0.3 * med AND alto <= 2.5 * med AS f2 FROM m),
  d AS (SELECT *, sum(CAST(f1 AS INT)) OVER w AS n1, sum(CAST(f2 AS INT)) OVER w AS n2 FROM c WINDOW w AS (PARTITION BY page_id)),
@@ -138,18 +166,17 @@ SQL["c12_fit_rows"] = f"""WITH {_IV}, r AS (SELECT page_id, y1, y2, y2 - y1 AS a
 SELECT page_id, y1, y2, CASE WHEN n = 40 THEN 'exacta' WHEN n > 40 AND n <= 48 THEN 'ultimas' ELSE 'altura' END AS caso FROM k WHERE n >= 40 AND CASE WHEN n = 40 THEN true WHEN n <= 48 THEN ix > n - 40 ELSE near <= 40 END"""
 SQL["c13_uniform_grid"] = """WITH p AS (SELECT s_suppkey AS page_id, CAST(s_suppkey * 37 % 2000 AS INT) AS h, greatest(30, CAST(floor(CAST(s_suppkey * 37 % 2000 AS INT) * 0.05D) AS INT)) AS m FROM supplier), q AS (SELECT *, (h - m) / 33.0D AS st, unnest(range(0, 33)) AS i FROM p WHERE h > m)
 SELECT page_id, CAST(i + 1 AS INT) AS fila, CAST(floor(m + i * st) AS INT) AS y1, least(h, CAST(floor(m + (i + 1) * st) AS INT)) AS y2 FROM q"""
-SQL["c14_best_cut_pair"] = """WITH w AS (SELECT s_suppkey AS page_id, CAST(200 + s_suppkey * 53 % 900 AS INT) AS w FROM supplier),
+SQL["c14_best_cut_pair"] = """WITH w AS (SELECT DISTINCT page_id, CAST(200 + page_id * 53 % 900 AS INT) AS w FROM cuts),
  c AS (SELECT DISTINCT cuts.page_id, pos, w, CAST(pos AS DOUBLE) / w AS p FROM cuts JOIN w ON w.page_id = cuts.page_id WHERE CAST(pos AS DOUBLE) / w > 0.04D AND CAST(pos AS DOUBLE) / w < 0.96D),
  pr AS (SELECT a.page_id, a.pos AS x1, b.pos AS x2, row_number() OVER (PARTITION BY a.page_id ORDER BY abs(a.p - 0.13D) + abs(b.p - 0.56D), a.pos, b.pos) AS k FROM c a JOIN c b ON b.page_id = a.page_id
   WHERE a.p >= 0.08D AND a.p <= 0.28D AND b.p >= 0.45D AND b.p <= 0.68D AND b.pos - a.pos >= a.w * 0.10D AND a.w - b.pos >= a.w * 0.10D)
 SELECT w.page_id, w.w, coalesce(x1, CAST(floor(w.w * 0.13D) AS INT)) AS corte_n, coalesce(x2, CAST(floor(w.w * 0.56D) AS INT)) AS corte_no, x1 IS NULL AS por_defecto FROM w LEFT JOIN pr ON pr.page_id = w.page_id AND k = 1"""
-SQL["c15_filter_boxes"] = """WITH b AS (SELECT * FROM boxes WHERE box_id % 5 = 0 OR page_id % 4 = 0), g AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY x, y, w, h, box_id) AS tabla, count(*) OVER (PARTITION BY page_id) AS n FROM b WHERE w * h >= 40000 AND h >= 450 AND w <= 600),
+SQL["c15_filter_boxes"] = """WITH b AS (SELECT * FROM boxes), g AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY x, y, w, h, box_id) AS tabla, count(*) OVER (PARTITION BY page_id) AS n FROM b WHERE w * h >= 40000 AND h >= 450 AND w <= 600),
  f AS (SELECT page_id, CAST(tabla AS INT) AS tabla, x, w, false AS fallback FROM g WHERE n >= 3 AND tabla <= 3)
 SELECT * FROM f UNION ALL SELECT page_id, k.t, k.x, k.w, true FROM (SELECT DISTINCT page_id FROM b WHERE page_id NOT IN (SELECT page_id FROM f)) CROSS JOIN (SELECT 1 AS t, 0 AS x, 333 AS w UNION ALL SELECT 2, 333, 333 UNION ALL SELECT 3, 666, 334) k"""
 SQL["c16_assign_items"] = f"""WITH {_IV}, r AS (SELECT page_id, CAST(1 + y1 % 3 AS INT) AS tabla, y1, CASE WHEN fila % 9 = 0 THEN y1 + 2 ELSE y2 END AS y2 FROM iv), n AS (SELECT *, row_number() OVER (PARTITION BY page_id, tabla ORDER BY y1) AS num FROM r)
 SELECT page_id, CASE tabla WHEN 1 THEN 'E' WHEN 2 THEN 'P' ELSE 'H' END || num AS item, y1, y2 FROM n WHERE num <= CASE tabla WHEN 1 THEN 33 WHEN 2 THEN 47 ELSE 38 END AND y2 - y1 >= 3"""
-SQL["c17_pixels_to_cells"] = """WITH px AS (SELECT cell_id % 50 AS page_id, CAST(floor(cell_id / 50.0) * 16 + y AS INT) AS y, x, ink FROM pixels), ce AS (SELECT n_nationkey AS page_id, unnest(range(0, 31)) AS cell FROM nation)
-SELECT px.page_id, CAST(cell AS INT) AS cell, count(*) AS n, CAST(sum(ink) AS BIGINT) AS tinta, CAST(max(y - cell * 10) AS INT) AS cy, max(x - 4) AS cx FROM px JOIN ce ON ce.page_id = px.page_id AND y >= cell * 10 AND y < cell * 10 + 7 AND x >= 4 AND x < 19 GROUP BY ALL"""
+SQL["c17_pixels_to_cells"] = f"""WITH {_PP} SELECT page_id, CAST(y // 10 AS INT) AS cell, count(*) AS n, CAST(sum(ink) AS BIGINT) AS tinta, CAST(max(y % 10) AS INT) AS cy, CAST(max(x - 4) AS INT) AS cx FROM pp WHERE y % 10 < 7 AND x >= 4 AND x < 19 GROUP BY page_id, y // 10"""
 SQL["c18_skew_angle"] = """WITH a AS (SELECT page_id, degrees(atan2(y2 - y1, x2 - x1)) AS g, abs(x2 - x1) >= 1 AS ok FROM segments), m AS (SELECT page_id, coalesce(median(CASE WHEN g < -45 THEN g + 90 WHEN g > 45 THEN g - 90 ELSE g END) FILTER (ok), 0.0D) AS m FROM a GROUP BY page_id)
 SELECT page_id, round(m, 6) AS mediana, round(CASE WHEN abs(m) < 0.3D OR abs(m) > 15 THEN 0.0D ELSE m END, 6) AS angulo FROM m"""
 
@@ -243,7 +270,7 @@ SQL["f4_type_pairs"] = f"WITH {_TP} SELECT tipo_a, tipo_b, a, b FROM tp"
 SQL["f5_best_two_pairs"] = f"WITH {_BEST} SELECT * FROM best"
 SQL["f6_suggest"] = f"WITH {_SUG} SELECT * FROM sug"
 _NORM = "trim(regexp_replace(lower(translate({0}, 'áàäâãéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇ', 'aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-SQL["f7_normalize_text"] = f"""WITH t AS (SELECT form_id, {_NORM.format("texto || '  Ñandú-É#' || form_id")} AS n FROM texts) SELECT form_id, n AS map, n AS strip FROM t"""
+SQL["f7_normalize_text"] = f"""WITH t AS (SELECT form_id, texto || '  Ñandú-É# Ő ř ǎ Š ' || form_id AS x FROM texts) SELECT form_id, {_NORM.format('x')} AS map, trim(regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', ' ', 'g')) AS strip FROM t"""
 _BA = f"""{_AFF}, pq AS (SELECT a.carrera AS a, b.carrera AS b FROM careers a JOIN careers b ON a.carrera_id = (b.carrera_id * 5) % 61), pt2 AS (SELECT DISTINCT x.tipo AS tipo_a, y.tipo AS tipo_b, a, b FROM pq JOIN career_types x ON x.carrera = a JOIN career_types y ON y.carrera = b), s2 AS ({_SCORE.format('pt2')})"""
 SQL["f8_best_affinity"] = f"WITH {_BA} SELECT tipo_a, tipo_b, a, b, puntaje, relacion FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY puntaje DESC, tipo_a, tipo_b) AS k FROM s2) WHERE k = 1"
 SQL["f9_verdict"] = f"WITH {_PAIRS} SELECT tipo_a, tipo_b, a, b, CASE WHEN puntaje >= 10 THEN 'alta' WHEN puntaje >= 5 THEN 'media' ELSE 'baja' END AS veredicto FROM sp"
@@ -257,14 +284,25 @@ _RES = f"""qs AS (SELECT DISTINCT {_NORM.format('texto')} AS q FROM texts WHERE
   UNION ALL SELECT qs.q, kw.carrera, 4, row_number() OVER (PARTITION BY qs.q ORDER BY length(kw.carrera), kw.carrera) FROM qs JOIN kw ON kw.q = qs.q
   UNION ALL SELECT q, carrera, 5, row_number() OVER (PARTITION BY q ORDER BY n DESC, length(carrera), carrera) FROM (SELECT q, carrera, count(*) AS n FROM tq2 JOIN (SELECT DISTINCT * FROM tk) tk ON tk.t = tq2.t WHERE length(tq2.t) >= 4 GROUP BY q, carrera)),
  res AS (SELECT q, arg_min(carrera, paso) AS carrera, min(paso) AS paso FROM ti WHERE k = 1 GROUP BY q)"""
+_RESF = f"""{_RES}, lf AS (SELECT q FROM qs WHERE length(q) >= 4 AND q NOT IN (SELECT q FROM res)), nw AS (SELECT carrera, q AS w FROM nm UNION SELECT carrera, t FROM tk WHERE length(t) >= 5),
+ {_ratio('rf', f"SELECT DISTINCT lf.q AS a, nw.w AS b FROM lf, nw WHERE {_REACH.format('lf.q', 'nw.w', '0.72D')}")},
+ resf AS (SELECT q, carrera, CAST(paso AS INT) AS paso FROM res UNION ALL SELECT a, carrera, 6 FROM (SELECT a, carrera, row_number() OVER (PARTITION BY a ORDER BY sim DESC, carrera) AS k FROM rf JOIN nw ON nw.w = rf.b WHERE sim >= 0.72D) WHERE k = 1)"""
+SQL["f10_resolve_names_fuzzy"] = f"WITH {_RESF} SELECT q AS texto_norm, carrera, paso FROM resf"
 SQL["f10_resolve_names"] = f"WITH {_RES} SELECT q AS texto_norm, carrera, CAST(paso AS INT) AS paso FROM res"
-SQL["f11_analyze_written"] = f"""WITH {_SUG}, {_RES}, wr AS (SELECT form_id, ord, texto, {_NORM.format('texto')} AS q FROM proposals), w2 AS (SELECT wr.*, res.carrera FROM wr LEFT JOIN res ON res.q = wr.q),
+SQL["f11_analyze_written"] = f"""WITH {_SUG}, {_RESF}, wr AS (SELECT form_id, ord, texto, {_NORM.format('texto')} AS q FROM proposals), w2 AS (SELECT wr.*, resf.carrera FROM wr LEFT JOIN resf ON resf.q = wr.q),
  ab AS (SELECT DISTINCT w2.form_id, w2.ord, w2.carrera AS a, sug.carrera AS b FROM w2 JOIN sug ON sug.form_id = w2.form_id WHERE w2.carrera IS NOT NULL), dp AS (SELECT DISTINCT a, b FROM ab),
  tt AS (SELECT DISTINCT x.tipo AS tipo_a, y.tipo AS tipo_b, a, b FROM dp JOIN career_types x ON x.carrera = a JOIN career_types y ON y.carrera = b), sc AS ({_SCORE.format('tt')}),
  bb AS (SELECT a, b, puntaje, relacion FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY puntaje DESC, tipo_a, tipo_b) AS k FROM sc) WHERE k = 1),
  mt AS (SELECT * FROM (SELECT ab.form_id, ab.ord, ab.b, puntaje, relacion, row_number() OVER (PARTITION BY ab.form_id, ab.ord ORDER BY puntaje DESC, ab.b) AS k FROM ab JOIN bb ON bb.a = ab.a AND bb.b = ab.b) WHERE k = 1)
 SELECT w2.form_id, w2.ord, texto, CASE WHEN trim(texto) = '' THEN 'vacio' WHEN carrera IS NULL THEN 'no_reconocida' WHEN puntaje IS NULL THEN 'sin_match' ELSE 'analizada' END AS estado, carrera, b AS carrera_test, puntaje, relacion,
  CASE WHEN trim(texto) = '' THEN NULL WHEN carrera IS NULL THEN 'desconocida' WHEN puntaje >= 10 THEN 'alta' WHEN puntaje >= 5 THEN 'media' ELSE 'baja' END AS veredicto, coalesce(puntaje >= 10, false) AS afinidad_alta FROM w2 LEFT JOIN mt ON mt.form_id = w2.form_id AND mt.ord = w2.ord"""
+_CN = f"""ct0 AS (SELECT DISTINCT trim(texto) AS t FROM texts WHERE trim(texto) <> ''), ce AS (SELECT t, min(carrera) AS carrera FROM ct0 JOIN careers ON lower(carrera) = lower(t) GROUP BY t),
+ {_ratio('cr', f"SELECT carrera AS a, t AS b FROM ct0, careers WHERE t NOT IN (SELECT t FROM ce) AND {_REACH.format('t', 'carrera', '0.62D')}")},
+ cb AS (SELECT * FROM ce UNION ALL SELECT b, a FROM (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY sim DESC, a DESC) AS k FROM cr WHERE sim >= 0.62D) WHERE k = 1),
+ cn AS (SELECT t, carrera FROM ct0 LEFT JOIN cb USING (t))"""
+SQL["f12_closest_name"] = f"WITH {_CN} SELECT t AS texto, carrera FROM cn"
+SQL["f13_similarity"] = f"""WITH sq AS (SELECT t.form_id, lower(texto) AS x, c.carrera FROM texts t JOIN careers c ON c.carrera_id = 1 + t.form_id % 60), {_ratio('sr', "SELECT DISTINCT x AS a, carrera AS b FROM sq")}
+SELECT form_id, round(sim, 6) AS bloques, round(1.0D - levenshtein(x, carrera) / CAST(greatest(length(x), length(carrera)) AS DOUBLE), 6) AS edicion FROM sq JOIN sr ON sr.a = x AND sr.b = carrera"""
 SQL["f13_edit_ratio"] = "SELECT t.form_id, round(CASE WHEN greatest(length(texto), length(carrera)) = 0 THEN 1.0D ELSE 1.0D - levenshtein(lower(texto), carrera) / CAST(greatest(length(texto), length(carrera)) AS DOUBLE) END, 6) AS edicion FROM texts t JOIN careers c ON c.carrera_id = 1 + t.form_id % 60"
 
 _INDEX = f"""{_CATALOG}, ia AS (SELECT alias, max(ord) AS ord FROM (SELECT {_NORM.format('carrera')} AS alias, ord FROM cat UNION ALL SELECT unnest(alias), ord FROM cat) GROUP BY alias), ip AS (SELECT ord, unnest(keywords) AS frase FROM cat),
@@ -279,25 +317,46 @@ _SEARCH = f"""{_INDEX}, {_EXP}, qa AS (SELECT DISTINCT {_NORM.format('texto')} A
  nt AS (SELECT rs.q, len([w for w in string_split(rs.q, ' ') if length(w) >= 3]) AS n FROM rs),
  ht AS (SELECT ex.q, ik.ord, 1.0D AS p FROM ex JOIN ik ON ik.token = ex.token WHERE ex.q IN (SELECT q FROM rs) UNION ALL SELECT rs.q, ip.ord, 2.0D FROM rs JOIN ip ON ip.frase = rs.q WHERE rs.q IN (SELECT q FROM tl)),
  hs AS (SELECT ht.q, ht.ord, sum(p) / any_value(n) AS score FROM ht JOIN nt ON nt.q = ht.q GROUP BY ht.q, ht.ord), hb AS (SELECT *, max(score) OVER (PARTITION BY q) AS best FROM hs),
- sr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ord) AS lugar FROM (SELECT * FROM s1 UNION ALL SELECT q, ord, score, 2 FROM hb WHERE best >= 0.34D))"""
-SQL["g4_search"] = f"WITH {_SEARCH} SELECT q, ord, round(score, 6) AS score, CAST(nivel AS INT) AS nivel, CAST(lugar AS INT) AS lugar FROM sr WHERE lugar <= 3"
+ s2 AS (SELECT * FROM s1 UNION ALL SELECT q, ord, score, 2 FROM hb WHERE best >= 0.34D)"""
+_PLACED = "row_number() OVER (PARTITION BY q ORDER BY score DESC, ord) AS lugar"
+_FOUND = "SELECT q, ord, round(score, 6) AS score, CAST(nivel AS INT) AS nivel, CAST(lugar AS INT) AS lugar FROM {0} WHERE lugar <= 3"
+SQL["g4_search"] = f"WITH {_SEARCH}, sr AS (SELECT *, {_PLACED} FROM s2) {_FOUND.format('sr')}"
+_SEARCHF = f"""{_SEARCH}, ph AS (SELECT ord, 0 AS kind, 0 AS pos, {_NORM.format('carrera')} AS x FROM cat UNION ALL SELECT ord, 1, i, alias[i] FROM (SELECT ord, alias, unnest(range(1, len(alias) + 1)) AS i FROM cat) UNION ALL SELECT ord, 2, i, keywords[i] FROM (SELECT ord, keywords, unnest(range(1, len(keywords) + 1)) AS i FROM cat)),
+ fc AS (SELECT q, ord FROM (SELECT q, ord, {_PLACED} FROM hb WHERE best < 0.34D) WHERE lugar <= 8 UNION ALL SELECT rs.q, cat.ord FROM rs, cat WHERE rs.q NOT IN (SELECT q FROM hs)),
+ {_ratio('fz', f"SELECT DISTINCT fc.q AS a, ph.x AS b FROM fc JOIN ph ON ph.ord = fc.ord WHERE {_REACH.format('fc.q', 'ph.x', '0.78D')}")},
+ fs AS (SELECT fc.q, fc.ord, kind, pos, sim, coalesce(max(CASE WHEN kind = 0 THEN sim END) OVER (PARTITION BY fc.q, fc.ord), 0.0D) AS named FROM fc JOIN ph ON ph.ord = fc.ord JOIN fz ON fz.a = fc.q AND fz.b = ph.x),
+ ft AS (SELECT *, min(CASE WHEN kind = 1 AND sim >= 0.85D AND sim > named THEN pos END) OVER (PARTITION BY q, ord) AS stop FROM fs),
+ s3 AS (SELECT q, ord, max(sim) * 0.9D AS score, 3 AS nivel FROM ft WHERE kind <> 1 OR stop IS NULL OR pos <= stop GROUP BY q, ord HAVING max(sim) >= 0.78D),
+ sr AS (SELECT *, {_PLACED} FROM (SELECT * FROM s2 UNION ALL SELECT * FROM s3))"""
+SQL["g5_search_fuzzy"] = f"WITH {_SEARCHF} {_FOUND.format('sr')}"
 _COS = """cu AS (SELECT ord, carrera, nivel, institucion, CASE WHEN m < 1e-9 THEN 0.0D ELSE r / m END AS r, CASE WHEN m < 1e-9 THEN 0.0D ELSE i / m END AS i, CASE WHEN m < 1e-9 THEN 0.0D ELSE a / m END AS a, CASE WHEN m < 1e-9 THEN 0.0D ELSE s / m END AS s, CASE WHEN m < 1e-9 THEN 0.0D ELSE e / m END AS e, CASE WHEN m < 1e-9 THEN 0.0D ELSE c / m END AS c FROM (SELECT *, sqrt(r*r + i*i + a*a + s*s + e*e + c*c) AS m FROM cat)),
  pu AS (SELECT form_id, r / m AS r, i / m AS i, a / m AS a, s / m AS s, e / m AS e, c / m AS c FROM (SELECT *, sqrt(r*r + i*i + a*a + s*s + e*e + c*c) AS m FROM person_profiles))"""
 _DOT = "({0}.r * {1}.r + {0}.i * {1}.i + {0}.a * {1}.a + {0}.s * {1}.s + {0}.e * {1}.e + {0}.c * {1}.c)"
 SQL["g6_cosine_affinity"] = f"WITH {_CATALOG}, {_COS} SELECT form_id, ord, round({_DOT.format('pu', 'cu')}, 6) AS afinidad FROM pu, cu"
 _CTX = "greatest(0.0D, least(1.0D, 0.5D + CASE WHEN {0} IS NULL THEN 0.0D WHEN list_contains(cu.nivel, {0}) THEN 0.25D ELSE -0.20D END + CASE WHEN {1} IS NULL THEN 0.0D WHEN list_contains(cu.institucion, {1}) THEN 0.25D ELSE -0.15D END))"
-SQL["g7_context_score"] = f"WITH {_CATALOG}, {_COS}, pf AS (SELECT form_id, nivel_max AS n, CASE WHEN institucion <> 'indiferente' THEN institucion END AS t FROM prefs) SELECT form_id, ord, round({_CTX.format('n', 't')}, 6) AS contexto FROM pf, cu"
-_REC = f"""{_SEARCH}, {_COS}, rq AS (SELECT p.form_id, texto, {_NORM.format('texto')} AS q, CASE WHEN nivel_max <> 'sin_especificar' THEN nivel_max END AS n, CASE WHEN institucion <> 'indiferente' THEN institucion END AS t FROM proposals p JOIN prefs f ON f.form_id = p.form_id),
+_REC = f"""{_SEARCHF}, {_COS}, rq AS (SELECT p.form_id, texto, {_NORM.format('texto')} AS q, CASE WHEN nivel_max <> 'sin_especificar' THEN nivel_max END AS n, CASE WHEN institucion <> 'indiferente' THEN institucion END AS t FROM proposals p JOIN prefs f ON f.form_id = p.form_id),
  r1 AS (SELECT rq.form_id, sr.ord, cu.carrera, texto, {_DOT.format('pu', 'cu')} AS afinidad, sr.score AS "match", {_CTX.format('rq.n', 'rq.t')} AS contexto FROM rq JOIN sr ON sr.q = rq.q AND sr.lugar <= 3 AND sr.score >= 0.30D JOIN cu ON cu.ord = sr.ord JOIN pu ON pu.form_id = rq.form_id),
  r2 AS (SELECT *, 0.55D * afinidad + 0.30D * "match" + 0.15D * contexto AS score FROM r1), r3 AS (SELECT *, row_number() OVER (PARTITION BY form_id, ord ORDER BY score DESC, texto) AS k FROM r2),
  rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY score DESC, ord) AS lugar FROM r3 WHERE k = 1) WHERE lugar <= 3)"""
+SQL["g7_context_score"] = f"WITH {_REC} SELECT DISTINCT rq.form_id, sr.ord, round({_CTX.format('rq.n', 'rq.t')}, 6) AS contexto FROM rq JOIN sr ON sr.q = rq.q AND sr.lugar <= 3 JOIN cu ON cu.ord = sr.ord"
 SQL["g8_recommend"] = f'WITH {_REC} SELECT form_id, CAST(lugar AS INT) AS lugar, ord, texto, round(afinidad, 6) AS afinidad, round("match", 6) AS "match", round(contexto, 6) AS contexto, round(score, 6) AS score FROM rec'
 SQL["g9_coherence"] = f"""WITH {_REC}, pq AS (SELECT x.form_id, avg({_DOT.format('cx', 'cy')}) AS m FROM rec x JOIN rec y ON y.form_id = x.form_id AND x.lugar < y.lugar JOIN cu cx ON cx.ord = x.ord JOIN cu cy ON cy.ord = y.ord GROUP BY x.form_id)
 SELECT f.form_id, round(coalesce(pq.m, 0.5D), 6) AS coherencia FROM (SELECT DISTINCT form_id FROM rec) f LEFT JOIN pq ON pq.form_id = f.form_id"""
 SQL["g10_conflict_alert"] = f"WITH {_REC} SELECT form_id, afinidad < 0.60D AS alerta FROM rec WHERE lugar = 1"
-SQL["g11_unmatched"] = f"""WITH {_SEARCH}, {_COS}, lo AS (SELECT p.form_id, p.texto FROM proposals p WHERE trim(p.texto) <> '' AND {_NORM.format('p.texto')} NOT IN (SELECT q FROM sr WHERE lugar <= 3 AND score >= 0.30D)),
+SQL["g11_unmatched"] = f"""WITH {_SEARCHF}, {_COS}, lo AS (SELECT p.form_id, p.texto FROM proposals p WHERE trim(p.texto) <> '' AND {_NORM.format('p.texto')} NOT IN (SELECT q FROM sr WHERE lugar <= 3 AND score >= 0.30D)),
  af AS (SELECT form_id, carrera, row_number() OVER (PARTITION BY form_id ORDER BY round({_DOT.format('pu', 'cu')}, 9) DESC, ord) AS k FROM pu, cu WHERE form_id IN (SELECT form_id FROM lo)), al2 AS (SELECT form_id, string_agg(carrera, ',' ORDER BY k) AS alternativas FROM af WHERE k <= 3 GROUP BY form_id)
 SELECT lo.form_id, lo.texto, alternativas FROM lo LEFT JOIN al2 ON al2.form_id = lo.form_id"""
+# The main catalogue has the recommended names themselves.
+SQL["g15_interpret"] = f"""WITH {_REC.replace('WHERE lugar <= 3)', 'WHERE lugar <= 5)')}, vl AS (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY lugar) AS v FROM rec WHERE "match" >= 0.30D)
+SELECT form_id, max(carrera) FILTER (v = 1) AS carrera, round(max("match") FILTER (v = 1), 6) AS "match", round(max(afinidad) FILTER (v = 1), 6) AS afinidad, round(max(score) FILTER (v = 1), 6) AS score, coalesce(string_agg(carrera, ',' ORDER BY v) FILTER (v > 1), '') AS alternativas FROM vl GROUP BY form_id"""
+_SAY = {k: v.replace("'", "''") for k, v in SENTENCES.items()}
+_AREA = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in AREAS.items()) + " END"
+SQL["g12_explain"] = f"""WITH {_REC}, pq AS (SELECT x.form_id, avg({_DOT.format('cx', 'cy')}) AS m FROM rec x JOIN rec y ON y.form_id = x.form_id AND x.lugar < y.lugar JOIN cu cx ON cx.ord = x.ord JOIN cu cy ON cy.ord = y.ord GROUP BY x.form_id),
+ lt AS (SELECT form_id, unnest(['r', 'i', 'a', 's', 'e', 'c']) AS l, unnest([r, i, a, s, e, c]) AS x, unnest([0, 1, 2, 3, 4, 5]) AS ix FROM person_profiles), lo2 AS (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY x DESC, ix) AS k FROM lt),
+ ar AS (SELECT form_id, max({_AREA.format('l')}) FILTER (k = 1) AS n1, max(x) FILTER (k = 1) AS x1, max({_AREA.format('l')}) FILTER (k = 2) AS n2, max(x) FILTER (k = 2) AS x2 FROM lo2 GROUP BY form_id),
+ ch AS (SELECT form_id, max(carrera) FILTER (lugar = 1) AS c1, max(afinidad) FILTER (lugar = 1) AS a1, max("match") FILTER (lugar = 1) AS m1, max(carrera) FILTER (lugar = 2) AS c2, max(afinidad) FILTER (lugar = 2) AS a2 FROM rec GROUP BY form_id)
+SELECT ar.form_id, CASE WHEN c1 IS NULL THEN '{_SAY['none']}' ELSE concat_ws(' ', printf('{_SAY['areas']}', n1, x1, n2, x2), printf('{_SAY['first']}', c1, a1, m1), CASE WHEN c2 IS NOT NULL THEN printf('{_SAY['second']}', c2, a2) END, CASE WHEN a1 < 0.60D THEN '{_SAY['alert']}' END,
+ CASE WHEN coalesce(m, 0.5D) < 0.55D THEN printf('{_SAY['apart']}', coalesce(m, 0.5D)) WHEN m > 0.80D THEN printf('{_SAY['together']}', m) END) END AS razonamiento FROM ar LEFT JOIN ch ON ch.form_id = ar.form_id LEFT JOIN pq ON pq.form_id = ar.form_id"""
 SQL["g13_empty_requests"] = "SELECT form_id, 0.0D AS coherencia, 'No ingresaste ninguna carrera para evaluar.' AS mensaje FROM forms WHERE form_id NOT IN (SELECT form_id FROM texts WHERE trim(texto) <> '')"
 SQL["g14_dedupe_requests"] = "SELECT texto, CASE WHEN nivel_max <> 'sin_especificar' THEN nivel_max END AS nivel, CASE WHEN institucion <> 'indiferente' THEN institucion END AS institucion, count(*) AS n FROM proposals p JOIN prefs f ON f.form_id = p.form_id GROUP BY 1, 2, 3"
 
@@ -312,12 +371,18 @@ _VOC = "CAST(8 * CAST(list_contains(ty.ts, {0}.tipo1) AS INT) + 8 * CAST(list_co
 SQL["h3_type_score"] = f"WITH {_TS} SELECT t.form_id, c.carrera, t.tipo1, t.tipo2, {_VOC.format('t')} AS s_voc FROM tops t JOIN careers c ON c.carrera_id = 1 + t.form_id % 60 JOIN ty ON ty.carrera = c.carrera LEFT JOIN rl2 ra ON ra.tipo = t.tipo1 LEFT JOIN rl2 rb ON rb.tipo = t.tipo2"
 _SIM = """sim AS (SELECT x.carrera AS a, y.carrera AS b, CASE WHEN x.carrera = y.carrera THEN 0.0D ELSE CAST(CASE WHEN len(list_intersect(gx.gs, gy.gs)) > 0 THEN 4 ELSE 0 END + 2 * least(len(list_intersect(kx.ks, ky.ks)), 3) + 3 * len(list_intersect(tx.ts, ty2.ts)) AS DOUBLE) END AS similitud
  FROM careers x CROSS JOIN careers y JOIN g2 gx ON gx.carrera = x.carrera JOIN g2 gy ON gy.carrera = y.carrera JOIN k2 kx ON kx.carrera = x.carrera JOIN k2 ky ON ky.carrera = y.carrera JOIN ty tx ON tx.carrera = x.carrera JOIN ty ty2 ON ty2.carrera = y.carrera)"""
-SQL["h4_career_similarity"] = f"WITH {_AFF}, {_TS}, {_SIM} SELECT a, b, similitud FROM sim"
-_CAND = f"""{_SUG}, {_RES}, {_TS}, {_SIM}, prp AS (SELECT form_id, res.carrera, min(ord) AS ord FROM proposals p JOIN res ON res.q = {_NORM.format('p.texto')} GROUP BY form_id, res.carrera),
+_FREE = f"""{_SEARCHF}, {_COS}, {_CN}, pw AS (SELECT p.form_id, p.ord, trim(p.texto) AS t, {_NORM.format('p.texto')} AS q, cn.carrera AS named FROM proposals p JOIN cn ON cn.t = trim(p.texto)),
+ fr AS (SELECT pw.form_id, pw.ord AS ix, cu.ord, cu.carrera, {_DOT.format('pu', 'cu')} AS afinidad, sr.score AS "match" FROM pw JOIN sr ON sr.q = pw.q AND sr.lugar <= 3 AND sr.score >= 0.30D JOIN cu ON cu.ord = sr.ord JOIN pu ON pu.form_id = pw.form_id WHERE named IS NULL),
+ fp AS (SELECT *, 0.55D * afinidad + 0.30D * "match" + 0.15D * 0.5D AS score, row_number() OVER (PARTITION BY form_id, ix ORDER BY 0.55D * afinidad + 0.30D * "match" + 0.15D * 0.5D DESC, ord) AS k FROM fr),
+ fi AS (SELECT form_id, ix, max(carrera) FILTER (k = 1) AS carrera, max("match") FILTER (k = 1) AS "match", max(afinidad) FILTER (k = 1) AS afinidad, max(score) FILTER (k = 1) AS score, coalesce(string_agg(carrera, ',' ORDER BY k) FILTER (k > 1), '') AS alternativas FROM fp GROUP BY form_id, ix),
+ rp AS (SELECT pw.form_id, pw.ord, pw.t AS texto, CASE WHEN named IS NOT NULL THEN 'nombre' WHEN fi.carrera IS NOT NULL THEN 'interpretada' ELSE 'no_encontrada' END AS origen, coalesce(named, fi.carrera) AS carrera, "match", afinidad, score, alternativas FROM pw LEFT JOIN fi ON fi.form_id = pw.form_id AND fi.ix = pw.ord)"""
+SQL["h8_proposals"] = f'WITH {_FREE} SELECT form_id, ord, texto, origen, carrera, round("match", 6) AS "match", round(afinidad, 6) AS afinidad, round(score, 6) AS score, alternativas FROM rp'
+_CAND = f"""{_SUG}, {_FREE}, {_TS}, {_SIM}, prp AS (SELECT form_id, carrera, min(ord) AS ord FROM rp WHERE carrera IS NOT NULL GROUP BY form_id, carrera),
  tst AS (SELECT s.form_id, carrera, CASE WHEN es_principal THEN 0 ELSE 2 END + CASE WHEN s.tipo = t.tipo1 THEN 1 ELSE 2 END AS ord FROM sug s JOIN tops t ON t.form_id = s.form_id),
  un AS (SELECT form_id, carrera, min(o) AS o, bool_or(o < 100) AS en_test, bool_or(o >= 100) AS en_alumno FROM (SELECT form_id, carrera, ord AS o FROM tst UNION ALL SELECT form_id, carrera, 100 + ord FROM prp) GROUP BY form_id, carrera),
  cand AS (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY o, carrera) AS ord FROM un)"""
 _MEAN = "(SELECT avg(similitud) FROM {0} l JOIN sim ON sim.a = c.carrera AND sim.b = l.carrera WHERE l.form_id = c.form_id AND l.carrera <> c.carrera)"
+SQL["h4_career_similarity"] = f"WITH {_CAND} SELECT DISTINCT a, b, similitud FROM cand x JOIN cand y ON y.form_id = x.form_id AND y.carrera <> x.carrera JOIN sim ON sim.a = x.carrera AND sim.b = y.carrera"
 SQL["h5_list_affinity"] = f"WITH {_CAND} SELECT c.form_id, c.carrera, round(coalesce(m, 0.0D), 6) AS afinidad FROM tst c LEFT JOIN (SELECT c.form_id, c.carrera, avg(similitud) AS m FROM tst c JOIN prp l ON l.form_id = c.form_id AND l.carrera <> c.carrera JOIN sim ON sim.a = c.carrera AND sim.b = l.carrera GROUP BY ALL) x ON x.form_id = c.form_id AND x.carrera = c.carrera"
 _SCD = f"""{_CAND}, ma AS (SELECT c.form_id, c.carrera, avg(similitud) AS m FROM cand c JOIN prp l ON l.form_id = c.form_id AND l.carrera <> c.carrera JOIN sim ON sim.a = c.carrera AND sim.b = l.carrera GROUP BY ALL),
  mb AS (SELECT c.form_id, c.carrera, avg(similitud) AS m FROM cand c JOIN tst l ON l.form_id = c.form_id AND l.carrera <> c.carrera JOIN sim ON sim.a = c.carrera AND sim.b = l.carrera GROUP BY ALL),

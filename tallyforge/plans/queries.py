@@ -22,10 +22,18 @@ class Views:
     """The views of a data folder as attributes."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.done, self.kept = spark, sf_dir, {}, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, name, self.kept)
+
+    def keep(self, *names: str) -> None:
+        """Write these views, in this order; all views that follow read the files."""
+        for name in names:
+            if name not in self.kept:
+                path = shared_path(self.spark, name)
+                getattr(self, name).write.parquet(path)
+                self.kept[name] = path
 
 
 def query(fn: Callable[[Views], DataFrame]):
@@ -33,6 +41,18 @@ def query(fn: Callable[[Views], DataFrame]):
     return fn
 
 
+def once(fn):
+    """Written at its first use in a query and read by all that follow."""
+
+    def settled(v: Views, *args):
+        key = (fn.__name__, *args)
+        if key not in v.done:
+            v.done[key] = settle(fn(v, *args), fn.__name__.strip("_"))
+        return v.done[key]
+
+    return settled
+
+
 def joined(*cols: str):
     """Array columns as text, which every engine compares alike."""
     return {c: F.array_join(c, ",") for c in cols}
@@ -115,36 +135,51 @@ def a7_run_batch(v):
     return ingest.run_batch(v.files.select("page_id", "nombre"), parse_or_fail, "page_id long, edad int").withColumn("edad", F.when(F.col("ok"), F.col("edad")))
 
 
-def _affinity_doc(v):
-    """The flat catalogue as one nested JSON document: as large as the catalogue."""
+def _written(v, doc: DataFrame, tag: str) -> str:
+    """The path of a JSON file that holds the only value of `doc`: a catalogue is one document."""
+    path = shared_path(v.spark, tag)
+    doc.write.text(path)
+    return path
+
+
+def _affinity_file(v):
+    """The flat catalogue as a nested JSON file."""
     lists = v.career_types.groupBy("tipo").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "carrera"))), lambda s: s["carrera"]).alias("l"))
     carreras = lists.agg(F.map_from_entries(F.collect_list(F.struct("tipo", "l"))).alias("carreras"))
     words = v.career_keywords.groupBy("carrera").agg(F.collect_list("palabra").alias("l")).agg(F.map_from_entries(F.collect_list(F.struct("carrera", "l"))).alias("palabras_clave"))
     rules = v.pair_rules.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "a", "b", "razon"))), lambda r: F.struct(F.array(r["a"], r["b"]).alias("carreras"), r["razon"].alias("razon"))).alias("reglas"))
     one = carreras.crossJoin(words).crossJoin(rules)  # a row each
-    doc = one.select(F.to_json(F.struct("*", F.struct(F.lit(4).alias("peso_grupo")).alias("config"))).alias("j"))
-    return doc.select(F.from_json("j", ingest.AFFINITY_SCHEMA).alias("d")).select("d.*")
+    return _written(v, one.select(F.to_json(F.struct("*", F.struct(F.lit(4).alias("peso_grupo")).alias("config"))).alias("j")), "affinity")
 
 
 @query
 def a8_load_affinity(v):
-    flat = ingest.flatten_affinity(_affinity_doc(v))
+    flat = ingest.load_affinity(v.spark, _affinity_file(v))
     out = flat["types"].select(F.lit("types").alias("tabla"), F.col("tipo").alias("x"), F.col("carrera").alias("y"), F.col("ord").cast("string").alias("z"))
     out = out.unionByName(flat["keywords"].select(F.lit("keywords").alias("tabla"), F.col("carrera").alias("x"), F.col("palabra").alias("y"), F.lit("").alias("z")))
     out = out.unionByName(flat["rules"].select(F.lit("rules").alias("tabla"), F.col("a").alias("x"), F.col("b").alias("y"), F.col("razon").alias("z")))
     return out.unionByName(flat["weights"].select(F.lit("weights").alias("tabla"), F.col("peso_regla_especial").cast("string").alias("x"), F.col("peso_grupo").cast("string").alias("y"), F.col("peso_palabra_clave").cast("string").alias("z")))
 
 
-def _catalog(v, keywords: bool = True) -> DataFrame:
-    """The semantic catalogue: ord, carrera, nivel, institucion, the six letters, alias, keywords."""
-    level = F.when(F.col("carrera_id") % 3 == 0, F.lit('["universitario","tecnico"]')).when(F.col("carrera_id") % 3 == 1, F.lit("universitario"))
-    place = F.when(F.col("carrera_id") % 2 == 0, F.lit("publica")).otherwise(F.lit('["publica","privada"]'))
+def _catalog_file(v):
+    """The semantic catalogue as a JSON file: level and institution as a list, a single value or left out, profiles and aliases left out here and there."""
+    level = F.when(F.col("carrera_id") % 3 == 0, F.lit('["universitario","tecnico"]')).when(F.col("carrera_id") % 3 == 1, F.lit('"universitario"'))
+    place = F.when(F.col("carrera_id") % 2 == 0, F.lit('"publica"')).otherwise(F.lit('["publica","privada"]'))
     words = F.array(F.split_part("carrera", F.lit(" "), F.lit(1)), F.split_part("carrera", F.lit(" "), F.lit(2)), F.concat(F.lit("k"), (F.col("carrera_id") % 5).cast("string")))
-    raw = v.profiles.select(
-        F.col("carrera_id").alias("ord"), F.col("carrera").alias("nombre"), F.lit("area").alias("area"), level.alias("nivel"), place.alias("institucion"),
-        F.when(F.col("carrera_id") % 11 != 0, F.array("r", "i", "a", "s", "e", "c")).alias("perfil_riasec"), words.alias("keywords"), F.when(F.col("carrera_id") % 4 == 0, F.array(F.concat(F.lit("al"), F.col("carrera_id").cast("string")))).alias("alias"),
-    )
-    c = ingest.normalize_catalog(raw)
+    rest = F.to_json(F.struct(
+        F.col("carrera").alias("nombre"), F.lit("area").alias("area"), words.alias("keywords"),
+        F.when(F.col("carrera_id") % 11 != 0, F.array("r", "i", "a", "s", "e", "c")).alias("perfil_riasec"),
+        F.when(F.col("carrera_id") % 4 == 0, F.array(F.concat(F.lit("al"), F.col("carrera_id").cast("string")))).alias("alias"),
+    ))
+    entry = F.concat(F.lit('{"institucion":'), place, F.coalesce(F.concat(F.lit(',"nivel":'), level), F.lit("")), F.lit(","), F.substr(rest, F.lit(2)))
+    listed = v.profiles.select("carrera_id", entry.alias("e")).agg(F.array_sort(F.collect_list(F.struct("carrera_id", "e"))).alias("l"))
+    return _written(v, listed.select(F.concat(F.lit('{"carreras":['), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("]}"))), "catalog")
+
+
+@once
+def _catalog(v) -> DataFrame:
+    """The semantic catalogue: ord, carrera, nivel, institucion, the six letters, alias, keywords."""
+    c = ingest.load_catalog(v.spark, _catalog_file(v))
     return c.select("ord", F.col("nombre").alias("carrera"), "nivel", "institucion", *[F.col("perfil")[i].alias(x) for i, x in enumerate(recommend.LETTERS)], "keywords", "alias")
 
 
@@ -159,8 +194,26 @@ def a10_with_batch_fields(v):
     return ingest.with_batch_fields(df, "d", ie="Colegio", grado="5", nivel="COMPLETA").select("form_id", "ie", "grado", "nivel", "fecha")
 
 
+@once
+def _best_pairs(v):
+    v.keep("careers")
+    return affinity.best_two_pairs(_scored_pairs(v))
+
+
+@once
 def _suggested(v):
-    return affinity.suggest(v.tops, settle(affinity.best_two_pairs(_scored_pairs(v)), "pairs"))
+    v.keep("tops")
+    return affinity.suggest(v.tops, _best_pairs(v))
+
+
+def _rows(tables: dict[str, DataFrame], key: str = "form_id") -> DataFrame:
+    """Every row of every table, as tabla, the key and the other columns as one text."""
+    out = None
+    for name, df in tables.items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns if c != key])
+        part = df.select(F.lit(name).alias("tabla"), F.col(key).cast("long").alias(key), text.alias("fila"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
@@ -168,7 +221,7 @@ def a11_write_evaluation(v):
     tables = ingest.evaluation_tables(v.forms, v.marks_state, v.ranked, _suggested(v))
     dest = shared_path(v.spark, "evaluation")
     ingest.write_evaluation(tables, dest)
-    return monitor.row_counts({name: v.spark.read.parquet(f"{dest}/{name}") for name in tables})
+    return _rows({name: v.spark.read.parquet(f"{dest}/{name}") for name in tables})
 
 
 @query
@@ -197,8 +250,8 @@ def a15_export(v):
 
 @query
 def a16_delete_forms(v):
-    tables = ingest.delete_forms({"formulario": v.forms, "marca": v.marks_state, "resultado": v.normed}, v.forms.where("form_id % 7 = 0"))
-    return monitor.row_counts(tables)
+    scores = v.normed.select("form_id", "tipo", "pd", "baremo")
+    return _rows(ingest.delete_forms({"formulario": v.forms.select("form_id", "nombre", "sexo"), "marca": v.marks_state.select("form_id", "item", "opcion"), "resultado": scores}, v.forms.where("form_id % 7 = 0")))
 
 
 # ---- items, marks, validation
@@ -320,7 +373,7 @@ def c3_quadrant_symmetry(v):
 
 @query
 def c4_gray_variance(v):
-    return rounded(layout.gray_variance(v.pixels), 9)
+    return rounded(layout.gray_variance(v.pixels), 7)
 
 
 @query
@@ -354,16 +407,22 @@ def c9_cluster_coords(v):
 
 @query
 def c10_cuts_to_intervals(v):
-    return layout.cuts_to_intervals(v.cuts.where("pos % 3 > 0").distinct(), PAGE)
+    return layout.cuts_to_intervals(v.cuts.distinct(), PAGE)
+
+
+def _page_pixels(v):
+    """Pixels of pages of up to 50 cells, one above the other: a document has as many pages as it needs."""
+    return v.pixels.select(F.floor(F.col("cell_id") / 50).alias("page_id"), (F.col("cell_id") % 50 * 16 + F.col("y")).cast("int").alias("y"), "x", "ink")
 
 
 def _line_pixels(v):
-    """Line pixels of pages 40 columns wide: the ink of documents, a row of text for each 40 characters."""
-    return v.pixels.select((F.col("cell_id") % 50).alias("page_id"), (F.floor(F.col("cell_id") / 50) * 16 + F.col("y")).cast("int").alias("y"), "x", "ink").where("ink = 1").distinct().withColumn("w", F.lit(24))
+    return _page_pixels(v).where("ink = 1").distinct().withColumn("w", F.lit(24))
 
 
 def _line_cuts(v):
-    return v.nation.select(F.col("n_nationkey").alias("page_id"), F.explode(F.array(*[F.lit(x) for x in (0, 8, 16, 24, 48, 56, 90, 98)])).alias("pos"))
+    """Cuts down the whole height of every page, at uneven distances that repeat every 98 rows."""
+    parts = _page_pixels(v).select("page_id", F.floor(F.col("y") / 98).cast("int").alias("part")).distinct()
+    return parts.select("page_id", F.explode(F.array(*[F.col("part") * 98 + x for x in (0, 8, 16, 24, 48, 56, 90)])).alias("pos"))
 
 
 @query
@@ -371,13 +430,13 @@ def c11_insert_missing_cuts(v):
     return layout.insert_missing_cuts(_line_cuts(v), _line_pixels(v), PAGE)
 
 
-def _rows(v):
+def _intervals(v):
     return layout.cuts_to_intervals(layout.cluster_coords(v.cuts, 12, PAGE), PAGE)
 
 
 @query
 def c12_fit_rows(v):
-    return layout.fit_rows(_rows(v).where((F.col("page_id") % 3 > 0) | (F.col("fila") <= 44)), 40, PAGE)
+    return layout.fit_rows(_intervals(v), 40, PAGE)
 
 
 @query
@@ -387,24 +446,25 @@ def c13_uniform_grid(v):
 
 @query
 def c14_best_cut_pair(v):
-    return layout.best_cut_pair(v.cuts.distinct(), v.supplier.select(F.col("s_suppkey").alias("page_id"), (200 + F.col("s_suppkey") * 53 % 900).cast("int").alias("w")), PAGE)
+    return layout.best_cut_pair(v.cuts.distinct(), v.cuts.select("page_id").distinct().withColumn("w", (200 + F.col("page_id") * 53 % 900).cast("int")), PAGE)
 
 
 @query
 def c15_filter_boxes(v):
-    return layout.filter_boxes(v.boxes.where("box_id % 5 = 0 OR page_id % 4 = 0"), 1000, 1000, PAGE)
+    return layout.filter_boxes(v.boxes, 1000, 1000, PAGE)
 
 
 @query
 def c16_assign_items(v):
-    rows = _rows(v).withColumn("tabla", (1 + F.col("y1") % 3).cast("int")).withColumn("y2", F.when(F.col("fila") % 9 == 0, F.col("y1") + 2).otherwise(F.col("y2")))
+    rows = _intervals(v).withColumn("tabla", (1 + F.col("y1") % 3).cast("int")).withColumn("y2", F.when(F.col("fila") % 9 == 0, F.col("y1") + 2).otherwise(F.col("y2")))
     return layout.assign_items(rows, {"E": 33, "P": 47, "H": 38}, PAGE).select("page_id", "item", "y1", "y2")
 
 
 @query
 def c17_pixels_to_cells(v):
-    px = v.pixels.select((F.col("cell_id") % 50).alias("page_id"), (F.floor(F.col("cell_id") / 50) * 16 + F.col("y")).cast("int").alias("y"), "x", "ink")
-    cells = v.nation.select(F.col("n_nationkey").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(30))).alias("cell")).select("page_id", "cell", (F.col("cell") * 10).alias("y1"), (F.col("cell") * 10 + 7).alias("y2"), F.lit(4).alias("x1"), F.lit(19).alias("x2"))
+    px = _page_pixels(v)
+    heights = px.groupBy("page_id").agg(F.max("y").alias("top"))
+    cells = heights.select("page_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("top") / 10).cast("int"))).alias("cell")).select("page_id", "cell", (F.col("cell") * 10).alias("y1"), (F.col("cell") * 10 + 7).alias("y2"), F.lit(4).alias("x1"), F.lit(19).alias("x2"))
     return layout.pixels_to_cells(px, cells, PAGE).groupBy("page_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("ink").alias("tinta"), F.max("cy").alias("cy"), F.max("cx").alias("cx"))
 
 
@@ -484,7 +544,7 @@ def d13_classify_forms(v):
 
 @query
 def d14_form_outcome(v):
-    problems = v.supplier.where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("form_id"), F.lit(1).alias("n_problemas"))
+    problems = v.signals.where("form_id % 4 = 0").select("form_id").distinct().withColumn("n_problemas", F.lit(1))
     return classify.form_outcome(_classified(v), problems)
 
 
@@ -635,10 +695,12 @@ def f2_symmetric_rules(v):
     return affinity.symmetric_rules(v.pair_rules.unionByName(v.pair_rules.where("ord % 8 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("later").alias("razon"), (F.col("ord") + 100).alias("ord"))))
 
 
+@once
 def _sets(v):
-    return settle(affinity.career_sets(v.careers, v.career_groups, v.career_keywords), "sets")
+    return affinity.career_sets(v.careers, v.career_groups, v.career_keywords)
 
 
+@once
 def _scored_pairs(v):
     return affinity.pair_affinity(affinity.type_pairs(v.career_types), _sets(v), affinity.symmetric_rules(v.pair_rules), v.related_types)
 
@@ -665,7 +727,7 @@ def f6_suggest(v):
 
 @query
 def f7_normalize_text(v):
-    raw = v.texts.select("form_id", F.concat("texto", F.lit("  Ñandú-É#"), F.col("form_id").cast("string")).alias("texto"))
+    raw = v.texts.select("form_id", F.concat("texto", F.lit("  Ñandú-É# Ő ř ǎ Š "), F.col("form_id").cast("string")).alias("texto"))
     return raw.select("form_id", T.normalize("texto").alias("map"), T.normalize("texto", "strip").alias("strip"))
 
 
@@ -684,8 +746,10 @@ def f9_verdict(v):
     return _scored_pairs(v).select("tipo_a", "tipo_b", "a", "b", affinity.verdict().alias("veredicto"))
 
 
+@once
 def _resolved(v, fuzzy=True):
-    return settle(affinity.resolve_names(v.texts, settle(v.careers, "careers"), v.aliases, v.career_keywords, fuzzy), "resolved")
+    v.keep("careers", "texts")
+    return affinity.resolve_names(v.texts, v.careers, v.aliases, v.career_keywords, fuzzy)
 
 
 @query
@@ -700,11 +764,17 @@ def f10_resolve_names_fuzzy(v):
 
 @query
 def f11_analyze_written(v):
-    return affinity.analyze_written(v.proposals, _suggested(v).select("form_id", "carrera"), _resolved(v, False), affinity.career_index(v.career_types), _sets(v), affinity.symmetric_rules(v.pair_rules), v.related_types)
+    return affinity.analyze_written(v.proposals, _suggested(v).select("form_id", "carrera"), _resolved(v), affinity.career_index(v.career_types), _sets(v), affinity.symmetric_rules(v.pair_rules), v.related_types)
 
 
 @query
 def f12_closest_name(v):
+    return _named(v)
+
+
+@once
+def _named(v):
+    v.keep("careers", "texts")
     return affinity.closest_name(v.texts, v.careers)
 
 
@@ -746,20 +816,20 @@ def g3_expand_tokens(v):
     return recommend.expand_tokens(words, v.expansions)
 
 
-def _matches(v, fuzzy=False):
-    c = settle(_catalog(v), "catalog")
-    index = {name: settle(df, name) for name, df in recommend.search_index(c).items()}
-    return settle(recommend.search(settle(v.texts, "texts"), index, settle(v.expansions, "expansions"), c if fuzzy else None), "matches")
+@once
+def _matches(v, fuzzy=True):
+    v.keep("careers", "texts")
+    return recommend.search(v.texts, recommend.search_index(_catalog(v)), v.expansions, _catalog(v) if fuzzy else None)
 
 
 @query
 def g4_search(v):
-    return rounded(_matches(v))
+    return rounded(_matches(v, False))
 
 
 @query
 def g5_search_fuzzy(v):
-    return rounded(_matches(v, True))
+    return rounded(_matches(v))
 
 
 @query
@@ -773,13 +843,15 @@ def _requests(v):
 
 @query
 def g7_context_score(v):
-    c = _catalog(v)
-    r = v.prefs.crossJoin(F.broadcast(c.select("ord", F.col("nivel").alias("niveles"), F.col("institucion").alias("instituciones"))))
-    return r.select("form_id", "ord", F.round(recommend.context_score(F.col("nivel_max"), F.when(F.col("institucion") != "indiferente", F.col("institucion")), F.col("niveles"), F.col("instituciones")), 6).alias("contexto"))
+    """Of each form and the entries that its texts match."""
+    asked = _requests(v).withColumn("q", T.normalize("texto")).join(_matches(v).select("q", "ord"), "q").select("form_id", "nivel", "institucion", "ord").distinct()
+    r = asked.join(_catalog(v).select("ord", F.col("nivel").alias("niveles"), F.col("institucion").alias("instituciones")), "ord")
+    return r.select("form_id", "ord", F.round(recommend.context_score(F.col("nivel"), F.col("institucion"), F.col("niveles"), F.col("instituciones")), 6).alias("contexto"))
 
 
-def _recommended(v, fuzzy=False, k=3):
-    return settle(recommend.recommend(_requests(v), v.person_profiles, _matches(v, fuzzy), _catalog(v), k), "recommended")
+@once
+def _recommended(v, k=3):
+    return recommend.recommend(_requests(v), v.person_profiles, _matches(v), _catalog(v), k)
 
 
 @query
@@ -820,11 +892,15 @@ def g14_dedupe_requests(v):
     return of.groupBy("request_key").agg(F.count(F.lit(1)).alias("n")).join(unique, "request_key").drop("request_key")
 
 
+def _official(v, recommended):
+    """The main catalogue's name of every recommended entry."""
+    return settle(affinity.closest_name(recommended.select(F.col("carrera").alias("texto")).distinct(), v.careers), "official")
+
+
 @query
 def g15_interpret(v):
-    r = _recommended(v, True, 5)
-    names = affinity.closest_name(r.select(F.col("carrera").alias("texto")).distinct(), v.careers)
-    return rounded(recommend.interpret(r, names).withColumns(joined("alternativas")))
+    r = _recommended(v, 5)
+    return rounded(recommend.interpret(r, _official(v, r)).withColumns(joined("alternativas")))
 
 
 # ---- proposals
@@ -845,8 +921,9 @@ def h2_affordable(v):
     return proposal.affordable(df.withColumn("nivel", F.coalesce("nivel", F.lit("universitario"))), _places(v)).select("form_id", "carrera", "financiable", "descarte")
 
 
+@once
 def _types(v):
-    return settle(proposal.type_sets(affinity.career_index(v.career_types)), "types")
+    return proposal.type_sets(affinity.career_index(v.career_types))
 
 
 @query
@@ -855,41 +932,62 @@ def h3_type_score(v):
     return proposal.type_score(df, _types(v), v.related_types)
 
 
-def _similarity(v):
-    return settle(proposal.career_similarity(_sets(v), _types(v)), "similarity")
+@once
+def _interpreted(v):
+    """Texts that no name is similar to, read as free text: each is a request of its own, without wishes."""
+    v.keep("proposals")
+    open_ = v.proposals.withColumn("texto", F.trim("texto")).join(_named(v).where("carrera IS NULL").select("texto"), "texto")
+    asked = settle(open_.select("form_id", "ord", "texto"), "open")
+    key = F.concat_ws("-", "form_id", "ord")
+    none = F.lit(None).cast("string")
+    requests = asked.select(key.alias("form_id"), "texto", none.alias("nivel"), none.alias("institucion"))
+    profiles = asked.select("form_id", key.alias("key")).join(v.person_profiles, "form_id").drop("form_id").withColumnRenamed("key", "form_id")
+    r = settle(recommend.recommend(requests, profiles, _matches(v), _catalog(v), 5), "free")
+    found = recommend.interpret(r, _official(v, r)).withColumnRenamed("form_id", "key")
+    return asked.select("form_id", "ord", key.alias("key")).join(found, "key").drop("key")
 
 
-@query
-def h4_career_similarity(v):
-    return _similarity(v)
+@once
+def _proposals(v):
+    return proposal.resolve_proposals(v.proposals, _named(v), _interpreted(v))
 
 
+@once
 def _proposed(v):
-    """Proposed entries by the non-fuzzy tiers, at the first place each has."""
-    w = v.proposals.withColumn("texto_norm", T.normalize("texto")).join(_resolved(v, False), "texto_norm")
-    return settle(w.groupBy("form_id", "carrera").agg(F.min("ord").alias("ord")), "proposed")
+    return proposal.proposed_entries(_proposals(v))
 
 
+@once
 def _tested(v):
     """Suggested entries in their order: those of the best pair, then those of the next."""
     s = _suggested(v).join(v.tops, "form_id")
     first = F.when(F.col("tipo") == F.col("tipo1"), 1).otherwise(2)
-    return settle(s.select("form_id", "carrera", (F.when(F.col("es_principal"), 0).otherwise(2) + first).alias("ord")), "tested")
+    return s.select("form_id", "carrera", (F.when(F.col("es_principal"), 0).otherwise(2) + first).alias("ord"))
+
+
+@once
+def _candidates(v):
+    return proposal.universe(_tested(v), _proposed(v))
+
+
+@once
+def _similarity(v):
+    return proposal.career_similarity(proposal.asked_pairs(_candidates(v), _candidates(v)), _sets(v), _types(v))
 
 
 @query
-def h5_list_affinity(v):
-    return rounded(proposal.list_affinity(_tested(v).select("form_id", "carrera"), _proposed(v), _similarity(v)))
+def h4_career_similarity(v):
+    return _similarity(v)
 
 
-def _candidates(v):
-    tested, proposed = _tested(v), _proposed(v)
-    return settle(proposal.universe(tested, proposed), "universe"), tested, proposed
+@query
+def h5_list_affinity(v):
+    return rounded(proposal.list_affinity(_tested(v).select("form_id", "carrera"), _proposed(v), _similarity(v)))
 
 
+@once
 def _scored(v):
-    candidates, tested, proposed = _candidates(v)
-    return settle(proposal.career_score(candidates, v.tops, tested, proposed, _similarity(v), _types(v), v.related_types), "scored")
+    return proposal.career_score(_candidates(v), v.tops, _tested(v), _proposed(v), _similarity(v), _types(v), v.related_types)
 
 
 @query
@@ -899,13 +997,19 @@ def h6_career_score(v):
 
 @query
 def h7_universe(v):
-    return _candidates(v)[0]
+    return _candidates(v)
 
 
 def _evaluated(v):
     return proposal.evaluate(_scored(v), proposal.career_level(v.careers, v.level_lists), v.prefs, _places(v))
 
 
+@query
+def h8_proposals(v):
+    """Where each written text led: an entry of that name, an interpretation, or nowhere."""
+    return rounded(_proposals(v).withColumns(joined("alternativas")))
+
+
 @query
 def h8_evaluate(v):
     return _evaluated(v).select("form_id", "carrera", "score", "estado", "rank", "descarte")

@@ -17,7 +17,7 @@ NAME_PATTERN = r"^(.+?)[_\-\s]+(\d{1,2})[_\-\s]+([MFmf])$"
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, name, length, content of the files of a drop folder."""
+    """path, name, length, content of the files of a drop folder; Spark leaves files without a byte out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
 
@@ -125,9 +125,10 @@ def flatten_affinity(doc: DataFrame) -> dict[str, DataFrame]:
 
 
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The semantic catalogue: ord, nombre, area, nivel and institucion as lists, perfil (six zeros if missing), keywords, alias."""
-    raw = spark.read.schema("ord int, nombre string, area string, nivel string, institucion string, perfil_riasec array<double>, keywords array<string>, alias array<string>").json(path, multiLine=True)
-    return normalize_catalog(raw)
+    """The semantic catalogue: ord, nombre, area, nivel and institucion as lists, perfil (six zeros if missing), keywords, alias. An entry's number is its place in the list, from 1."""
+    entry = "nombre: string, area: string, nivel: string, institucion: string, perfil_riasec: array<double>, keywords: array<string>, alias: array<string>"
+    doc = spark.read.schema(f"carreras array<struct<{entry}>>").json(path, multiLine=True)
+    return normalize_catalog(doc.select(F.posexplode("carreras").alias("ord", "c")).select((F.col("ord") + 1).alias("ord"), "c.*"))
 
 
 def _as_list(col: str):
@@ -153,7 +154,7 @@ def with_batch_fields(df: DataFrame, date=None, **constants) -> DataFrame:
 def evaluation_tables(forms: DataFrame, marks: DataFrame, ranked: DataFrame, suggested: DataFrame) -> dict[str, DataFrame]:
     """The four linked tables of an evaluation, in their declared types."""
     return {
-        "formulario": forms.select(F.col("form_id").cast("long"), F.substring("nombre", 1, 200).alias("nombre"), "sexo"),
+        "formulario": forms.select(F.col("form_id").cast("long"), "nombre", "sexo"),
         "marca": marks.select(F.col("form_id").cast("long"), "item", "opcion", F.when(F.col("opcion").isin("si", "ambos"), 1).otherwise(0).alias("puntaje")),
         "resultado": ranked.select(F.col("form_id").cast("long"), "tipo", F.col("pd").cast("int").alias("pd"), F.col("baremo").cast("int").alias("baremo"), F.col("posicion").cast("int").alias("posicion")),
         "carrera_sugerida": suggested.select(F.col("form_id").cast("long"), "carrera", "tipo", "es_principal"),
@@ -172,6 +173,7 @@ def check_evaluation(forms: DataFrame, marks: DataFrame, scores: DataFrame) -> D
     twice = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
     checks = [
         of(forms.where(~F.coalesce(F.col("sexo").isin("M", "F"), F.lit(False))), "sexo"),
+        of(forms.where(F.length("nombre") > 200), "nombre largo"),
         of(marks.where("item IS NULL"), "item nulo"),
         of(twice(marks.where("item IS NOT NULL"), "form_id", "item"), "marca repetida"),
         of(twice(scores, "form_id", "tipo"), "resultado repetido"),
@@ -190,8 +192,10 @@ def latest(df: DataFrame, n: int, when: str = "fecha_procesado", key: str = "for
 STATE_LABELS = {"vacio": "", "no_reconocida": "No reconocida", "sin_match": "Sin match", "analizada": "Analizada"}
 
 
-def consolidated(forms: DataFrame, normed: DataFrame, written: DataFrame, types: Sequence[str], texts: int = 3) -> DataFrame:
-    """A row for each form: `Carrera i` of the written ones, `Puntaje X` and `Nivel X` of each type."""
+def consolidated(forms: DataFrame, normed: DataFrame, written: DataFrame, types: Sequence[str], texts: int | None = None) -> DataFrame:
+    """A row for each form: `Carrera i` of the written ones, `Puntaje X` and `Nivel X` of each type. texts: how many are shown; default as many as any form has."""
+    if texts is None:
+        texts = written.agg(F.max("ord")).first()[0] or 0
     scores = normed.groupBy("form_id").pivot("tipo", list(types)).agg(F.max("pd").alias("Puntaje"), F.max("nivel").alias("Nivel"))
     scores = scores.select("form_id", *[F.col(f"{t}_{w}").alias(f"{w} {t}") for t in types for w in ("Puntaje", "Nivel")])
     listed = written.groupBy("form_id").agg(*[F.max(F.when(F.col("ord") == i, F.col("texto"))).alias(f"Carrera {i}") for i in range(1, texts + 1)])
@@ -199,9 +203,9 @@ def consolidated(forms: DataFrame, normed: DataFrame, written: DataFrame, types:
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write the consolidated table as csv (with a header) or parquet."""
+    """Write the consolidated table as csv (with a header, texts as they are) or parquet."""
     writer = df.write.mode("overwrite")
-    writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
+    writer.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if fmt == "csv" else writer.format(fmt).save(path)
 
 
 def delete_forms(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

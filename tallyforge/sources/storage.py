@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below spark.checkpoint.dir; below a folder of our own only where that is unset."""
+    """A new path below spark.checkpoint.dir. Where that is unset, below a folder of our own on a local master; on a cluster that is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or f"file:///tmp/tallyforge-{os.getuid()}/shared"
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file:///tmp/tallyforge-{os.getuid()}/shared"
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+def is_small(df: DataFrame, rows: int = 10_000) -> bool:
+    """Whether `df` has at most so many rows, and so may be broadcast; reads no more than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` and read it back: what several later joins need is computed once, survives lost executors, and has a known size."""
     path = shared_path(df.sparkSession, tag)

@@ -113,9 +113,9 @@ def test_catalog_files(spark, tmp_path):
     flat = ingest.load_affinity(spark, str(tmp_path / "a.json"))
     assert [(r.tipo, r.ord, r.carrera) for r in flat["types"].orderBy("ord").collect()] == [("A", 1, "x"), ("A", 2, "y")]
     assert flat["rules"].count() == 1 and tuple(flat["weights"].first()) == (5, 3, 1, 2)
-    (tmp_path / "b.json").write_text('[{"ord": 1, "nombre": "n", "nivel": "tecnico", "institucion": ["a", "b"]}]')
-    r = ingest.load_catalog(spark, str(tmp_path / "b.json")).first()
-    assert (r.nivel, r.institucion, r.perfil, r.keywords) == (["tecnico"], ["a", "b"], [0.0] * 6, [])
+    (tmp_path / "b.json").write_text('{"version": 2, "carreras": [{"nombre": "n", "nivel": "tecnico", "institucion": ["a", "b"]}, {"nombre": "m", "perfil_riasec": [1, 0, 0, 0, 0, 0.5], "keywords": ["k"]}]}')
+    got = {r.ord: (r.nombre, r.nivel, r.institucion, r.perfil, r.keywords) for r in ingest.load_catalog(spark, str(tmp_path / "b.json")).collect()}
+    assert got == {1: ("n", ["tecnico"], ["a", "b"], [0.0] * 6, []), 2: ("m", [], [], [1.0, 0.0, 0.0, 0.0, 0.0, 0.5], ["k"])}
 
 
 # ---- classification
@@ -217,11 +217,28 @@ def test_best_two_pairs_are_disjoint(spark):
     assert not {got[0].a, got[0].b} & {got[1].a, got[1].b}
 
 
-def test_similarity_bound_never_drops_a_pair(spark):
-    pairs = [("medicina", "medisina"), ("a", "abcdefgh"), ("", ""), ("civil", "civiles"), ("xyz", "abc")]
-    df = spark.createDataFrame(pairs, "x string, y string")
-    for r in df.select(T.ratio("x", "y").alias("s"), T.length_bound(F.col("x"), F.col("y")).alias("b")).collect():
-        assert r.s <= r.b + 1e-12
+def test_every_accent_goes_under_strip(spark):
+    words = {"Őr ǎ Š ﬁn ½": "or a s fin 1 2", "Ñandú É": "nandu e", "e\u0301x": "ex", "ＡＢ": "ab"}
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    assert {r.t: r.s for r in df.select("t", T.normalize("t", "strip").alias("s")).collect()} == words
+
+
+def test_files_are_scanned(spark, tmp_path):
+    for name, data in (("a_11_F.pdf", b"%PDF-1.4"), ("b.jpg", b"\xff\xd8\xff"), ("c.txt", b"x" * 1000)):
+        (tmp_path / name).write_bytes(data)
+    got = {r.name: (r.length, bytes(r.content)) for r in ingest.scan_files(spark, str(tmp_path)).collect()}
+    assert got == {p.name: (p.stat().st_size, p.read_bytes()) for p in tmp_path.iterdir()}
+    assert [r.name for r in ingest.scan_files(spark, str(tmp_path), "*.pdf").collect()] == ["a_11_F.pdf"]
+
+
+def test_proposals_that_no_name_resolves(spark):
+    written = spark.createDataFrame([(1, 1, " Derecho "), (1, 2, "leyes"), (1, 3, "zzz"), (1, 4, " "), (2, 1, None), (1, 5, "derecho")], "form_id long, ord int, texto string")
+    named = spark.createDataFrame([("Derecho", "Derecho"), ("leyes", None), ("zzz", None), ("derecho", "Derecho")], "texto string, carrera string")
+    free = spark.createDataFrame([(1, 2, "Derecho", 0.9, 0.8, 0.7, ["Arte"]), (1, 1, "Arte", 0.9, 0.8, 0.7, [])], "form_id long, ord int, carrera string, match double, afinidad double, score double, alternativas array<string>")
+    r = proposal.resolve_proposals(written, named, free)
+    got = {x.ord: (x.texto, x.origen, x.carrera, x.match) for x in r.collect()}
+    assert got == {1: ("Derecho", "nombre", "Derecho", None), 2: ("leyes", "interpretada", "Derecho", 0.9), 3: ("zzz", "no_encontrada", None, None), 5: ("derecho", "nombre", "Derecho", None)}
+    assert [tuple(x) for x in proposal.proposed_entries(r).collect()] == [(1, "Derecho", 1)]
 
 
 # ---- recommendation and proposals
@@ -278,6 +295,16 @@ def test_compare_and_missing(spark):
 # ---- plans
 
 
+def test_catalogues_are_not_broadcast_by_force(spark):
+    """Joins with the catalogue keep no nested loop and no broadcast hint; sizes decide."""
+    from tallyforge.plans.queries import QUERIES
+
+    for name in ("f5_best_two_pairs", "f6_suggest", "g5_search_fuzzy", "h4_career_similarity"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        assert "BroadcastNestedLoopJoin" not in plan.executedPlan().toString(), name
+        assert "ResolvedHint (strategy=broadcast)" not in plan.analyzed().toString(), name
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -52,3 +52,24 @@ def test_search_falls_through_to_similarity(spark):
 def test_edit_ratio(spark):
     df = spark.createDataFrame([("casa", "caso"), ("", ""), ("abc", "")], "a string, b string")
     assert [r[0] for r in df.select(F.round(T.edit_ratio("a", "b"), 6)).collect()] == [0.75, 1.0, 0.0]
+
+
+def test_no_pair_is_lost(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda a, b: "".join(rng.choice("abcdeé ñX1") for _ in range(rng.randint(a, b))).strip() or "a"
+    names = [word(1, 14) for _ in range(80)]
+    texts = [word(1, 14) for _ in range(80)] + ["".join(c for c in n if rng.random() > 0.1) for n in names]
+    for cutoff, swapped in ((0.62, True), (0.72, False), (0.78, False)):
+        df = T.alike(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names], "name string"), cutoff, swapped)
+        want = {(t, n, round(s, 9)) for t in texts if t for n in names if (s := ratio(n, t) if swapped else ratio(t, n)) >= cutoff}
+        assert {(r.text, r.name, round(r.sim, 9)) for r in df.collect()} == want and want
+
+
+def test_aliases_stop_at_the_first_near_one(spark):
+    catalog = spark.createDataFrame([(1, "otra cosa", ["medicinal", "medicina"], []), (2, "otra cosa", ["medicina", "medicinal"], []), (3, "medicinal", ["medicinas", "medicina"], []), (4, "x", ["medicinal"], ["medicina"])], "ord int, carrera string, alias array<string>, keywords array<string>")
+    got = {r.ord: round(r.score / 0.9, 6) for r in recommend.search_fuzzy(spark.createDataFrame([("medicina", i) for i in range(1, 5)], "q string, ord int"), catalog).collect()}
+    near = round(ratio("medicina", "medicinal"), 6)
+    # 1: the first alias is near enough, the exact one behind it isn't read; 3: no alias before the exact one is nearer than the name; 4: keywords are read anyway.
+    assert near >= 0.85 and got == {1: near, 2: 1.0, 3: 1.0, 4: 1.0}
