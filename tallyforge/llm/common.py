@@ -22,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names one, else one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own on a local master; on a cluster that is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file:///tmp/tallyforge-{os.getuid()}/shared"
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
