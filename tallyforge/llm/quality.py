@@ -1,17 +1,19 @@
 """Quality rules: repetition coverage by rolling hashes of several n-gram lengths.
 
 Method: the words of a text are hashed once; rolling hashes give every n-gram of
-each length in numpy. The characters that lie inside n-grams met before in the
-same text are counted once each and divided by all characters of words; likewise
-the characters of lines that repeat. A text is rejected when a share exceeds its
-threshold, and also by the base rules on length and repeated 3-word windows.
+each length in numpy, each length from the one before. The characters that lie
+inside n-grams met before in the same text are counted once each and divided by all
+characters of words; likewise the characters of lines that repeat. A text is rejected
+when a share exceeds its threshold, and also by the base rules on length and repeated
+3-word windows.
 
 Words are runs of characters other than ASCII white space. Works row by row in
 Arrow batches, without a shuffle; a long text costs memory for its own words only.
 
 Defined cases: a null or empty text has no words and fails the base rule; texts
 shorter than an n-gram length have no n-gram of it; repeated rows are judged
-each; an empty table gives an empty result.
+each; an empty table gives an empty result; other columns do no harm, those named as
+a measure give way to it in with_quality and stay in passing.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
-from .words import WHITESPACE, WordHashes, gram_hashes, word_hashes
+from .words import WHITESPACE, WordHashes, longer, mix, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 # Largest share of characters inside repeated n-grams, by n. Published thresholds of repetition filters for web text.
@@ -36,24 +38,15 @@ COLUMNS = (
 )
 
 
-def _later(hashes: np.ndarray) -> np.ndarray:
-    """True where a hash occurred before."""
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    out = np.zeros(len(hashes), bool)
-    out[order[1:]] = ordered[1:] == ordered[:-1]
-    return out
-
-
-def _twice(hashes: np.ndarray) -> np.ndarray:
-    """True where a hash occurs two times or more, the first included."""
+def _repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """True where a hash occurs two times or more, the first included; and where it occurred before."""
     order = np.argsort(hashes, kind="stable")
     same = np.zeros(len(hashes) + 1, bool)
     ordered = hashes[order]
     same[1:-1] = ordered[1:] == ordered[:-1]
-    out = np.zeros(len(hashes), bool)
-    out[order] = same[1:] | same[:-1]
-    return out
+    twice, later = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    twice[order], later[order] = same[1:] | same[:-1], same[:-1]
+    return twice, later
 
 
 def _covered(starts: np.ndarray, n: int, words: int) -> np.ndarray:
@@ -84,22 +77,24 @@ def measures(data: bytes, memo: WordHashes, gram_shares: Mapping[int, float], li
         else:
             seen.add(line)
     line_share = dup_line_bytes / line_bytes if line_bytes else 0.0
-    hashes = word_hashes(words, memo)
-    repeat_words = int(_covered(_twice(gram_hashes(hashes, 3)), 3, n).sum()) if n >= 3 else 0
-    failed = n < 50 or 100 * repeat_words > 50 * n
-    over, gram_share = False, 0.0
-    # Repeats of any length above 3 lie inside repeated 3-word windows, so texts without these need no more hashing.
-    if repeat_words:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        whole = max(1, int(sizes.sum()))
-        for k, limit in gram_shares.items():
-            grams = gram_hashes(hashes, k)
-            later = _later(grams)
-            if not later.any():
-                break  # no repeated k-gram, so no longer one either
+    rolled = hashes = word_hashes(words, memo)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    whole = max(1, int(sizes.sum()))
+    over, gram_share, repeat_words = False, 0.0, 0
+    for k in range(1, max([3, *gram_shares]) + 1):
+        rolled = longer(rolled, hashes, k) if k > 1 else hashes
+        if k != 3 and k not in gram_shares:
+            continue
+        twice, later = _repeats(mix(rolled))
+        if k == 3:
+            repeat_words = int(_covered(twice, 3, n).sum())
+        if k in gram_shares:
             share = float(sizes[_covered(later, k, n)].sum()) / whole
             gram_share = max(gram_share, share)
-            over |= share > limit
+            over |= share > gram_shares[k]
+        if k >= 3 and not later.any():
+            break  # no repeated k-gram, so no longer one either
+    failed = n < 50 or 100 * repeat_words > 50 * n
     return n, int(word_chars), symbols, dup_lines, repeat_words, line_share, gram_share, failed, not (failed or over or line_share > line_limit)
 
 

@@ -61,12 +61,15 @@ def word_hashes(words: list[bytes], memo: WordHashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
+def longer(rolled: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hashes of every k consecutive word hashes, from those of k - 1: one multiplication and one addition each."""
+    n = max(0, len(hashes) - k + 1)
+    return rolled[:n] * np.uint64(_BASE) + hashes[k - 1 : k - 1 + n]
+
+
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Rolling polynomial hash of every k consecutive word hashes, finalised; empty if there are fewer."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(_BASE) + hashes[j : j + n]
+    out = np.zeros(len(hashes), np.uint64)
+    for j in range(1, k + 1):
+        out = longer(out, hashes, j)
     return mix(out)
