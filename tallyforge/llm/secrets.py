@@ -12,13 +12,15 @@ Base kinds are found by pattern and always stay; an entropy span inside a base
 span adds nothing and is left out. Offsets are code points of the whole text.
 
 Defined cases: a null text is an empty one; repeated rows are scanned each; an
-empty table gives an empty result. No shuffle.
+empty table gives an empty result; other columns do no harm, those named as a result
+give way to it. Time grows with the text, however many spans it has. No shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +44,8 @@ ALLOWED = (
     re.compile(r"[A-Za-z]+(?:[_/=+-][A-Za-z]+)*[0-9]{0,4}"),  # words, paths and dashed names, with a short number
     re.compile(r"[0-9+/_=-]+"),  # numbers, rules, dates
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # UUIDs
-    re.compile(r"(?:[a-z]+[-_/])*[a-z]+(?:[-_/][a-z0-9]{1,6})*"),  # slugs
+    # Slugs: words, then short parts. Possessive, so that a long slug is read once.
+    re.compile(r"[a-z]++(?:[-_/][a-z]++(?![0-9]))*+(?:[-_/][a-z0-9]{1,6}(?![a-z0-9]))*+"),
 )
 _CLOG = [0.0, *(c * math.log2(c) for c in range(1, 4097))]
 
@@ -108,8 +111,18 @@ def scan(data: bytes, window: int = WINDOW) -> tuple[list, list]:
         if kind is not None and not any(x.fullmatch(run) for x in ALLOWED):
             more += [(code_at + x, 3, code_at + y) for x, y in entropy_spans(run, THRESHOLDS[kind], window)]
     base.sort()
-    added = [(x, k, y) for x, k, y in more if not any(s <= x and y <= e for s, _, e in base)]
-    return base, sorted(base + added)
+    return base, sorted([*base, *outside(more, base)])
+
+
+def outside(more: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """The spans of `more` that lie in none of `base`; both by start, so one sweep decides: of the base spans that start no later, the farthest end tells."""
+    at = reach = 0
+    for x, kind, y in more:
+        while at < len(base) and base[at][0] <= x:
+            reach = max(reach, base[at][2])
+            at += 1
+        if y > reach:
+            yield x, kind, y
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
