@@ -12,12 +12,13 @@ hashes of all their spans of these few lengths.
 
 Documents first drop hashes that no item has, by a bit table of fixed size
 (2 MB, whatever the benchmark's size), so little of the corpus is shuffled; the
-join itself is on hashes, for benchmarks of any size.
+join itself is on hashes, for benchmarks of any size. Fingerprints with the same
+words around them are compared once for all documents and items that have them.
 
 Defined cases: null or empty texts have no words, and items without words are no
 window; equal items count each; rows that repeat a doc_id are rows of their own;
 rows equal in doc_id and text share a result; an empty table on either side gives
-no hits; a null item_id is left out of the list of ids.
+no hits; a null item_id is left out of the list of ids; other columns do no harm.
 """
 
 from __future__ import annotations
@@ -112,20 +113,30 @@ def _run(a, b, reverse: bool):
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def hit_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_key, item_key, start, end: spans of words of documents that are covered by windows of an item.
+def _places(df: DataFrame, key: str) -> DataFrame:
+    """key, at, near, kind, hash, ahead, words: the fingerprints of texts; `near` tells them apart by the words around them."""
+    near = F.md5(F.concat_ws(" ", F.col("kind").cast("string"), F.col("ahead").cast("string"), F.array_join("words", " ")))
+    return df.select(key, F.inline("found")).withColumn("near", near)
 
-    docs: doc_key, found; items: item_key, found.
+
+def _surroundings(places: DataFrame, side: str) -> DataFrame:
+    """Each fingerprint once for all places where it has the same words around it."""
+    return places.groupBy("kind", "hash", F.col("near").alias(f"{side}_near")).agg(F.any_value("ahead").alias(f"{side}_ahead"), F.any_value("words").alias(f"{side}_words"))
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """d_near, i_near, left, right: fingerprints of documents and items that reach a window when they are extended to both sides, and how far.
+
+    Only distinct surroundings meet: a passage that many texts share, or a run of
+    equal words, is compared once. docs, items: of _places.
     """
-    d = docs.select("doc_key", F.inline("found")).toDF("doc_key", "kind", "hash", "at", "d_ahead", "d_words")
-    i = items.select("item_key", F.inline("found")).toDF("item_key", "kind", "hash", "i_at", "i_ahead", "i_words").drop("i_at")
-    pairs = d.join(i.hint("merge"), ["kind", "hash"])
+    pairs = _surroundings(docs, "d").join(_surroundings(items, "i").hint("merge"), ["kind", "hash"])
     left = _run(F.slice("d_words", 1, F.col("d_ahead")), F.slice("i_words", 1, F.col("i_ahead")), True)
     tail = lambda words, ahead: F.slice(words, F.col(ahead) + 1, F.size(words))
     right = _run(tail("d_words", "d_ahead"), tail("i_words", "i_ahead"), False)
     found = pairs.withColumn("left", left).withColumn("right", right)
     reached = F.when(F.col("kind") == 0, (F.col("right") >= gram) & (F.col("left") + F.col("right") >= window)).otherwise(F.col("right") >= F.col("kind"))
-    return found.where(reached).select("doc_key", "item_key", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")).distinct()
+    return found.where(reached).select("d_near", "i_near", "left", "right")
 
 
 def _hits(docs: DataFrame, items: DataFrame, window: int, gram: int, doc_id: str, text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
@@ -138,15 +149,24 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, gram: int, doc_id: str
 
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("text_key", F.xxhash64("text"))
     read = materialize(fingerprinted(keyed, ["doc_id", "text_key"], "text", short, bits, window, gram, False), "documents")
-    key = F.struct("doc_id", "text_key")
-    rows = read.withColumn("doc_key", key)
-    spans = materialize(hit_spans(rows.where(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"]), marked, window, gram), "spans")
-
+    rows = read.where(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"]).withColumn("doc_key", F.struct("doc_id", "text_key"))
+    of_docs, of_items = _places(rows, "doc_key"), _places(marked, "item_key")
+    met = materialize(hits(of_docs, of_items, window, gram), "hits")
+
+    # All spans around a place share its gram, so the farthest ends of any item bound their union.
+    reach = met.groupBy("d_near").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    spots = of_docs.select("doc_key", "at", F.col("near").alias("d_near"))
+    reached = materialize(spots.join(reach.hint("merge"), "d_near").select("doc_key", "d_near", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")), "spans")
     order = Window.partitionBy("doc_key").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    merged = spans.select("doc_key", "start", "end").distinct().withColumn("before", F.coalesce(before, F.lit(0)))
+    merged = reached.select("doc_key", "start", "end").withColumn("before", F.coalesce(before, F.lit(0)))
     n_hit = merged.groupBy("doc_key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before"))).cast("long").alias("n_hit"))
-    named = spans.select("doc_key", "item_key").distinct().join(marked.select("item_key", F.col("item_id").cast("string").alias("id")), "item_key")
+
+    # Ids join after the comparison: the items of a surrounding, then those of a document.
+    owners = met.select("d_near", "i_near").join(of_items.select("item_key", F.col("near").alias("i_near")).distinct().hint("merge"), "i_near")
+    owners = materialize(owners.select("d_near", "item_key").distinct(), "owners")
+    named = reached.select("doc_key", "d_near").distinct().join(owners.hint("merge"), "d_near").select("doc_key", "item_key").distinct()
+    named = named.join(marked.select("item_key", F.col("item_id").cast("string").alias("id")), "item_key")
     n_items = named.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
     found = materialize(n_hit.join(n_items.hint("merge"), "doc_key").select(F.col("doc_key.doc_id").alias("__k_id"), F.col("doc_key.text_key").alias("__k_text"), "n_hit", "n_items", F.sha2("ids", 256).alias("items_sha256")), "hits")
 
