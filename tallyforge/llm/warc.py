@@ -16,7 +16,8 @@ Folders may be in any file system that pyarrow can open by URI.
 Defined cases: a null payload is empty, and a null URL is written as
 urn:page:<id>; empty payloads are equal to each other; rows that repeat the
 smallest page_id of a payload are responses all; rows with a null page_id and
-payloads without any other id are responses; an empty table writes no file.
+payloads without any other id are responses; an empty table writes no file; other
+columns of the table are left out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from .common import fresh_path, materialize, small_batches, table
 
 FILE_BYTES = 256 << 20
 READ_BYTES = 8 << 20
+TASK_BYTES = 32 << 20
 GAP_BYTES = 64 << 10
 DATE = "2020-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
@@ -158,10 +160,16 @@ def _read(batches, folder: str, gap: int, most: int, payloads: bool):
                     yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
 
-def read_archive(index: DataFrame, folder: str, payloads: bool = False, gap: int = GAP_BYTES, most: int = READ_BYTES) -> DataFrame:
-    """The records that `index` has rows of: page_id, url, record_type, payload_bytes, payload_digest, refers_to, and payload if asked for (null for revisits)."""
+def read_archive(index: DataFrame, folder: str, payloads: bool = False, gap: int = GAP_BYTES, most: int = READ_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records that `index` has rows of: page_id, url, record_type, payload_bytes, payload_digest, refers_to, and payload if asked for (null for revisits).
+
+    The bytes that the selected records have, not the size of their index, decide how many tasks read; a task gets whole stretches of `most` bytes.
+    """
     small_batches(index.sparkSession)
-    stretches = index.groupBy("file", F.floor(F.col("offset") / most).alias("stretch")).agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+    wanted = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-wanted // task_bytes))
+    dealt = index.withColumn("stretch", F.floor(F.col("offset") / most)).repartition(tasks, "file", "stretch")
+    stretches = dealt.groupBy("file", "stretch").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payloads else "")
     return stretches.select("file", "places").mapInArrow(partial(_read, folder=folder, gap=gap, most=most, payloads=payloads), schema)
 
