@@ -155,8 +155,9 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, radius: int, s
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     least = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "copies")
     roots = fingerprint_components(least.select("fp"), radius)
-    rooted = least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    # Both sides are written, so that the join reads them anew and Spark can split a root with very many fingerprints.
+    rooted = materialize(least.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    groups = materialize(rooted.groupBy("root").agg(F.min("first").alias("least")), "groups")
     return marked, materialize(rooted.join(groups.hint("merge"), "root").select("fp", F.col("least").alias("first")), "of_fp")
 
 
@@ -166,19 +167,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(of_fp, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def first_rows(docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of `docs` that firsts.first (doc_id, text_key) names; one row of those equal in both."""
-    keep = materialize(firsts.select(F.col("first.doc_id").alias("__k_id"), F.col("first.text_key").alias("__k_text")), "firsts")
+def first_rows(docs: DataFrame, firsts: DataFrame, marked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of `docs` that firsts.first (doc_id, text_key) names; one row of those equal in both.
+
+    marked: doc_id, text_key of all rows. Texts move once, to meet the firsts; only
+    rows that repeat id and text are grouped, the least as JSON stays.
+    """
+    repeats = materialize(marked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toDF("__r_id", "__r_text", "n"), "repeats")
+    named = firsts.select(F.col("first.doc_id").alias("__k_id"), F.col("first.text_key").alias("__k_text"))
+    again = F.col("__k_id").eqNullSafe(F.col("__r_id")) & (F.col("__k_text") == F.col("__r_text"))
+    keep = materialize(named.join(repeats, again, "left").select("__k_id", "__k_text", F.col("n").isNotNull().alias("__again")), "firsts")
     key = F.xxhash64(F.col(f"`{text}`"))
-    kept = docs.join(keep, F.col(f"`{doc_id}`").eqNullSafe(F.col("__k_id")) & (key == F.col("__k_text")), "left_semi")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__k_id")) & (key == F.col("__k_text"))
+    once = docs.join(keep.where("not __again"), same, "left_semi")
+    if keep.where("__again").isEmpty():
+        return once
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.groupBy(F.col(f"`{doc_id}`"), key).agg(F.min(whole).alias("__row")).select("__row.*")
+    least = docs.join(keep.where("__again"), same, "left_semi").groupBy(F.col(f"`{doc_id}`"), key).agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return once.unionByName(least.select("__row.*"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """The rows of `docs` that come first in their component, by doc_id, then a hash of the text; one row of those equal in both."""
-    _, of_fp = _grouped(docs, doc_id, text, width, radius, seed)
-    return first_rows(docs, of_fp.select("first").distinct(), doc_id, text)
+    marked, of_fp = _grouped(docs, doc_id, text, width, radius, seed)
+    return first_rows(docs, of_fp.select("first").distinct(), marked, doc_id, text)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
