@@ -11,18 +11,21 @@ lines, or of one long line, that occur at more than one place of the corpus are
 removed from all places but the first (by doc_id, then position); chunks are
 grouped by the SHA-256 of their bytes, so equal 64-bit hashes alone remove nothing.
 
-The first pass shuffles only (hash, place) rows. Repeated hashes go into a bit
-table of fixed size (4 MB), so the second pass sends on the digests of chunks that
-repeat, and few others. Only the last join moves the texts, once.
+One pass over the texts writes a row for each chunk: its digest and its place. These
+rows, about a tenth of the texts, are counted by digest and joined with the digests
+that repeat, at any number of repeats and without a table of fixed size; the driver
+gets nothing. Only the last join moves the texts, once.
 
 Defined cases: a null text stays null and an empty one empty; blank lines belong
 to chunks but a chunk without a word is never removed; rows equal in doc_id and
 text are one place, and keep the same lines; an empty table gives an empty
-result; removing all lines leaves an empty text.
+result; removing all lines leaves an empty text; columns named as a count give way.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +36,7 @@ from .words import mix
 
 RULES = 3
 MIN_LINES, MIN_WORDS = 2, 40
-TABLE_BITS = 25
-_CHUNK = "struct<hash: bigint, first: int, last: int, digest: binary>"
+_CHUNK = "struct<first: int, last: int, digest: binary>"
 
 
 def _runs(words: np.ndarray, words_to: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,14 +48,13 @@ def _runs(words: np.ndarray, words_to: np.ndarray, min_words: int) -> tuple[np.n
     return np.r_[at[from_it], first[to_it]], np.r_[last[from_it], at[to_it] + 1]
 
 
-def _spans(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The lines of a text, and hashes, first and last lines of its chunks that are long enough, each once."""
+def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The lines of a text, and first and last line (exclusive) of its chunks that are long enough, each once."""
     import xxhash
 
     lines = data.split(b"\n")
     h = np.fromiter((xxhash.xxh64_intdigest(x, 11) for x in lines), np.uint64, len(lines))
     rolled = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.r_[np.uint64(0), h[:-1]])
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(1)), dtype=np.uint64)])
     words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
     words_to = np.r_[0, np.cumsum(words)]
     firsts, lasts = [], []
@@ -67,60 +68,31 @@ def _spans(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_word
     long = (n > 0) & ((b - a >= min_lines) & (n >= min_words // 4) | (n >= min_words))
     more_a, more_b = _runs(words, words_to, min_words)
     found = np.unique(np.r_[a[long], more_a] * (len(lines) + 1) + np.r_[b[long], more_b])
-    a, b = found // (len(lines) + 1), found % (len(lines) + 1)
-    hashes = mix(mix(sums[b] - sums[a] + (b - a).astype(np.uint64)) + mix(h[a] + np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15) + h[b - 1])
-    return lines, hashes, a, b
-
-
-def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[tuple[int, int, int]]]:
-    """The lines of a text, and (hash, first line, last line) of its chunks that are long enough, each once."""
-    lines, hashes, a, b = _spans(data, rules, min_lines, min_words)
-    return lines, list(zip(hashes.tolist(), a.tolist(), b.tolist(), strict=True))
-
+    return lines, list(zip((found // (len(lines) + 1)).tolist(), (found % (len(lines) + 1)).tolist(), strict=True))
 
-def with_hashes(docs: DataFrame, text: str, **shape) -> DataFrame:
-    """hashes, those of the chunks of each text."""
-    return map_texts(docs, lambda texts: {"hashes": [_spans(x, **shape)[1].view(np.int64) for x in texts]}, "hashes array<bigint>", text, [])
 
-
-def with_chunks(docs: DataFrame, keep: list[str], bits: np.ndarray, text: str, **shape) -> DataFrame:
-    """Adds found, the chunks of each text that are in the bit table, with SHA-256 of their bytes."""
+def with_chunks(docs: DataFrame, keep: list[str], text: str, **shape) -> DataFrame:
+    """Adds found, the chunks of each text with the SHA-256 of their bytes."""
     from hashlib import sha256
 
     def columns(texts: list[bytes]) -> dict:
         rows = []
         for data in texts:
-            lines, hashes, a, b = _spans(data, **shape)
-            slots = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            at = np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
-            parts = zip(hashes[at].view(np.int64).tolist(), a[at].tolist(), b[at].tolist(), strict=True)
-            rows.append([{"hash": h, "first": x, "last": y, "digest": sha256(b"\n".join(lines[x:y])).digest()} for h, x, y in parts])
+            lines, parts = chunks(data, **shape)
+            starts = [0, *accumulate(len(x) + 1 for x in lines)]
+            rows.append([{"first": a, "last": b, "digest": sha256(data[starts[a] : starts[b] - 1]).digest()} for a, b in parts])
         return {"found": rows}
 
     return map_texts(docs, columns, f"found array<{_CHUNK}>", text, keep)
 
 
-def repeated_bits(hashes: DataFrame) -> np.ndarray:
-    """The bit table of hashes met at two places or more, or-ed together in Spark; the driver gets 2^TABLE_BITS bits at most."""
-    rest = 64 - TABLE_BITS
-    twice = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = twice.select(F.expr(f"cast(shiftrightunsigned(hash, {rest + 6}) as int)").alias("g"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {rest}) & 63 as int))").alias("b"))
-    out = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    for g, b in groups.groupBy("g").agg(F.bit_or("b")).toLocalIterator():
-        out[g] = b
-    return out.view(np.uint8)
-
-
 def removals(docs: DataFrame, **shape) -> DataFrame:
     """doc_id, text_key, cut: the line ranges to remove from each place. docs: doc_id, text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    bits = repeated_bits(with_hashes(keyed, "text", **shape).select(F.explode("hashes").alias("hash")))
-    again = with_chunks(keyed, ["doc_id", "text_key"], bits, "text", **shape)
-    places = materialize(again.where(F.size("found") > 0).select("doc_id", "text_key", F.inline("found")), "places")
+    places = materialize(with_chunks(keyed, ["doc_id", "text_key"], "text", **shape).select("doc_id", "text_key", F.inline("found")), "places")
     place = F.struct("doc_id", "text_key", "first")
-    groups = places.groupBy("hash", "digest").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = materialize(groups, "firsts")
-    hit = places.join(firsts.hint("merge"), ["hash", "digest"]).where(~place.eqNullSafe(F.col("keep")))
+    firsts = materialize(places.groupBy("digest").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
+    hit = places.join(firsts.hint("merge"), "digest").where(~place.eqNullSafe(F.col("keep")))
     return hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cut"))
 
 
