@@ -12,8 +12,10 @@ its middle.
 Rates then become copies. Cells of a source in descending order of size are
 rounded on their running sum of copies, which keeps the words within half of the
 largest document; passes over ever smaller documents then add or drop copies that
-still fit into what is missing. The copies of a cell are dealt to its documents
-by hash, in pieces, so no source or cell meets in one task.
+still fit into what is missing, until none does. The copies of a cell are dealt to
+its documents by hash, in pieces whose number grows with the corpus, so no source or
+cell meets in one task; rows that are equal in every column are counted first and
+get their copies together. Texts move once, to meet their copies on a hash of the row.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share
 150 % of all words; a target stops at twice its source's words, and the excess is
@@ -22,22 +24,24 @@ shared again by weight among the rest, until none is above.
 Defined cases: a null source is a source; null texts, and texts without words,
 have size 0 and are taken 0 words; a source without words has target 0; repeated
 rows are documents of their own, and get copies in an order that their contents
-alone decide; an empty table gives an empty result.
+alone decide; an empty table gives an empty result; columns named as a result give
+way to it in with_copies and stay in mixed; maps are not allowed. Steps or passes
+that don't settle raise an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 MOST = 2  # copies of a document
-PIECES = 32
-STEPS = 60
-PASSES = 6
+PIECE_ROWS = 1 << 20  # a hot cell has a piece for each so many rows of the corpus, 32 at least
+STEPS, STEPS_A_WRITE = 64, 4
+PASSES, PASSES_A_WRITE = 96, 3
 
 
 def word_count(text: str = "text"):
@@ -68,11 +72,28 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     return s.select("skey", "source_size", target.alias("target"))
 
 
+def _step(state: DataFrame, cells: DataFrame, tolerance: float) -> DataFrame:
+    """One Newton step of every source that is still off."""
+    rated = cells.join(state.select("skey", "lam", "mean"), "skey").withColumn("x", F.col("size") / F.col("mean"))
+    p = 1 / (1 + F.exp(-F.col("lam") * F.col("x")))
+    words = F.col("n") * F.col("size") * MOST
+    sums = rated.select("skey", (words * p).alias("g"), (words * F.col("x") * p * (1 - p)).alias("h")).groupBy("skey").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    now = state.join(sums, "skey").withColumn("off", F.when(F.col("full"), F.lit(0.0)).otherwise(F.col("g") - F.col("target")))
+    now = now.withColumn("lo", F.when(F.col("off") < 0, F.greatest("lo", "lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("off") > 0, F.least("hi", "lam")).otherwise(F.col("hi")))
+    step = F.when(F.col("h") > 0, F.greatest(F.lit(-4.0), F.least(F.lit(4.0), -F.col("off") / F.col("h")))).otherwise(-F.signum("off"))
+    newton = F.col("lam") + step
+    outside = (F.col("lo").isNotNull() & (newton <= F.col("lo"))) | (F.col("hi").isNotNull() & (newton >= F.col("hi")))
+    middle = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).otherwise(newton)
+    done = F.abs("off") <= F.greatest(F.lit(0.5), F.lit(tolerance) * F.col("target"))
+    now = now.withColumn("done", done)
+    return now.select("skey", "target", "mean", "full", F.when(F.col("done"), F.col("lam")).when(outside, middle).otherwise(newton).alias("lam"), "lo", "hi", "done")
+
+
 def tilts(cells: DataFrame, wanted: DataFrame, steps: int = STEPS, tolerance: float = 1e-4) -> DataFrame:
-    """skey, lam, mean: the multipliers. cells: skey, size, n with size > 0; wanted: skey, source_size, target.
+    """skey, lam, mean, full, target: the multipliers. cells: skey, size, n with size > 0; wanted: skey, source_size, target.
 
-    Each step writes one row a source to the shared folder; the driver sees only
-    whether any source is off by more than half a word or `tolerance` of its target.
+    Every few steps a row for each source goes to the shared folder; the driver sees only whether
+    any source is off by more than half a word or `tolerance` of its target, and raises if one stays so.
     """
     n_docs = cells.groupBy("skey").agg(F.sum("n").alias("docs"))
     state = wanted.join(n_docs, "skey").select(
@@ -80,30 +101,26 @@ def tilts(cells: DataFrame, wanted: DataFrame, steps: int = STEPS, tolerance: fl
         F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
     )
     state = materialize(state, "tilts")
-    for _ in range(steps):
-        rated = cells.join(state.select("skey", "lam", "mean"), "skey").withColumn("x", F.col("size") / F.col("mean"))
-        p = 1 / (1 + F.exp(-F.col("lam") * F.col("x")))
-        words = F.col("n") * F.col("size") * MOST
-        sums = rated.select("skey", (words * p).alias("g"), (words * F.col("x") * p * (1 - p)).alias("h")).groupBy("skey").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-        now = state.join(sums, "skey").withColumn("off", F.when(F.col("full"), F.lit(0.0)).otherwise(F.col("g") - F.col("target")))
-        now = now.withColumn("lo", F.when(F.col("off") < 0, F.greatest("lo", "lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("off") > 0, F.least("hi", "lam")).otherwise(F.col("hi")))
-        step = F.when(F.col("h") > 0, F.greatest(F.lit(-4.0), F.least(F.lit(4.0), -F.col("off") / F.col("h")))).otherwise(-F.signum("off"))
-        newton = F.col("lam") + step
-        outside = (F.col("lo").isNotNull() & (newton <= F.col("lo"))) | (F.col("hi").isNotNull() & (newton >= F.col("hi")))
-        middle = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).otherwise(newton)
-        done = F.abs("off") <= F.greatest(F.lit(0.5), F.lit(tolerance) * F.col("target"))
-        now = now.withColumn("done", done)
-        state = materialize(now.select("skey", "target", "mean", "full", F.when(F.col("done"), F.col("lam")).when(outside, middle).otherwise(newton).alias("lam"), "lo", "hi", "done"), "tilts")
+    for _ in range(0, steps, STEPS_A_WRITE):
+        for _ in range(STEPS_A_WRITE):
+            state = _step(state, cells, tolerance)
+        state = materialize(state, "tilts")
         if state.where("not done").isEmpty():
-            break
-        state = state.drop("done")
-    return state.select("skey", "lam", "mean", "full", "target")
+            return state.select("skey", "lam", "mean", "full", "target")
+    raise RuntimeError(f"the tilts did not settle in {steps} Newton steps")
+
+
+def _free() -> Column:
+    """How many copies of a cell can still be added, or dropped, without going past the target."""
+    return F.when(F.col("size") > F.abs("miss"), F.lit(0)).when(F.col("miss") > 0, F.col("n") * MOST - F.col("k")).otherwise(F.col("k")).cast("long")
 
 
 def cell_copies(cells: DataFrame, tilted: DataFrame, passes: int = PASSES) -> DataFrame:
     """skey, size, n, copies: how many copies the n documents of a cell get together, 0 to 2n.
 
-    A source's cells, one for each size it has, are sorted in one task; documents are not.
+    A source's cells, one for each size it has, are sorted in one task: as many rows as there are different
+    lengths, whatever the number of documents. A pass takes the largest cells that fit, and at least halves what
+    is missing, so that passes end when no document fits any more.
     """
     down = Window.partitionBy("skey").orderBy(F.col("size").desc())
     whole = Window.partitionBy("skey")
@@ -112,14 +129,18 @@ def cell_copies(cells: DataFrame, tilted: DataFrame, passes: int = PASSES) -> Da
     run = F.sum(F.col("n") * F.col("rate")).over(upto)
     c = c.withColumn("run", F.floor(run + 0.5)).withColumn("k", F.col("run") - F.coalesce(F.lag("run").over(down), F.lit(0)))
     c = c.withColumn("k", F.greatest(F.lit(0), F.least(F.col("k"), F.col("n") * MOST)).cast("long"))
-    for _ in range(passes):
-        c = c.withColumn("miss", F.round(F.col("target")).cast("long") - F.sum(F.col("k") * F.col("size")).over(whole))
-        free = F.when(F.col("size") > F.abs("miss"), F.lit(0)).when(F.col("miss") > 0, F.col("n") * MOST - F.col("k")).otherwise(F.col("k"))
-        c = c.withColumn("free", free.cast("long"))
-        earlier = F.coalesce(F.sum(F.col("free") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        fits = F.greatest(F.lit(0), F.least(F.col("free"), F.floor((F.abs("miss") - earlier) / F.col("size")))).cast("long")
-        c = c.withColumn("k", F.col("k") + F.signum("miss").cast("long") * fits)
-    return c.select("skey", "size", "n", F.col("k").alias("copies"))
+    missing = F.round(F.col("target")).cast("long") - F.sum(F.col("k") * F.col("size")).over(whole)
+    c = c.select("skey", "size", "n", "target", "k").withColumn("miss", missing)
+    for _ in range(0, passes, PASSES_A_WRITE):
+        for _ in range(PASSES_A_WRITE):
+            c = c.withColumn("free", _free())
+            earlier = F.coalesce(F.sum(F.col("free") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            fits = F.greatest(F.lit(0), F.least(F.col("free"), F.floor((F.abs("miss") - earlier) / F.col("size")))).cast("long")
+            c = c.withColumn("k", F.col("k") + F.signum("miss").cast("long") * fits).withColumn("miss", missing)
+        c = materialize(c.select("skey", "size", "n", "target", "k", "miss"), "copies")
+        if c.where(_free() > 0).isEmpty():
+            return c.select("skey", "size", "n", F.col("k").alias("copies"))
+    raise RuntimeError(f"the copies did not settle in {passes} passes")
 
 
 def _share(upto, copies, n):
@@ -127,21 +148,35 @@ def _share(upto, copies, n):
     return upto * F.floor(copies / n) + F.floor(upto * (copies % n) / n)
 
 
-def mix_plan(slim: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5) -> tuple[DataFrame, DataFrame]:
-    """Targets by source, and (skey, size, piece, n_piece, first, last): the copies of a piece are the shares from first to last.
+_KEY = ("__o1", "__o2")  # two hashes of all columns tell rows apart
+
 
-    slim: skey, source, size, piece of all documents; keep it written, it is read more than once.
+def _runs(rows: DataFrame, weights: Sequence[float], share: float) -> tuple[DataFrame, DataFrame]:
+    """Targets by source; and __o1, __o2, __n, __k: the n equal rows of a hash get k copies together, rows without any left out.
+
+    rows: skey, source, size and the two hashes of every document.
     """
-    pieces = materialize(slim.groupBy("skey", "source", "size", "piece").agg(F.count(F.lit(1)).alias("n_piece")), "pieces")
-    by_source = pieces.groupBy("skey", "source").agg(F.sum(F.col("n_piece") * F.col("size")).alias("source_size"))
+    orders = materialize(rows.groupBy("skey", "source", "size", *_KEY).agg(F.count(F.lit(1)).alias("__n")), "orders")
+    by_source = orders.groupBy("skey", "source").agg(F.sum(F.col("__n") * F.col("size")).alias("source_size"))
     wanted = materialize(targets(by_source, weights, share), "targets")
-    cells = materialize(pieces.where("size > 0").groupBy("skey", "size").agg(F.sum("n_piece").alias("n")), "cells")
+    worded = orders.where("size > 0").withColumn("piece", F.pmod("__o1", F.lit(max(32, orders.count() // PIECE_ROWS))))
+    pieces = materialize(worded.groupBy("skey", "size", "piece").agg(F.sum("__n").alias("n_piece")), "pieces")
+    cells = materialize(pieces.groupBy("skey", "size").agg(F.sum("n_piece").alias("n")), "cells")
     copies = cell_copies(cells, tilts(cells, wanted))
     along = Window.partitionBy("skey", "size").orderBy("piece")
-    upto = F.sum("n_piece").over(along)
-    dealt = pieces.select("skey", "size", "piece", "n_piece").join(copies.hint("merge"), ["skey", "size"])
-    dealt = dealt.withColumn("upto", upto).select("skey", "size", "piece", "n_piece", (_share(F.col("upto"), F.col("copies"), F.col("n")) - _share(F.col("upto") - F.col("n_piece"), F.col("copies"), F.col("n"))).alias("k_piece"))
-    return wanted, materialize(dealt, "dealt")
+    dealt = pieces.join(copies.hint("merge"), ["skey", "size"]).withColumn("upto", F.sum("n_piece").over(along))
+    k_piece = _share(F.col("upto"), F.col("copies"), F.col("n")) - _share(F.col("upto") - F.col("n_piece"), F.col("copies"), F.col("n"))
+    dealt = materialize(dealt.select("skey", "size", "piece", "n_piece", k_piece.alias("k_piece")).where("k_piece > 0"), "dealt")
+    inside = Window.partitionBy("skey", "size", "piece").orderBy(*_KEY)
+    met = worded.join(dealt.hint("merge"), ["skey", "size", "piece"]).withColumn("end", F.sum("__n").over(inside))
+    k = _share(F.col("end"), F.col("k_piece"), F.col("n_piece")) - _share(F.col("end") - F.col("__n"), F.col("k_piece"), F.col("n_piece"))
+    return wanted, materialize(met.select(*_KEY, "__n", k.cast("int").alias("__k")).where("__k > 0"), "runs")
+
+
+def _marked(docs: DataFrame, source: str, words: Column, hashed: Sequence[Column]) -> DataFrame:
+    """Adds __skey, __words and the two hashes of the columns `hashed`."""
+    skey = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("n"))
+    return docs.select("*", skey.alias("__skey"), words.alias("__words"), F.xxhash64(*hashed).alias("__o1"), F.xxhash64(F.lit(1), *hashed).alias("__o2"))
 
 
 def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, source: str = "source", text: str = "text", size: str | None = None) -> DataFrame:
@@ -152,29 +187,35 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     """
     names = docs.columns
     quoted = [F.col(f"`{c}`") for c in names]
-    words = word_count(text) if size is None else F.col(f"`{size}`")
-    skey = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("n"))
-    own = F.struct(skey.alias("skey"), words.alias("size"), F.xxhash64(*quoted).alias("order"))
-    rows = docs.select(*quoted, own.alias("__mix")).withColumn("__piece", F.pmod(F.col("__mix.order"), F.lit(PIECES)).cast("int"))
-    slim = materialize(rows.select("__mix.skey", F.col(f"`{source}`").alias("source"), "__mix.size", F.col("__piece").alias("piece")), "sizes")
-    wanted, dealt = mix_plan(slim, weights, share)
-    w, d = wanted.select(F.struct("*").alias("__w")), dealt.select(F.struct("*").alias("__d"))
-    same = [F.col(f"__mix.{c}") == F.col(f"__d.{c}") for c in ("skey", "size")] + [F.col("__piece") == F.col("__d.piece")]
-    met = rows.join(d.hint("merge"), same, "left").join(w, F.col("__mix.skey") == F.col("__w.skey"), "left")
-    rank = F.row_number().over(Window.partitionBy(F.col("__mix.skey"), F.col("__mix.size"), "__piece").orderBy(F.col("__mix.order"), *quoted))
-    met = met.withColumn("__rank", rank)
-    n, k = F.col("__d.n_piece"), F.col("__d.k_piece")
-    copies = F.coalesce(_share(F.col("__rank"), k, n) - _share(F.col("__rank") - 1, k, n), F.lit(0)).cast("int")
+    rows = _marked(docs, source, word_count(text) if size is None else F.col(f"`{size}`"), quoted)
+    wanted, runs = _runs(rows.select(F.col("__skey").alias("skey"), F.col(f"`{source}`").alias("source"), F.col("__words").alias("size"), *_KEY), weights, share)
+    w = wanted.select(F.struct("*").alias("__w"))
+    met = rows.join(runs.hint("merge"), list(_KEY), "left").join(w, F.col("__skey") == F.col("__w.skey"), "left")
     kept = [F.col(f"`{c}`") for c in names if c not in ("size", "source_size", "target", "copies")]
-    return met.select(*kept, F.col("__mix.size").alias("size"), F.col("__w.source_size").alias("source_size"), F.col("__w.target").alias("target"), copies.alias("copies"))
+    out = lambda df, copies: df.select(*kept, F.col("__words").alias("size"), F.col("__w.source_size").alias("source_size"), F.col("__w.target").alias("target"), copies.alias("copies"))
+    once = out(met.where("__n IS NULL OR __n = 1"), F.coalesce("__k", F.lit(0)))
+    if runs.where("__n > 1").isEmpty():
+        return once
+    # Equal rows are counted, and come back as many, the first ones with a copy more.
+    whole = F.struct(*[F.col(c) if c[:2] == "__" else F.col(f"`{c}`") for c in met.columns])
+    equal = met.where("__n > 1").groupBy(*_KEY).agg(F.any_value(whole).alias("__row")).select("__row.*").withColumn("__i", F.explode(F.sequence(F.lit(1), "__n")))
+    more = F.floor(F.col("__k") / F.col("__n")) + F.when(F.col("__i") <= F.col("__k") % F.col("__n"), 1).otherwise(0)
+    return once.unionByName(out(equal, more.cast("int")))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, source: str = "source", text: str = "text") -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it. Documents without words are taken no times."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    whole = docs.select(own.alias("__doc"), F.col(f"`{source}`").alias("__source"), word_count(text).alias("__size"))
-    taken = with_copies(whole, weights, share, "__source", size="__size").where("copies > 0")
-    return taken.select("__doc", F.explode(F.sequence(F.lit(1), "copies"))).select("__doc.*")
+    quoted = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*quoted).alias("__doc"), F.col(f"`{source}`").alias("__source"), word_count(text).alias("__size"))
+    rows = _marked(whole, "__source", F.col("__size"), [F.col("__doc")])
+    _, runs = _runs(rows.select(F.col("__skey").alias("skey"), F.col("__source").alias("source"), F.col("__words").alias("size"), *_KEY), weights, share)
+    taken = rows.select("__doc", *_KEY).join(runs.hint("merge"), list(_KEY))
+    repeated = lambda df: df.select("__doc", F.explode(F.sequence(F.lit(1), "__k"))).select("__doc.*")
+    once = repeated(taken.where("__n = 1"))
+    if runs.where("__n > 1").isEmpty():
+        return once
+    equal = taken.where("__n > 1").groupBy(*_KEY).agg(F.any_value("__doc").alias("__doc"), F.any_value("__k").alias("__k"))
+    return once.unionByName(repeated(equal))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
