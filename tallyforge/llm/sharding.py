@@ -13,10 +13,12 @@ number of points. It yields segments: a range of an arc's rows, its shard, and t
 slot of its first row. Rows are numbered inside small pieces of the ring (a cell
 and a hash of the whole row), and pieces are offset by sums over their arc, so no
 key, however frequent, meets in one task: rows that are equal in every column are
-counted before the shuffle and numbered as a run.
+counted before the shuffle and numbered as a run. The number of pieces of a cell
+grows with the table, so a key with a third of the rows still has pieces of bounded size.
 
 Defined cases: keys may be null and may repeat; a null text has size 1; an empty
-table gives an empty result; equal rows take neighbouring slots.
+table gives an empty result; equal rows take neighbouring slots, in the one task that
+has their run; columns named as a result give way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 CELLS = 1 << 14
-PIECES = 16  # of a cell, by a hash of the row
+PIECE_ROWS = 1 << 24  # a cell has a piece, by a hash of the row, for each so many rows of the table, 16 at least
 VNODES = 64
 
 
@@ -81,13 +83,14 @@ def with_shard(df: DataFrame, key: str | Column, shards: int, vnodes: int = VNOD
     """Adds home_shard, shard and slot (gapless from 0 in each shard) to the rows of `df`; columns of these names give way.
 
     Every column of `df` takes part in the order of rows, so bring no more than
-    are needed; it is read twice. Maps are not allowed.
+    are needed; it is read twice, and counted. Maps are not allowed.
     """
+    pieces_of_cell = max(16, -(-df.count() // PIECE_ROWS))
     spark, names = df.sparkSession, [c for c in df.columns if c not in ("home_shard", "shard", "slot")]
     quoted = [F.col(f"`{c}`") for c in names]
     rows = (
         df.withColumn("__cell", F.pmod(F.xxhash64(F.lit("key"), F.col(f"`{key}`") if isinstance(key, str) else key), F.lit(CELLS)).cast("int"))
-        .withColumn("__piece", F.pmod(F.xxhash64(*quoted, F.lit(1)), F.lit(PIECES)).cast("int"))
+        .withColumn("__piece", F.pmod(F.xxhash64(*quoted, F.lit(1)), F.lit(pieces_of_cell)).cast("int"))
         .withColumn("__order", F.xxhash64(*quoted))
         .groupBy("__cell", "__piece", "__order", *quoted)
         .agg(F.count(F.lit(1)).alias("__n"))
