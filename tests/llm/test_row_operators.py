@@ -68,11 +68,25 @@ def test_quality_rules(docs, rows, no_docs):
     assert by_id(got) == by_id([(r[0], *expected_quality(r[1])) for r in rows])
     assert len({x[-1] for x in got}) == 2
     assert set(docs.columns) <= set(quality.with_quality(docs).columns) and quality.with_quality(no_docs).count() == 0
+    # Lengths below 3 are measured whether or not a 3-word window repeats.
+    pairs = " ".join(f"x y w{i} v{i}" for i in range(60))
+    assert 0.1 < quality.measures(pairs.encode(), quality.WordHashes(), {2: 0.1}, 0.3)[6] and not quality.measures(pairs.encode(), quality.WordHashes(), {2: 0.1}, 0.3)[-1]
+    assert quality.measures(pairs.encode(), quality.WordHashes(), {4: 0.1}, 0.3)[6] == 0.0
     symbols = "a #b *$ c%&|<> é\nx y\n\nx y\nx  y"
     memo = quality.WordHashes()
     assert quality.measures(symbols.encode(), memo, quality.GRAM_SHARES, 0.3)[:5] == expected_quality(symbols)[:5]
 
 
+def test_other_columns_do_no_harm(spark, docs, rows):
+    """Extra columns stay, those named as a result give way, and the scan reads only the text."""
+    clash = docs.selectExpr("*", "'x' AS n_assign", "1 AS spans", "2 AS labels", "map('a', 1) AS score")
+    for scanned, dropped in ((secrets.with_secrets(clash), {"n_assign", "spans"}), (licenses.with_licenses(clash), {"labels", "score", "n_words"})):
+        assert set(clash.columns) <= set(scanned.columns) and len(scanned.columns) == len(set(scanned.columns))
+        got = scanned.select("doc_id", "text", "lang", "found").collect()
+        assert by_id((r.doc_id, r.text, r.lang, r.found) for r in got) == by_id((r[0], r[1], r[2], r[7]) for r in rows)
+        assert all(dict(scanned.dtypes)[c] != dict(clash.dtypes)[c] for c in dropped)
+
+
 def expected_base(text):
     text = text or ""
     assign = [m for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
@@ -123,6 +137,25 @@ def test_op5_digest(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(expected_base(SECRETS[r.doc_id])[3].encode()).hexdigest()
 
 
+def test_spans_are_swept():
+    import random
+
+    rng = random.Random(4)
+    span = lambda k: (a := rng.randrange(300), k, a + rng.randint(1, 40))
+    base, more = sorted(span(0) for _ in range(60)), sorted(span(3) for _ in range(200))
+    assert list(secrets.outside(more, base)) == [m for m in more if not any(s <= m[0] and m[2] <= e for s, _, e in base)]
+
+
+def test_many_secrets_and_long_slugs_take_linear_time():
+    import time
+
+    began = time.time()
+    base, every = secrets.scan(("token=abcdef12 " + "Zx9Qw8Er7Ty6Ui5Op4As3Df2 ") .encode() * 8000)
+    assert len(base) == 8000 and len(every) == 16000
+    secrets.scan(b"a-" * 200_000 + b"A1")
+    assert time.time() - began < 20
+
+
 LICENSES = [
     None,
     "",
@@ -133,6 +166,8 @@ LICENSES = [
     "SPDX-License-Identifier: GPL-3.0-only AND MIT",
     "SPDX-License-Identifier: ((MIT OR",
     "under the mit license " * 3000,
+    "SPDX-License-Identifier: LGPL-2.1-or-later, see SPDX-License-Identifier: Foo-1.0. Or later WITH Bar",
+    "SPDX-License-Identifier: AGPL-3.0-or-later AND (Zlib OR CC-BY-NC-ND-4.0) mit license",
 ]
 
 
@@ -150,9 +185,35 @@ def test_license_scans(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[5].labels == "apache-2,gpl-2,mit" and got[5].score == 1.0
     assert got[6].score == 0.4 and got[7].labels == "mit"
+    assert got[9].labels == "foo-1.0,lgpl" and got[9].score == licenses.UNKNOWN
+    assert got[10].labels == "agpl,cc-by-nc,mit,zlib" and got[10].score == 0.1  # "cc by nc" is a base phrase by itself
+    named = licenses.with_licenses(df, notices={"the mit": "house"}, permissiveness={"house": 0.7, "mit": 1.0}).where("doc_id = 2").first()
+    assert named.labels == "mit" and named.base_labels == "mit"  # the base phrase is longer
     assert got[3].labels == "apache-2,cc-by-nc" and got[3].score == 0.1
 
 
+def test_many_notices_take_linear_time():
+    import time
+
+    began = time.time()
+    for text, labels in (("mit license ", "mit"), ("cc by nc gnu general public license version 2 ", "cc-by-nc,gpl-2"), ("SPDX-License-Identifier: MIT or ", "mit")):
+        times = 20_000 // len(text.split())
+        out = licenses.scan(text.encode() * times)
+        assert out[0] >= 10_000 and out[5] == labels
+    assert licenses.scan(b"cc by nc " * 7000)[1:4] == (7000, 0, 20997)
+    assert time.time() - began < 5
+
+
+def test_contained_places_go():
+    import random
+
+    rng = random.Random(9)
+    found = list({(a := rng.randrange(60), a + rng.randint(1, 12), rng.choice([None, None, "x"]), "y") for _ in range(120)})
+    spans = {x[:2]: x for x in found}.values()  # a place has one phrase
+    want = [x for x in spans if x[2] or not any(a <= x[0] and x[1] <= b and (a, b) != x[:2] for a, b, *_ in spans)]
+    assert sorted(licenses.widest(list(spans)), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize(
     ("text", "postfix"),
     [("MIT", "MIT"), ("a or b and c", "a b c and or"), ("(a or b) and c", "a b or c and"), ("a with x or b", "a x with b or"), ("a and b with x", "a b x with and")],

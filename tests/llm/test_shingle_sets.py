@@ -92,4 +92,6 @@ def test_defined_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.text) if r.doc_id is not None else (0, r.text) for r in shingle_sets.one_of_each(docs).collect())
     assert got == [(0, "x y z"), (1, None), (4, "a b")]
+    mapped = docs.selectExpr("*", "map('k', doc_id) AS m")  # columns that can't be ordered
+    assert shingle_sets.one_of_each(mapped).count() == 3
     assert shingle_sets.one_of_each(docs.where("false")).count() == 0
