@@ -74,11 +74,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 def _step(state: DataFrame, cells: DataFrame, tolerance: float) -> DataFrame:
     """One Newton step of every source that is still off."""
-    rated = cells.join(state.select("skey", "lam", "mean"), "skey").withColumn("x", F.col("size") / F.col("mean"))
+    rated = cells.join(state.select("skey", "lam", "mean").hint("merge"), "skey").withColumn("x", F.col("size") / F.col("mean"))
     p = 1 / (1 + F.exp(-F.col("lam") * F.col("x")))
     words = F.col("n") * F.col("size") * MOST
     sums = rated.select("skey", (words * p).alias("g"), (words * F.col("x") * p * (1 - p)).alias("h")).groupBy("skey").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    now = state.join(sums, "skey").withColumn("off", F.when(F.col("full"), F.lit(0.0)).otherwise(F.col("g") - F.col("target")))
+    now = state.join(sums.hint("merge"), "skey").withColumn("off", F.when(F.col("full"), F.lit(0.0)).otherwise(F.col("g") - F.col("target")))
     now = now.withColumn("lo", F.when(F.col("off") < 0, F.greatest("lo", "lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("off") > 0, F.least("hi", "lam")).otherwise(F.col("hi")))
     step = F.when(F.col("h") > 0, F.greatest(F.lit(-4.0), F.least(F.lit(4.0), -F.col("off") / F.col("h")))).otherwise(-F.signum("off"))
     newton = F.col("lam") + step
@@ -125,7 +125,7 @@ def cell_copies(cells: DataFrame, tilted: DataFrame, passes: int = PASSES) -> Da
     down = Window.partitionBy("skey").orderBy(F.col("size").desc())
     whole = Window.partitionBy("skey")
     upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    c = cells.join(tilted, "skey").withColumn("rate", F.when(F.col("full"), F.lit(float(MOST))).otherwise(MOST / (1 + F.exp(-F.col("lam") * F.col("size") / F.col("mean")))))
+    c = cells.join(tilted.hint("merge"), "skey").withColumn("rate", F.when(F.col("full"), F.lit(float(MOST))).otherwise(MOST / (1 + F.exp(-F.col("lam") * F.col("size") / F.col("mean")))))
     run = F.sum(F.col("n") * F.col("rate")).over(upto)
     c = c.withColumn("run", F.floor(run + 0.5)).withColumn("k", F.col("run") - F.coalesce(F.lag("run").over(down), F.lit(0)))
     c = c.withColumn("k", F.greatest(F.lit(0), F.least(F.col("k"), F.col("n") * MOST)).cast("long"))
