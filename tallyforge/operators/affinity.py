@@ -170,4 +170,4 @@ def closest_name(texts: DataFrame, careers: DataFrame, cutoff: float = 0.62, tex
     rest = todo.join(same, "texto", "left_anti")
     near = alike(rest.withColumnRenamed("texto", "text"), cat.withColumnRenamed("carrera", "name"), cutoff, names_first=True).withColumnsRenamed({"text": "texto", "name": "carrera"})
     best = near.withColumn("__r", F.row_number().over(Window.partitionBy("texto").orderBy(F.col("sim").desc(), F.col("carrera").desc()))).where("__r = 1").select("texto", "carrera")
-    return todo.join(same.unionByName(best), "texto", "left")
+    return todo.join(same.unionByName(best).hint("merge"), "texto", "left")

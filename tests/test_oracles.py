@@ -4,6 +4,7 @@ import decimal
 
 import pytest
 
+from tallyforge.plans import queries as plan_queries
 from tallyforge.plans.fixtures import TABLES
 from tallyforge.plans.oracles import oracle_sql
 from tallyforge.plans.queries import QUERIES
@@ -28,8 +29,17 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def shared(spark):
+    """One set of views for all queries, so that what several of them write is written once."""
+    views = plan_queries.Views(spark, FOLDER)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(plan_queries, "Views", lambda *_: views)
+        yield views
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_matches_sql(spark, duck, name):
+def test_query_matches_sql(spark, duck, shared, name):
     df = QUERIES[name](spark, FOLDER)
     want = duck.execute(SQL[name])
     columns = [d[0] for d in want.description]
