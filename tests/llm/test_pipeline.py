@@ -3,8 +3,9 @@
 from collections import Counter
 
 import pytest
-from test_corpus_operators import expected_components, expected_hits, expected_targets
+from test_corpus_operators import expected_hits, expected_targets
 from test_row_operators import by_id, expected_quality
+from test_shingle_sets import expected_firsts
 
 import corpus_pipeline
 from tallyforge.llm.queries import queries
@@ -56,7 +57,8 @@ def test_stages_against_brute_force(spark, folder, rows, tmp_path):
     assert one.columns == columns and by_id(map(tuple, one.collect())) == by_id(kept)
 
     two = run(1, one)
-    least = {c for _, _, c in expected_components(kept) if c is not None}
+    ordered = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0))
+    least = {ordered[i][0] for i in expected_firsts([r[1] for r in ordered])[0]} - {None}
     got = by_id(map(tuple, two.collect()))
     assert two.columns == columns and [r[0] for r in got if r[0] is not None] == [r[0] for r in by_id(r for r in {x[:2]: x for x in kept if x[0] in least}.values())]
 
