@@ -131,7 +131,8 @@ SQL["c1_ink_features"] = f"""WITH {_INSIDE.format('0.10D', 8, 12)} SELECT cell_i
 SQL["c2_half_density"] = f"WITH {_INSIDE.format('0.10D', 8, 12)} SELECT cell_id, round({_AVG.format('ins AND ix < floor(iw / 2.0D)')}, 9) AS dens_izq, round({_AVG.format('ins AND ix >= floor(iw / 2.0D)')}, 9) AS dens_der FROM i GROUP BY cell_id"
 SQL["c3_quadrant_symmetry"] = f"""WITH {_SIZED}, p AS (SELECT cell_id, h >= 4 AND w >= 4 AS big, y >= floor(h / 2.0D) AS b, x >= floor(w / 2.0D) AS r, CASE WHEN y < 8 AND cell_id % 2 = 0 THEN 0 ELSE ink END AS ink FROM z)
 SELECT cell_id, sum(CASE WHEN big AND d >= 0.01 THEN 0.25D ELSE 0.0D END) AS simetria FROM (SELECT cell_id, big, b, r, avg(ink) AS d FROM p GROUP BY ALL) GROUP BY cell_id"""
-SQL["c4_gray_variance"] = f"WITH {_INSIDE.format('0.15D', 5, 5)} SELECT cell_id, round(least(1.0D, coalesce(var_pop(gray) FILTER (ins), 0.0D) / 2000.0D), 7) AS varianza FROM i GROUP BY cell_id"
+SQL["c4_gray_variance"] = f"""WITH {_INSIDE.format('0.15D', 5, 5)}, s AS (SELECT cell_id, count(*) FILTER (ins) AS n, sum(CAST(gray AS BIGINT)) FILTER (ins) AS s, sum(CAST(gray * gray AS BIGINT)) FILTER (ins) AS q FROM i GROUP BY cell_id)
+SELECT cell_id, least(1.0D, coalesce(CAST(n * q - s * s AS DOUBLE) / nullif(CAST(n * n AS DOUBLE), 0), 0.0D) / 2000.0D) AS varianza FROM s"""
 SQL["c5_border_dark_share"] = f"""WITH {_SIZED}, zb AS (SELECT *, greatest(2, floor(h * 0.03D)) AS bh, greatest(2, floor(w * 0.03D)) AS bw FROM z),
  p AS (SELECT cell_id, gray, CASE WHEN h >= 10 AND w >= 10 THEN CAST(y < bh AS INT) + CAST(y >= h - bh AS INT) + CAST(x < bw AS INT) + CAST(x >= w - bw AS INT) ELSE 0 END AS k FROM zb),
  q AS (SELECT cell_id, coalesce(sum(CASE WHEN gray < 128 THEN k ELSE 0 END) / nullif(CAST(sum(k) AS DOUBLE), 0), 0.0D) AS d FROM p GROUP BY cell_id)

@@ -373,7 +373,7 @@ def c3_quadrant_symmetry(v):
 
 @query
 def c4_gray_variance(v):
-    return rounded(layout.gray_variance(v.pixels), 7)
+    return layout.gray_variance(v.pixels)
 
 
 @query
