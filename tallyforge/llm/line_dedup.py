@@ -8,13 +8,17 @@ one rule. Besides, the shortest run of 40 words from each line on, and up to eac
 line, is a chunk; its boundaries depend only on the lines inside it, so a repeated
 passage of 40 words or more goes whole, whatever stands around it. Chunks of several
 lines, or of one long line, that occur at more than one place of the corpus are
-removed from all places but the first (by doc_id, then position); chunks are
-grouped by the SHA-256 of their bytes, so equal 64-bit hashes alone remove nothing.
+removed from all places but the first (by doc_id, then position), after their bytes
+were compared with those of the first place.
 
-One pass over the texts writes a row for each chunk: its digest and its place. These
+One pass over the texts writes a row for each chunk: its SHA-256 and its place. These
 rows, about a tenth of the texts, are counted by digest and joined with the digests
 that repeat, at any number of repeats and without a table of fixed size; the driver
-gets nothing. Only the last join moves the texts, once.
+gets nothing. Chunks of a text that lie alike in the same first text are joined to
+ranges, so overlapping chunks are compared once. The first texts give the lines of
+these ranges, in pieces of a few lines; each piece meets the text that is to lose it,
+and goes only if it is equal there. Texts move twice: to be read as first texts, and
+to be cut.
 
 Defined cases: a null text stays null and an empty one empty; blank lines belong
 to chunks but a chunk without a word is never removed; rows equal in doc_id and
@@ -28,7 +32,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialize, small_batches, table
@@ -36,6 +40,8 @@ from .words import mix
 
 RULES = 3
 MIN_LINES, MIN_WORDS = 2, 40
+# Lines that are compared at a time. Bounds how many ranges of a first text differ, however many texts repeat parts of it.
+PIECE_LINES = 16
 _CHUNK = "struct<first: int, last: int, digest: binary>"
 
 
@@ -86,29 +92,80 @@ def with_chunks(docs: DataFrame, keep: list[str], text: str, **shape) -> DataFra
     return map_texts(docs, columns, f"found array<{_CHUNK}>", text, keep)
 
 
-def removals(docs: DataFrame, **shape) -> DataFrame:
-    """doc_id, text_key, cut: the line ranges to remove from each place. docs: doc_id, text."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    places = materialize(with_chunks(keyed, ["doc_id", "text_key"], "text", **shape).select("doc_id", "text_key", F.inline("found")), "places")
+def repeats(docs: DataFrame, **shape) -> DataFrame:
+    """doc_id, text_key, first, last, keep_id, keep_key, keep_first: each repeated chunk, and where it stands first. docs: doc_id, text, text_key."""
+    places = materialize(with_chunks(docs, ["doc_id", "text_key"], "text", **shape).select("doc_id", "text_key", F.inline("found")), "places")
     place = F.struct("doc_id", "text_key", "first")
     firsts = materialize(places.groupBy("digest").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
     hit = places.join(firsts.hint("merge"), "digest").where(~place.eqNullSafe(F.col("keep")))
-    return hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cut"))
+    kept = [F.col(f"keep.{x}").alias(y) for x, y in (("doc_id", "keep_id"), ("text_key", "keep_key"), ("first", "keep_first"))]
+    return hit.select("doc_id", "text_key", "first", "last", *kept).distinct()
+
+
+def pieces(hit: DataFrame, piece_lines: int = PIECE_LINES) -> DataFrame:
+    """doc_id, text_key, keep_id, keep_key, a, b, ranges: which lines of a text (first, last) repeat lines a to b of a first text; n: how many chunks begin with a piece.
+
+    Chunks at the same distance from their first places are joined where they touch, then cut at every piece_lines lines of the first text.
+    """
+    alike = ["doc_id", "text_key", "keep_id", "keep_key", "shift"]
+    order = Window.partitionBy(*alike).orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = hit.withColumn("shift", F.col("first") - F.col("keep_first")).withColumn("apart", F.coalesce(reach < F.col("first"), F.lit(True)).cast("int"))
+    joined = apart.withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy(*alike, "run").agg((F.min("first") - F.col("shift")).alias("from"), (F.max("last") - F.col("shift")).alias("to"), F.count(F.lit(1)).alias("n"))
+    own = lambda c: F.floor(F.col(c) / piece_lines).cast("int")
+    cut = joined.withColumn("piece", F.explode(F.sequence(own("from"), F.floor((F.col("to") - 1) / piece_lines).cast("int"))))
+    cut = cut.withColumns({"a": F.greatest("from", F.col("piece") * piece_lines), "b": F.least("to", (F.col("piece") + 1) * piece_lines)})
+    n = F.when(F.col("piece") == own("from"), F.col("n")).otherwise(0)
+    there = F.struct((F.col("a") + F.col("shift")).alias("first"), (F.col("b") + F.col("shift")).alias("last"), n.cast("long").alias("n"))
+    return cut.groupBy("doc_id", "text_key", "keep_id", "keep_key", "a", "b").agg(F.collect_list(there).alias("ranges"))
+
+
+def _lines_of(batches):
+    """Rows keep_id, keep_key, text, ranges (a, b); returns a row with the lines of each range."""
+    for batch in batches:
+        for i, (text, ranges) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            lines = (text or "").split("\n")
+            for at in range(0, len(ranges), 1024):
+                part = ranges[at : at + 1024]
+                of = [batch.column(k).take(pa.array([i] * len(part))) for k in (0, 1)]
+                a, b = ([r[x] for r in part] for x in "ab")
+                kept = ["\n".join(lines[x:y]) for x, y in zip(a, b, strict=True)]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(kept, pa.string())], names=[*batch.schema.names[:2], "a", "b", "kept"])
+
+
+def removals(docs: DataFrame, **shape) -> DataFrame:
+    """doc_id, text_key, cut: the lines of first places (kept), and the ranges of each text that repeat them. docs: doc_id, text."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    compared = materialize(pieces(repeats(keyed, **shape)), "pieces")
+    where = ["keep_id", "keep_key", "a", "b"]
+    wanted = compared.select(*where).distinct().groupBy("keep_id", "keep_key").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+    found = keyed.join(materialize(wanted, "wanted").hint("merge"), same).select("keep_id", "keep_key", "text", "asked")
+    schema = compared.select("keep_id", "keep_key").schema.add("a", "integer").add("b", "integer").add("kept", "string")
+    # Rows equal in doc_id and text give the same lines.
+    kept = materialize(found.mapInArrow(_lines_of, schema).groupBy(*where).agg(F.any_value("kept").alias("kept")), "kept")
+    kept = kept.withColumnsRenamed({"keep_id": "__id", "keep_key": "__key"})
+    met = F.col("keep_id").eqNullSafe(F.col("__id")) & (F.col("keep_key") == F.col("__key")) & (compared["a"] == kept["a"]) & (compared["b"] == kept["b"])
+    return compared.join(kept.hint("merge"), met).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kept", "ranges")).alias("cut"))
 
 
 def _cut_lines(batches):
-    """Rows whose last two columns are the text and its cuts; returns them with the text cut and the counts added."""
+    """Rows whose last two columns are the text and its cuts; returns them with the text cut, where its lines equal those kept, and the counts added."""
     for batch in batches:
         texts, cuts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         out, n_lines, n_removed, n_chunks = [], [], [], []
         for text, cut in zip(texts, cuts, strict=True):
             lines = text.split("\n") if text is not None else []
-            gone = np.zeros(len(lines), bool)
+            gone, found = np.zeros(len(lines), bool), 0
             for c in cut or ():
-                gone[c["first"] : c["last"]] = True
+                for r in c["ranges"]:
+                    if "\n".join(lines[r["first"] : r["last"]]) == c["kept"]:
+                        gone[r["first"] : r["last"]] = True
+                        found += r["n"]
             n_lines.append(len(lines))
             n_removed.append(int(gone.sum()))
-            n_chunks.append(len(cut or ()))
+            n_chunks.append(found)
             out.append(text if not cut else "\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g))
         arrays = [pa.array(out, pa.string()), *(pa.array(x, pa.int64()) for x in (n_lines, n_chunks, n_removed))]
         names = [*batch.schema.names[:-2], "text", "n_lines", "n_cut_chunks", "n_cut_lines"]
