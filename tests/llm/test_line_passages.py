@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from tallyforge.llm import line_dedup
 
 
@@ -18,3 +20,34 @@ def test_short_passages_go_whole(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, rest string").repartition(3)
     got = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}
     assert got == {i: text if i < 1000 else rest for i, text, rest in rows}
+
+
+def test_long_passages_go_over_many_pieces(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    passage = [line(8) for _ in range(75)]
+    own = [[line(5) for _ in range(3)] for _ in range(6)]
+    parts = [(0, 75), (0, 75), (10, 60), (33, 75), (0, 75), (0, 75)]
+    rows = [(i, "\n".join([*own[i], *passage[a:b]]), "\n".join([*own[i], *(passage[a:b] if i == 0 else [])])) for i, (a, b) in enumerate(parts)]
+    rows += [rows[5], (None, "\n".join(passage), None)]  # a repeated row; a null id comes first
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rest string").repartition(3)
+    got = line_dedup.without_repeats(docs).collect()
+    whole = {r.doc_id: r.text for r in got}
+    assert whole == {**{i: "\n".join(own[i]) for i in range(6)}, None: "\n".join(passage)}
+    assert len(got) == 8 and sum(r.doc_id == 5 and r.text == whole[5] for r in got) == 2
+
+
+def test_lines_stay_where_their_bytes_differ():
+    texts = ["a\nb c\nd", "a\nb c\nd", None, ""]
+    cut = lambda kept: [{"kept": kept, "ranges": [{"first": 1, "last": 3, "n": 2}]}]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts, "__cut": [cut("b c\nd"), cut("b  c\nd"), None, None]})
+    out = next(line_dedup._cut_lines([batch])).to_pydict()
+    assert out["text"] == ["a", texts[1], None, ""]
+    assert out["n_cut_chunks"] == [2, 0, 0, 0] and out["n_cut_lines"] == [2, 0, 0, 0] and out["n_lines"] == [3, 3, 0, 1]
+
+
+def test_touching_chunks_are_compared_once(spark):
+    schema = "doc_id long, text_key long, first int, last int, keep_id long, keep_key long, keep_first int"
+    hit = spark.createDataFrame([(2, 7, 1, 5, 1, 9, 11), (2, 7, 3, 9, 1, 9, 13), (2, 7, 9, 12, 1, 9, 19), (2, 7, 20, 22, 1, 9, 11), (2, 7, 30, 31, None, 9, 0)], schema)
+    got = sorted((r.keep_id or 0, r.a, r.b, sorted((x["first"], x["last"], x["n"]) for x in r.ranges)) for r in line_dedup.pieces(hit).collect())
+    assert got == [(0, 0, 1, [(30, 31, 1)]), (1, 11, 13, [(20, 22, 1)]), (1, 11, 16, [(1, 6, 3)]), (1, 16, 22, [(6, 12, 0)])]
