@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alike, normalize, variants
-from ..sources.storage import settle
+from ..sources.storage import settle, small
 
 # Weights of an affinity, and its verdicts.
 WEIGHTS = {"regla": 5, "grupo": 3, "palabra": 1, "tipo": 2}
@@ -21,9 +21,9 @@ def career_index(career_types: DataFrame, alias: DataFrame | None = None, dedupe
     pairs = career_types.select("carrera", "tipo")
     if alias is not None:
         if dedupe:
-            pairs = pairs.join(F.broadcast(alias.select(F.col("alias").alias("tipo"), F.col("tipo").alias("__t"))), "tipo", "left").select("carrera", F.coalesce("__t", "tipo").alias("tipo"))
+            pairs = pairs.join(small(alias.select(F.col("alias").alias("tipo"), F.col("tipo").alias("__t"))), "tipo", "left").select("carrera", F.coalesce("__t", "tipo").alias("tipo"))
         else:
-            pairs = pairs.unionByName(pairs.join(F.broadcast(alias), "tipo").select("carrera", F.col("alias").alias("tipo")))
+            pairs = pairs.unionByName(pairs.join(small(alias), "tipo").select("carrera", F.col("alias").alias("tipo")))
     return pairs.distinct()
 
 

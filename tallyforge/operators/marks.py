@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import small
+
 # The blocks of the paper form and their numbers of items.
 BLOCKS = {"E": 33, "P": 47, "H": 38}
 LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
@@ -25,8 +27,8 @@ def state(col: str | Column = "opcion") -> Column:
 
 
 def complete_marks(marks: DataFrame, forms: DataFrame, items: DataFrame) -> DataFrame:
-    """form_id, item, opcion for every form and item; a missing answer is `vacio`. The item table is as large as a form, so it is broadcast."""
-    grid = forms.select("form_id").crossJoin(F.broadcast(items.select("item")))
+    """form_id, item, opcion for every form and item; a missing answer is `vacio`. The item table is as large as a form; it is counted, then broadcast."""
+    grid = forms.select("form_id").crossJoin(small(items.select("item")))
     return grid.join(marks.select("form_id", "item", "opcion").hint("merge"), ["form_id", "item"], "left").select("form_id", "item", F.coalesce("opcion", F.lit("vacio")).alias("opcion"))
 
 
@@ -65,7 +67,7 @@ def repair_labels(df: DataFrame, col: str = "label") -> DataFrame:
 def validate_labels(df: DataFrame, dim: DataFrame, col: str = "item") -> DataFrame:
     """Adds `valid`: the label is an item of the form."""
     known = dim.select(F.col("item").alias(col), F.lit(True).alias("__known"))
-    return df.join(F.broadcast(known), col, "left").withColumn("valid", F.coalesce("__known", F.lit(False))).drop("__known")
+    return df.join(small(known), col, "left").withColumn("valid", F.coalesce("__known", F.lit(False))).drop("__known")
 
 
 def name_problem(col: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import small
 from .marks import point
 
 # Cut points of levels, and the texts of potentials.
@@ -24,10 +25,10 @@ def raw_scores(marks: DataFrame, item_map: DataFrame, forms: DataFrame) -> DataF
 
     Answers are summed by form before types without any are filled in; the item map is a catalogue of at most a few items a type.
     """
-    hit = marks.where(point() == 1).select("form_id", "item").join(F.broadcast(item_map), "item")
+    hit = marks.where(point() == 1).select("form_id", "item").join(small(item_map), "item")
     block = lambda b: F.count_if(F.col("bloque") == b).alias(f"pd_{b.lower()}")
     sums = hit.groupBy("form_id", "tipo").agg(block("E"), block("P"), block("H"), F.count(F.lit(1)).alias("pd"))
-    grid = forms.select("form_id").crossJoin(F.broadcast(item_map.select("tipo", "tipo_ord").distinct()))
+    grid = forms.select("form_id").crossJoin(small(item_map.select("tipo", "tipo_ord").distinct()))
     filled = grid.join(sums, ["form_id", "tipo"], "left")
     return filled.select("form_id", "tipo", "tipo_ord", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pd_e", "pd_p", "pd_h", "pd")])
 
@@ -103,8 +104,8 @@ def criteria_rollup(normed: DataFrame, criteria: DataFrame) -> DataFrame:
 def profile_from_items(marks: DataFrame, areas: DataFrame) -> DataFrame:
     """Per form and area: the share of its items that are marked; unanswered items count as not marked, areas without items give 0. areas: area, item (null for an empty area)."""
     per = areas.groupBy("area").agg(F.count("item").alias("n"))
-    hit = marks.where(point() == 1).join(F.broadcast(areas), "item").groupBy("form_id", "area").agg(F.count(F.lit(1)).alias("k"))
-    grid = marks.select("form_id").distinct().crossJoin(F.broadcast(per))
+    hit = marks.where(point() == 1).join(small(areas), "item").groupBy("form_id", "area").agg(F.count(F.lit(1)).alias("k"))
+    grid = marks.select("form_id").distinct().crossJoin(small(per))
     return grid.join(hit, ["form_id", "area"], "left").select("form_id", "area", F.when(F.col("n") > 0, F.coalesce("k", F.lit(0)) / F.col("n")).otherwise(0.0).alias("valor"))
 
 
@@ -113,7 +114,7 @@ LETTERS = ("r", "i", "a", "s", "e", "c")
 
 def profile_from_norms(normed: DataFrame, letters: DataFrame) -> DataFrame:
     """Per form r, i, a, s, e, c: the mean norm of the letter's types over 99, at most 1, without data 0. letters: tipo, letra."""
-    j = normed.join(F.broadcast(letters), "tipo", "left")
+    j = normed.join(small(letters), "tipo", "left")
     mean = lambda x: F.avg(F.when(F.col("letra") == x, F.col("baremo").cast("double")))
     return j.groupBy("form_id").agg(*[F.least(F.lit(1.0), F.coalesce(mean(x), F.lit(0.0)) / 99.0).alias(x) for x in LETTERS])
 
@@ -148,7 +149,7 @@ def predominant(normed: DataFrame) -> DataFrame:
 
 def manual_order(df: DataFrame, order: DataFrame) -> DataFrame:
     """Adds `lugar`, the place in manual order; types that it doesn't know come last. order: tipo, manual."""
-    j = df.join(F.broadcast(order), "tipo", "left").withColumn("manual", F.coalesce("manual", F.lit(999)))
+    j = df.join(small(order), "tipo", "left").withColumn("manual", F.coalesce("manual", F.lit(999)))
     return j.withColumn("lugar", F.row_number().over(_form().orderBy("manual", "tipo_ord"))).drop("manual")
 
 

@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -23,6 +24,11 @@ def is_small(df: DataFrame, rows: int = 10_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most so many rows, which are counted first; a larger one is merged."""
+    return F.broadcast(df) if is_small(df, rows) else df.hint("merge")
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` and read it back: what several later joins need is computed once, survives lost executors, and has a known size."""
     path = shared_path(df.sparkSession, tag)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import affinity, classify, layout, marks, monitor, proposal, recommend, scoring
-from tallyforge.sources import ingest
+from tallyforge.sources import ingest, storage
 
 # ---- scoring
 
@@ -317,3 +317,9 @@ def test_lookups_are_equi_joins_without_python(spark):
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan, name
     window = _plan(classify.classify_forms(_signals(spark, [])))
     assert window.count("hashpartitioning(form_id") == 1
+
+
+def test_only_counted_tables_are_broadcast(spark):
+    keys = spark.range(50)
+    of = lambda rows: spark.range(200).join(storage.small(keys, rows), "id")._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in of(50) and "strategy=broadcast" not in of(49) and "strategy=merge" in of(49)
