@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op12_byte_bpe
 from .decontaminate import op7_decontamination
+from .divergence import op13_source_divergence
+from .importance import op11_importance_resampling
 from .licenses import op10_license_scans
 from .line_dedup import op9_line_dedup
 from .mixing import op6_mixing
@@ -19,6 +22,7 @@ from .warc import op4_warc
 
 QUERIES = (
     op1_token_counts, op2_sharding, op3_simhash, op4_warc, op5_secret_scans, op6_mixing, op7_decontamination, op8_quality_rules, op9_line_dedup, op10_license_scans,
+    op11_importance_resampling, op12_byte_bpe, op13_source_divergence,
 )
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,10 +49,29 @@ WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS w FROM doc
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
+# The pair part runs over all kept terms of both sources, the ones that only one or none has included.
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w,
+   row_number() OVER () AS id FROM documents),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+ kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+ c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+ v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS big_n FROM kept GROUP BY lang),
+ full_c AS (SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n, total FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ sized AS (SELECT f.*, v.v, v.big_n, sum(n) OVER (PARTITION BY f.lang, f.source) AS own_n FROM full_c f JOIN v ON v.lang = f.lang),
+ s AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (own_n + 2 * v) AS p, 1 + (1000000000 * (total + 2)) // (big_n + 2 * v) AS q FROM sized),
+ two AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(two.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source),
+ own AS (SELECT lang, source, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM s WHERE n > 0 AND p > q),
+ ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM own) WHERE rank <= 10)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM ranked"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op7_decontamination": DECONTAMINATION_SQL}
+    return {"op4_warc": WARC_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op13_source_divergence": DIVERGENCE_SQL}
