@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,42 +54,61 @@ def variants(text: str | Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 M / T over longest matching blocks, on Arrow batches. Only for pairs that count_bound lets through."""
+    """2 M / T over longest matching blocks, on Arrow batches. Only for pairs that candidates() lets through."""
     from difflib import SequenceMatcher
 
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-# Characters counted one by one; all others count together.
+# Characters told apart in letter_bits; all others count together.
 ALPHABET = string.ascii_letters + string.digits + " "
+# Bits of each character, so the occurrences of it that are told apart.
+OCCURRENCES = 8
 
 
-def letter_counts(text: str | Column) -> Column:
-    """How often each character of ALPHABET occurs, and all others together."""
+def letter_bits(text: str | Column) -> list[Column]:
+    """Eight longs with a bit for each of the first OCCURRENCES occurrences of each character of ALPHABET, and the number of other characters.
+
+    Two texts differ in at least as many characters as these bits differ.
+    """
     t = _col(text)
-    return F.array(*[F.length(t) - F.length(F.replace(t, F.lit(x))) for x in ALPHABET], F.length(F.translate(t, ALPHABET, "")))
+    times = lambda x: F.least(F.length(t) - F.length(F.replace(t, F.lit(x))), F.lit(OCCURRENCES))
+    ones = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), times(x)) - 1
+    groups = [ALPHABET[i : i + 8] for i in range(0, len(ALPHABET), 8)]
+    words = [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(ones(x), OCCURRENCES * i) for i, x in enumerate(group)]) for group in groups]
+    return [*words, F.length(F.translate(t, ALPHABET, "")).cast("long")]
+
+
+def fewest_changes(a: list[Column], b: list[Column]) -> Column:
+    """The least number of characters, of both texts together, that no matching block can take up, from their letter_bits."""
+    return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[:-1], b[:-1], strict=True)]) + F.abs(a[-1] - b[-1])
 
 
-def count_bound(a: Column, b: Column) -> Column:
-    """The most that `ratio` can reach for texts with these letter_counts: matching blocks match no more characters than both have."""
-    add = lambda s, x: s + x
-    both, every = (F.aggregate(F.zip_with(a, b, f), F.lit(0), add) for f in (lambda x, y: F.least(x, y), lambda x, y: x + y))
-    return 2.0 * both / every
+def candidates(texts: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """text, name of the distinct texts and names whose lengths and characters let `ratio` reach the cutoff.
+
+    With M matched characters of T, the ratio is 2 M / T, so T - 2 M of them at most may be left over. A name meets the
+    texts of fitting lengths, and the join itself drops a pair whose characters leave more: eight exclusive ors on longs,
+    within generated code. Only what passes is a row.
+    """
+    farthest = (2.0 - cutoff) / cutoff
+    number = len(letter_bits(F.lit("")))
+    marked = lambda df, c, tag: df.where(F.col(c) != "").select(c).distinct().select(c, F.length(c).alias(f"__{tag}len"), *[x.alias(f"__{tag}{i}") for i, x in enumerate(letter_bits(c))])
+    t, n = marked(texts, "text", "t"), marked(names, "name", "n")
+    reach = F.sequence(F.ceil(F.col("__nlen") / farthest - 1e-9).cast("int"), F.floor(F.col("__nlen") * farthest + 1e-9).cast("int"))
+    n = n.withColumn("__met", F.explode(reach))
+    left = fewest_changes(*[[F.col(f"__{tag}{i}") for i in range(number)] for tag in "tn"])
+    near = left <= (1.0 - cutoff) * (F.col("__tlen") + F.col("__nlen")) + 1e-9
+    return t.join(n.hint("merge"), (F.col("__tlen") == F.col("__met")) & near).select("text", "name")
 
 
 def alike(texts: DataFrame, names: DataFrame, cutoff: float, names_first: bool = False) -> DataFrame:
     """text, name, sim of the distinct texts and names (columns text and name) whose similarity reaches the cutoff; none is lost.
 
-    A name meets the texts of the lengths that can reach the cutoff with it, by an equal join on the length; pairs
-    whose characters can't reach it go next, and Python compares the rest. Empty texts are similar to nothing.
+    Python compares the candidates. Empty texts are similar to nothing.
     names_first: which of the two is the first argument of `ratio`, which decides between equal blocks.
     """
-    farthest = (2.0 - cutoff) / cutoff
-    t = texts.where("text <> ''").select("text").distinct().select("text", letter_counts("text").alias("__t"), F.length("text").alias("__len"))
-    n = names.where("name <> ''").select("name").distinct().select("name", letter_counts("name").alias("__n"), F.length("name").alias("__own"))
-    reach = F.sequence(F.ceil(F.col("__own") / farthest - 1e-9).cast("int"), F.floor(F.col("__own") * farthest + 1e-9).cast("int"))
-    n = n.select("name", "__n", F.explode(reach).alias("__len"))
-    met = t.join(n.hint("merge"), "__len").where(count_bound(F.col("__t"), F.col("__n")) >= cutoff).select("text", "name")
+    met = candidates(texts, names, cutoff)
     return met.withColumn("sim", ratio("name", "text") if names_first else ratio("text", "name")).where(F.col("sim") >= cutoff)
 
 

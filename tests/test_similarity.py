@@ -73,3 +73,44 @@ def test_aliases_stop_at_the_first_near_one(spark):
     near = round(ratio("medicina", "medicinal"), 6)
     # 1: the first alias is near enough, the exact one behind it isn't read; 3: no alias before the exact one is nearer than the name; 4: keywords are read anyway.
     assert near >= 0.85 and got == {1: near, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
+def misspelled(seed, count):
+    """Names of one to three words, and texts: misspelled names and others."""
+    import random
+
+    rng = random.Random(seed)
+    syllable = lambda: rng.choice("bcdfghjlmnpqrstvz") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s", "l"])
+    words = ["".join(syllable() for _ in range(rng.randint(2, 4))) for _ in range(1500)]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+    names, texts = list({name() for _ in range(count)}), set()
+    for _ in range(count):
+        text = list(rng.choice(names) if rng.random() < 0.5 else name())
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        texts.add("".join(text))
+    return names, list(texts)
+
+
+def test_candidates_are_a_small_part_of_fitting_lengths(spark):
+    from collections import Counter
+
+    names, texts = misspelled(5, 5000)
+    frames = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    of_texts, of_names = Counter(map(len, texts)), Counter(map(len, names))
+    for cutoff in (0.72, 0.78, 0.85):
+        fitting = sum(x * y for a, x in of_texts.items() for b, y in of_names.items() if 2 * min(a, b) >= cutoff * (a + b))
+        met = T.candidates(*frames, cutoff)
+        assert 0 < met.count() < 0.05 * fitting
+    plan = T.candidates(*frames, 0.72)._jdf.queryExecution().executedPlan().toString()
+    assert "bit_count" in plan[plan.index("Join") : plan.index("Join") + 2000] and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_candidates_lose_no_pair(spark):
+    names, texts = misspelled(9, 150)
+    names += ["a" * 30, "é" * 12, "Ab Cd 12", "aaaaaaaaa bb"]
+    texts += ["a" * 26, "éé" * 5 + "e", "ab cd 12", "aaaaaaaaaaa b", "ñandú"]
+    frames = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for cutoff in (0.5, 0.62, 0.72, 0.9):
+        got = {(r.text, r.name) for r in T.candidates(*frames, cutoff).collect()}
+        assert {(t, n) for t in texts for n in names if ratio(t, n) >= cutoff} <= got
