@@ -74,6 +74,37 @@ def type_pairs(career_types: DataFrame) -> DataFrame:
     return kinds.join(side("a"), "tipo_a").join(side("b"), "tipo_b").where("a <> b").select("tipo_a", "tipo_b", "a", "b", "ord_a", "ord_b")
 
 
+def leading_pairs(career_types: DataFrame, sets: DataFrame, rules: DataFrame, deep: int = 4, widest: int = 10) -> DataFrame:
+    """The pairs of type_pairs among which best_two_pairs finds the same two as among all: tipo_a, tipo_b, a, b, ord_a, ord_b. Grows with the lists, not with the catalogue's square.
+
+    A pair without a rule scores what its common groups and keywords weigh, so for each set of these it is enough to know
+    the `deep` first entries of each type that have them all: of a better pair's entries, one that is not among them
+    could be exchanged for an earlier one. Two may be taken by the best pair and one may be its partner, so four are
+    enough. The empty set stands for pairs that share nothing. Pairs with a rule come by the rule. The sets of an entry
+    are 2 to the power of its groups and keywords; entries with more than `widest` meet all that share one of them instead.
+    """
+    if deep < 4:
+        raise ValueError("four entries of each list are needed")
+    marked = F.array_union(F.transform("grupos", lambda x: F.concat(F.lit("g"), x)), F.transform("palabras", lambda x: F.concat(F.lit("p"), x)))
+    own = settle(career_types.select("tipo", "carrera", "ord").join(sets.select("carrera", F.array_sort(marked).alias("has")), "carrera").withColumn("wide", F.size("has") > widest), "features")
+    bits = F.when(F.col("wide"), 0).otherwise(F.call_function("shiftleft", F.lit(1), F.size("has")) - 1)
+    each = own.select("tipo", "carrera", "ord", "has", F.explode(F.sequence(F.lit(0), bits)).alias("bits"))
+    each = each.select("tipo", "carrera", "ord", F.filter("has", lambda x, i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1).alias("common"))
+    lists = each.withColumn("__r", F.row_number().over(Window.partitionBy("tipo", "common").orderBy("ord", "carrera"))).where(F.col("__r") <= deep)
+    lists = settle(lists.drop("__r"), "lists")
+    side = lambda df, x: df.select(F.col("tipo").alias(f"tipo_{x}"), F.col("carrera").alias(x), F.col("ord").alias(f"ord_{x}"), *[c for c in ("common", "wide") if c in df.columns])
+    columns = ["tipo_a", "tipo_b", "a", "b", "ord_a", "ord_b"]
+    apart = (F.col("tipo_a") != F.col("tipo_b")) & (F.col("a") != F.col("b"))
+    sharing = side(lists, "a").join(side(lists, "b").hint("merge"), "common").where(apart).select(*columns)
+    one = own.select("tipo", "carrera", "ord", "wide", F.explode("has").alias("common"))
+    wide, any_ = side(one.where("wide"), "a").drop("wide"), side(one, "b").drop("wide")
+    met = wide.join(any_.hint("merge"), "common").where(apart).select(*columns)
+    turned = met.select(F.col("tipo_b").alias("tipo_a"), F.col("tipo_a").alias("tipo_b"), F.col("b").alias("a"), F.col("a").alias("b"), F.col("ord_b").alias("ord_a"), F.col("ord_a").alias("ord_b"))
+    plain = own.select("tipo", "carrera", "ord")
+    ruled = rules.select("a", "b").join(side(plain, "a").hint("merge"), "a").join(side(plain, "b").hint("merge"), "b").where(apart).select(*columns)
+    return sharing.unionByName(met).unionByName(turned).unionByName(ruled).distinct()
+
+
 def best_two_pairs(scored: DataFrame) -> DataFrame:
     """The best pair of each (tipo_a, tipo_b), and the best that shares no entry with it, as rango 1 and 2. Keep `scored` written, it is read twice."""
     types, shown = ["tipo_a", "tipo_b"], ["a", "b", "puntaje", "relacion"]

@@ -197,7 +197,7 @@ def a10_with_batch_fields(v):
 @once
 def _best_pairs(v):
     v.keep("careers")
-    return affinity.best_two_pairs(_scored_pairs(v))
+    return affinity.best_two_pairs(_leading_pairs(v))
 
 
 @once
@@ -705,6 +705,12 @@ def _scored_pairs(v):
     return affinity.pair_affinity(affinity.type_pairs(v.career_types), _sets(v), affinity.symmetric_rules(v.pair_rules), v.related_types)
 
 
+@once
+def _leading_pairs(v):
+    rules = affinity.symmetric_rules(v.pair_rules)
+    return affinity.pair_affinity(affinity.leading_pairs(v.career_types, _sets(v), rules), _sets(v), rules, v.related_types)
+
+
 @query
 def f3_pair_affinity(v):
     return _scored_pairs(v).select("tipo_a", "tipo_b", "a", "b", "puntaje", "relacion")
@@ -717,7 +723,7 @@ def f4_type_pairs(v):
 
 @query
 def f5_best_two_pairs(v):
-    return affinity.best_two_pairs(_scored_pairs(v))
+    return affinity.best_two_pairs(_leading_pairs(v))
 
 
 @query

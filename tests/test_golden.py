@@ -217,6 +217,43 @@ def test_best_two_pairs_are_disjoint(spark):
     assert not {got[0].a, got[0].b} & {got[1].a, got[1].b}
 
 
+def test_leading_pairs_hold_the_best_two(spark):
+    """Against all pairs: shared and lone features, entries of two types, rules, wide entries, ties."""
+    import random
+
+    for seed, widest in ((1, 10), (2, 10), (3, 2), (4, 0)):
+        rng = random.Random(seed)
+        names = [f"c{i:02d}" for i in range(60)]
+        types = {n: rng.sample(["A", "B", "C", "D"], rng.choice([1, 1, 2])) for n in names}
+        numbers = {t: 0 for t in "ABCD"}
+        rows = []
+        for n in rng.sample(names, len(names)):
+            for t in types[n]:
+                numbers[t] += 1
+                rows.append((t, n, numbers[t]))
+        career_types = spark.createDataFrame(rows, "tipo string, carrera string, ord int")
+        few = lambda k, n: rng.sample([f"{k}{i}" for i in range(n)], rng.randint(0, 3))  # noqa: B023, E731
+        sets = storage.settle(spark.createDataFrame([(n, sorted(few("g", 5)), sorted(few("k", 9))) for n in names], "carrera string, grupos array<string>, palabras array<string>"), "sets")
+        rules = spark.createDataFrame([(*rng.sample(names, 2), f"r{i}") for i in range(rng.choice([0, 12]))], "a string, b string, razon string").dropDuplicates(["a", "b"])
+        related = spark.createDataFrame([("A", "C"), ("B", "A")], "tipo string, rel string")
+        every = storage.settle(affinity.pair_affinity(affinity.type_pairs(career_types), sets, rules, related), "every")
+        lead = storage.settle(affinity.pair_affinity(affinity.leading_pairs(career_types, sets, rules, widest=widest), sets, rules, related), "lead")
+        assert lead.exceptAll(every).count() == 0 and lead.count() < every.count()
+        best = [sorted(map(tuple, affinity.best_two_pairs(x).collect())) for x in (every, lead)]
+        assert best[0] == best[1] and len(best[0]) == 24
+
+
+def test_leading_pairs_grow_with_the_lists(spark):
+    """Four times the entries give four times the rows, not sixteen."""
+    rows = []
+    for n in (300, 1200):
+        career_types = spark.createDataFrame([(f"T{i % 3}", f"c{i}", i) for i in range(n)], "tipo string, carrera string, ord int")
+        sets = storage.settle(spark.createDataFrame([(f"c{i}", [f"g{i % 5}"], ["hot", f"k{i // 6}"]) for i in range(n)], "carrera string, grupos array<string>, palabras array<string>"), "sets")
+        rules = spark.createDataFrame([(f"c{i}", f"c{i + 1}", "r") for i in range(0, n - 1, 10)], "a string, b string, razon string")
+        rows.append(affinity.leading_pairs(career_types, sets, rules).count())
+    assert rows[1] < 5 * rows[0] and rows[1] < 0.05 * 1200 * 800
+
+
 def test_every_accent_goes_under_strip(spark):
     words = {"Őr ǎ Š ﬁn ½": "or a s fin 1 2", "Ñandú É": "nandu e", "e\u0301x": "ex", "ＡＢ": "ab"}
     df = spark.createDataFrame([(w,) for w in words], "t string")
