@@ -1,7 +1,8 @@
-"""Ink features and the segmentation of pages, over long tables of pixels, lines and boxes.
+"""Ink features and the segmentation of pages, over packed cells, rows of runs, and long tables of pixels and boxes.
 
-Pixels are (cell_id, y, x, ink) with both coordinates counted from 0; a cell's
-height and width are one more than its largest coordinates.
+A packed cell is one row: its key, height h, width w, ink (a string of 0 and 1 for each row of pixels,
+with a blank where a pixel is missing) and gray (an array for each row, null where missing). Rows may end early.
+Pixels are (cell_id, y, x, ink) with both coordinates counted from 0.
 """
 
 from __future__ import annotations
@@ -14,73 +15,98 @@ from pyspark.sql import functions as F
 CELL = ["cell_id"]
 
 
-def _sized(px: DataFrame, key: list[str]) -> DataFrame:
-    """Adds h and w of each cell, by its rows alone: one shuffle on the cell, which the aggregates that follow share."""
-    cell = Window.partitionBy(*key)
-    return px.withColumn("h", F.max("y").over(cell) + 1).withColumn("w", F.max("x").over(cell) + 1)
+def pack_cells(px: DataFrame, key: list[str] = CELL) -> DataFrame:
+    """Packed cells of a table of pixels (key, y, x, ink, and gray if it is there). One shuffle, on the key."""
+    values = [c for c in ("ink", "gray") if c in px.columns]
+    g = px.groupBy(*key).agg((F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"), F.collect_list(F.struct("y", "x", *values)).alias("px"))
+    of_row = lambda y, c: F.map_from_entries(F.transform(F.filter("px", lambda e: e["y"] == y), lambda e: F.struct(e["x"], e[c])))
+    row = lambda y, c: F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda x: F.try_element_at(of_row(y, c), x))
+    blank = lambda cells: F.rtrim(F.array_join(F.transform(cells, lambda v: F.coalesce(v.cast("string"), F.lit(" "))), ""))
+    shapes = {"ink": lambda y: blank(row(y, "ink")), "gray": lambda y: row(y, "gray")}
+    return g.select(*key, "h", "w", *[F.transform(F.sequence(F.lit(0), F.col("h") - 1), shapes[c]).alias(c) for c in values])
 
 
-def _interior(px: DataFrame, key: list[str], share: float) -> DataFrame:
-    """Pixels inside a margin of max(1, int(share * side)), with coordinates and sides of the interior."""
-    pad = lambda side: F.greatest(F.lit(1), F.floor(F.col(side) * share)).cast("int")
-    p = _sized(px, key).withColumn("py", pad("h")).withColumn("pw", pad("w"))
-    p = p.withColumn("inside", (F.col("y") >= F.col("py")) & (F.col("y") < F.col("h") - F.col("py")) & (F.col("x") >= F.col("pw")) & (F.col("x") < F.col("w") - F.col("pw")))
-    return p.withColumn("iy", F.col("y") - F.col("py")).withColumn("ix", F.col("x") - F.col("pw")).withColumn("ih", F.col("h") - 2 * F.col("py")).withColumn("iw", F.col("w") - 2 * F.col("pw"))
+def _margin(side: str, share: float) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.col(side) * share)).cast("int")
 
 
-def _density(where: Column) -> Column:
+def _part(rows: Column, y1: Column, y2: Column, x1: Column, x2: Column) -> Column:
+    """The characters of rows y1 to y2 and columns x1 to x2 (ends exclusive), without missing pixels, as one string."""
+    width = F.greatest(x2 - x1, F.lit(0)).cast("int")
+    inside = F.transform(F.slice(rows, y1.cast("int") + 1, F.greatest(y2 - y1, F.lit(0)).cast("int")), lambda r: F.substring(r, x1.cast("int") + 1, width))
+    return F.replace(F.array_join(inside, ""), F.lit(" "), F.lit(""))
+
+
+def _ones(part: Column) -> Column:
+    return F.length(part) - F.length(F.replace(part, F.lit("1"), F.lit("")))
+
+
+def _density(part: Column) -> Column:
     """Share of ink among the pixels of a region; 0 if it has none."""
-    return F.coalesce(F.avg(F.when(where, F.col("ink").cast("double"))), F.lit(0.0))
-
-
-def ink_features(px: DataFrame, key: list[str] = CELL) -> DataFrame:
-    """Densities of the interior, its centre, its left and right fifth, and the mark flag. Cells below 8 x 12 give zeros."""
-    p = _interior(px, key, 0.10)
-    big = (F.col("h") >= 8) & (F.col("w") >= 12) & F.col("inside")
-    within = lambda v, side: (F.col(v) >= F.floor(F.col(side) * 0.20)) & (F.col(v) < F.floor(F.col(side) * 0.80))
-    left = F.col("ix") < F.greatest(F.lit(1), F.floor(F.col("iw") / 5))
-    right = F.col("ix") >= F.least(F.col("iw") - 1, F.floor(4 * F.col("iw") / 5))
-    out = p.groupBy(*key).agg(
-        _density(big).alias("dens_total"), _density(big & within("iy", "ih") & within("ix", "iw")).alias("dens_centro"), _density(big & left).alias("dens_izq"), _density(big & right).alias("dens_der")
-    )
+    return F.coalesce(F.try_divide(_ones(part), F.length(part)), F.lit(0.0))
+
+
+def _interior(cells: DataFrame, share: float) -> tuple[DataFrame, tuple[Column, Column, Column, Column]]:
+    """The cells with margins py and pw of max(1, int(share * side)), and the interior's y1, y2, x1, x2."""
+    marked = cells.withColumn("py", _margin("h", share)).withColumn("pw", _margin("w", share))
+    return marked, (F.col("py"), F.col("h") - F.col("py"), F.col("pw"), F.col("w") - F.col("pw"))
+
+
+def ink_features(cells: DataFrame, key: list[str] = CELL) -> DataFrame:
+    """Densities of the interior, its centre, its left and right fifth, and the mark flag, of packed cells. Cells below 8 x 12 give zeros."""
+    c, (y1, y2, x1, x2) = _interior(cells, 0.10)
+    ih, iw, ink = y2 - y1, x2 - x1, F.col("ink")
+    left, right = F.greatest(F.lit(1), F.floor(iw / 5)), F.least(iw - 1, F.floor(4 * iw / 5))
+    parts = {
+        "dens_total": (y1, y2, x1, x2),
+        "dens_centro": (y1 + F.floor(ih * 0.20), y1 + F.floor(ih * 0.80), x1 + F.floor(iw * 0.20), x1 + F.floor(iw * 0.80)),
+        "dens_izq": (y1, y2, x1, x1 + left),
+        "dens_der": (y1, y2, x1 + right, x2),
+    }
+    big = (F.col("h") >= 8) & (F.col("w") >= 12)
+    out = c.select(*key, *[F.when(big, _density(_part(ink, *where))).otherwise(0.0).alias(name) for name, where in parts.items()])
     return out.withColumn("marcada", F.col("dens_total") >= 0.020)
 
 
-def half_density(px: DataFrame, key: list[str] = CELL) -> DataFrame:
-    """Densities of the left and right half of the interior. Cells below 8 x 12 give zeros."""
-    p = _interior(px, key, 0.10)
-    big = (F.col("h") >= 8) & (F.col("w") >= 12) & F.col("inside")
-    middle = F.floor(F.col("iw") / 2)
-    return p.groupBy(*key).agg(_density(big & (F.col("ix") < middle)).alias("dens_izq"), _density(big & (F.col("ix") >= middle)).alias("dens_der"))
+def half_density(cells: DataFrame, key: list[str] = CELL) -> DataFrame:
+    """Densities of the left and right half of the interior of packed cells. Cells below 8 x 12 give zeros."""
+    c, (y1, y2, x1, x2) = _interior(cells, 0.10)
+    big, middle = (F.col("h") >= 8) & (F.col("w") >= 12), x1 + F.floor((x2 - x1) / 2)
+    halves = {"dens_izq": (x1, middle), "dens_der": (middle, x2)}
+    return c.select(*key, *[F.when(big, _density(_part(F.col("ink"), y1, y2, *x))).otherwise(0.0).alias(name) for name, x in halves.items()])
 
 
-def quadrant_symmetry(px: DataFrame, key: list[str] = CELL) -> DataFrame:
-    """Share of the four quadrants with a density of 0.01 or more; sides below 4 give 0."""
-    p = _sized(px, key).withColumn("q", F.when(F.col("y") < F.floor(F.col("h") / 2), 0).otherwise(2) + F.when(F.col("x") < F.floor(F.col("w") / 2), 0).otherwise(1))
-    active = [F.coalesce(F.avg(F.when(F.col("q") == q, F.col("ink").cast("double"))) >= 0.01, F.lit(False)).cast("int") for q in range(4)]
-    big = F.min((F.col("h") >= 4) & (F.col("w") >= 4))
-    return p.groupBy(*key).agg(F.when(big, sum(active) / F.lit(4.0)).otherwise(0.0).alias("simetria"))
+def quadrant_symmetry(cells: DataFrame, key: list[str] = CELL) -> DataFrame:
+    """Share of the four quadrants of packed cells with a density of 0.01 or more; sides below 4 give 0."""
+    h, w, zero = F.col("h"), F.col("w"), F.lit(0)
+    y, x = (zero, F.floor(h / 2), h), (zero, F.floor(w / 2), w)
+    active = [(_density(_part(F.col("ink"), y[i], y[i + 1], x[j], x[j + 1])) >= 0.01).cast("int") for i in (0, 1) for j in (0, 1)]
+    return cells.select(*key, F.when((h >= 4) & (w >= 4), sum(active) / F.lit(4.0)).otherwise(0.0).alias("simetria"))
 
 
-def gray_variance(px: DataFrame, key: list[str] = CELL) -> DataFrame:
-    """Population variance of gray inside a 15 % margin, over 2000 and at most 1; sides below 5 give 0. Gray is whole, so sums are exact in any order."""
-    p = _interior(px, key, 0.15)
-    big = (F.col("h") >= 5) & (F.col("w") >= 5) & F.col("inside")
-    gray = F.when(big, F.col("gray").cast("long"))
-    n, s, squares = F.count(gray), F.sum(gray), F.sum(gray * gray)
-    variance = (n * squares - s * s).cast("double") / F.when(n > 0, n * n).cast("double")
-    return p.groupBy(*key).agg(F.least(F.lit(1.0), F.coalesce(variance, F.lit(0.0)) / 2000.0).alias("varianza"))
+def gray_variance(cells: DataFrame, key: list[str] = CELL) -> DataFrame:
+    """Population variance of gray inside a 15 % margin of packed cells, over 2000 and at most 1; sides below 5 give 0. Gray is whole, so sums are exact in any order."""
+    c, (y1, y2, x1, x2) = _interior(cells, 0.15)
+    inside = F.flatten(F.transform(F.slice("gray", y1 + 1, F.greatest(y2 - y1, F.lit(0))), lambda r: F.slice(r, x1 + 1, F.greatest(x2 - x1, F.lit(0)))))
+    big = (F.col("h") >= 5) & (F.col("w") >= 5)
+    c = c.select(*key, F.when(big, F.filter(inside, lambda g: g.isNotNull())).alias("g"))
+    zero = F.lit(0).cast("long")
+    add = F.aggregate("g", zero, lambda s, g: s + g)
+    squares = F.aggregate("g", zero, lambda s, g: s + g.cast("long") * g)
+    c = c.select(*key, F.size("g").cast("long").alias("n"), add.alias("s"), squares.alias("q"))
+    variance = F.when(F.col("n") > 0, (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double") / (F.col("n") * F.col("n")).cast("double"))
+    return c.select(*key, F.least(F.lit(1.0), F.coalesce(variance, F.lit(0.0)) / 2000.0).alias("varianza"))
 
 
-def border_dark_share(px: DataFrame, key: list[str] = CELL, least_side: int = 50) -> DataFrame:
-    """Share of gray < 128 in borders of 3 % of a side, at least 2; corners lie in two borders and count twice. foto: over 2 %."""
-    band = lambda side: F.greatest(F.lit(2), F.floor(F.col(side) * 0.03))
-    p = _sized(px, key)
-    borders = [F.col("y") < band("h"), F.col("y") >= F.col("h") - band("h"), F.col("x") < band("w"), F.col("x") >= F.col("w") - band("w")]
-    weight = sum(b.cast("int") for b in borders)
-    p = p.withColumn("weight", F.when((F.col("h") >= least_side) & (F.col("w") >= least_side), weight).otherwise(0))
-    dark = F.sum(F.when(F.col("gray") < 128, F.col("weight")).otherwise(0)) / F.sum("weight").cast("double")
-    return p.groupBy(*key).agg(F.coalesce(F.when(F.sum("weight") > 0, dark), F.lit(0.0)).alias("oscuro")).withColumn("foto", F.col("oscuro") > 0.02)
+def border_dark_share(cells: DataFrame, key: list[str] = CELL, least_side: int = 50) -> DataFrame:
+    """Share of gray < 128 in borders of 3 % of a side, at least 2, of packed cells; corners lie in two borders and count twice. foto: over 2 %."""
+    band = lambda side: F.greatest(F.lit(2), F.floor(F.col(side) * 0.03)).cast("int")
+    dark = F.transform("gray", lambda r: F.array_join(F.transform(r, lambda g: F.when(g < 128, "1").when(g >= 128, "0").otherwise(" ")), ""))
+    c = cells.select(*key, "h", "w", dark.alias("dark"), band("h").alias("bh"), band("w").alias("bw"))
+    h, w, bh, bw, zero = *map(F.col, ("h", "w", "bh", "bw")), F.lit(0)
+    bands = [(zero, bh, zero, w), (h - bh, h, zero, w), (zero, h, zero, bw), (zero, h, w - bw, w)]
+    c = c.select(*key, F.when((h >= least_side) & (w >= least_side), F.concat(*[_part(F.col("dark"), *b) for b in bands])).alias("border"))
+    return c.select(*key, F.when(F.col("border").isNull(), 0.0).otherwise(_density(F.col("border"))).alias("oscuro")).withColumn("foto", F.col("oscuro") > 0.02)
 
 
 def _quality_problem(ink: str, sharp: str) -> Column:
@@ -120,26 +146,45 @@ def cuts_to_intervals(df: DataFrame, key: list[str] = CELL) -> DataFrame:
     return pairs.withColumn("fila", F.row_number().over(Window.partitionBy(*key).orderBy("y1")))
 
 
+def runs(ink: str | Column) -> Column:
+    """The runs of ink in a row of a packed cell: structs of x1 and x2, the end exclusive."""
+    row = F.col(ink) if isinstance(ink, str) else ink
+    at = lambda x: F.substring(row, x + 1, F.lit(1)) == "1"
+    turns = F.filter(F.sequence(F.lit(0), F.length(row)), lambda x: at(x) != ((x > 0) & at(x - 1)))
+    pairs = F.sequence(F.lit(0), F.floor(F.size(turns) / 2).cast("int") - 1)
+    cut = F.transform(pairs, lambda i: F.struct(F.get(turns, 2 * i).alias("x1"), F.get(turns, 2 * i + 1).alias("x2")))
+    return F.when(F.size(turns) > 0, cut).otherwise(F.array().cast("array<struct<x1: int, x2: int>>"))
+
+
+def line_runs(lines: DataFrame, key: list[str] = CELL) -> DataFrame:
+    """key, y, w, runs of a table of line pixels (key, y, x, w): one row for each row of pixels."""
+    g = lines.groupBy(*key, "y").agg(F.max("w").alias("w"), F.array_sort(F.collect_set(F.col("x").cast("int"))).alias("xs"))
+    first = F.filter("xs", lambda x, i: (i == 0) | (F.get("xs", i - 1) != x - 1))
+    last = F.filter("xs", lambda x, i: (i == F.size("xs") - 1) | (F.get("xs", i + 1) != x + 1))
+    return g.select(*key, "y", "w", F.zip_with(first, last, lambda a, b: F.struct(a.alias("x1"), (b + 1).alias("x2"))).alias("runs"))
+
+
 def insert_missing_cuts(cuts: DataFrame, lines: DataFrame, key: list[str] = CELL) -> DataFrame:
     """Cuts with those added that are missing in gaps over 1.6 times the median gap.
 
-    lines: the key, y, x of line pixels, and w, the width of the page. A gap longer than 10 gets the first
-    highest row of its middle third, if that has over 20 % of the gap's highest row, and the three rows around
-    it have line pixels in at least 35 % of the columns. Fewer than three cuts stay as they are.
+    lines: the key, y, w, runs of each row of line pixels, and w, the width of the page. It is read twice, so let it be a
+    written table. A gap longer than 10 gets the first highest row of its middle third, if that has over 20 % of the gap's
+    highest row, and the three rows around it have line pixels in at least 35 % of the columns. Fewer than three cuts stay as they are.
     """
     order, page = Window.partitionBy(*key).orderBy("pos"), Window.partitionBy(*key)
     gaps = cuts.select(*key, "pos").withColumn("y2", F.lead("pos").over(order)).withColumn("n", F.count(F.lit(1)).over(page))
     gaps = gaps.where("y2 IS NOT NULL").withColumn("size", F.col("y2") - F.col("pos")).withColumn("median", F.percentile("size", F.lit(0.5)).over(page))
     wide = gaps.where("n >= 3 AND size > 10").where(F.col("size") > F.col("median") * 1.6).select(*key, F.col("pos").alias("y1"), "y2", "size")
-    rows = lines.groupBy(*key, "y").agg(F.count(F.lit(1)).alias("tinta"))
-    # A gap and a row of pixels meet on the row itself, and so do a cut and the three rows around it.
+    rows = lines.where(F.size("runs") > 0).select(*key, "y", F.aggregate("runs", F.lit(0), lambda s, r: s + r["x2"] - r["x1"]).alias("tinta"))
+    # A gap and a row meet on the row itself, and so do a cut and the three rows around it.
     within = wide.withColumn("y", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)))
     zone = rows.join(within.hint("merge"), [*key, "y"]).withColumn("top", F.max("tinta").over(Window.partitionBy(*key, "y1")))
     middle = (F.col("y") - F.col("y1") >= F.floor(F.col("size") / 3)) & (F.col("y") - F.col("y1") < F.floor(2 * F.col("size") / 3))
     best = zone.where(middle).withColumn("rank", F.row_number().over(Window.partitionBy(*key, "y1").orderBy(F.col("tinta").desc(), "y"))).where("rank = 1 AND tinta > top * 0.20").select(*key, F.col("y").alias("pos"))
     around = best.withColumn("y", F.explode(F.sequence(F.col("pos") - 1, F.col("pos") + 1)))
-    near = lines.join(around.hint("merge"), [*key, "y"])
-    solid = near.groupBy(*key, "pos").agg((F.count_distinct("x") / F.first("w")).alias("cover")).where("cover >= 0.35").select(*key, "pos")
+    near = lines.where(F.size("runs") > 0).join(around.hint("merge"), [*key, "y"])
+    columns = F.flatten(F.transform(F.flatten(F.collect_list("runs")), lambda r: F.sequence(r["x1"], r["x2"] - 1)))
+    solid = near.groupBy(*key, "pos").agg((F.size(F.array_distinct(columns)) / F.first("w")).alias("cover")).where("cover >= 0.35").select(*key, "pos")
     return cuts.select(*key, "pos").unionByName(solid).distinct()
 
 

@@ -358,27 +358,28 @@ def b14_score_view(v):
 
 @query
 def c1_ink_features(v):
-    return rounded(layout.ink_features(v.pixels), 9)
+    return rounded(layout.ink_features(v.packed_cells), 9)
 
 
 @query
 def c2_half_density(v):
-    return rounded(layout.half_density(v.pixels), 9)
+    return rounded(layout.half_density(v.packed_cells), 9)
 
 
 @query
 def c3_quadrant_symmetry(v):
-    return layout.quadrant_symmetry(v.pixels.withColumn("ink", F.when((F.col("y") < 8) & (F.col("cell_id") % 2 == 0), 0).otherwise(F.col("ink"))))
+    blank = F.transform("ink", lambda r, y: F.when((y < 8) & (F.col("cell_id") % 2 == 0), F.replace(r, F.lit("1"), F.lit("0"))).otherwise(r))
+    return layout.quadrant_symmetry(v.packed_cells.withColumn("ink", blank))
 
 
 @query
 def c4_gray_variance(v):
-    return layout.gray_variance(v.pixels)
+    return layout.gray_variance(v.packed_cells)
 
 
 @query
 def c5_border_dark_share(v):
-    return rounded(layout.border_dark_share(v.pixels, least_side=10), 9)
+    return rounded(layout.border_dark_share(v.packed_cells, least_side=10), 9)
 
 
 @query
@@ -415,19 +416,22 @@ def _page_pixels(v):
     return v.pixels.select(F.floor(F.col("cell_id") / 50).alias("page_id"), (F.col("cell_id") % 50 * 16 + F.col("y")).cast("int").alias("y"), "x", "ink")
 
 
-def _line_pixels(v):
-    return _page_pixels(v).where("ink = 1").distinct().withColumn("w", F.lit(24))
+@once
+def _line_runs(v):
+    """The rows of these pages as runs of ink, straight from the cells."""
+    rows = v.packed_cells.select(F.floor(F.col("cell_id") / 50).alias("page_id"), (F.col("cell_id") % 50 * 16).cast("int").alias("top"), F.posexplode("ink").alias("at", "row"))
+    return rows.select("page_id", (F.col("top") + F.col("at")).alias("y"), F.lit(24).alias("w"), layout.runs("row").alias("runs"))
 
 
 def _line_cuts(v):
     """Cuts down the whole height of every page, at uneven distances that repeat every 98 rows."""
-    parts = _page_pixels(v).select("page_id", F.floor(F.col("y") / 98).cast("int").alias("part")).distinct()
+    parts = _line_runs(v).select("page_id", F.floor(F.col("y") / 98).cast("int").alias("part")).distinct()
     return parts.select("page_id", F.explode(F.array(*[F.col("part") * 98 + x for x in (0, 8, 16, 24, 48, 56, 90)])).alias("pos"))
 
 
 @query
 def c11_insert_missing_cuts(v):
-    return layout.insert_missing_cuts(_line_cuts(v), _line_pixels(v), PAGE)
+    return layout.insert_missing_cuts(_line_cuts(v), _line_runs(v), PAGE)
 
 
 def _intervals(v):

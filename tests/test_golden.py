@@ -168,17 +168,70 @@ def test_missing_cut_needs_a_solid_line(spark):
     cuts = spark.createDataFrame([(p, y) for p in (1, 2) for y in (0, 20, 40, 80, 100)], "page_id long, pos int")
     line = [(1, 60, x) for x in range(30)] + [(2, 60, x) for x in range(5)] + [(p, 45, 0) for p in (1, 2)]
     px = spark.createDataFrame(line, "page_id long, y int, x int").withColumn("w", F.lit(50))
-    got = layout.insert_missing_cuts(cuts, px, ["page_id"])
+    lines = storage.settle(layout.line_runs(px, ["page_id"]), "lines")
+    assert {(r.page_id, r.y): [tuple(x) for x in r.runs] for r in lines.collect()} == {(1, 60): [(0, 30)], (2, 60): [(0, 5)], (1, 45): [(0, 1)], (2, 45): [(0, 1)]}
+    got = layout.insert_missing_cuts(cuts, lines, ["page_id"])
     assert sorted(r.pos for r in got.where("page_id = 1").collect()) == [0, 20, 40, 60, 80, 100]
     assert got.where("page_id = 2").count() == 5
 
 
 def test_small_cells_give_zeros(spark):
-    px = spark.createDataFrame([(1, y, x, 1, 0) for y in range(3) for x in range(3)], "cell_id long, y int, x int, ink int, gray int")
+    px = layout.pack_cells(spark.createDataFrame([(1, y, x, 1, 0) for y in range(3) for x in range(3)], "cell_id long, y int, x int, ink int, gray int"))
     assert layout.ink_features(px).first().dens_total == 0.0 and layout.quadrant_symmetry(px).first().simetria == 0.0
     assert layout.gray_variance(px).first().varianza == 0.0 and layout.border_dark_share(px).first().oscuro == 0.0
 
 
+def test_packed_cells_measure_what_their_pixels_do(spark):
+    """Cells of any size, with missing pixels and short last rows, against the definitions pixel by pixel."""
+    import math
+    import random
+
+    rng, rows, want = random.Random(4), [], {}
+    for cell, (h, w, gaps) in enumerate([(1, 1, 0), (4, 4, 0), (5, 9, 0.2), (8, 12, 0), (16, 24, 0.1), (9, 40, 0), (30, 13, 0.3), (60, 55, 0.05), (51, 70, 0), (8, 11, 0)]):
+        px = {(y, x): (int(rng.random() < 0.3), rng.randrange(256)) for y in range(h) for x in range(w) if rng.random() >= gaps or (y, x) == (h - 1, w - 1)}
+        rows += [(cell, y, x, *v) for (y, x), v in px.items()]
+
+        def share(where, flag=lambda v: v[0], px=px):
+            hit = [flag(v) for at, v in px.items() if where(*at)]
+            return sum(hit) / len(hit) if hit else 0.0
+
+        def margin(side, part):
+            return max(1, int(side * part))
+
+        py, pw = margin(h, 0.1), margin(w, 0.1)
+        inside = lambda y, x, h=h, w=w, py=py, pw=pw: py <= y < h - py and pw <= x < w - pw
+        ih, iw = h - 2 * py, w - 2 * pw
+        big = h >= 8 and w >= 12
+        centre = lambda y, x: inside(y, x) and int(ih * 0.2) <= y - py < int(ih * 0.8) and int(iw * 0.2) <= x - pw < int(iw * 0.8)  # noqa: B023, E731
+        left = lambda y, x: inside(y, x) and x - pw < max(1, iw // 5)  # noqa: B023, E731
+        right = lambda y, x: inside(y, x) and x - pw >= min(iw - 1, 4 * iw // 5)  # noqa: B023, E731
+        features = [share(f) if big else 0.0 for f in (inside, centre, left, right)]
+        halves = [share(lambda y, x, s=s: inside(y, x) and (x - pw < iw // 2) == s) if big else 0.0 for s in (True, False)]  # noqa: B023
+        symmetry = sum(share(lambda y, x, a=a, b=b: (y < h // 2) == a and (x < w // 2) == b) >= 0.01 for a in (True, False) for b in (True, False)) / 4 if h >= 4 and w >= 4 else 0.0  # noqa: B023
+        gy, gw = margin(h, 0.15), margin(w, 0.15)
+        grays = [v[1] for (y, x), v in px.items() if gy <= y < h - gy and gw <= x < w - gw]
+        n = len(grays)
+        variance = min(1.0, (n * sum(g * g for g in grays) - sum(grays) ** 2) / (n * n) / 2000) if h >= 5 and w >= 5 and n else 0.0
+        bh, bw = max(2, int(h * 0.03)), max(2, int(w * 0.03))
+        border = [v[1] < 128 for (y, x), v in px.items() for hit in (y < bh, y >= h - bh, x < bw, x >= w - bw) if hit]
+        dark = sum(border) / len(border) if h >= 10 and w >= 10 else 0.0
+        want[cell] = [*features, *halves, symmetry, variance, dark]
+    cells = storage.settle(layout.pack_cells(spark.createDataFrame(rows, "cell_id long, y int, x int, ink int, gray int").repartition(5)), "cells")
+    tables = [layout.ink_features(cells).drop("marcada"), layout.half_density(cells).toDF("cell_id", "a", "b"), layout.quadrant_symmetry(cells), layout.gray_variance(cells), layout.border_dark_share(cells, least_side=10).drop("foto")]
+    got = {cell: [x for t in tables for r in t.where(F.col("cell_id") == cell).collect() for x in r[1:]] for cell in want}
+    for cell, values in want.items():
+        assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got[cell], values, strict=True)), cell
+    for t in tables:
+        plan = _plan(t)
+        assert "Exchange" not in plan and "Window" not in plan and "Generate" not in plan
+
+
+def test_runs_of_rows(spark):
+    rows = ["", "0", "1", "0110", "1011", "1 1", "0" * 9, "111"]
+    got = {r.t: [tuple(x) for x in r.r] for r in spark.createDataFrame([(t,) for t in rows], "t string").select("t", layout.runs("t").alias("r")).collect()}
+    assert got == {"": [], "0": [], "1": [(0, 1)], "0110": [(1, 3)], "1011": [(0, 1), (2, 4)], "1 1": [(0, 1), (2, 3)], "0" * 9: [], "111": [(0, 3)]}
+
+
 # ---- catalogue
 
 
