@@ -20,10 +20,11 @@ named as an added one give way to it; repeated rows are rows of their own.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from .token_counts import VOCABULARY, split_pattern
 
 # Pieces up to so many characters are remembered, so many of them.
 REMEMBERED_LENGTH, REMEMBERED = 48, 300_000
+# Above all ranks: no token.
+NO_RANK = 1 << 40
 
 
 @lru_cache(maxsize=4)
@@ -57,43 +60,46 @@ def pieces_of(path: str):
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece: the pair of least rank, leftmost of equals, is merged until no pair is a token."""
-    n = len(piece)
-    size = 1 << max(1, (n - 1).bit_length())
-    none = (1 << 62) * size
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def pair(i: int) -> int:
-        """Rank and place, in one number, of the pair of the part at i and the next one."""
-        middle = after[i]
-        rank = ranks.get(piece[i : after[middle]]) if middle < n else None
-        return none if rank is None else rank * size + i
-
+    """The ids of a piece: the pair of least rank, leftmost of equals, is merged until no pair is a token.
+
+    Leaf i of the tree has rank and place, in one number, of the pair of the part that begins at byte i and the next one.
+    """
+    n, rank = len(piece), ranks.get
+    size = max(2, n)
+    shift = size.bit_length()
+    place, none = (1 << shift) - 1, NO_RANK << shift
+    after, before = [*range(1, n + 1), n], [*range(-1, n)]
     tree = [none] * (2 * size)
-    tree[size : size + n] = map(pair, range(n))
+    for i in range(n - 1):
+        tree[size + i] = rank(piece[i : i + 2], NO_RANK) << shift | i
     for node in range(size - 1, 0, -1):
-        tree[node] = min(tree[2 * node], tree[2 * node + 1])
-
-    def put(i: int, value: int) -> None:
-        node = size + i
-        tree[node] = value
-        while node > 1:
-            node >>= 1
-            least = min(tree[2 * node], tree[2 * node + 1])
-            if tree[node] == least:
-                break
-            tree[node] = least
-
+        a, b = tree[2 * node], tree[2 * node + 1]
+        tree[node] = a if a < b else b
     while (least := tree[1]) < none:
-        i = least % size
+        i = least & place
         gone = after[i]
-        after[i] = after[gone]
-        if after[i] < n:
-            before[after[i]] = i
-        put(gone, none)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        after[i] = end = after[gone]
+        before[end] = i
+        # Three leaves change: the part taken in, the pair at i, and the pair before it. Their ways to the root soon meet.
+        x = y = size + i
+        z = size + gone
+        tree[z] = none
+        tree[y] = rank(piece[i : after[end]], NO_RANK) << shift | i if end < n else none
+        if (p := before[i]) >= 0:
+            x = size + p
+            tree[x] = rank(piece[p:end], NO_RANK) << shift | p
+        while z > 1:
+            z >>= 1
+            y >>= 1
+            x >>= 1
+            if x != y and x:
+                a, b = tree[2 * x], tree[2 * x + 1]
+                tree[x] = a if a < b else b
+            if y != z and y:
+                a, b = tree[2 * y], tree[2 * y + 1]
+                tree[y] = a if a < b else b
+            a, b = tree[2 * z], tree[2 * z + 1]
+            tree[z] = a if a < b else b
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -102,18 +108,21 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """The ids of each piece, remembered between texts; starts afresh when full. Long pieces are worked out each time."""
+    """The ids of each piece, remembered between texts in two generations: when the younger is full the older is forgotten, but for what was met since. Long pieces are worked out each time."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        out = (whole,) if whole is not None else tuple(merged(data, self.ranks))
+        out = self.older.get(piece)
+        if out is None:
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            out = (whole,) if whole is not None else tuple(merged(data, self.ranks))
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -125,12 +134,12 @@ def remembered(path: str) -> Pieces:
     return Pieces(ranks_of(path))
 
 
-def encode(text: str, path: str = VOCABULARY) -> list[int]:
+def encode(text: str, path: str = VOCABULARY) -> np.ndarray:
     """The token ids of a text."""
-    return list(chain.from_iterable(map(remembered(path).__getitem__, pieces_of(path).findall(text))))
+    return np.fromiter(chain.from_iterable(map(remembered(path).__getitem__, pieces_of(path).findall(text))), np.int32)
 
 
-def decode(ids: list[int], path: str = VOCABULARY) -> bytes:
+def decode(ids: Iterable[int], path: str = VOCABULARY) -> bytes:
     """The bytes of token ids."""
     return b"".join(map(tokens_of(path).__getitem__, ids))
 
@@ -152,7 +161,8 @@ def with_decoded(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABUL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([decode(x, vocabulary) for x in batch.column(len(kept)).to_pylist()], pa.binary())
+            listed = batch.column(len(kept))
+            made = pa.array([decode(x.values.to_numpy().tolist(), vocabulary) for x in listed], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], schema=pa.schema([*list(batch.schema)[:-1], pa.field("decoded", pa.binary())]))
 
     return source.mapInArrow(run, source.select(*[F.col(f"`{c}`") for c in kept]).schema.add("decoded", "binary"))
