@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,9 @@ from .common import materialize, small_batches, table, texts_of
 
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 # Terms that a task holds before it sends them on.
-HELD = 300_000
+HELD = 500_000
+# What a document adds to a term's number; occurrences stay below it while they are held.
+ONE_DOC = 1 << 36
 
 
 def _letters_table() -> bytes:
@@ -50,33 +53,36 @@ def terms(data: bytes) -> list[bytes]:
 
 
 class _Tally:
-    """Documents and occurrences of each term, by group; a group's None is its documents."""
+    """Documents and occurrences of each term by group, in one number; a group's None is its documents."""
 
     def __init__(self):
-        self.docs: dict = defaultdict(Counter)
-        self.total: dict = defaultdict(Counter)
+        self.groups: dict[tuple[bytes, bytes], dict] = defaultdict(dict)
         self.size = 0
 
     def add(self, group: tuple[bytes, bytes], data: bytes) -> None:
         each = Counter(terms(data))
-        docs, total = self.docs[group], self.total[group]
-        self.size -= len(docs)
-        docs[None] += 1
-        docs.update(each.keys())
-        self.size += len(docs)
+        own = self.groups[group]
+        self.size -= len(own)
+        get = own.get
         for term, n in each.items():
-            total[term] += n
-
-    def rows(self) -> pa.RecordBatch:
-        word = lambda x: None if x is None else x.decode("utf-8", "replace")
-        rows = [(word(lang), word(source), word(term), n, self.total[lang, source].get(term, 0)) for (lang, source), docs in self.docs.items() for term, n in docs.items()]
-        columns = zip(*rows, strict=True) if rows else [()] * 5
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n_docs", "n"])
+            own[term] = get(term, 0) + n + ONE_DOC
+        own[None] = get(None, 0) + ONE_DOC
+        self.size += len(own)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for (lang, source), own in self.groups.items():
+            both = np.fromiter(own.values(), np.int64, len(own))
+            words = pa.array(own.keys(), pa.binary())
+            try:
+                words = words.cast(pa.string())
+            except pa.ArrowInvalid:  # bytes that aren't UTF-8
+                words = pa.array([x if x is None else x.decode("utf-8", "replace") for x in own], pa.string())
+            names = [pa.repeat(x.decode("utf-8", "replace"), len(own)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, words, pa.array(both // ONE_DOC), pa.array(both % ONE_DOC)], ["lang", "source", "term", "n_docs", "n"])
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n_docs, n over whole texts; a row with a null term has the documents of its group."""
+    """lang, source, term, n_docs, n over whole texts, several rows for a term of a source; a row with a null term has the documents of its group."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,34 +91,28 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             for group_lang, group_source, data in zip(*(texts_of(batch, c) for c in ("lang", "source", "text")), strict=True):
                 tally.add((group_lang, group_source), data)
                 if tally.size > HELD:
-                    yield tally.rows()
+                    yield from tally.batches()
                     tally = _Tally()
-        yield tally.rows()
+        yield from tally.batches()
 
     named = docs.select(*[F.col(f"`{c}`").cast("string").alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
-    sent = named.mapInArrow(run, "lang string, source string, term string, n_docs bigint, n bigint")
-    return sent.groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
-
-
-def share(n: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(SCALE * (n + 2) / (total + 2 * kept)); the product may exceed a long, so it is a decimal."""
-    return 1 + F.call_function("div", (n + 2).cast("decimal(19,0)") * F.lit(SCALE), (total + 2 * kept).cast("decimal(19,0)"))
-
-
-def distance(p: Column, q: Column) -> Column:
-    """floor((p - q)^2 / (p + q)) of two shares."""
-    return F.call_function("div", (p - q) * (p - q), p + q)
+    return named.mapInArrow(run, "lang string, source string, term string, n_docs bigint, n bigint")
 
 
 def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang, term, total, held for each term that `least_docs` documents of its language have; held: source and n of the sources that have it."""
+    """lang, term, total, held for each term that `least_docs` documents of its language have; held: source and n of the sources that have it. The row with a null term holds all sources of the language.
+
+    Rows move once, to their term: both sums are made there.
+    """
+    placed = counts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
     held = F.collect_list(F.struct("source", "n")).alias("held")
-    return counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n_docs").alias("d"), F.sum("n").alias("total"), held).where(F.col("d") >= least_docs).drop("d")
+    return placed.groupBy("lang", "term").agg(F.sum("n_docs").alias("d"), F.sum("n").alias("total"), held).where(F.col("term").isNull() | (F.col("d") >= least_docs)).drop("d")
 
 
-def group_sizes(counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """lang, source, kept (terms), lang_total, source_total, least (the share of a term that the source lacks; null without terms): a row for each group that occurs."""
-    groups = counts.where("term IS NULL").select("lang", "source")
+def group_sizes(langs_and_terms: DataFrame) -> DataFrame:
+    """lang, source, kept (terms), lang_total, source_total, least (the share of a term that the source lacks; null without terms): a row for each group that occurs. langs_and_terms: of kept_terms()."""
+    groups = langs_and_terms.where("term IS NULL").select("lang", F.explode("held.source").alias("source"))
+    kept = langs_and_terms.where("term IS NOT NULL")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_total"))
     totals = kept.select("lang", F.explode("held").alias("h")).groupBy("lang", F.col("h.source").alias("source")).agg(F.sum("h.n").alias("source_total"))
     met = groups.join(langs.hint("merge"), "lang", "left").join(totals.hint("merge"), ["lang", "source"], "left")
@@ -121,6 +121,16 @@ def group_sizes(counts: DataFrame, kept: DataFrame) -> DataFrame:
     return filled.withColumn("least", F.when(F.col("kept") > 0, share(zero, F.col("source_total"), F.col("kept"))))
 
 
+def share(n: Column, total: Column, kept: Column) -> Column:
+    """1 + floor(SCALE * (n + 2) / (total + 2 * kept)); the product may exceed a long, so it is a decimal."""
+    return 1 + F.call_function("div", (n + 2).cast("decimal(19,0)") * F.lit(SCALE), (total + 2 * kept).cast("decimal(19,0)"))
+
+
+def distance(p: Column, q: Column) -> Column:
+    """floor((p - q)^2 / (p + q)) of two shares."""
+    return F.call_function("div", (p - q) * (p - q), p + q)
+
+
 def term_shares(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, term, source, p, least, q: the shares of each kept term in the sources that have it, and in the language."""
     each = kept.select("lang", "term", "total", F.explode("held").alias("h")).select("lang", "term", "total", F.col("h.source").alias("source"), F.col("h.n").alias("n"))
@@ -158,10 +168,9 @@ def own_terms(shares: DataFrame, top: int = TOP) -> DataFrame:
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part (`pair`, `term`), item, value, rank."""
-    counts = materialize(term_counts(docs, text, lang, source), "counts")
-    kept = materialize(kept_terms(counts, least_docs), "kept")
-    groups = materialize(group_sizes(counts, kept), "groups")
-    shares = materialize(term_shares(kept, groups), "shares")
+    kept = materialize(kept_terms(term_counts(docs, text, lang, source), least_docs), "kept")
+    groups = materialize(group_sizes(kept), "groups")
+    shares = materialize(term_shares(kept.where("term IS NOT NULL"), groups), "shares")
     falling = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = source_pairs(shares, groups).withColumn("rank", F.row_number().over(falling))
     part = lambda rows, name: rows.select("lang", "source", F.lit(name).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))

@@ -156,7 +156,7 @@ def audited(rows, least_docs=10, top=10):
     return out
 
 
-@pytest.mark.parametrize("held", [300_000, 50])
+@pytest.mark.parametrize("held", [500_000, 50])
 def test_audit_against_all_terms(spark, docs, rows, no_docs, held, monkeypatch):
     monkeypatch.setattr(divergence, "HELD", held)
     plain = [(r[1], r[2], r[3]) for r in rows]
