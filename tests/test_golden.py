@@ -382,6 +382,29 @@ def test_compare_and_missing(spark):
     assert {r.columna: (r.iguales, r.distintos, r.solo_a, r.solo_b) for r in monitor.compare_results(a, b, ["k"]).collect()} == {"a": (1, 1, 0, 1), "b": (2, 0, 0, 1)}
 
 
+def test_medians_by_counting(spark):
+    """Few and many rounds, ties, one value many times, ranges over many powers of ten, null groups and values."""
+    import random
+    import statistics
+
+    rng = random.Random(8)
+    rows = [("even", float(x)) for x in range(100)] + [("odd", rng.uniform(-5, 5)) for _ in range(301)] + [("one", 4.25), (None, 1.0), (None, 3.0), ("none", None), ("odd", None)]
+    rows += [("wide", 10.0 ** rng.uniform(-9, 9) * rng.choice([-1, 1])) for _ in range(500)] + [("same", 7.5)] * 400 + [("same", 7.0), ("two", 1.0), ("two", 1e308), ("low", -1e308), ("low", 1e308)]
+    log = spark.createDataFrame(rows, "stage string, seconds double").repartition(5)
+    values = {}
+    for k, v in rows:
+        values.setdefault(k, []).extend([] if v is None else [v])
+    stats = {r.stage: r for r in monitor.run_stats(log).collect()}
+    assert set(stats) == set(values)
+    for k, v in values.items():
+        assert stats[k].n == len(v) and (stats[k].mediana is None if not v else stats[k].mediana == pytest.approx(statistics.median(v), rel=1e-12))
+    for buckets, held in ((512, 20), (4096, 10_000)):
+        wanted = [(k, r, min(v), max(v)) for k, v in values.items() if v for r in {1, (len(v) + 1) // 2, len(v)}]
+        got = monitor.value_at_rank(log.where("seconds IS NOT NULL"), spark.createDataFrame(wanted, "stage string, rank long, lo double, hi double"), "stage", "seconds", buckets, held)
+        assert {(r.stage, r.rank): r.seconds for r in got.collect()} == {(k, r): sorted(values[k])[r - 1] for k, r, *_ in wanted}
+    assert "percentile" not in _plan(monitor.run_stats(log)).lower() and "median(" not in _plan(monitor.run_stats(log)).lower()
+
+
 # ---- plans
 
 
