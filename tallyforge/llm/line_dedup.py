@@ -4,20 +4,23 @@ Method: each line is hashed; a rolling hash over two neighbouring lines decides
 whether a chunk ends there, so boundaries depend on content alone and survive
 insertions before them. Several independent boundary rules are used, because a
 passage's first and last lines share a chunk with what surrounds them under any
-one rule. Besides, the shortest run of 40 words from each line on, and up to each
-line, is a chunk; its boundaries depend only on the lines inside it, so a repeated
-passage of 40 words or more goes whole, whatever stands around it. Chunks of several
+one rule. Besides, the shortest run of 40 words from a line on is a chunk, for the line
+with the least hash of every 16 words; a longer line is always one. Which lines these are depends only on
+the lines inside, so a repeated passage of 56 words or more has such a chunk, whatever stands around
+it; and with lines of more than 8 words, of which every one begins a run, 40 words are enough. Chunks of several
 lines, or of one long line, that occur at more than one place of the corpus are
 removed from all places but the first (by doc_id, then position), after their bytes
-were compared with those of the first place.
+were compared with those of the first place. From there the comparison goes on line by
+line to both sides, as far as a run may have missed of a passage, so that it goes whole.
 
-One pass over the texts writes a row for each chunk: its SHA-256 and its place. These
-rows, about a tenth of the texts, are counted by digest and joined with the digests
+One pass over the texts writes a row for each chunk: a 128-bit hash and its place. Short lines
+begin few runs, so these rows are fewer bytes than the texts, whatever the length of
+lines. They are counted by hash and joined with the hashes
 that repeat, at any number of repeats and without a table of fixed size; the driver
 gets nothing. Chunks of a text that lie alike in the same first text are joined to
 ranges, so overlapping chunks are compared once. The first texts give the lines of
 these ranges, in pieces of a few lines; each piece meets the text that is to lose it,
-and goes only if it is equal there. Texts move twice: to be read as first texts, and
+and goes only if it is equal there. So equal hashes alone remove nothing. Texts move twice: to be read as first texts, and
 to be cut.
 
 Defined cases: a null text stays null and an empty one empty; blank lines belong
@@ -28,6 +31,8 @@ result; removing all lines leaves an empty text; columns named as a count give w
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from functools import partial, reduce
 from itertools import accumulate
 
 import numpy as np
@@ -40,21 +45,30 @@ from .words import mix
 
 RULES = 3
 MIN_LINES, MIN_WORDS = 2, 40
+# Of the lines of so many words, one begins a run.
+WINDOW_WORDS = 16
 # Lines that are compared at a time. Bounds how many ranges of a first text differ, however many texts repeat parts of it.
 PIECE_LINES = 16
 _CHUNK = "struct<first: int, last: int, digest: binary>"
 
 
-def _runs(words: np.ndarray, words_to: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of the shortest runs of min_words words from each line with a word on, and up to each."""
+def _runs(hashes: np.ndarray, words: np.ndarray, words_to: np.ndarray, min_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the shortest runs of min_words words from the chosen lines on: of the lines from each one on that have `window` words together, that of the least hash, the last of equals."""
     at = np.flatnonzero(words > 0)
+    v, n = mix(hashes[at]), len(at)
+    many = np.maximum(1, np.searchsorted(words_to[at + 1], words_to[at] + window, "right") - np.arange(n))
+    best, chosen = v.copy(), np.arange(n)
+    for j in range(1, int(many.max(initial=1))):
+        i = np.flatnonzero(many > j)
+        take = i[v[i + j] <= best[i]]
+        best[take], chosen[take] = v[take + j], take + j
+    at = at[np.unique(chosen)]
     last = np.searchsorted(words_to, words_to[at] + min_words)
-    first = np.searchsorted(words_to, words_to[at + 1] - min_words, "right") - 1
-    from_it, to_it = last < len(words_to), first >= 0
-    return np.r_[at[from_it], first[to_it]], np.r_[last[from_it], at[to_it] + 1]
+    whole = last < len(words_to)
+    return at[whole], last[whole]
 
 
-def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[tuple[int, int]]]:
+def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW_WORDS) -> tuple[list[bytes], list[tuple[int, int]]]:
     """The lines of a text, and first and last line (exclusive) of its chunks that are long enough, each once."""
     import xxhash
 
@@ -72,21 +86,21 @@ def chunks(data: bytes, rules: int = RULES, min_lines: int = MIN_LINES, min_word
     a, b = np.concatenate(firsts), np.concatenate(lasts)
     n = words_to[b] - words_to[a]
     long = (n > 0) & ((b - a >= min_lines) & (n >= min_words // 4) | (n >= min_words))
-    more_a, more_b = _runs(words, words_to, min_words)
+    more_a, more_b = _runs(h, words, words_to, min_words, window)
     found = np.unique(np.r_[a[long], more_a] * (len(lines) + 1) + np.r_[b[long], more_b])
     return lines, list(zip((found // (len(lines) + 1)).tolist(), (found % (len(lines) + 1)).tolist(), strict=True))
 
 
 def with_chunks(docs: DataFrame, keep: list[str], text: str, **shape) -> DataFrame:
-    """Adds found, the chunks of each text with the SHA-256 of their bytes."""
-    from hashlib import sha256
+    """Adds found, the chunks of each text with a hash of their bytes."""
+    import xxhash
 
     def columns(texts: list[bytes]) -> dict:
         rows = []
         for data in texts:
             lines, parts = chunks(data, **shape)
             starts = [0, *accumulate(len(x) + 1 for x in lines)]
-            rows.append([{"first": a, "last": b, "digest": sha256(data[starts[a] : starts[b] - 1]).digest()} for a, b in parts])
+            rows.append([{"first": a, "last": b, "digest": xxhash.xxh3_128_digest(data[starts[a] : starts[b] - 1])} for a, b in parts])
         return {"found": rows}
 
     return map_texts(docs, columns, f"found array<{_CHUNK}>", text, keep)
@@ -103,7 +117,8 @@ def repeats(docs: DataFrame, **shape) -> DataFrame:
 
 
 def pieces(hit: DataFrame, piece_lines: int = PIECE_LINES) -> DataFrame:
-    """doc_id, text_key, keep_id, keep_key, a, b, ranges: which lines of a text (first, last) repeat lines a to b of a first text; n: how many chunks begin with a piece.
+    """doc_id, text_key, keep_id, keep_key, a, b, begins, ends, ranges: which lines of a text (first, last) repeat lines a to b of a first text; n: how many chunks begin with a piece.
+    begins, ends: whether the joined chunks do with it.
 
     Chunks at the same distance from their first places are joined where they touch, then cut at every piece_lines lines of the first text.
     """
@@ -118,36 +133,51 @@ def pieces(hit: DataFrame, piece_lines: int = PIECE_LINES) -> DataFrame:
     cut = cut.withColumns({"a": F.greatest("from", F.col("piece") * piece_lines), "b": F.least("to", (F.col("piece") + 1) * piece_lines)})
     n = F.when(F.col("piece") == own("from"), F.col("n")).otherwise(0)
     there = F.struct((F.col("a") + F.col("shift")).alias("first"), (F.col("b") + F.col("shift")).alias("last"), n.cast("long").alias("n"))
-    return cut.groupBy("doc_id", "text_key", "keep_id", "keep_key", "a", "b").agg(F.collect_list(there).alias("ranges"))
+    ends = ((F.col("a") == F.col("from")).alias("begins"), (F.col("b") == F.col("to")).alias("ends"))
+    return cut.groupBy("doc_id", "text_key", "keep_id", "keep_key", "a", "b", *ends).agg(F.collect_list(there).alias("ranges"))
+
+
+def _around(words_to: list[int], a: int, b: int, before: int, after: int) -> tuple[int, int]:
+    """The lines from a to b with those before and after that have at most so many words together. words_to: words up to each line."""
+    return bisect_left(words_to, words_to[a] - before), bisect_right(words_to, words_to[b] + after) - 1
 
 
-def _lines_of(batches):
-    """Rows keep_id, keep_key, text, ranges (a, b); returns a row with the lines of each range."""
+def _lines_of(batches, before: int, after: int):
+    """Rows keep_id, keep_key, text, ranges (a, b, begins, ends); returns a row with the lines of each range, and of what lies around its ends: lead lines before a, and those behind b."""
     for batch in batches:
         for i, (text, ranges) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             lines = (text or "").split("\n")
+            words_to = [0, *accumulate(len(x.encode().split()) for x in lines)]
             for at in range(0, len(ranges), 1024):
                 part = ranges[at : at + 1024]
                 of = [batch.column(k).take(pa.array([i] * len(part))) for k in (0, 1)]
-                a, b = ([r[x] for r in part] for x in "ab")
-                kept = ["\n".join(lines[x:y]) for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(kept, pa.string())], names=[*batch.schema.names[:2], "a", "b", "kept"])
+                a, b, begins, ends = ([r[x] for r in part] for x in ("a", "b", "begins", "ends"))
+                wide = [_around(words_to, x, y, before, after) for x, y in zip(a, b, strict=True)]
+                first = [w[0] if begin else x for w, x, begin in zip(wide, a, begins, strict=True)]
+                last = [w[1] if end else y for w, y, end in zip(wide, b, ends, strict=True)]
+                kept = ["\n".join(lines[x:y]) for x, y in zip(first, last, strict=True)]
+                lead = [x - y for x, y in zip(a, first, strict=True)]
+                arrays = [*of, *(pa.array(x, pa.int32()) for x in (a, b)), *(pa.array(x, pa.bool_()) for x in (begins, ends)), pa.array(lead, pa.int32()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:2], "a", "b", "begins", "ends", "lead", "kept"])
 
 
 def removals(docs: DataFrame, **shape) -> DataFrame:
-    """doc_id, text_key, cut: the lines of first places (kept), and the ranges of each text that repeat them. docs: doc_id, text."""
+    """doc_id, text_key, cut: the lines of first places (kept, the first `lead` of them before the range), and the ranges of each text that repeat them. docs: doc_id, text."""
+    before, after = shape.get("window", WINDOW_WORDS), shape.get("min_words", MIN_WORDS)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     compared = materialize(pieces(repeats(keyed, **shape)), "pieces")
-    where = ["keep_id", "keep_key", "a", "b"]
-    wanted = compared.select(*where).distinct().groupBy("keep_id", "keep_key").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+    asked = ["a", "b", "begins", "ends"]
+    where = ["keep_id", "keep_key", *asked]
+    wanted = compared.select(*where).distinct().groupBy("keep_id", "keep_key").agg(F.collect_list(F.struct(*asked)).alias("asked"))
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
     found = keyed.join(materialize(wanted, "wanted").hint("merge"), same).select("keep_id", "keep_key", "text", "asked")
-    schema = compared.select("keep_id", "keep_key").schema.add("a", "integer").add("b", "integer").add("kept", "string")
+    schema = compared.select("keep_id", "keep_key").schema.add("a", "integer").add("b", "integer").add("begins", "boolean").add("ends", "boolean").add("lead", "integer").add("kept", "string")
     # Rows equal in doc_id and text give the same lines.
-    kept = materialize(found.mapInArrow(_lines_of, schema).groupBy(*where).agg(F.any_value("kept").alias("kept")), "kept")
+    lines = found.mapInArrow(partial(_lines_of, before=before, after=after), schema)
+    kept = materialize(lines.groupBy(*where).agg(F.any_value("lead").alias("lead"), F.any_value("kept").alias("kept")), "kept")
     kept = kept.withColumnsRenamed({"keep_id": "__id", "keep_key": "__key"})
-    met = F.col("keep_id").eqNullSafe(F.col("__id")) & (F.col("keep_key") == F.col("__key")) & (compared["a"] == kept["a"]) & (compared["b"] == kept["b"])
-    return compared.join(kept.hint("merge"), met).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kept", "ranges")).alias("cut"))
+    met = reduce(lambda x, y: x & y, [compared[c] == kept[c] for c in asked], F.col("keep_id").eqNullSafe(F.col("__id")) & (F.col("keep_key") == F.col("__key")))
+    return compared.join(kept.hint("merge"), met).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kept", "lead", "ranges")).alias("cut"))
 
 
 def _cut_lines(batches):
@@ -159,10 +189,18 @@ def _cut_lines(batches):
             lines = text.split("\n") if text is not None else []
             gone, found = np.zeros(len(lines), bool), 0
             for c in cut or ():
+                kept, lead = c["kept"].split("\n"), c["lead"]
                 for r in c["ranges"]:
-                    if "\n".join(lines[r["first"] : r["last"]]) == c["kept"]:
-                        gone[r["first"] : r["last"]] = True
+                    first, last = r["first"], r["last"]
+                    behind = lead + last - first
+                    if lines[first:last] == kept[lead:behind]:
                         found += r["n"]
+                        ahead = lead
+                        while ahead and first and lines[first - 1] == kept[ahead - 1]:
+                            first, ahead = first - 1, ahead - 1
+                        while last < len(lines) and behind < len(kept) and lines[last] == kept[behind]:
+                            last, behind = last + 1, behind + 1
+                        gone[first:last] = True
             n_lines.append(len(lines))
             n_removed.append(int(gone.sum()))
             n_chunks.append(found)

@@ -384,28 +384,38 @@ def expected_chunks(text):
                 if n >= 40 or n >= 10 and i + 1 - start >= 2:
                     out.add((start, i + 1))
                 start = i + 1
-    for i in range(len(lines)):
-        if words[i]:
-            after = next((j for j in range(i + 1, len(lines) + 1) if sum(words[i:j]) >= 40), None)
-            before = next((j for j in range(i, -1, -1) if sum(words[j : i + 1]) >= 40), None)
-            out |= {(i, after)} if after else set()
-            out |= {(before, i + 1)} if before is not None else set()
+    worded = [i for i, n in enumerate(words) if n]
+    starts = set()
+    for at, i in enumerate(worded):
+        near = [j for j in worded[at:] if sum(words[i : j + 1]) <= 16] or [i]
+        starts.add(min(near, key=lambda j: (mixed(h[j]), -j)))
+    for i in starts:
+        after = next((j for j in range(i + 1, len(lines) + 1) if sum(words[i:j]) >= 40), None)
+        out |= {(i, after)} if after else set()
     return lines, out
 
 
 def expected_lines(rows):
-    """Chunks by their rules, repeats by their bytes."""
-    places = {}
+    """Chunks by their rules, repeats by their bytes, and what is equal around them: 16 words at most before, 40 behind."""
+    places, lines_of = {}, {}
     for r in rows:
         lines, parts = expected_chunks(r[1] or "")
-        lines = [x.encode() for x in lines]
+        spot = (r[0] if r[0] is not None else -1, xxhash.xxh64_intdigest((r[1] or "").encode(), 42))
+        lines_of[spot] = lines
         for a, b in parts:
-            places.setdefault(b"\n".join(lines[a:b]), set()).add((r[0] if r[0] is not None else -1, xxhash.xxh64_intdigest((r[1] or "").encode(), 42), a, b))
+            places.setdefault("\n".join(lines[a:b]), set()).add((*spot, a, b))
     cut = defaultdict(set)
+    count = lambda lines: sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines)
     for spots in places.values():
-        ordered = sorted(spots, key=lambda s: (s[0], s[1] - (1 << 64) if s[1] >> 63 else s[1], s[2]))
-        for doc, key, a, b in ordered[1:]:
-            cut[doc, key].update(range(a, b))
+        (doc0, key0, a0, b0), *others = sorted(spots, key=lambda s: (s[0], s[1] - (1 << 64) if s[1] >> 63 else s[1], s[2]))
+        first = lines_of[doc0, key0]
+        for doc, key, a, b in others:
+            own, i, j = lines_of[doc, key], 0, 0
+            while a > i and a0 > i and own[a - i - 1] == first[a0 - i - 1] and count(first[a0 - i - 1 : a0]) <= 16:
+                i += 1
+            while b + j < len(own) and b0 + j < len(first) and own[b + j] == first[b0 + j] and count(first[b0 : b0 + j + 1]) <= 40:
+                j += 1
+            cut[doc, key].update(range(a - i, b + j))
     out = []
     for r in rows:
         if r[1] is None:
