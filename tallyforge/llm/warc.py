@@ -52,16 +52,29 @@ def base32_of_hex(sha1: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1)).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A WARC/1.1 record: a response with its payload, or a revisit with the HTTP header only."""
+def target_uri(page_id: int | None, url: str | None) -> str:
+    """The URL without blanks and control characters, or a name of the page."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
+
+
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """Made from the page alone, so that a revisit can name the response without having seen it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{target_uri(page_id, url)}:{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
+    """A WARC/1.1 record: a response with its payload, or a revisit with the HTTP header only, which names the response of the page refers_to."""
     revisit = refers_to is not None
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
+    target = target_uri(page_id, url)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (b"" if revisit else payload)
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{target}:{digest}')}>",
+        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
         f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}",
-        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"] if revisit else []),
+        *([
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}",
+            f"WARC-Refers-To-Target-URI: {target_uri(refers_to, refers_url)}", f"WARC-Refers-To-Date: {date}", f"WARC-Refers-To-Page-ID: {refers_to}",
+        ] if revisit else []),
         *([f"WARC-Page-ID: {page_id}"] if page_id is not None else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -69,23 +82,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 
 def _write(batches, folder: str, file_bytes: int, date: str):
-    """Rows page_id, url, payload, sha1, refers_to; returns index rows."""
+    """Rows page_id, url, payload, sha1, refers_to, refers_url; returns index rows."""
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string())])
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     out, name, at = None, "", 0
     try:
         for batch in batches:
-            ids, urls, payloads, shas, refs = (batch.column(i).to_pylist() for i in range(5))
+            ids, urls, payloads, shas, refs, ref_urls = (batch.column(i).to_pylist() for i in range(6))
             rows: dict[str, list] = {f.name: [] for f in schema}
-            for page_id, url, payload, sha, ref in zip(ids, urls, payloads, shas, refs, strict=True):
+            for page_id, url, payload, sha, ref, ref_url in zip(ids, urls, payloads, shas, refs, ref_urls, strict=True):
                 if out is None or at >= file_bytes:
                     if out is not None:
                         out.close()
                     name, at = f"{root}/{uuid.uuid4().hex}.warc.gz", 0  # another name for each attempt
                     out = store.open_output_stream(name, compression=None)
                 digest, data = base32_of_hex(sha), payload or b""
-                packed = gzip.compress(record(page_id, url, data, len(data), digest, ref, date), 5, mtime=0)
+                packed = gzip.compress(record(page_id, url, data, len(data), digest, ref, ref_url, date), 5, mtime=0)
                 out.write(packed)
                 for key, value in (("file", name), ("offset", at), ("length", len(packed)), ("page_id", page_id), ("url", url), ("digest", digest), ("record_type", "response" if ref is None else "revisit")):
                     rows[key].append(value)
@@ -102,11 +115,12 @@ def write_archive(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, d
     data = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), data.alias("payload"), F.sha1(data).alias("sha1"))
     # Only digests are grouped; a payload moves once, to meet the first id of its digest if it has equals.
-    equal = rows.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    equal = rows.where(F.octet_length("payload") >= least).groupBy("sha1").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
     equal = materialize(equal.select("sha1", "first"), "equals")
     joined = rows.join(equal, "sha1", "left")
-    later = (F.octet_length("payload") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = joined.select("page_id", "url", "payload", "sha1", F.when(later, F.col("first")).alias("refers_to"))
+    later = (F.octet_length("payload") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    marked = joined.select("page_id", "url", "payload", "sha1", F.when(later, F.col("first.page_id")).alias("refers_to"), F.when(later, F.col("first.url")).alias("refers_url"))
     return materialize(marked.mapInArrow(partial(_write, folder=folder, file_bytes=file_bytes, date=date), INDEX), "index")
 
 
@@ -154,7 +168,7 @@ def _read(batches, folder: str, gap: int, most: int, payloads: bool):
                         rows["record_type"].append(fields["WARC-Type"])
                         rows["payload_bytes"].append(size)
                         rows["payload_digest"].append(digest)
-                        rows["refers_to"].append(int(fields["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">")) if not whole else None)
+                        rows["refers_to"].append(int(fields["WARC-Refers-To-Page-ID"]) if not whole else None)
                         if payloads:
                             rows["payload"].append(payload if whole else None)
                     yield pa.RecordBatch.from_pydict(rows, schema=schema)

@@ -468,6 +468,14 @@ def test_warc_round_trip(spark, tmp_path):
     mine = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload) if r.payload is not None else None) for r in got]
     assert sorted(mine, key=repr) == sorted(want, key=repr)
     assert warc.read_archive(index, folder, task_bytes=2000).rdd.getNumPartitions() >= sum(f.stat().st_size for f in Path(tmp_path, "archive").iterdir()) // 2000
+    # Every revisit names a response that is in the archive, with its target.
+    fields = [warc.parse(gzip.decompress(open(r.file, "rb").read()[r.offset : r.offset + r.length]))[0] for r in index.collect()]
+    responses = {f["WARC-Record-ID"]: f for f in fields if f["WARC-Type"] == "response"}
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(revisits) > 50 and not {f["WARC-Record-ID"] for f in revisits} & set(responses)
+    for f in revisits:
+        to = responses[f["WARC-Refers-To"]]
+        assert to["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and to["WARC-Target-URI"] == f["WARC-Refers-To-Target-URI"] and to["WARC-Date"] == f["WARC-Refers-To-Date"] and to["WARC-Page-ID"] == f["WARC-Refers-To-Page-ID"]
     clash = warc.write_archive(df.selectExpr("*", "1 AS file", "'x' AS digest", "map('a', 1) AS payload", "2 AS refers_to"), f"{folder}2")
     assert sorted(((r.page_id, r.digest, r.record_type) for r in clash.collect()), key=repr) == sorted(((r.page_id, r.digest, r.record_type) for r in index.collect()), key=repr)
     some = index.where("page_id % 10 = 0")
