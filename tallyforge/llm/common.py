@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,26 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(_BATCH_KEY, str(rows))
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of `df`, those with a map in them as JSON, for hashes of whole rows: Spark doesn't hash maps."""
+    has_map = lambda t: isinstance(t, T.MapType) or any(map(has_map, [t.elementType] if isinstance(t, T.ArrayType) else [f.dataType for f in t.fields] if isinstance(t, T.StructType) else []))
+    return [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+
+
+def in_pieces(first: Column, last: Column, rows: int, *spread: str):
+    """For runs of equal rows: a function from a frame with a row for each run to one with a row, numbered `number` from first to last, for each of the run's rows.
+
+    A run is cut at every `rows` numbers, and the pieces are dealt over tasks by the columns `spread`, so no task writes out a long run alone.
+    """
+
+    def written(runs: DataFrame) -> DataFrame:
+        cut = runs.where(last >= first).withColumn("__from", F.explode(F.sequence(first, last, F.lit(rows).cast("long"))))
+        dealt = cut.withColumn("__to", F.least(last, F.col("__from") + rows - 1)).repartition(*spread, "__from")
+        return dealt.withColumn("number", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to")
+
+    return written
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column; null reads as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

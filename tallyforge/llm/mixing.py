@@ -25,7 +25,7 @@ Defined cases: a null source is a source; null texts, and texts without words,
 have size 0 and are taken 0 words; a source without words has target 0; repeated
 rows are documents of their own, and get copies in an order that their contents
 alone decide; an empty table gives an empty result; columns named as a result give
-way to it in with_copies and stay in mixed; maps are not allowed. Steps or passes
+way to it in with_copies and stay in mixed; maps are told apart by their JSON. Steps or passes
 that don't settle raise an error.
 """
 
@@ -36,12 +36,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import hashable, in_pieces, materialize, table
 
 MOST = 2  # copies of a document
 PIECE_ROWS = 1 << 20  # a hot cell has a piece for each so many rows of the corpus, 32 at least
 STEPS, STEPS_A_WRITE = 64, 4
 PASSES, PASSES_A_WRITE = 96, 3
+RUN_ROWS = 1 << 16  # equal rows that a task writes out
 
 
 def word_count(text: str = "text"):
@@ -186,8 +187,7 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     read twice, and its columns decide the order of rows.
     """
     names = docs.columns
-    quoted = [F.col(f"`{c}`") for c in names]
-    rows = _marked(docs, source, word_count(text) if size is None else F.col(f"`{size}`"), quoted)
+    rows = _marked(docs, source, word_count(text) if size is None else F.col(f"`{size}`"), hashable(docs))
     wanted, runs = _runs(rows.select(F.col("__skey").alias("skey"), F.col(f"`{source}`").alias("source"), F.col("__words").alias("size"), *_KEY), weights, share)
     w = wanted.select(F.struct("*").alias("__w"))
     met = rows.join(runs.hint("merge"), list(_KEY), "left").join(w, F.col("__skey") == F.col("__w.skey"), "left")
@@ -198,7 +198,8 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         return once
     # Equal rows are counted, and come back as many, the first ones with a copy more.
     whole = F.struct(*[F.col(c) if c[:2] == "__" else F.col(f"`{c}`") for c in met.columns])
-    equal = met.where("__n > 1").groupBy(*_KEY).agg(F.any_value(whole).alias("__row")).select("__row.*").withColumn("__i", F.explode(F.sequence(F.lit(1), "__n")))
+    runs_of = met.where("__n > 1").groupBy(*_KEY).agg(F.any_value(whole).alias("__row")).select(F.col("__row.__n").alias("__n"), F.col("__row.__k").alias("__k"), *[F.col(f"__row.{c}").alias(c) for c in _KEY], "__row")
+    equal = in_pieces(F.lit(1).cast("long"), F.col("__n"), RUN_ROWS, *_KEY)(runs_of).select(F.col("number").alias("__i"), "__row").select("__i", "__row.*")
     more = F.floor(F.col("__k") / F.col("__n")) + F.when(F.col("__i") <= F.col("__k") % F.col("__n"), 1).otherwise(0)
     return once.unionByName(out(equal, more.cast("int")))
 
@@ -207,15 +208,15 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     """The rows of `docs`, each as often as the mix takes it. Documents without words are taken no times."""
     quoted = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.select(F.struct(*quoted).alias("__doc"), F.col(f"`{source}`").alias("__source"), word_count(text).alias("__size"))
-    rows = _marked(whole, "__source", F.col("__size"), [F.col("__doc")])
+    whole = whole.withColumn("__hashed", F.struct(*hashable(whole.select("__doc"))))
+    rows = _marked(whole, "__source", F.col("__size"), [F.col("__hashed")]).drop("__hashed")
     _, runs = _runs(rows.select(F.col("__skey").alias("skey"), F.col("__source").alias("source"), F.col("__words").alias("size"), *_KEY), weights, share)
     taken = rows.select("__doc", *_KEY).join(runs.hint("merge"), list(_KEY))
-    repeated = lambda df: df.select("__doc", F.explode(F.sequence(F.lit(1), "__k"))).select("__doc.*")
-    once = repeated(taken.where("__n = 1"))
+    once = taken.where("__n = 1").select("__doc", F.explode(F.sequence(F.lit(1), "__k"))).select("__doc.*")
     if runs.where("__n > 1").isEmpty():
         return once
     equal = taken.where("__n > 1").groupBy(*_KEY).agg(F.any_value("__doc").alias("__doc"), F.any_value("__k").alias("__k"))
-    return once.unionByName(repeated(equal))
+    return once.unionByName(in_pieces(F.lit(1).cast("long"), F.col("__k").cast("long"), RUN_ROWS, *_KEY)(equal).select("__doc.*"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from .common import materialize, table
 
 CELLS = 1 << 14
 PIECE_ROWS = 1 << 24  # a cell has a piece, by a hash of the row, for each so many rows of the table, 16 at least
+RUN_ROWS = 1 << 16  # equal rows that are numbered and written out together
 VNODES = 64
 
 
@@ -90,10 +91,13 @@ def with_shard(df: DataFrame, key: str | Column, shards: int, vnodes: int = VNOD
     quoted = [F.col(f"`{c}`") for c in names]
     rows = (
         df.withColumn("__cell", F.pmod(F.xxhash64(F.lit("key"), F.col(f"`{key}`") if isinstance(key, str) else key), F.lit(CELLS)).cast("int"))
-        .withColumn("__piece", F.pmod(F.xxhash64(*quoted, F.lit(1)), F.lit(pieces_of_cell)).cast("int"))
         .withColumn("__order", F.xxhash64(*quoted))
-        .groupBy("__cell", "__piece", "__order", *quoted)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .groupBy("__cell", "__order", *quoted)
+        .agg(F.count(F.lit(1)).alias("__all"))
+        # A run of equal rows is cut into parts, which go to pieces of their own.
+        .withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__all") - 1) / RUN_ROWS))))
+        .withColumn("__n", F.least(F.lit(RUN_ROWS).cast("long"), F.col("__all") - F.col("__part") * RUN_ROWS))
+        .withColumn("__piece", F.pmod(F.xxhash64(*quoted, F.lit(1), F.col("__part")), F.lit(pieces_of_cell)).cast("int"))
     )
     places = materialize(ring(spark, shards, vnodes).withColumnsRenamed({"cell": "__cell", "arc": "__arc", "shard": "home_shard"}), "ring")
     pieces = materialize(rows.groupBy("__cell", "__piece").agg(F.sum("__n").alias("__rows")).join(F.broadcast(places), "__cell"), "pieces")  # CELLS rows are broadcast
@@ -110,7 +114,7 @@ def with_shard(df: DataFrame, key: str | Column, shards: int, vnodes: int = VNOD
 
     around = Window.partitionBy("__arc").orderBy("__cell", "__piece")
     offsets = pieces.withColumn("__offset", F.sum("__rows").over(around) - F.col("__rows")).drop("__rows")
-    inside = Window.partitionBy("__cell", "__piece").orderBy("__order", *quoted)
+    inside = Window.partitionBy("__cell", "__piece").orderBy("__order", *quoted, "__part")
     numbered = rows.withColumn("__at", F.sum("__n").over(inside) - F.col("__n")).join(offsets.hint("merge"), ["__cell", "__piece"])
     # A run of equal rows may reach over the end of a segment, so it meets each segment that it overlaps.
     start = F.col("__offset") + F.col("__at")

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, line_dedup, mixing, sharding, simhash, warc
 
@@ -219,6 +220,35 @@ def test_equal_rows_share_their_copies(spark):
     assert Counter((r.doc_id, r.text) for r in mixing.mixed(df).collect()) == +Counter({(i, t): sum(r.copies for r in got if (r.doc_id, r["size"]) == (i, len((t or "").split()))) for i, t, _ in set(rows)})
 
 
+def tasks_with_rows(df, most):
+    """How many tasks have rows; none has more than `most`."""
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) <= most
+    return len(sizes)
+
+
+def test_long_runs_of_equal_rows_are_written_by_many_tasks(spark):
+    n = 3_000_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        equal = spark.range(n).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+        rest = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("t").alias("source"))
+        df = equal.unionByName(rest)
+        taken = mixing.mixed(df)
+        counts = {r.source: r.n for r in taken.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert counts["t"] == 80 and n < counts["s"] <= 2 * n and tasks_with_rows(taken, n) > 4
+        copies = mixing.with_copies(df)
+        assert copies.count() == n + 40 and copies.agg(F.sum("copies")).first()[0] == sum(counts.values())
+        sharded = sharding.with_shard(df, "doc_id", 16)
+        by_shard = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("d")).collect()
+        assert len(by_shard) == 16 and {r.n for r in by_shard} <= {(n + 40) // 16, (n + 40) // 16 + 1} and all((r.a, r.b, r.d) == (0, r.n - 1, r.n) for r in by_shard)
+        assert tasks_with_rows(sharded, n // 2) > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # ---- SimHash
 
 

@@ -34,7 +34,7 @@ def empty_folder(spark, docs, folder, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_run_over_files(spark, folder, rows, name):
     n = queries()[name](spark, folder).count()
-    assert n == len(rows) if name != "op1_token_counts" else n > 10
+    assert n > 10 if name in ("op1_token_counts", "op13_source_divergence") else n == len(rows)
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
@@ -88,3 +88,15 @@ def test_stages_against_brute_force(spark, folder, rows, tmp_path):
 
     whole = corpus_pipeline.run(spark, folder)
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, last))
+
+
+def test_map_columns_travel_along(spark, docs, folder):
+    """A documents table with a map, and with maps inside other columns, through all stages."""
+    with_maps = docs.selectExpr("*", "map('a', doc_id) AS tags", "array(named_struct('m', map(1, lang))) AS nested")
+    plain, mapped = docs, with_maps
+    for name, stage in corpus_pipeline.STAGES:
+        plain, mapped = (stage(spark, x, folder) for x in (plain, mapped))
+        if name != "sharding":
+            assert mapped.columns == with_maps.columns, name
+    assert mapped.count() > 10
+    assert abs(mapped.count() - plain.count()) <= 3  # copies are dealt by hashes of whole rows
