@@ -39,6 +39,9 @@ _WORK = """w AS (SELECT page_id AS file_id, md5(content) || '_' || sexo AS cache
  c AS (SELECT md5(content) || '_' || sexo AS cache_key, 'r' || page_id AS resultado FROM files WHERE page_id % 3 = 0)"""
 SQL["a5_with_cached"] = f"WITH {_WORK} SELECT file_id, w.cache_key, resultado IS NOT NULL AS cached, resultado FROM w LEFT JOIN c ON c.cache_key = w.cache_key"
 SQL["a5_distinct_work"] = f"WITH {_WORK} SELECT DISTINCT cache_key FROM w WHERE cache_key NOT IN (SELECT cache_key FROM c)"
+SQL["a5_process_cached"] = """WITH b AS (SELECT page_id AS file_id, 1 AS version, content, sexo FROM files UNION ALL SELECT page_id, 2, content || '+', sexo FROM files),
+ k AS (SELECT *, md5(content) || '_' || sexo AS cache_key, content[1:4] <> 'RIFF' AS ok FROM b)
+SELECT file_id, version, cache_key, ok AND cache_key IN (SELECT cache_key FROM k WHERE version = 1) AS cached, CAST(CASE WHEN ok THEN length(content) END AS INT) AS n, ok, CASE WHEN NOT ok THEN 'not readable' END AS error FROM k"""
 SQL["a6_cache_stats"] = "SELECT count(*) AS archivos, round(sum(strlen(content)) / 1048576.0, 2) AS total_mb FROM files"
 SQL["a7_run_batch"] = f"""WITH {_PARSED} SELECT page_id, CASE WHEN valid THEN CAST(e AS INT) END AS edad, valid AS ok, CASE WHEN NOT valid THEN 'bad name: ' || raw END AS error FROM q"""
 SQL["a8_load_affinity"] = """SELECT 'types' AS tabla, tipo AS x, carrera AS y, CAST(ord AS VARCHAR) AS z FROM career_types
@@ -71,6 +74,7 @@ _SUG = f"""{_BEST}, sug AS (SELECT t.form_id, best.a AS carrera, t.tipo1 AS tipo
  UNION ALL SELECT t.form_id, best.b, t.tipo2, rango = 1, puntaje, relacion FROM tops t JOIN best ON best.tipo_a = t.tipo1 AND best.tipo_b = t.tipo2)"""
 SQL["a11_write_evaluation"] = f"""WITH {_SUG} SELECT 'formulario' AS tabla, form_id, nombre || '|' || sexo AS fila FROM forms UNION ALL SELECT 'marca', form_id, concat_ws('|', item, opcion, CASE WHEN opcion IN ('si', 'ambos') THEN 1 ELSE 0 END) FROM marks_state
  UNION ALL SELECT 'resultado', form_id, concat_ws('|', tipo, pd, coalesce(CAST(baremo AS VARCHAR), '-'), posicion) FROM ranked UNION ALL SELECT 'carrera_sugerida', form_id, concat_ws('|', carrera, tipo, es_principal) FROM sug"""
+SQL["a11_write_evaluation_deleted"] = f"""WITH x AS ({SQL["a11_write_evaluation"]}) SELECT * FROM x WHERE form_id % 7 <> 0 UNION ALL SELECT tabla, -form_id - 1, fila FROM x WHERE form_id % 7 <> 0"""
 SQL["a12_check_evaluation"] = """WITH bm AS (SELECT form_id, CASE WHEN num % 40 <> 0 THEN item END AS item FROM marks_state UNION ALL SELECT form_id - CASE WHEN form_id % 2 = 0 THEN 0 ELSE 1000000 END, item FROM marks_state WHERE num = 3 AND form_id % 5 = 0),
  rs AS (SELECT form_id, tipo FROM ranked UNION ALL SELECT form_id, tipo FROM ranked WHERE posicion = 1 AND form_id % 4 = 0)
 SELECT 'sexo' AS problema, count(*) AS n FROM forms WHERE form_id % 9 = 0

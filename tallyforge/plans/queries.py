@@ -115,6 +115,23 @@ def a5_distinct_work(v):
     return ingest.distinct_work(_work(v), _cache(v)).select("cache_key")
 
 
+def measure(row: dict) -> dict:
+    """The length of a file; archives of one kind can't be read."""
+    if row["content"].startswith("RIFF"):
+        raise ValueError("not readable")
+    return {"n": len(row["content"])}
+
+
+@query
+def a5_process_cached(v):
+    """Two batches: all files, then all files and a longer version of each. The second finds what the first has stored."""
+    store = shared_path(v.spark, "cache")
+    first = v.files.select(F.col("page_id").alias("file_id"), F.lit(1).alias("version"), "content", "sexo")
+    ingest.process_cached(first, measure, "n int", store, "1").count()
+    both = first.unionByName(first.select("file_id", F.lit(2).alias("version"), F.concat("content", F.lit("+")).alias("content"), "sexo"))
+    return ingest.process_cached(both, measure, "n int", store, "2").select("file_id", "version", "cache_key", "cached", "n", "ok", "error")
+
+
 @query
 def a6_cache_stats(v):
     return ingest.cache_stats(v.files.select(F.octet_length("content").alias("length")))
@@ -220,8 +237,21 @@ def _rows(tables: dict[str, DataFrame], key: str = "form_id") -> DataFrame:
 def a11_write_evaluation(v):
     tables = ingest.evaluation_tables(v.forms, v.marks_state, v.ranked, _suggested(v))
     dest = shared_path(v.spark, "evaluation")
-    ingest.write_evaluation(tables, dest)
-    return _rows({name: v.spark.read.parquet(f"{dest}/{name}") for name in tables})
+    for _ in range(2):  # the second time replaces the first
+        ingest.write_evaluation(tables, dest, "1")
+    return _rows({name: df.drop("lote", "grupo") for name, df in ingest.read_evaluation(v.spark, dest).items()})
+
+
+@query
+def a11_write_evaluation_deleted(v):
+    """Two stored batches, and the forms divisible by 7 deleted from both."""
+    tables = ingest.evaluation_tables(v.forms, v.marks_state, v.ranked, _suggested(v))
+    again = {name: df.withColumn("form_id", -F.col("form_id") - 1) for name, df in tables.items()}
+    dest = shared_path(v.spark, "evaluation")
+    for batch, part in (("1", tables), ("2", again)):
+        ingest.write_evaluation(part, dest, batch)
+    ingest.delete_stored(v.spark, dest, v.forms.where("form_id % 7 = 0").select(F.explode(F.array("form_id", -F.col("form_id") - 1)).alias("form_id")))
+    return _rows({name: df.drop("lote", "grupo") for name, df in ingest.read_evaluation(v.spark, dest).items()})
 
 
 @query

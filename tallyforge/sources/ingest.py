@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import settle
+
 # Image extensions, and the leading bytes (hexadecimal) of the known types.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 PDF_MAGIC = "25504446"
@@ -65,6 +68,38 @@ def distinct_work(df: DataFrame, cache: DataFrame, content: str = "content", sex
     return df.withColumn("cache_key", cache_key(content, sex)).join(cache.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at `path`, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def process_cached(df: DataFrame, fn: Callable[[dict], dict], schema: str, store: str, batch: str, content: str = "content", sex: str = "sexo") -> DataFrame:
+    """The rows of `df` with cache_key, cached, the columns of `schema` from fn, ok and error. Work that the store has isn't done again, equal work is done once, and new results are stored.
+
+    store: a folder with the results of all batches, each in a partition `lote` of its own. A batch that is repeated after a failure
+    replaces what it had written; one that is repeated after it went through finds all its results. Failures aren't stored,
+    so they are tried again. Two batches that run at once may both do and store the same work; one of the results is read.
+    """
+    spark = df.sparkSession
+    fields = T.StructType.fromDDL(schema)
+    keyed = df.withColumn("cache_key", cache_key(content, sex))
+    nothing = spark.createDataFrame([], T.StructType([T.StructField("cache_key", T.StringType()), *fields]))
+    before = stored(spark, store)
+    known = nothing if before is None else before.select("cache_key", *fields.names).dropDuplicates(["cache_key"])
+    todo = distinct_work(df, known, content, sex)
+    done = settle(run_batch(todo, lambda row: {**fn(row), "cache_key": row["cache_key"]}, f"cache_key string, {schema}"), "results")
+    new = done.where("ok").drop("ok", "error").withColumn("lote", F.lit(batch))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lote").parquet(store)
+    result = lambda rows, cached: rows.select("cache_key", F.struct(*fields.names).alias("__r"), cached, *[c if c in rows.columns else F.lit(v).alias(c) for c, v in (("ok", True), ("error", None))])
+    every = result(done, F.lit(False).alias("cached")).unionByName(result(known.join(keyed.select("cache_key").distinct(), "cache_key", "left_semi"), F.lit(True).alias("cached")))
+    return keyed.join(every.hint("merge"), "cache_key", "left").select(*keyed.columns, "cached", "__r.*", "ok", "error")
+
+
 def cache_stats(df: DataFrame, length: str = "length") -> DataFrame:
     """archivos, total_mb (two decimals)."""
     return df.agg(F.count(F.lit(1)).alias("archivos"), F.bround(F.coalesce(F.sum(length), F.lit(0)) / F.lit(1048576.0), 2).alias("total_mb"))
@@ -161,10 +196,71 @@ def evaluation_tables(forms: DataFrame, marks: DataFrame, ranked: DataFrame, sug
     }
 
 
-def write_evaluation(tables: dict[str, DataFrame], dest: str, mode: str = "append") -> None:
-    """Each table as Parquet below `dest`."""
+def _of_group(groups: int):
+    return F.pmod(F.xxhash64("form_id"), F.lit(groups)).cast("int")
+
+
+def write_evaluation(tables: dict[str, DataFrame], dest: str, batch: str = "0", groups: int = 16) -> None:
+    """Each table as Parquet below `dest`, in a partition `lote` for the batch, and within it `grupo` for a hash of form_id. A batch that is written again replaces its own rows and no others."""
+    for name, df in tables.items():
+        df.withColumn("grupo", _of_group(groups)).repartition("grupo").write.mode("overwrite").partitionBy("grupo").parquet(f"{dest}/{name}/lote={batch}")
+
+
+def read_evaluation(spark: SparkSession, dest: str, names: Sequence[str] = ("formulario", "marca", "resultado", "carrera_sugerida")) -> dict[str, DataFrame]:
+    """The tables below `dest`, with the columns lote and grupo."""
+    return {name: df.withColumn("lote", F.col("lote").cast("string")) for name in names if (df := stored(spark, f"{dest}/{name}")) is not None}
+
+
+def delete_stored(spark: SparkSession, dest: str, ids: DataFrame) -> None:
+    """Delete the forms `ids` (form_id) and all that belongs to them from the tables below `dest`. Only partitions that have such rows are written again; one that is left empty goes."""
+    gone = settle(ids.select(F.col("form_id").cast("long")).distinct(), "gone")
+    for name in read_evaluation(spark, dest):
+        table = spark.read.option("recursiveFileLookup", "false").parquet(f"{dest}/{name}")
+        place = ["lote", "grupo"]
+        touched = settle(table.join(gone, "form_id", "left_semi").select(*place).distinct(), "touched")
+        rest = settle(table.join(touched, place, "left_semi").join(gone, "form_id", "left_anti"), "rest")
+        rest.repartition(*place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(f"{dest}/{name}")
+        # A row for each emptied partition.
+        for emptied in touched.join(rest.select(*place).distinct(), place, "left_anti").collect():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{dest}/{name}/lote={emptied.lote}/grupo={emptied.grupo}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+# Types of text columns in a database.
+TEXT_TYPE = "VARCHAR(400)"
+
+
+def write_evaluation_jdbc(tables: dict[str, DataFrame], url: str, batch: str, properties: dict[str, str] | None = None) -> None:
+    """The tables in a database, with a column lote. Rows go to a staging table from all tasks; one transaction then replaces what the batch had before.
+
+    A task that is run twice may stage its rows twice; they are made distinct on the way.
+    """
     for name, df in tables.items():
-        df.write.mode(mode).parquet(f"{dest}/{name}")
+        staged = f"{name}_stage"
+        types = ", ".join([f"{f.name} {TEXT_TYPE}" for f in df.schema if isinstance(f.dataType, T.StringType)] + [f"lote {TEXT_TYPE}"])
+        full = df.withColumn("lote", F.lit(batch))
+        full.write.format("jdbc").options(url=url, dbtable=staged, createTableColumnTypes=types, **(properties or {})).mode("overwrite").save()
+        full.limit(0).write.format("jdbc").options(url=url, dbtable=name, createTableColumnTypes=types, **(properties or {})).mode("append").save()
+        jvm = df.sparkSession.sparkContext._jvm
+        dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+        columns = ", ".join(dialect.quoteIdentifier(c) for c in full.columns)
+        settings = jvm.java.util.Properties()
+        for key, value in (properties or {}).items():
+            settings.setProperty(key, value)
+        connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+        try:
+            connection.setAutoCommit(False)
+            old = connection.prepareStatement(f"DELETE FROM {name} WHERE {dialect.quoteIdentifier('lote')} = ?")
+            old.setString(1, batch)
+            old.executeUpdate()
+            connection.createStatement().executeUpdate(f"INSERT INTO {name} ({columns}) SELECT DISTINCT {columns} FROM {staged}")
+            connection.createStatement().executeUpdate(f"DROP TABLE {staged}")
+            connection.commit()
+        except BaseException:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
 
 
 def check_evaluation(forms: DataFrame, marks: DataFrame, scores: DataFrame) -> DataFrame:

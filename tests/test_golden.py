@@ -405,6 +405,75 @@ def test_medians_by_counting(spark):
     assert "percentile" not in _plan(monitor.run_stats(log)).lower() and "median(" not in _plan(monitor.run_stats(log)).lower()
 
 
+def test_second_batch_computes_new_files_only(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def work(row):
+        calls.add(1)
+        if row["content"] == "bad":
+            raise ValueError("bad")
+        return {"n": len(row["content"]), "who": row["sexo"]}
+
+    schema, store = "n int, who string", f"file://{tmp_path}/cache"
+    files = lambda rows: spark.createDataFrame(rows, "id long, content string, sexo string").repartition(3)
+    one = [(1, "aa", "F"), (2, "aa", "F"), (3, "aa", "M"), (4, "bad", "F"), (5, "cccc", "M")]
+    got = {r.id: (r.cached, r.n, r.who, r.ok, r.error) for r in ingest.process_cached(files(one), work, schema, store, "b1").collect()}
+    assert got == {1: (False, 2, "F", True, None), 2: (False, 2, "F", True, None), 3: (False, 2, "M", True, None), 4: (False, None, None, False, "bad"), 5: (False, 4, "M", True, None)}
+    assert calls.value == 4
+    two = [*one, (6, "eeeee", "F"), (7, "cccc", "M")]
+    got = {r.id: (r.cached, r.n, r.ok) for r in ingest.process_cached(files(two), work, schema, store, "b2").collect()}
+    assert got == {1: (True, 2, True), 2: (True, 2, True), 3: (True, 2, True), 4: (False, None, False), 5: (True, 4, True), 6: (False, 5, True), 7: (True, 4, True)}
+    assert calls.value == 6  # the new file, and the failure again
+    for _ in range(2):
+        ingest.process_cached(files(two[4:]), work, schema, store, "b2").collect()
+    assert calls.value == 6 and ingest.stored(spark, store).count() == 4
+
+
+def _evaluation(spark, ids, mark="si"):
+    forms = spark.createDataFrame([(i, f"n{i}", "F") for i in ids], "form_id long, nombre string, sexo string")
+    marks_of = spark.createDataFrame([(i, f"E{k}", mark) for i in ids for k in range(3)], "form_id long, item string, opcion string")
+    ranked = spark.createDataFrame([(i, "T1", 3, 40, 1) for i in ids], "form_id long, tipo string, pd int, baremo int, posicion int")
+    suggested = spark.createDataFrame([(i, "x", "T1", True) for i in ids], "form_id long, carrera string, tipo string, es_principal boolean")
+    return ingest.evaluation_tables(forms, marks_of, ranked, suggested)
+
+
+def test_a_batch_written_twice_counts_once(spark, tmp_path):
+    dest = f"file://{tmp_path}/evaluation"
+    ingest.write_evaluation(_evaluation(spark, range(1, 40)), dest, "a", 4)
+    ingest.write_evaluation(_evaluation(spark, range(100, 120)), dest, "b", 4)
+    ingest.write_evaluation(_evaluation(spark, range(1, 21), "no"), dest, "a", 4)  # fewer forms, other marks
+    got = ingest.read_evaluation(spark, dest)
+    assert {name: df.count() for name, df in got.items()} == {"formulario": 40, "marca": 120, "resultado": 40, "carrera_sugerida": 40}
+    assert {(r.lote, r.puntaje) for r in got["marca"].select("lote", "puntaje").distinct().collect()} == {("a", 0), ("b", 1)}
+
+
+def test_deletion_rewrites_touched_partitions_only(spark, tmp_path):
+    dest = f"file://{tmp_path}/evaluation"
+    ingest.write_evaluation(_evaluation(spark, range(1, 60)), dest, "a", 4)
+    ingest.write_evaluation(_evaluation(spark, [500, 501]), dest, "b", 4)
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before = files()
+    ingest.delete_stored(spark, dest, spark.createDataFrame([(7,), (500,), (501,), (999,)], "form_id long"))
+    after = files()
+    left = ingest.read_evaluation(spark, dest)
+    assert all(set(r.form_id for r in df.select("form_id").distinct().collect()) == set(range(1, 60)) - {7} for df in left.values())
+    place = lambda p: str(p.parent)
+    group = ingest.read_evaluation(spark, dest)["formulario"]
+    kept = [p for p in before if p in after]
+    assert len(kept) == sum(place(p).count("lote=a") for p in before) - len({place(p) for p in before if "lote=a" in place(p) and p not in after}) and len(kept) >= 3 * 4
+    assert not any("lote=b" in place(p) for p in after) and group.count() == 58
+
+
+def test_database_sink_replaces_a_batch(spark):
+    url = "jdbc:derby:memory:evaluation;create=true"
+    ingest.write_evaluation_jdbc(_evaluation(spark, range(30)), url, "a")
+    ingest.write_evaluation_jdbc(_evaluation(spark, range(30, 35)), url, "b")
+    ingest.write_evaluation_jdbc(_evaluation(spark, range(10)), url, "a")
+    read = lambda name: spark.read.format("jdbc").options(url=url, dbtable=name).load()
+    assert {n: read(n).count() for n in ("formulario", "marca", "resultado", "carrera_sugerida")} == {"formulario": 15, "marca": 45, "resultado": 15, "carrera_sugerida": 15}
+    assert {r.form_id for r in read("formulario").collect()} == {*range(10), *range(30, 35)} and read("marca").where("lote = 'a'").count() == 30
+
+
 # ---- plans
 
 
