@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alike, normalize, stem
-from ..sources.storage import is_small, settle
+from ..sources.storage import is_small, settle, small
 
 # Thresholds of the search and weights of the blend.
 OVERLAP, FUZZY_ALIAS, FUZZY_KEYWORD, FUZZY_FACTOR, CANDIDATES = 0.34, 0.85, 0.78, 0.9, 8
@@ -33,6 +33,10 @@ SENTENCES = {
 }
 
 
+# Fixed value: what is said of a text that no entry matches.
+NOT_FOUND = "'%s' no está en el catálogo. ¿Quizás quisiste decir una de estas carreras que encajan con tu perfil del test?"
+
+
 def search_index(catalog: DataFrame) -> dict[str, DataFrame]:
     """alias (alias, ord: names included, the last entry wins), phrase (frase, ord), token (token, ord: 3 characters or more) of a catalogue (ord, carrera, alias, keywords)."""
     named = catalog.select(normalize("carrera").alias("alias"), "ord").unionByName(catalog.select(F.explode("alias").alias("x"), "ord").select(normalize("x").alias("alias"), "ord"))
@@ -57,8 +61,8 @@ def search(texts: DataFrame, index: dict[str, DataFrame], expansions: DataFrame,
     all entries if it has none. Ties go by the entry's number.
     """
     todo = settle(texts.select(normalize(text).alias("q")).where("q <> ''").distinct(), "asked")
-    exact = todo.join(index["alias"].withColumnRenamed("alias", "q"), "q").select("q", "ord", F.lit(1.0).alias("score"), F.lit(1).alias("nivel"))
-    rest = todo.join(exact.select("q"), "q", "left_anti")
+    exact = todo.join(index["alias"].withColumnRenamed("alias", "q").hint("merge"), "q").select("q", "ord", F.lit(1.0).alias("score"), F.lit(1).alias("nivel"))
+    rest = todo.join(exact.select("q").hint("merge"), "q", "left_anti")
     words = rest.select("q", F.explode(F.split("q", " ")).alias("token")).where(F.length("token") >= 3)
     counts = words.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     hits = expand_tokens(words, expansions).join(index["token"].hint("merge"), "token").select("q", "ord", F.lit(1.0).alias("p"))
@@ -167,15 +171,46 @@ def conflict_alert(recommended: DataFrame) -> DataFrame:
     return recommended.where("lugar = 1").select("form_id", (F.col("afinidad") < TRUSTED).alias("alerta"))
 
 
-def unmatched(requests: DataFrame, matches: DataFrame, affinities: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
-    """form_id, texto without a match of 0.30, and `alternativas`: the k entries with the highest affinity to the profile. affinities: form_id, ord, afinidad."""
+def nearest_entries(profiles: DataFrame, catalog: DataFrame, k: int = 3, key: str = "form_id", digits: int = 9) -> DataFrame:
+    """key, lugar, ord, carrera, afinidad: the k entries of highest affinity to each profile, rounded to `digits`, ties by the entry's number. The same as of cosine_affinity, without its pairs.
+
+    The catalogue is dealt to about as many balls as the square root of its entries, each around an entry. A profile meets
+    the centres, and the entries of the nearest ball that has k; the k-th of these is a bound. Of the other balls only those
+    are met whose nearest possible entry reaches it: by the triangle inequality of angles, none of the k is elsewhere.
+    """
+    units = settle(with_unit(catalog, "c_").select("ord", "carrera", *[f"c_{x}" for x in LETTERS]), "units")
+    n = units.count()
+    balls = max(1, round(n**0.5))
+    centres = units.orderBy(F.xxhash64("ord"), "ord").limit(balls).select(F.col("ord").alias("ball"), *[F.col(f"c_{x}").alias(f"m_{x}") for x in LETTERS])
+    dot = lambda a, b: _dot([F.col(f"{a}_{x}") for x in LETTERS], [F.col(f"{b}_{x}") for x in LETTERS])
+    # As many centres as the root of a catalogue that was counted.
+    own = units.crossJoin(F.broadcast(centres)).groupBy("ord").agg(F.max_by(F.struct("ball", dot("c", "m").alias("to")), F.struct(dot("c", "m").alias("d"), "ball")).alias("x"))
+    placed = settle(units.join(own.hint("merge"), "ord").select("ord", "carrera", "x.ball", "x.to", *[f"c_{x}" for x in LETTERS]), "placed")
+    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+    sized = settle(centres.join(placed.groupBy("ball").agg(F.count(F.lit(1)).alias("n"), angle(F.min("to")).alias("radius")).hint("merge"), "ball"), "balls")
+    p = with_unit(profiles, "p_").select(key, *[f"p_{x}" for x in LETTERS])
+    met = settle(p.crossJoin(F.broadcast(sized)).select(key, *[f"p_{x}" for x in LETTERS], "ball", "n", dot("p", "m").alias("to"), F.cos(F.greatest(F.lit(0.0), angle(dot("p", "m")) - F.col("radius"))).alias("most")), "met")
+    order = Window.partitionBy(key).orderBy(F.col("afinidad").desc(), "ord")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        entries = pairs.join(small(placed.drop("to")), "ball").select(key, "ord", "carrera", F.round(dot("p", "c"), digits).alias("afinidad"))
+        return entries.withColumn("lugar", F.row_number().over(order)).where(F.col("lugar") <= k)
+
+    full = F.when(F.col("n") >= k, F.struct("to", "ball"))
+    near = met.where(F.col("n") >= k).groupBy(key).agg(F.max(full).alias("x")).select(key, F.col("x.ball").alias("ball"))
+    bound = settle(ranked(met.join(near.hint("merge"), [key, "ball"])).where(F.col("lugar") == k).select(key, F.col("afinidad").alias("least")), "bounds")
+    reach = met.join(bound.hint("merge"), key, "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") - 2 * 10.0**-digits))
+    return ranked(reach).select(key, "lugar", "ord", "carrera", "afinidad")
+
+
+def unmatched(requests: DataFrame, matches: DataFrame, profiles: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
+    """form_id, texto without a match of 0.30, mensaje, and `alternativas`: carrera and afinidad of the k entries nearest to the profile. Only profiles of such forms are compared."""
     asked = requests.where(F.trim("texto") != "").withColumn("q", normalize("texto"))
-    lost = asked.join(matches.where(F.col("score") >= LEAST_MATCH).select("q").distinct(), "q", "left_anti").select("form_id", "texto")
-    need = affinities.join(lost.select("form_id").distinct(), "form_id", "left_semi")
-    order = Window.partitionBy("form_id").orderBy(F.col("afinidad").desc(), "ord")
-    top = need.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).join(catalog.select("ord", "carrera"), "ord")
-    alternatives = top.groupBy("form_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "carrera"))), lambda x: x["carrera"]).alias("alternativas"))
-    return lost.join(alternatives, "form_id", "left")
+    lost = settle(asked.join(matches.where(F.col("score") >= LEAST_MATCH).select("q").distinct(), "q", "left_anti").select("form_id", "texto"), "lost")
+    top = nearest_entries(profiles.join(lost.select("form_id").distinct(), "form_id", "left_semi"), catalog, k)
+    listed = F.array_sort(F.collect_list(F.struct("lugar", "carrera", "afinidad")))
+    alternatives = top.groupBy("form_id").agg(F.transform(listed, lambda x: F.struct(x["carrera"].alias("carrera"), x["afinidad"].alias("afinidad"))).alias("alternativas"))
+    return lost.join(alternatives.hint("merge"), "form_id", "left").select("form_id", "texto", F.format_string(NOT_FOUND, "texto").alias("mensaje"), "alternativas")
 
 
 def explain(profiles: DataFrame, recommended: DataFrame, coherences: DataFrame) -> DataFrame:
@@ -205,6 +240,20 @@ def empty_requests(forms: DataFrame, requests: DataFrame) -> DataFrame:
     return forms.select("form_id").join(asked, "form_id", "left_anti").select("form_id", F.lit(0.0).alias("coherencia"), F.lit("No ingresaste ninguna carrera para evaluar.").alias("mensaje"))
 
 
+def recommend_once(requests: DataFrame, profiles: DataFrame, matches: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
+    """The rows of recommend(), computed once for all forms that ask for the same with the same profile.
+
+    A request is a form's profile and the set of its texts and wishes; the form with the smallest id stands for all that share it.
+    """
+    wishes = F.sort_array(F.collect_set(F.struct("texto", "nivel", "institucion"))).alias("asked")
+    whole = requests.groupBy("form_id").agg(wishes).join(profiles.select("form_id", *LETTERS), "form_id")
+    keyed = whole.select("form_id", F.sha2(F.to_json(F.struct("asked", *LETTERS), {"ignoreNullFields": "false"}), 256).alias("key"))
+    shared = settle(keyed.withColumn("first", F.min("form_id").over(Window.partitionBy("key"))).select("form_id", "first"), "requests")
+    first = shared.where("form_id = first").select("form_id")
+    done = settle(recommend(requests.join(first, "form_id", "left_semi"), profiles.join(first, "form_id", "left_semi"), matches, catalog, k), "recommended")
+    return shared.join(done.withColumnRenamed("form_id", "first").hint("merge"), "first").drop("first").select("form_id", *[c for c in done.columns if c != "form_id"])
+
+
 def dedupe_requests(requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The distinct requests with a `request_key`, and which form has which: work done once is joined back on the key."""
     key = F.sha2(F.to_json(F.struct(*keys)), 256)
@@ -213,10 +262,11 @@ def dedupe_requests(requests: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
 
 
 def interpret(recommended: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Per form the best recommended entry with a match of 0.30 in the main catalogue, and the rest as alternativas. canonical: texto (the entry's name), carrera."""
+    """Per form the best recommended entry with a match of 0.30 in the main catalogue, with match, afinidad, score and the text it came from, and the rest with theirs as alternativas. canonical: texto (the entry's name), carrera."""
     names = canonical.where("carrera IS NOT NULL").select(F.col("texto").alias("nombre"), F.col("carrera").alias("oficial"))
     j = recommended.withColumnRenamed("carrera", "nombre").where(F.col("match") >= LEAST_MATCH).join(names.hint("merge"), "nombre")
-    g = j.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("lugar", "oficial", "match", "afinidad", "score"))).alias("v"))
+    g = j.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("lugar", "oficial", "match", "afinidad", "score", "texto"))).alias("v"))
     first = F.get("v", F.lit(0))
-    rest = F.transform(F.slice("v", F.lit(2), F.size("v")), lambda x: x["oficial"])
-    return g.select("form_id", first["oficial"].alias("carrera"), *[first[c].alias(c) for c in ("match", "afinidad", "score")], rest.alias("alternativas"))
+    shown = ("match", "afinidad", "score")
+    rest = F.transform(F.slice("v", F.lit(2), F.size("v")), lambda x: F.struct(x["oficial"].alias("carrera"), *[x[c].alias(c) for c in shown]))
+    return g.select("form_id", first["oficial"].alias("carrera"), *[first[c].alias(c) for c in shown], first["texto"].alias("texto_original"), rest.alias("alternativas"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.recommend import AREAS, SENTENCES
+from ..operators.recommend import AREAS, NOT_FOUND, SENTENCES
 from .fixtures import duck
 
 SQL: dict[str, str] = {}
@@ -348,12 +348,13 @@ SQL["g8_recommend"] = f'WITH {_REC} SELECT form_id, CAST(lugar AS INT) AS lugar,
 SQL["g9_coherence"] = f"""WITH {_REC}, pq AS (SELECT x.form_id, avg({_DOT.format('cx', 'cy')}) AS m FROM rec x JOIN rec y ON y.form_id = x.form_id AND x.lugar < y.lugar JOIN cu cx ON cx.ord = x.ord JOIN cu cy ON cy.ord = y.ord GROUP BY x.form_id)
 SELECT f.form_id, round(coalesce(pq.m, 0.5D), 6) AS coherencia FROM (SELECT DISTINCT form_id FROM rec) f LEFT JOIN pq ON pq.form_id = f.form_id"""
 SQL["g10_conflict_alert"] = f"WITH {_REC} SELECT form_id, afinidad < 0.60D AS alerta FROM rec WHERE lugar = 1"
+_SAID = "'" + "' || texto || '".join(x.replace("'", "''") for x in NOT_FOUND.split("%s")) + "'"
 SQL["g11_unmatched"] = f"""WITH {_SEARCHF}, {_COS}, lo AS (SELECT p.form_id, p.texto FROM proposals p WHERE trim(p.texto) <> '' AND {_NORM.format('p.texto')} NOT IN (SELECT q FROM sr WHERE lugar <= 3 AND score >= 0.30D)),
- af AS (SELECT form_id, carrera, row_number() OVER (PARTITION BY form_id ORDER BY round({_DOT.format('pu', 'cu')}, 9) DESC, ord) AS k FROM pu, cu WHERE form_id IN (SELECT form_id FROM lo)), al2 AS (SELECT form_id, string_agg(carrera, ',' ORDER BY k) AS alternativas FROM af WHERE k <= 3 GROUP BY form_id)
-SELECT lo.form_id, lo.texto, alternativas FROM lo LEFT JOIN al2 ON al2.form_id = lo.form_id"""
+ aq AS (SELECT form_id, carrera, ord, round({_DOT.format('pu', 'cu')}, 9) AS afinidad FROM pu, cu WHERE form_id IN (SELECT form_id FROM lo)), af AS (SELECT form_id, carrera, afinidad, row_number() OVER (PARTITION BY form_id ORDER BY afinidad DESC, ord) AS k FROM aq)
+SELECT lo.form_id, lo.texto, {_SAID} AS mensaje, CAST(k AS INT) AS lugar, carrera, round(afinidad, 6) AS afinidad FROM lo LEFT JOIN (SELECT * FROM af WHERE k <= 3) a ON a.form_id = lo.form_id"""
 # The main catalogue has the recommended names themselves.
 SQL["g15_interpret"] = f"""WITH {_REC.replace('WHERE lugar <= 3)', 'WHERE lugar <= 5)')}, vl AS (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY lugar) AS v FROM rec WHERE "match" >= 0.30D)
-SELECT form_id, max(carrera) FILTER (v = 1) AS carrera, round(max("match") FILTER (v = 1), 6) AS "match", round(max(afinidad) FILTER (v = 1), 6) AS afinidad, round(max(score) FILTER (v = 1), 6) AS score, coalesce(string_agg(carrera, ',' ORDER BY v) FILTER (v > 1), '') AS alternativas FROM vl GROUP BY form_id"""
+SELECT form_id, CAST(v AS INT) AS lugar, carrera, round("match", 6) AS "match", round(afinidad, 6) AS afinidad, round(score, 6) AS score FROM vl"""
 _SAY = {k: v.replace("'", "''") for k, v in SENTENCES.items()}
 _AREA = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in AREAS.items()) + " END"
 SQL["g12_explain"] = f"""WITH {_REC}, pq AS (SELECT x.form_id, avg({_DOT.format('cx', 'cy')}) AS m FROM rec x JOIN rec y ON y.form_id = x.form_id AND x.lugar < y.lugar JOIN cu cx ON cx.ord = x.ord JOIN cu cy ON cy.ord = y.ord GROUP BY x.form_id),
@@ -363,6 +364,7 @@ SQL["g12_explain"] = f"""WITH {_REC}, pq AS (SELECT x.form_id, avg({_DOT.format(
 SELECT ar.form_id, CASE WHEN c1 IS NULL THEN '{_SAY['none']}' ELSE concat_ws(' ', printf('{_SAY['areas']}', n1, x1, n2, x2), printf('{_SAY['first']}', c1, a1, m1), CASE WHEN c2 IS NOT NULL THEN printf('{_SAY['second']}', c2, a2) END, CASE WHEN a1 < 0.60D THEN '{_SAY['alert']}' END,
  CASE WHEN coalesce(m, 0.5D) < 0.55D THEN printf('{_SAY['apart']}', coalesce(m, 0.5D)) WHEN m > 0.80D THEN printf('{_SAY['together']}', m) END) END AS razonamiento FROM ar LEFT JOIN ch ON ch.form_id = ar.form_id LEFT JOIN pq ON pq.form_id = ar.form_id"""
 SQL["g13_empty_requests"] = "SELECT form_id, 0.0D AS coherencia, 'No ingresaste ninguna carrera para evaluar.' AS mensaje FROM forms WHERE form_id NOT IN (SELECT form_id FROM texts WHERE trim(texto) <> '')"
+SQL["g14_recommend_once"] = SQL["g8_recommend"]
 SQL["g14_dedupe_requests"] = "SELECT texto, CASE WHEN nivel_max <> 'sin_especificar' THEN nivel_max END AS nivel, CASE WHEN institucion <> 'indiferente' THEN institucion END AS institucion, count(*) AS n FROM proposals p JOIN prefs f ON f.form_id = p.form_id GROUP BY 1, 2, 3"
 
 _LVL = "cl2 AS (SELECT carrera, CASE WHEN carrera_id % 9 = 0 THEN 'cetpro' WHEN carrera_id % 9 IN (1, 2) THEN 'tecnico' ELSE 'universitario' END AS nivel FROM careers)"

@@ -289,8 +289,9 @@ def a16_delete_forms(v):
 
 @query
 def b1_item_dim(v):
-    sizes = v.item_dim.groupBy("bloque").agg(F.max("num").alias("n"))
-    return sizes.select("bloque", F.explode(F.sequence(F.lit(1), "n")).alias("num")).withColumn("item", F.concat("bloque", F.col("num").cast("string")))
+    """Blocks as long as in the item table."""
+    sizes = {r["bloque"]: r["n"] for r in v.item_dim.groupBy("bloque").agg(F.max("num").alias("n")).collect()}  # three rows
+    return marks.item_dim(v.spark, sizes)
 
 
 def _items(v):
@@ -911,7 +912,9 @@ def g10_conflict_alert(v):
 
 @query
 def g11_unmatched(v):
-    return recommend.unmatched(_requests(v), _matches(v), recommend.cosine_affinity(v.person_profiles, _catalog(v)).withColumn("afinidad", F.round("afinidad", 9)), _catalog(v)).withColumns(joined("alternativas"))
+    """A row for each alternative."""
+    lost = recommend.unmatched(_requests(v), _matches(v), v.person_profiles, _catalog(v))
+    return rounded(lost.select("form_id", "texto", "mensaje", F.posexplode_outer("alternativas").alias("lugar", "a")).select("form_id", "texto", "mensaje", (F.col("lugar") + 1).alias("lugar"), "a.carrera", "a.afinidad"))
 
 
 @query
@@ -932,6 +935,11 @@ def g14_dedupe_requests(v):
     return of.groupBy("request_key").agg(F.count(F.lit(1)).alias("n")).join(unique, "request_key").drop("request_key")
 
 
+@query
+def g14_recommend_once(v):
+    return rounded(recommend.recommend_once(_requests(v), v.person_profiles, _matches(v), _catalog(v)).drop("carrera"))
+
+
 def _official(v, recommended):
     """The main catalogue's name of every recommended entry."""
     return settle(affinity.closest_name(recommended.select(F.col("carrera").alias("texto")).distinct(), v.careers), "official")
@@ -940,7 +948,10 @@ def _official(v, recommended):
 @query
 def g15_interpret(v):
     r = _recommended(v, 5)
-    return rounded(recommend.interpret(r, _official(v, r)).withColumns(joined("alternativas")))
+    i = recommend.interpret(r, _official(v, r))
+    measures = ("carrera", "match", "afinidad", "score")
+    every = F.concat(F.array(F.struct(*measures)), "alternativas")
+    return rounded(i.select("form_id", F.posexplode(every).alias("lugar", "x")).select("form_id", (F.col("lugar") + 1).alias("lugar"), "x.*"))
 
 
 # ---- proposals
@@ -1047,7 +1058,8 @@ def _evaluated(v):
 @query
 def h8_proposals(v):
     """Where each written text led: an entry of that name, an interpretation, or nowhere."""
-    return rounded(_proposals(v).withColumns(joined("alternativas")))
+    names = F.array_join(F.transform("alternativas", lambda x: x["carrera"]), ",").alias("alternativas")
+    return rounded(_proposals(v).withColumn("alternativas", names))
 
 
 @query

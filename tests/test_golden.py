@@ -405,6 +405,28 @@ def test_medians_by_counting(spark):
     assert "percentile" not in _plan(monitor.run_stats(log)).lower() and "median(" not in _plan(monitor.run_stats(log)).lower()
 
 
+def test_nearest_entries_equal_all_pairs(spark):
+    """Ties, zero vectors, few entries, and that few pairs are met."""
+    import random
+
+    rng = random.Random(2)
+    letters = [f"{x} double" for x in recommend.LETTERS]
+    point = lambda: tuple(rng.choice([0.0, 0.1, 0.5, 1.0]) if rng.random() < 0.4 else rng.random() for _ in range(6))
+    for n, k in ((2, 3), (40, 3), (900, 5)):
+        entries = [(i, f"c{i}", *(point() if i % 50 else (0.0,) * 6)) for i in range(n)]
+        entries += [(n + i, f"copy{i}", *entries[i % n][2:]) for i in range(n // 10)]
+        catalog = storage.settle(spark.createDataFrame(entries, f"ord int, carrera string, {', '.join(letters)}"), "catalog")
+        forms = storage.settle(spark.createDataFrame([(i, *(point() if i else (0.0,) * 6)) for i in range(60)], f"form_id long, {', '.join(letters)}"), "forms")
+        every = recommend.cosine_affinity(forms, catalog).withColumn("afinidad", F.round("afinidad", 9)).collect()
+        want = {}
+        for r in sorted(every, key=lambda r: (-r.afinidad, r.ord)):
+            want.setdefault(r.form_id, []).append((r.ord, r.afinidad))
+        got = {}
+        for r in sorted(recommend.nearest_entries(forms, catalog, k).collect(), key=lambda r: r.lugar):
+            got.setdefault(r.form_id, []).append((r.ord, r.afinidad))
+        assert got == {i: v[:k] for i, v in want.items()}
+
+
 def test_second_batch_computes_new_files_only(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
