@@ -66,17 +66,17 @@ ALPHABET = string.ascii_letters + string.digits + " "
 OCCURRENCES = 8
 
 
-def letter_bits(text: str | Column) -> list[Column]:
-    """Eight longs with a bit for each of the first OCCURRENCES occurrences of each character of ALPHABET, and the number of other characters.
+_GROUPS = [ALPHABET[i : i + 8] for i in range(0, len(ALPHABET), 8)]
+
+
+def letter_bits(text: str) -> list[Column]:
+    """Of a column of texts: eight longs with a bit for each of the first OCCURRENCES occurrences of each character of ALPHABET, and the number of other characters.
 
     Two texts differ in at least as many characters as these bits differ.
     """
-    t = _col(text)
-    times = lambda x: F.least(F.length(t) - F.length(F.replace(t, F.lit(x))), F.lit(OCCURRENCES))
-    ones = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), times(x)) - 1
-    groups = [ALPHABET[i : i + 8] for i in range(0, len(ALPHABET), 8)]
-    words = [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(ones(x), OCCURRENCES * i) for i, x in enumerate(group)]) for group in groups]
-    return [*words, F.length(F.translate(t, ALPHABET, "")).cast("long")]
+    bits = "shiftleft(shiftleft(1L, least(length({0}) - length(replace({0}, '{1}', '')), {2})) - 1L, {3})"
+    words = [" | ".join(bits.format(f"`{text}`", x, OCCURRENCES, OCCURRENCES * i) for i, x in enumerate(group)) for group in _GROUPS]
+    return [*map(F.expr, words), F.length(F.translate(text, ALPHABET, "")).cast("long")]
 
 
 def fewest_changes(a: list[Column], b: list[Column]) -> Column:
@@ -92,7 +92,7 @@ def candidates(texts: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     within generated code. Only what passes is a row.
     """
     farthest = (2.0 - cutoff) / cutoff
-    number = len(letter_bits(F.lit("")))
+    number = len(_GROUPS) + 1
     marked = lambda df, c, tag: df.where(F.col(c) != "").select(c).distinct().select(c, F.length(c).alias(f"__{tag}len"), *[x.alias(f"__{tag}{i}") for i, x in enumerate(letter_bits(c))])
     t, n = marked(texts, "text", "t"), marked(names, "name", "n")
     reach = F.sequence(F.ceil(F.col("__nlen") / farthest - 1e-9).cast("int"), F.floor(F.col("__nlen") * farthest + 1e-9).cast("int"))

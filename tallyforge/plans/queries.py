@@ -211,7 +211,6 @@ def a10_with_batch_fields(v):
     return ingest.with_batch_fields(df, "d", ie="Colegio", grado="5", nivel="COMPLETA").select("form_id", "ie", "grado", "nivel", "fecha")
 
 
-@once
 def _best_pairs(v):
     v.keep("careers")
     return affinity.best_two_pairs(_leading_pairs(v))
@@ -942,7 +941,7 @@ def g14_recommend_once(v):
 
 def _official(v, recommended):
     """The main catalogue's name of every recommended entry."""
-    return settle(affinity.closest_name(recommended.select(F.col("carrera").alias("texto")).distinct(), v.careers), "official")
+    return affinity.closest_name(recommended.select(F.col("carrera").alias("texto")).distinct(), v.careers)
 
 
 @query
@@ -972,7 +971,6 @@ def h2_affordable(v):
     return proposal.affordable(df.withColumn("nivel", F.coalesce("nivel", F.lit("universitario"))), _places(v)).select("form_id", "carrera", "financiable", "descarte")
 
 
-@once
 def _types(v):
     return proposal.type_sets(affinity.career_index(v.career_types))
 
@@ -983,7 +981,6 @@ def h3_type_score(v):
     return proposal.type_score(df, _types(v), v.related_types)
 
 
-@once
 def _interpreted(v):
     """Texts that no name is similar to, read as free text: each is a request of its own, without wishes."""
     v.keep("proposals")
@@ -998,7 +995,6 @@ def _interpreted(v):
     return asked.select("form_id", "ord", key.alias("key")).join(found, "key").drop("key")
 
 
-@once
 def _proposals(v):
     return proposal.resolve_proposals(v.proposals, _named(v), _interpreted(v))
 
@@ -1008,7 +1004,6 @@ def _proposed(v):
     return proposal.proposed_entries(_proposals(v))
 
 
-@once
 def _tested(v):
     """Suggested entries in their order: those of the best pair, then those of the next."""
     s = _suggested(v).join(v.tops, "form_id")
@@ -1021,7 +1016,6 @@ def _candidates(v):
     return proposal.universe(_tested(v), _proposed(v))
 
 
-@once
 def _similarity(v):
     return proposal.career_similarity(proposal.asked_pairs(_candidates(v), _candidates(v)), _sets(v), _types(v))
 
@@ -1036,7 +1030,6 @@ def h5_list_affinity(v):
     return rounded(proposal.list_affinity(_tested(v).select("form_id", "carrera"), _proposed(v), _similarity(v)))
 
 
-@once
 def _scored(v):
     return proposal.career_score(_candidates(v), v.tops, _tested(v), _proposed(v), _similarity(v), _types(v), v.related_types)
 
