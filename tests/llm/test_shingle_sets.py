@@ -60,15 +60,15 @@ def near_copies(seed=8):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [4, 256])
-def test_stage_keeps_one_of_each_component(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "block_shingles"), [(4, shingle_sets.BLOCK_SHINGLES), (256, 300), (256, shingle_sets.BLOCK_SHINGLES)])
+def test_stage_keeps_one_of_each_component(spark, block_rows, block_shingles):
     texts = near_copies()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want, pairs = expected_firsts(texts)
-    if block_rows == shingle_sets.BLOCK_ROWS:
+    if block_rows == shingle_sets.BLOCK_ROWS and block_shingles == shingle_sets.BLOCK_SHINGLES:
         kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
     else:
-        kept = shingle_sets.one_of_each(docs, block_rows=block_rows)
+        kept = shingle_sets.one_of_each(docs, block_rows=block_rows, block_shingles=block_shingles)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
     far = [(a, b) for a, b in pairs if ((simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())) & (1 << 64) - 1).bit_count() > 4]
     assert len(far) > 50  # the rule of op3 misses these
