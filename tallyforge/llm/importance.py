@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import islice
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -45,23 +46,20 @@ def grams(longest: int):
     """At each word between spaces: group 1 is the word, and each further group the word after the last, looked at without being consumed."""
     import regex
 
-    return regex.compile(rb" ([^ ]++)(?=" + rb"( [^ ]++)?+" * (longest - 1) + rb")")
+    behind = reduce(lambda inner, _: rb"(?:( [^ ]++)" + inner + rb")?+", range(longest - 1), b"")
+    return regex.compile(rb" ([^ ]++)(?=" + behind + rb")")
 
 
 def checksums(data: bytes, longest: int = LONGEST) -> Iterator[list[int]]:
     """The CRC-32 of every run of 1 to `longest` words of the text, in pieces. A longer span's checksum continues that of the span before it."""
     line = b" " + b" ".join(data.translate(PLAIN).split()) + b" "
-    places = grams(longest).finditer(line, overlapped=True)
-    numbers = tuple(range(1, longest + 1))
-    while found := [m.group(*numbers) for m in islice(places, PIECE)]:
-        if longest == 1:
-            yield list(map(zlib.crc32, found))
-            continue
-        sums = [zlib.crc32(words[0]) for words in found]
-        yield sums
-        for n in range(1, longest):
-            found = [words for words in found if words[n]]  # only the last words of a text have fewer behind them
-            sums = [zlib.crc32(words[n], before) for words, before in zip(found, sums, strict=False)]
+    places = map(methodcaller("groups"), grams(longest).finditer(line, overlapped=True))
+    while found := list(islice(places, PIECE)):
+        sums: list[int] = []
+        for n, words in enumerate(zip(*found, strict=True)):
+            # Only the last words of a text have fewer behind them.
+            known = len(words) - next((i for i, w in enumerate(reversed(words)) if w is not None), len(words))
+            sums = list(map(zlib.crc32, words[:known], sums) if n else map(zlib.crc32, words))
             yield sums
 
 
