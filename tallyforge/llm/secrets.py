@@ -2,7 +2,7 @@
 
 Method: runs of at least 20 characters of a key alphabet are candidates. Each is
 put in a character class by what it holds (hexadecimal, lower case with digits,
-mixed case with digits); a window slides over it, its counts are updated by one
+mixed case with digits, letters whose case keeps changing); a window slides over it, its counts are updated by one
 character out and one in, and so is the sum c*log2(c) from which the entropy
 follows. Windows over the class's threshold are joined to spans. Candidates on
 the allow list (plain words, paths, identifiers in UUID form, numbers, few
@@ -39,7 +39,9 @@ _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 
 WINDOW = 20
 # Least entropy of a window in bits a character, by class.
-THRESHOLDS = {"hex": 3.0, "lower": 3.6, "mixed": 3.7}
+THRESHOLDS = {"hex": 3.0, "lower": 3.6, "mixed": 3.7, "letters": 3.9}
+# Of neighbouring letters, one in so many changes case in random letters and fewer in words joined by capitals.
+CASE_CHANGE = 3
 ALLOWED = (
     re.compile(r"[A-Za-z]+(?:[_/=+-][A-Za-z]+)*[0-9]{0,4}"),  # words, paths and dashed names, with a short number
     re.compile(r"[0-9+/_=-]+"),  # numbers, rules, dates
@@ -51,9 +53,12 @@ _CLOG = [0.0, *(c * math.log2(c) for c in range(1, 4097))]
 
 
 def char_class(s: str) -> str | None:
-    """The class of a candidate; None if it has no digit or no letter, which no threshold separates from words and numbers."""
-    if not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s):
+    """The class of a candidate; None if it has no letter, or no digit and the case of words: no threshold separates these from words and numbers."""
+    if not re.search(r"[A-Za-z]", s):
         return None
+    if not re.search(r"[0-9]", s):
+        changes = len(re.findall(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])", s))
+        return "letters" if CASE_CHANGE * changes >= len(s) - 1 else None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         return "hex"
     return "mixed" if re.search(r"[a-z]", s) and re.search(r"[A-Z]", s) else "lower"
@@ -108,7 +113,7 @@ def scan(data: bytes, window: int = WINDOW) -> tuple[list, list]:
         base += [(code_at + m.start(), 1, code_at + m.end()) for m in ACCESS.finditer(run) if m.end() - m.start() >= 20]
         base += [(code_at + m.start(), 2, code_at + m.end()) for m in HEX.finditer(run)]
         kind = char_class(run)
-        if kind is not None and not any(x.fullmatch(run) for x in ALLOWED):
+        if kind == "letters" or kind is not None and not any(x.fullmatch(run) for x in ALLOWED):
             more += [(code_at + x, 3, code_at + y) for x, y in entropy_spans(run, THRESHOLDS[kind], window)]
     base.sort()
     return base, sorted([*base, *outside(more, base)])

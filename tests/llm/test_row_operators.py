@@ -146,6 +146,17 @@ def test_spans_are_swept():
     assert list(secrets.outside(more, base)) == [m for m in more if not any(s <= m[0] and m[2] <= e for s, _, e in base)]
 
 
+def test_letters_of_changing_case_are_scored():
+    import random
+    import string
+
+    rng = random.Random(3)
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(40)) for _ in range(200)]
+    assert sum(bool(secrets.scan(f"x {k} y".encode())[1]) for k in keys) >= 195
+    for clean in ("getElementsByTagNameNodeListIterator", "internationalization/of/many-words", "HTTPServerRequestHandlerFactoryBean", "aAaAaAaAaAaAaAaAaAaAaAaAaA", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "Donaudampfschifffahrtsgesellschaft"):
+        assert secrets.scan(clean.encode())[1] == []
+
+
 def test_many_secrets_and_long_slugs_take_linear_time():
     import time
 
