@@ -520,3 +520,22 @@ def test_warc_round_trip(spark, tmp_path):
 def test_ranges_coalesce_neighbours():
     assert warc.ranges([(100, 10), (0, 50), (50, 20), (75, 5), (1000, 5)], 8, 1000) == [[(0, 50), (50, 20), (75, 5)], [(100, 10)], [(1000, 5)]]
     assert [len(x) for x in warc.ranges([(i * 10, 10) for i in range(10)], 0, 30)] == [3, 3, 3, 1]
+
+
+def test_texts_of_25000_words(spark):
+    """Lengths, fingerprints, quality and repeated lines of whole long texts."""
+    from test_row_operators import expected_quality
+
+    from tallyforge.llm import quality, token_counts
+
+    words = [f"w{i * 7919 % 9001}" for i in range(25_000)]
+    long = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    rows = [(1, long), (2, long + " x"), (3, long[len(long) // 2 :] + "\n" + long[: len(long) // 3]), (4, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    encode = token_counts.encoder(token_counts.VOCABULARY).encode_ordinary
+    assert {r.doc_id: r.length for r in token_counts.with_length(docs, keep=["doc_id"]).collect()} == {i: len(encode(t)) for i, t in rows}
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality.with_quality(docs).collect()}
+    assert got == {i: expected_quality(t) for i, t in rows}
+    assert sorted((r.doc_id, f"{r.fp % 2**64:016x}", r.component_id) for r in simhash.near_duplicates(docs).collect()) == sorted(expected_components(rows))
+    cut = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}
+    assert sorted(cut.items()) == sorted(expected_lines(rows)) and len(cut[2]) < 100 and len(cut[3]) < 1000
