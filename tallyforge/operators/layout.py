@@ -151,9 +151,8 @@ def runs(ink: str | Column) -> Column:
     row = F.col(ink) if isinstance(ink, str) else ink
     at = lambda x: F.substring(row, x + 1, F.lit(1)) == "1"
     turns = F.filter(F.sequence(F.lit(0), F.length(row)), lambda x: at(x) != ((x > 0) & at(x - 1)))
-    pairs = F.sequence(F.lit(0), F.floor(F.size(turns) / 2).cast("int") - 1)
-    cut = F.transform(pairs, lambda i: F.struct(F.get(turns, 2 * i).alias("x1"), F.get(turns, 2 * i + 1).alias("x2")))
-    return F.when(F.size(turns) > 0, cut).otherwise(F.array().cast("array<struct<x1: int, x2: int>>"))
+    first, last = F.filter(turns, lambda _, i: i % 2 == 0), F.filter(turns, lambda _, i: i % 2 == 1)
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("x1"), b.alias("x2")))
 
 
 def line_runs(lines: DataFrame, key: list[str] = CELL) -> DataFrame:
