@@ -58,11 +58,13 @@ VIEWS: dict[str, str] = {
     # Every character of a document is a pixel; each 384 of them are a cell, 16 high and 24 wide, the last one as far as they reach.
     "pixels": """SELECT doc_id * 100000 + CAST(floor(p.pos / 384) AS BIGINT) AS cell_id, CAST(floor((p.pos % 384) / 24) AS INT) AS y, CAST(p.pos % 24 AS INT) AS x, CAST(CASE WHEN ascii(p.ch) % 5 = 0 THEN 1 ELSE 0 END AS INT) AS ink, CAST(ascii(p.ch) % 256 AS INT) AS gray
         FROM documents LATERAL VIEW posexplode(split(text, '')) p AS pos, ch WHERE length(text) > 0""",
-    # The same cells, packed: a row for each, made from its piece of the text. Spark alone reads this one.
+    # The same cells, packed: a row for each, made from its piece of the text. Spark alone reads this one. The pieces are dealt
+    # over as many tasks as the session's shuffles have, as a few large files would leave the work on cells to a few tasks.
     "packed_cells": """SELECT cell_id, size(rows_of) AS h, CAST(least(24, length(rows_of[0])) AS INT) AS w, transform(rows_of, r -> array_join(transform(split(r, ''), ch -> IF(ascii(ch) % 5 = 0, '1', '0')), '')) AS ink,
         transform(rows_of, r -> transform(split(r, ''), ch -> CAST(ascii(ch) % 256 AS INT))) AS gray
-        FROM (SELECT doc_id * 100000 + e.k AS cell_id, regexp_extract_all(substring(text, CAST(e.k * 384 AS INT) + 1, 384), '(?s).{1,24}', 0) AS rows_of
-        FROM documents LATERAL VIEW explode(sequence(0L, (length(text) - 1) div 384)) e AS k WHERE length(text) > 0) a""",
+        FROM (SELECT cell_id, regexp_extract_all(piece, '(?s).{1,24}', 0) AS rows_of FROM (SELECT /*+ REPARTITION(PARTS, cell_id) */ cell_id, piece
+        FROM (SELECT doc_id * 100000 + e.k AS cell_id, substring(text, CAST(e.k * 384 AS INT) + 1, 384) AS piece
+        FROM documents LATERAL VIEW explode(sequence(0L, (length(text) - 1) div 384)) e AS k WHERE length(text) > 0) x) y) a""",
     "files": """SELECT page_id, CASE page_id % 10 WHEN 0 THEN concat('bad', CAST(page_id AS STRING)) WHEN 1 THEN concat('ana-maria_soto_', CAST(11 + page_id % 9 AS STRING), '_f') WHEN 2 THEN concat('jose perez ', CAST(11 + page_id % 9 AS STRING), ' M')
         ELSE concat('luz-', CAST(page_id AS STRING), '-rios-', CAST(11 + page_id % 9 AS STRING), '-F') END AS nombre, CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.JPG' WHEN 2 THEN '.xyz' ELSE '' END AS ext,
         CASE page_id % 5 WHEN 0 THEN concat('%PDF-1.7', html) WHEN 1 THEN concat('BM', html) WHEN 2 THEN concat('RIFF0000WEBP', html) WHEN 3 THEN concat('II*', chr(0), html) ELSE html END AS content,
@@ -136,4 +138,5 @@ def view(spark: SparkSession, sf_dir: str, name: str, files: dict[str, str] | No
     words = {w for v in names if v not in files for w in _WORD.findall(VIEWS[v])}
     heads = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if t in words]
     heads += [f"{v} AS (SELECT * FROM parquet.`{files[v]}`)" if v in files else f"{v} AS ({VIEWS[v].replace('"left"', '`left`')})" for v in names]
-    return spark.sql(f"WITH {', '.join(heads)} SELECT * FROM {name}")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    return spark.sql(f"WITH {', '.join(heads)} SELECT * FROM {name}".replace("REPARTITION(PARTS,", f"REPARTITION({parts},"))
