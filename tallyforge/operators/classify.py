@@ -6,6 +6,7 @@ of its two cells. All windows are on (form_id, bloque), so one shuffle serves th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,6 +119,11 @@ def _enough() -> Column:
     return F.count(F.lit(1)).over(_block()) >= 5
 
 
+def _exact(density: str) -> Column:
+    """A density as a decimal of 12 places: sums of these are the same in any order, so equal sides are a tie, never chance. What isn't a number is left out."""
+    return F.col(density).try_cast("decimal(26,12)")
+
+
 def low_stroke() -> Column:
     """Dense, but one of the strokes is thin."""
     return _enough() & (_max() > HIGH) & (F.least("stroke_no", "stroke_si") < 0.12)
@@ -132,23 +138,23 @@ def neighbors() -> Column:
     return _enough() & F.coalesce((median > 0.001) & (_max() > median * OUTLIER), F.lit(False))
 
 
-def inversion() -> Column:
-    """Against a block that leans three to one to the other column."""
-    no, si = F.sum("dens_no").over(_block()), F.sum("dens_si").over(_block())
+def inversion(weight: Callable[[str], Column] = F.col) -> Column:
+    """Against a block that leans three to one to the other column. weight: how a density is summed."""
+    no, si = F.sum(weight("dens_no")).over(_block()), F.sum(weight("dens_si")).over(_block())
     dn, ds = F.col("dens_no"), F.col("dens_si")
     return _enough() & (((no > si * 3) & (no > 0.5) & (ds > HIGH) & (dn < VERY_LOW)) | ((si > no * 3) & (si > 0.5) & (dn > HIGH) & (ds < VERY_LOW)))
 
 
 def incoherent() -> Column:
-    """One of the first two items, clearly marked against the block's trend."""
-    trend = F.sum("dens_no").over(_block()) > F.sum("dens_si").over(_block())
+    """One of the first two items, clearly marked against the block's trend. Equal sums of both columns lean to si."""
+    trend = F.sum(_exact("dens_no")).over(_block()) > F.sum(_exact("dens_si")).over(_block())
     return (_max() >= 0.05) & ((F.col("dens_no") > F.col("dens_si")) != trend) & (F.row_number().over(_rows()) <= 2)
 
 
-def _swap() -> Column:
+def _swap(weight: Callable[[str], Column]) -> Column:
     """The first two items, if they look exchanged: the first goes against the trend of the rest, the next two follow it, and their densities are alike. `__at` numbers the items of the block."""
     w = _block()
-    rest = lambda c: F.sum(F.when(F.col("__at") > 1, F.col(c)).otherwise(0.0)).over(w)
+    rest = lambda c: F.sum(F.when(F.col("__at") > 1, weight(c)).otherwise(0)).over(w)
     pick = lambda k, v: F.max(F.when(F.col("__at") == k, v)).over(w)
     way = F.when(_max() >= 0.030, F.when(F.col("dens_no") > F.col("dens_si"), "no").otherwise("si"))
     no, si = rest("dens_no"), rest("dens_si")
@@ -160,18 +166,19 @@ def _swap() -> Column:
     return F.coalesce(found & (F.col("__at") <= 2), F.lit(False))
 
 
-def flag(signals: DataFrame, name: str) -> DataFrame:
-    """Adds one flag: low_stroke, neighbors, inversion, incoherent or swap."""
+def flag(signals: DataFrame, name: str, weight: Callable[[str], Column] = F.col) -> DataFrame:
+    """Adds one flag: low_stroke, neighbors, inversion, incoherent or swap. weight: how inversion and swap sum a density."""
     if name == "swap":
-        return signals.withColumn("__at", F.row_number().over(_rows())).withColumn("swap", _swap()).drop("__at")
-    return signals.withColumn(name, {"low_stroke": low_stroke, "neighbors": neighbors, "inversion": inversion, "incoherent": incoherent}[name]())
+        return signals.withColumn("__at", F.row_number().over(_rows())).withColumn("swap", _swap(weight)).drop("__at")
+    return signals.withColumn(name, {"low_stroke": low_stroke, "neighbors": neighbors, "inversion": lambda: inversion(weight), "incoherent": incoherent}[name]())
 
 
 FLAGS = ("low_stroke", "neighbors", "inversion", "incoherent", "swap")
 
 
 def with_flags(signals: DataFrame) -> DataFrame:
-    return reduce(flag, FLAGS, signals)
+    """All flags, every sum of them exact."""
+    return reduce(lambda df, name: flag(df, name, _exact), FLAGS, signals)
 
 
 def merge_review(df: DataFrame) -> DataFrame:

@@ -217,8 +217,11 @@ _FLAGS = """mx AS (SELECT *, greatest(dens_no, dens_si) AS d, row_number() OVER
   d >= 0.05D AND (dens_no > dens_si) <> (tn > ts) AND ix <= 2 AS incoherent,
   coalesce(sx.n >= 4 AND w0 <> tr AND w1 = tr AND w2 = tr AND d0 >= 0.030D AND d1 >= 0.030D AND greatest(d0, d1) / greatest(least(d0, d1), 0.001D) <= 3.0D AND ix <= 2, false) AS swap
   FROM mx LEFT JOIN nb ON nb.form_id = mx.form_id AND nb.bloque = mx.bloque AND nb.num = mx.num LEFT JOIN sx ON sx.form_id = mx.form_id AND sx.bloque = mx.bloque)"""
+# The same flags with sums of decimals, which don't depend on the order of rows: where both columns weigh the same, doubles leave the trend to chance.
+_EXACT_FLAGS = _FLAGS.replace("sum(dens_no)", "sum(CAST(dens_no AS DECIMAL(26, 12)))").replace("sum(dens_si)", "sum(CAST(dens_si AS DECIMAL(26, 12)))")
 for _id, _name in (("d7", "low_stroke"), ("d8", "neighbors"), ("d9", "inversion"), ("d10", "incoherent"), ("d11", "swap")):
     SQL[f"{_id}_flag_{_name}"] = f"WITH {_FLAGS} SELECT form_id, bloque, num, {_name} FROM fl"
+SQL["d10_flag_incoherent"] = f"WITH {_EXACT_FLAGS} SELECT form_id, bloque, num, incoherent FROM fl"
 _REV = f"""{_VOTE}, {_FLAGS}, rv AS (SELECT vote.form_id, vote.bloque, vote.num, vote.bloque || vote.num AS item, opcion, confianza, regimen, mm, motivo IS NOT NULL OR low_stroke OR neighbors OR inversion OR incoherent OR swap AS revisar,
   CASE WHEN swap THEN 'posible swap de filas' ELSE coalesce(motivo, CASE WHEN low_stroke OR neighbors OR inversion OR incoherent THEN 'outlier del bloque' END) END AS motivo
   FROM vote JOIN fl ON fl.form_id = vote.form_id AND fl.bloque = vote.bloque AND fl.num = vote.num)"""
