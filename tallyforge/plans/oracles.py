@@ -222,7 +222,7 @@ _EXACT_FLAGS = _FLAGS.replace("sum(dens_no)", "sum(CAST(dens_no AS DECIMAL(26, 1
 for _id, _name in (("d7", "low_stroke"), ("d8", "neighbors"), ("d9", "inversion"), ("d10", "incoherent"), ("d11", "swap")):
     SQL[f"{_id}_flag_{_name}"] = f"WITH {_FLAGS} SELECT form_id, bloque, num, {_name} FROM fl"
 SQL["d10_flag_incoherent"] = f"WITH {_EXACT_FLAGS} SELECT form_id, bloque, num, incoherent FROM fl"
-_REV = f"""{_VOTE}, {_FLAGS}, rv AS (SELECT vote.form_id, vote.bloque, vote.num, vote.bloque || vote.num AS item, opcion, confianza, regimen, mm, motivo IS NOT NULL OR low_stroke OR neighbors OR inversion OR incoherent OR swap AS revisar,
+_REV = f"""{_VOTE}, {_EXACT_FLAGS}, rv AS (SELECT vote.form_id, vote.bloque, vote.num, vote.bloque || vote.num AS item, opcion, confianza, regimen, mm, motivo IS NOT NULL OR low_stroke OR neighbors OR inversion OR incoherent OR swap AS revisar,
   CASE WHEN swap THEN 'posible swap de filas' ELSE coalesce(motivo, CASE WHEN low_stroke OR neighbors OR inversion OR incoherent THEN 'outlier del bloque' END) END AS motivo
   FROM vote JOIN fl ON fl.form_id = vote.form_id AND fl.bloque = vote.bloque AND fl.num = vote.num)"""
 SQL["d12_merge_review"] = f"WITH {_REV} SELECT form_id, item, revisar, motivo FROM rv"
