@@ -93,6 +93,17 @@ DUCK_VIEWS = {
         FROM (SELECT doc_id, unnest(c) AS word, unnest(range(1, len(c) + 1)) AS pos FROM (SELECT doc_id, string_split(text, ' ') AS c FROM documents) a) b""",
 }
 
+# The same rows for Spark, dealt over as many tasks as the session's shuffles have. A table of forms is a small file, of which a few tasks
+# would make all answers; and lines and cuts compress so well that tasks put together by their size would sort too many at once.
+SPARK_VIEWS = {
+    v: re.sub(r"FROM forms( f)? CROSS", r"FROM (SELECT /*+ REPARTITION(PARTS, form_id) */ * FROM forms)\1 CROSS", VIEWS[v])
+    for v in ("marks", "scores", "proposals")
+} | {
+    "cuts": VIEWS["cuts"]
+    .replace("ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS pos FROM (SELECT l_suppkey +", "ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS pos FROM (SELECT /*+ REPARTITION(PARTS, page_id) */ * FROM (SELECT l_suppkey +")
+    .replace("FROM lineitem) a) b", "FROM (SELECT /*+ REPARTITION(PARTS, l_suppkey) */ l_suppkey, l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem) l) a) c) b"),
+}
+
 _WORD = re.compile(r"[A-Za-z_]+")
 
 
@@ -137,6 +148,6 @@ def view(spark: SparkSession, sf_dir: str, name: str, files: dict[str, str] | No
     names = with_views(f"SELECT * FROM {name}", frozenset(files))
     words = {w for v in names if v not in files for w in _WORD.findall(VIEWS[v])}
     heads = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if t in words]
-    heads += [f"{v} AS (SELECT * FROM parquet.`{files[v]}`)" if v in files else f"{v} AS ({VIEWS[v].replace('"left"', '`left`')})" for v in names]
+    heads += [f"{v} AS (SELECT * FROM parquet.`{files[v]}`)" if v in files else f"{v} AS ({SPARK_VIEWS.get(v, VIEWS[v]).replace('"left"', '`left`')})" for v in names]
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     return spark.sql(f"WITH {', '.join(heads)} SELECT * FROM {name}".replace("REPARTITION(PARTS,", f"REPARTITION({parts},"))
