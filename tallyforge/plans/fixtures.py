@@ -94,10 +94,10 @@ DUCK_VIEWS = {
 }
 
 # The same rows for Spark, dealt over as many tasks as the session's shuffles have. A table of forms is a small file, of which a few tasks
-# would make all answers; and lines and cuts compress so well that tasks put together by their size would sort too many at once.
+# would make all answers, and a few items, types or numbers are what is broadcast; and lines and cuts compress so well that tasks put together by their size would sort too many at once.
 SPARK_VIEWS = {
-    v: re.sub(r"FROM forms( f)? CROSS", r"FROM (SELECT /*+ REPARTITION(PARTS, form_id) */ * FROM forms)\1 CROSS", VIEWS[v])
-    for v in ("marks", "scores", "proposals")
+    v: re.sub(r"FROM forms( f)? CROSS", r"FROM (SELECT /*+ REPARTITION(PARTS, form_id) */ * FROM forms)\1 CROSS", VIEWS[v].replace(f"SELECT {first}", f"SELECT /*+ BROADCAST({few}) */ {first}"))
+    for v, first, few in (("marks", "form_id, bloque", "item_dim"), ("scores", "f.form_id, f.sexo", "t"), ("proposals", "f.form_id, CAST(o.", "o, k"))
 } | {
     "cuts": VIEWS["cuts"]
     .replace("ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS pos FROM (SELECT l_suppkey +", "ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS pos FROM (SELECT /*+ REPARTITION(PARTS, page_id) */ * FROM (SELECT l_suppkey +")
