@@ -56,7 +56,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-# Bands of MinHash values, winnowing and Newton steps aren't expressible in SQL; tests/llm compares with brute force.
+# SimHash with covering tables, bands of MinHash values, winnowing and Newton steps aren't expressible in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found by MinHash bands and checked exactly.
+"""Near-duplicates by the Jaccard similarity of word shingles, found by SimHash with covering tables, then by MinHash bands, and checked exactly.
 
 Method: a text is the set of its shingles of five words, each a 64-bit hash. Texts
-of equal sets are handled once. Sets that agree in all five minima of one of 25
-bands share a bucket; a pair at similarity 0.8 shares none with probability
+of equal sets are handled once. Texts whose SimHash fingerprints the covering tables
+of `simhash` link, at 4 or fewer of 64 bits, share a bucket. That radius holds a part of the pairs
+at similarity 0.8 alone, so sets that agree in all five minima of one of 25
+bands share a bucket as well; a pair at similarity 0.8 shares none of these with probability
 (1 - 0.8^5)^25 = 0.00005, a nearer pair more rarely. Whether two sets of a bucket
 are linked is decided by their exact similarity, on the whole sets.
 
@@ -11,8 +13,8 @@ bucket's least and greatest set; buckets whose members then share one component
 done. In the others, sets of different components are compared in blocks of bounded
 size. Buckets with the same members are handled once.
 
-SimHash tables that lose no pair do not pay here: at similarity 0.8 two fingerprints
-differ in 5 to 13 of 64 bits, and parts short enough to cover that many hold a fixed
+Covering tables for all such pairs do not pay here: at similarity 0.8 two fingerprints
+differ in up to 13 of 64 bits, and parts short enough to cover that many hold a fixed
 share of all documents in each bucket.
 
 Defined cases: texts of fewer words than a shingle are one shingle; null, empty and
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, materialize, small_batches
 from .components import components
-from .simhash import first_rows
+from .simhash import fingerprint, fingerprint_components, first_rows
 from .words import WordHashes, gram_hashes, mix, word_hashes
 
 WIDTH, BANDS, BAND_ROWS = 5, 25, 5
@@ -73,7 +75,7 @@ def _set_columns(texts: list[bytes], width: int) -> dict:
         of = xxhash.xxh64_intdigest(s.tobytes(), 5) if len(s) else 0
         fps.append(of - (1 << 64) if of >> 63 else of)
         bands.append(band_keys(s).view(np.int64) if len(s) else [])
-    return {"fp": fps, "bands": bands}
+    return {"fp": fps, "bands": bands, "sim": [fingerprint(data, width) for data in texts]}
 
 
 def _links_of_run(fp: list[int], comp: list[int], own: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -136,6 +138,14 @@ def _set_of(texts: list[bytes], width: int) -> dict:
     return {"shingles": sets, "n_shingles": [len(x) for x in sets]}
 
 
+def _with_simhash(least: DataFrame) -> DataFrame:
+    """`bands` with one more key, the component of the fingerprint `sim` under the covering tables; empty sets have none."""
+    linked = fingerprint_components(least.select(F.col("sim").alias("fp")).distinct()).withColumnsRenamed({"fp": "sim", "root": "sim_root"})
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("sim_root", "sim"))
+    bands = F.when(F.size("bands") > 0, F.concat("bands", F.array(key))).otherwise(F.col("bands"))
+    return least.join(linked.hint("merge"), "sim", "left").select("fp", "first", bands.alias("bands"))
+
+
 def _roots(least: DataFrame, texts: DataFrame, width: int, block_rows: int, block_shingles: int) -> DataFrame:
     """fp, root for every set linked to another. least: fp, first, bands of the distinct sets; texts: doc_id, text, text_key."""
     entries = least.select(F.explode("bands").alias("key"), "fp")
@@ -174,9 +184,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """The rows of `docs` that come first in their component of similar texts, by doc_id, then a hash of the text; one row of those equal in both."""
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    marked = materialize(map_texts(keyed, partial(_set_columns, width=width), "fp bigint, bands array<bigint>", "text", ["doc_id", "text_key"]), "marked")
+    marked = materialize(map_texts(keyed, partial(_set_columns, width=width), "fp bigint, bands array<bigint>, sim bigint", "text", ["doc_id", "text_key"]), "marked")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    least = materialize(marked.groupBy("fp").agg(F.min(first).alias("first"), F.any_value("bands").alias("bands")), "copies")
+    least = materialize(marked.groupBy("fp").agg(F.min(first).alias("first"), F.any_value("bands").alias("bands"), F.min("sim").alias("sim")), "copies")
+    least = materialize(_with_simhash(least), "keyed")
     roots = _roots(least, keyed, width, block_rows, block_shingles)
     rooted = materialize(least.drop("bands").join(roots.hint("merge"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root")), "rooted")
     return first_rows(docs, rooted.groupBy("root").agg(F.min("first").alias("first")), marked, doc_id, text)

@@ -95,3 +95,11 @@ def test_defined_cases(spark):
     mapped = docs.selectExpr("*", "map('k', doc_id) AS m")  # columns that can't be ordered
     assert shingle_sets.one_of_each(mapped).count() == 3
     assert shingle_sets.one_of_each(docs.where("false")).count() == 0
+
+
+def test_covering_tables_give_a_key(spark):
+    """Sets whose fingerprints differ in at most 4 bits, also by way of others, share one more key; farther ones and empty sets don't."""
+    rows = [(1, [11], 0b1111), (2, [12], 0b11111111), (3, [13], 0), (4, [14], -1), (5, [], 0)]
+    got = {r.fp: r.bands for r in shingle_sets._with_simhash(spark.createDataFrame(rows, "fp long, bands array<bigint>, sim long").selectExpr("*", "fp AS first")).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4)] == [11, 12, 13, 14] and got[5] == []
+    assert got[1][1] == got[2][1] == got[3][1] != got[4][1]
