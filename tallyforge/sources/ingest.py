@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import settle
+from .storage import dealt, settle
 
 # Image extensions, and the leading bytes (hexadecimal) of the known types.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
@@ -266,15 +266,18 @@ def write_evaluation_jdbc(tables: dict[str, DataFrame], url: str, batch: str, pr
 def check_evaluation(forms: DataFrame, marks: DataFrame, scores: DataFrame) -> DataFrame:
     """problema, n: broken constraints and how many rows or keys break each; a row for each constraint."""
     of = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("problema"), "n")
-    twice = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
+    twice = lambda df, *keys: dealt(df, "form_id", *keys).groupBy("form_id", *keys).count().where("count > 1")
+    # Rows are counted by form first, so that forms are joined and not their rows.
+    homeless = lambda df: df.groupBy("form_id").agg(F.count(F.lit(1)).alias("rows")).join(forms.select("form_id"), "form_id", "left_anti").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+    named = lambda df, name: df.select(F.lit(name).alias("problema"), "n")
     checks = [
         of(forms.where(~F.coalesce(F.col("sexo").isin("M", "F"), F.lit(False))), "sexo"),
         of(forms.where(F.length("nombre") > 200), "nombre largo"),
         of(marks.where("item IS NULL"), "item nulo"),
-        of(twice(marks.where("item IS NOT NULL"), "form_id", "item"), "marca repetida"),
-        of(twice(scores, "form_id", "tipo"), "resultado repetido"),
-        of(marks.join(forms.select("form_id"), "form_id", "left_anti"), "marca sin formulario"),
-        of(scores.join(forms.select("form_id"), "form_id", "left_anti"), "resultado sin formulario"),
+        of(twice(marks.where("item IS NOT NULL"), "item"), "marca repetida"),
+        of(twice(scores, "tipo"), "resultado repetido"),
+        named(homeless(marks), "marca sin formulario"),
+        named(homeless(scores), "resultado sin formulario"),
     ]
     return reduce(DataFrame.unionByName, checks)
 

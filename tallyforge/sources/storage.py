@@ -29,6 +29,11 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df.hint("merge")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by these columns over as many tasks as the session's shuffles have. Narrow rows compress so well that tasks put together by their size hold too many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` and read it back: what several later joins need is computed once, survives lost executors, and has a known size."""
     path = shared_path(df.sparkSession, tag)
