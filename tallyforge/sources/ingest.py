@@ -200,10 +200,16 @@ def _of_group(groups: int):
     return F.pmod(F.xxhash64("form_id"), F.lit(groups)).cast("int")
 
 
+def _in_slices(df: DataFrame, *place: str, groups: int = 16) -> DataFrame:
+    """Rows dealt by their partition and slices of its forms, so that all of the session's tasks write and not one for each partition."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *place, F.pmod(F.xxhash64("form_id", F.lit(1)), F.lit(max(1, tasks // groups))))
+
+
 def write_evaluation(tables: dict[str, DataFrame], dest: str, batch: str = "0", groups: int = 16) -> None:
     """Each table as Parquet below `dest`, in a partition `lote` for the batch, and within it `grupo` for a hash of form_id. A batch that is written again replaces its own rows and no others."""
     for name, df in tables.items():
-        df.withColumn("grupo", _of_group(groups)).repartition("grupo").write.mode("overwrite").partitionBy("grupo").parquet(f"{dest}/{name}/lote={batch}")
+        df.withColumn("grupo", _of_group(groups)).transform(_in_slices, "grupo", groups=groups).write.mode("overwrite").partitionBy("grupo").parquet(f"{dest}/{name}/lote={batch}")
 
 
 def read_evaluation(spark: SparkSession, dest: str, names: Sequence[str] = ("formulario", "marca", "resultado", "carrera_sugerida")) -> dict[str, DataFrame]:
@@ -219,7 +225,7 @@ def delete_stored(spark: SparkSession, dest: str, ids: DataFrame) -> None:
         place = ["lote", "grupo"]
         touched = settle(table.join(gone, "form_id", "left_semi").select(*place).distinct(), "touched")
         rest = settle(table.join(touched, place, "left_semi").join(gone, "form_id", "left_anti"), "rest")
-        rest.repartition(*place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(f"{dest}/{name}")
+        _in_slices(rest, *place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(f"{dest}/{name}")
         # A row for each emptied partition.
         for emptied in touched.join(rest.select(*place).distinct(), place, "left_anti").collect():
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{dest}/{name}/lote={emptied.lote}/grupo={emptied.grupo}")
