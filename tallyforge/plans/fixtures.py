@@ -60,11 +60,12 @@ VIEWS: dict[str, str] = {
         FROM documents LATERAL VIEW posexplode(split(text, '')) p AS pos, ch WHERE length(text) > 0""",
     # The same cells, packed: a row for each, made from its piece of the text. Spark alone reads this one. The pieces are dealt
     # over as many tasks as the session's shuffles have, as a few large files would leave the work on cells to a few tasks.
-    "packed_cells": """SELECT cell_id, size(rows_of) AS h, CAST(least(24, length(rows_of[0])) AS INT) AS w, transform(rows_of, r -> array_join(transform(split(r, ''), ch -> IF(ascii(ch) % 5 = 0, '1', '0')), '')) AS ink,
-        transform(rows_of, r -> transform(split(r, ''), ch -> CAST(ascii(ch) % 256 AS INT))) AS gray
-        FROM (SELECT cell_id, regexp_extract_all(piece, '(?s).{1,24}', 0) AS rows_of FROM (SELECT /*+ REPARTITION(PARTS, cell_id) */ cell_id, piece
-        FROM (SELECT doc_id * 100000 + e.k AS cell_id, substring(text, CAST(e.k * 384 AS INT) + 1, 384) AS piece
-        FROM documents LATERAL VIEW explode(sequence(0L, (length(text) - 1) div 384)) e AS k WHERE length(text) > 0) x) y) a""",
+    # Text is cut in one pass. INK translates the letters it knows at once; a piece with others is read letter by letter.
+    "packed_cells": """SELECT cell_id, size(ink) AS h, CAST(least(24, length(ink[0])) AS INT) AS w, ink,
+        transform(regexp_extract_all(piece, '(?s).{1,24}', 0), r -> transform(split(r, ''), ch -> CAST(ascii(ch) % 256 AS INT))) AS gray
+        FROM (SELECT cell_id, piece, regexp_extract_all(CASE WHEN known RLIKE '^[01]*$' THEN known ELSE array_join(transform(split(piece, ''), ch -> IF(ascii(ch) % 5 = 0, '1', '0')), '') END, '.{1,24}', 0) AS ink
+        FROM (SELECT cell_id, piece, translate(piece, INK) AS known FROM (SELECT /*+ REPARTITION(PARTS, cell_id) */ cell_id, piece
+        FROM (SELECT doc_id * 100000 + e.k AS cell_id, e.piece FROM documents LATERAL VIEW posexplode(regexp_extract_all(text, '(?s).{1,384}', 0)) e AS k, piece WHERE length(text) > 0) x) y) z) a""",
     "files": """SELECT page_id, CASE page_id % 10 WHEN 0 THEN concat('bad', CAST(page_id AS STRING)) WHEN 1 THEN concat('ana-maria_soto_', CAST(11 + page_id % 9 AS STRING), '_f') WHEN 2 THEN concat('jose perez ', CAST(11 + page_id % 9 AS STRING), ' M')
         ELSE concat('luz-', CAST(page_id AS STRING), '-rios-', CAST(11 + page_id % 9 AS STRING), '-F') END AS nombre, CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.JPG' WHEN 2 THEN '.xyz' ELSE '' END AS ext,
         CASE page_id % 5 WHEN 0 THEN concat('%PDF-1.7', html) WHEN 1 THEN concat('BM', html) WHEN 2 THEN concat('RIFF0000WEBP', html) WHEN 3 THEN concat('II*', chr(0), html) ELSE html END AS content,
@@ -104,6 +105,10 @@ SPARK_VIEWS = {
     .replace("FROM lineitem) a) b", "FROM (SELECT /*+ REPARTITION(PARTS, l_suppkey) */ l_suppkey, l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem) l) a) c) b"),
 }
 
+# The letters up to U+024F, and a 1 for each that is ink, as arguments of translate.
+_LETTERS = range(1, 0x250)
+SPARK_VIEWS["packed_cells"] = VIEWS["packed_cells"].replace("INK", "'" + "".join(f"\\u{c:04x}" for c in _LETTERS) + "', '" + "".join("10"[c % 5 > 0] for c in _LETTERS) + "'")
+
 _WORD = re.compile(r"[A-Za-z_]+")
 
 

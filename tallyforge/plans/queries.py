@@ -447,21 +447,22 @@ def _page_pixels(v):
 
 
 @once
-def _line_runs(v):
-    """The rows of these pages as runs of ink, straight from the cells."""
-    rows = v.packed_cells.select(F.floor(F.col("cell_id") / 50).alias("page_id"), (F.col("cell_id") % 50 * 16).cast("int").alias("top"), F.posexplode("ink").alias("at", "row"))
-    return rows.select("page_id", (F.col("top") + F.col("at")).alias("y"), F.lit(24).alias("w"), layout.runs("row").alias("runs"))
+def _line_rows(v):
+    """The rows of these pages, straight from the cells: a string of ink each."""
+    rows = v.packed_cells.select(F.floor(F.col("cell_id") / 50).alias("page_id"), (F.col("cell_id") % 50 * 16).cast("int").alias("top"), F.posexplode("ink").alias("at", "ink"))
+    return rows.select("page_id", (F.col("top") + F.col("at")).alias("y"), F.lit(24).alias("w"), "ink")
 
 
+@once
 def _line_cuts(v):
     """Cuts down the whole height of every page, at uneven distances that repeat every 98 rows."""
-    parts = _line_runs(v).select("page_id", F.floor(F.col("y") / 98).cast("int").alias("part")).distinct()
+    parts = _line_rows(v).select("page_id", F.floor(F.col("y") / 98).cast("int").alias("part")).distinct()
     return parts.select("page_id", F.explode(F.array(*[F.col("part") * 98 + x for x in (0, 8, 16, 24, 48, 56, 90)])).alias("pos"))
 
 
 @query
 def c11_insert_missing_cuts(v):
-    return layout.insert_missing_cuts(_line_cuts(v), _line_runs(v), PAGE)
+    return layout.insert_missing_cuts(_line_cuts(v), _line_rows(v), PAGE)
 
 
 def _intervals(v):
