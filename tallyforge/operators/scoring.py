@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import small
+from ..sources.storage import dealt, small
 from .marks import point
 
 # Cut points of levels, and the texts of potentials.
@@ -24,12 +24,13 @@ def raw_scores(marks: DataFrame, item_map: DataFrame, forms: DataFrame) -> DataF
     """form_id, tipo, tipo_ord, pd_e, pd_p, pd_h, pd: points by type and block. Types without marks give 0.
 
     Answers are summed by form before types without any are filled in; the item map is a catalogue of at most a few items a type.
+    Both sides are dealt over as many tasks as the session's shuffles have, as sums compress too well to put tasks together by their size.
     """
     hit = marks.where(point() == 1).select("form_id", "item").join(small(item_map), "item")
     block = lambda b: F.count_if(F.col("bloque") == b).alias(f"pd_{b.lower()}")
     sums = hit.groupBy("form_id", "tipo").agg(block("E"), block("P"), block("H"), F.count(F.lit(1)).alias("pd"))
-    grid = forms.select("form_id").crossJoin(small(item_map.select("tipo", "tipo_ord").distinct()))
-    filled = grid.join(sums, ["form_id", "tipo"], "left")
+    grid = dealt(forms.select("form_id"), "form_id").crossJoin(small(item_map.select("tipo", "tipo_ord").distinct()))
+    filled = dealt(grid, "form_id", "tipo").join(dealt(sums, "form_id", "tipo").hint("merge"), ["form_id", "tipo"], "left")
     return filled.select("form_id", "tipo", "tipo_ord", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pd_e", "pd_p", "pd_h", "pd")])
 
 
