@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import dealt, small
+
 # The ranks of levels, and the weights of a score.
 HIERARCHY = {"sin_especificar": 3, "universitario": 3, "tecnico": 2, "cetpro": 1}
 W_TYPE, W_PROPOSED, W_TEST, BONUS_PROPOSED, BONUS_TEST = 1.0, 2.5, 0.8, 20, 5
@@ -46,9 +48,9 @@ def type_sets(index: DataFrame) -> DataFrame:
 
 def type_score(df: DataFrame, types: DataFrame, related: DataFrame) -> DataFrame:
     """Adds s_voc to rows of carrera, tipo1, tipo2: 8 for each of the two types, 4 for both, 2 for each related type of either."""
-    rel = related.groupBy("tipo").agg(F.collect_list("rel").alias("rels"))
+    rel = small(related.groupBy("tipo").agg(F.collect_list("rel").alias("rels")))
     none = F.array().cast("array<string>")
-    j = df.join(types, "carrera", "left").withColumn("tipos", F.coalesce("tipos", none))
+    j = df.join(small(types), "carrera", "left").withColumn("tipos", F.coalesce("tipos", none))
     for i in (1, 2):
         j = j.join(rel.select(F.col("tipo").alias(f"tipo{i}"), F.col("rels").alias(f"__r{i}")), f"tipo{i}", "left")
     has = lambda i: F.array_contains("tipos", F.col(f"tipo{i}"))
@@ -59,8 +61,11 @@ def type_score(df: DataFrame, types: DataFrame, related: DataFrame) -> DataFrame
 
 def asked_pairs(candidates: DataFrame, listed: DataFrame) -> DataFrame:
     """a, b: every pair of a candidate and another entry that some form lists, each once. Both: form_id, carrera."""
-    met = candidates.select("form_id", F.col("carrera").alias("a")).join(listed.select("form_id", F.col("carrera").alias("b")), "form_id")
-    return met.where("a <> b").select("a", "b").distinct()
+    # A form's entries are one row, and forms with the same entries are one.
+    lists = lambda df, name: dealt(df.select("form_id", "carrera"), "form_id").groupBy("form_id").agg(F.array_sort(F.collect_set("carrera")).alias(name))
+    met = lists(candidates, "xs").withColumn("ys", F.col("xs")) if listed is candidates else lists(candidates, "xs").join(lists(listed, "ys"), "form_id")
+    pairs = met.select("xs", "ys").distinct().select(F.explode("xs").alias("a"), "ys").select("a", F.explode("ys").alias("b"))
+    return pairs.where("a <> b").distinct()
 
 
 def career_similarity(pairs: DataFrame, sets: DataFrame, types: DataFrame) -> DataFrame:
@@ -89,19 +94,21 @@ def total(s_voc: Column, s_prop: Column, s_test: Column, proposed: Column, sugge
 def universe(suggested: DataFrame, proposed: DataFrame) -> DataFrame:
     """form_id, carrera, ord, en_test, en_alumno: suggested entries, then proposed ones, each once at its first place. Both: form_id, ord, carrera."""
     both = suggested.select("form_id", "carrera", F.struct(F.lit(0).alias("k"), "ord").alias("o")).unionByName(proposed.select("form_id", "carrera", F.struct(F.lit(1).alias("k"), "ord").alias("o")))
-    g = both.groupBy("form_id", "carrera").agg(F.min("o").alias("o"), F.max(F.col("o.k") == 0).alias("en_test"), F.max(F.col("o.k") == 1).alias("en_alumno"))
+    g = dealt(both, "form_id").groupBy("form_id", "carrera").agg(F.min("o").alias("o"), F.max(F.col("o.k") == 0).alias("en_test"), F.max(F.col("o.k") == 1).alias("en_alumno"))
     return g.select("form_id", "carrera", F.row_number().over(Window.partitionBy("form_id").orderBy("o", "carrera")).alias("ord"), "en_test", "en_alumno")
 
 
-def career_score(candidates: DataFrame, tops: DataFrame, suggested: DataFrame, proposed: DataFrame, similarity: DataFrame, types: DataFrame, related: DataFrame) -> DataFrame:
-    """Candidates of universe() with s_voc, s_prop, s_test and score. Both means come from one pass over the pairs of a form."""
-    c = type_score(candidates.join(tops, "form_id"), types, related)
-    sides = lambda df, proposed: df.select("form_id", F.col("carrera").alias("b"), F.lit(proposed).alias("__p")).distinct()
-    listed = sides(proposed, True).unionByName(sides(suggested, False))
-    pairs = candidates.select("form_id", F.col("carrera").alias("a")).distinct().join(listed, "form_id").where("a <> b").join(similarity, ["a", "b"])
-    mean = lambda which: F.avg(F.when(which, F.col("similitud")))
-    means = pairs.groupBy("form_id", F.col("a").alias("carrera")).agg(mean(F.col("__p")).alias("s_prop"), mean(~F.col("__p")).alias("s_test"))
-    c = c.join(means, ["form_id", "carrera"], "left").withColumns({x: F.coalesce(x, F.lit(0.0)) for x in ("s_prop", "s_test")})
+def career_score(candidates: DataFrame, tops: DataFrame, similarity: DataFrame, types: DataFrame, related: DataFrame) -> DataFrame:
+    """Candidates of universe() with s_voc, s_prop, s_test and score. Both means come from one pass over the pairs of a form, which stay in the form's task.
+
+    Keep `similarity` written: it is counted before it is joined.
+    """
+    c = type_score(dealt(candidates, "form_id").join(tops, "form_id"), types, related)
+    listed = dealt(candidates.select(F.col("form_id").alias("__f"), F.col("carrera").alias("b"), F.col("en_alumno").alias("__p"), F.col("en_test").alias("__t")), "__f")
+    pairs = c.join(listed.hint("merge"), (F.col("form_id") == F.col("__f")) & (F.col("carrera") != F.col("b")), "left")
+    pairs = pairs.join(small(similarity.select(F.col("a").alias("carrera"), "b", "similitud")), ["carrera", "b"], "left")
+    mean = lambda which: F.coalesce(F.avg(F.when(F.col(which), F.col("similitud"))), F.lit(0.0))
+    c = pairs.groupBy(*c.columns).agg(mean("__p").alias("s_prop"), mean("__t").alias("s_test"))
     return c.withColumn("score", total(F.col("s_voc"), F.col("s_prop"), F.col("s_test"), F.col("en_alumno"), F.col("en_test")))
 
 
@@ -125,7 +132,7 @@ def proposed_entries(resolved: DataFrame) -> DataFrame:
 
 def evaluate(scored: DataFrame, levels: DataFrame, prefs: DataFrame, institutions: DataFrame, k: int = 2) -> DataFrame:
     """Scored candidates with estado: final (with rank), reserva or descartada (with the reason). Ties keep the candidates' order."""
-    j = affordable(scored.join(levels, "carrera", "left").join(prefs, "form_id"), institutions)
+    j = affordable(scored.join(small(levels), "carrera", "left").join(prefs, "form_id"), small(institutions))
     order = Window.partitionBy("form_id", "financiable").orderBy(F.col("score").desc(), "ord")
     r = j.withColumn("__r", F.row_number().over(order))
     state = F.when(~F.col("financiable"), "descartada").when(F.col("__r") <= k, "final").otherwise("reserva")

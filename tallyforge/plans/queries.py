@@ -1031,8 +1031,13 @@ def h5_list_affinity(v):
     return rounded(proposal.list_affinity(_tested(v).select("form_id", "carrera"), _proposed(v), _similarity(v)))
 
 
+@once
+def _known_similarity(v):
+    return _similarity(v)
+
+
 def _scored(v):
-    return proposal.career_score(_candidates(v), v.tops, _tested(v), _proposed(v), _similarity(v), _types(v), v.related_types)
+    return proposal.career_score(_candidates(v), v.tops, _known_similarity(v), _types(v), v.related_types)
 
 
 @query
