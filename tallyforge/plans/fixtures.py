@@ -95,16 +95,20 @@ DUCK_VIEWS = {
 }
 
 # The same rows for Spark, dealt over as many tasks as the session's shuffles have. A table of forms is a small file, of which a few tasks
-# would make all answers, and a few items, types or numbers are what is broadcast; and lines and cuts compress so well that tasks put together by their size would sort too many at once.
+# would make all answers, and a few items, types or numbers are what is broadcast: joined by their keys, all answers would meet in a task for each
+# item, and all scores in one for each norm. And lines and cuts compress so well that tasks put together by their size would sort too many at once.
 SPARK_VIEWS = {
     v: re.sub(r"FROM forms( f)? CROSS", r"FROM (SELECT /*+ REPARTITION(PARTS, form_id) */ * FROM forms)\1 CROSS", VIEWS[v].replace(f"SELECT {first}", f"SELECT /*+ BROADCAST({few}) */ {first}"))
     for v, first, few in (("marks", "form_id, bloque", "item_dim"), ("scores", "f.form_id, f.sexo", "t"), ("proposals", "f.form_id, CAST(o.", "o, k"))
 } | {
+    "normed": VIEWS["normed"].replace("SELECT s.form_id", "SELECT /*+ BROADCAST(n) */ s.form_id"),
     "cuts": VIEWS["cuts"]
     .replace("ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS pos FROM (SELECT l_suppkey +", "ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS pos FROM (SELECT /*+ REPARTITION(PARTS, page_id) */ * FROM (SELECT l_suppkey +")
     .replace("FROM lineitem) a) b", "FROM (SELECT /*+ REPARTITION(PARTS, l_suppkey) */ l_suppkey, l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem) l) a) c) b"),
 }
 
+SPARK_VIEWS["scores"] = SPARK_VIEWS["scores"].replace("SELECT m.form_id", "SELECT /*+ BROADCAST(i) */ m.form_id")
+
 # The letters up to U+024F, and a 1 for each that is ink, as arguments of translate.
 _LETTERS = range(1, 0x250)
 SPARK_VIEWS["packed_cells"] = VIEWS["packed_cells"].replace("INK", "'" + "".join(f"\\u{c:04x}" for c in _LETTERS) + "', '" + "".join("10"[c % 5 > 0] for c in _LETTERS) + "'")

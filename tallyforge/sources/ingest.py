@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import dealt, settle
+from .storage import dealt, is_small, settle
 
 # Image extensions, and the leading bytes (hexadecimal) of the known types.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
@@ -313,6 +313,8 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if fmt == "csv" else writer.format(fmt).save(path)
 
 
-def delete_forms(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the forms in `ids` (form_id)."""
-    return {name: df.join(ids.select("form_id"), "form_id", "left_anti") for name, df in tables.items()}
+def delete_forms(tables: dict[str, DataFrame], ids: DataFrame, rows: int = 1_000_000) -> dict[str, DataFrame]:
+    """Every table without the forms in `ids` (form_id). Up to `rows` ids, which are counted first, are broadcast; of more, each task holds its share. So no table is sorted."""
+    gone = ids.select("form_id")
+    gone = F.broadcast(gone) if is_small(gone, rows) else gone.hint("shuffle_hash")
+    return {name: df.join(gone, "form_id", "left_anti") for name, df in tables.items()}
