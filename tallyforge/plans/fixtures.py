@@ -72,6 +72,9 @@ VIEWS: dict[str, str] = {
         CASE WHEN page_id % 2 = 0 THEN 'F' ELSE 'M' END AS sexo FROM pages""",
     "tokens": """SELECT doc_id AS image_id, p.pos + 1 AS pos, p.word AS text, CASE WHEN (doc_id + p.pos + 1) % 13 = 0 THEN 'x' WHEN (doc_id + p.pos + 1) % 11 = 0 THEN '-1' ELSE CAST((doc_id * 7 + (p.pos + 1) * 31) % 100 AS STRING) END AS conf,
         (p.pos + 1) * 17 AS "left", CAST(doc_id % 50 * 11 AS INT) AS top, 11 + p.pos AS width, CAST(12 AS INT) AS height FROM documents LATERAL VIEW posexplode(split(text, ' ')) p AS pos, word""",
+    # The same tokens, packed: a row for each image, with lists in their order. Spark alone reads this one.
+    "packed_tokens": """SELECT image_id, text, transform(text, (word, pos) -> CASE WHEN (image_id + pos + 1) % 13 = 0 THEN 'x' WHEN (image_id + pos + 1) % 11 = 0 THEN '-1' ELSE CAST((image_id * 7 + (pos + 1) * 31) % 100 AS STRING) END) AS conf
+        FROM (SELECT doc_id AS image_id, split(text, ' ') AS text FROM documents WHERE text IS NOT NULL) d""",
     "proposals": "SELECT f.form_id, CAST(o.n_nationkey + 1 AS INT) AS ord, t.texto FROM forms f CROSS JOIN (SELECT n_nationkey FROM nation WHERE n_nationkey < 3) o CROSS JOIN (SELECT count(*) AS n FROM customer) k JOIN texts t ON t.form_id = 1 + (f.form_id + CASE o.n_nationkey WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 31 END) % k.n",
     "prefs": "SELECT form_id, CASE form_id % 4 WHEN 0 THEN 'sin_especificar' WHEN 1 THEN 'universitario' WHEN 2 THEN 'tecnico' ELSE 'cetpro' END AS nivel_max, CASE form_id % 3 WHEN 0 THEN 'indiferente' WHEN 1 THEN 'publica' ELSE 'privada' END AS institucion FROM forms",
     "person_profiles": """SELECT form_id, 0.05D + (form_id * 7 % 23) / 24.0D AS r, 0.05D + (form_id * 11 % 23) / 24.0D AS i, 0.05D + (form_id * 13 % 23) / 24.0D AS a,

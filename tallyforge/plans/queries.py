@@ -360,7 +360,7 @@ def b11_find_tokens(v):
 
 @query
 def b12_token_summary(v):
-    return marks.token_summary(v.tokens)
+    return marks.token_summary(v.packed_tokens)
 
 
 def _classified(v):
